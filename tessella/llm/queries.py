@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import licenses, quality, toxicity, url_filters
+from tessella.llm import bpe, licenses, packing, quality, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op7_bpe": bpe.op7_bpe,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_toxicity": toxicity.op10_toxicity,
     }
