@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, licenses, packing, quality, toxicity, url_filters
+from tessella.llm import bpe, fingerprints, licenses, packing, quality, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": licenses.op1_license_scan,
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op7_bpe": bpe.op7_bpe,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_toxicity": toxicity.op10_toxicity,
