@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprints, jaccard_join, licenses, packing, quality, toxicity, url_filters
+from tessella.llm import bpe, fingerprints, jaccard_join, licenses, packing, quality, substrings, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_fingerprints": fingerprints.op4_fingerprints,
+        "op5_substring_dedup": substrings.op5_substring_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_url_filters": url_filters.op9_url_filters,
