@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprints, jaccard_join, licenses, packing, quality, substrings, toxicity, url_filters
+from tessella.llm import bpe, fingerprints, jaccard_join, language_model, licenses, packing, quality, substrings, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op6_lm_scoring": language_model.op6_lm_scoring,
         "op7_bpe": bpe.op7_bpe,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_url_filters": url_filters.op9_url_filters,
