@@ -338,6 +338,7 @@ def without(text: bytes, starts: np.ndarray) -> bytes:
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated passages; n_chars counts the new text. No row is dropped."""
     rows = with_starts(docs, "doc_id", "text")
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -346,8 +347,8 @@ def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
                 for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_starts"))
             ]
             new = pa.array(texts, pa.binary()).cast(pa.string())
-            columns = [new if name == "text" else batch.column(name) for name in docs.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [new if name == "text" else batch.column(name) for name in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     got = rows.select(*docs.columns, "_starts").mapInArrow(cut, docs.schema)
     if "n_chars" not in docs.columns:
