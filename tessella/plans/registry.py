@@ -1,9 +1,206 @@
-"""All queries over the shipped tables, with their SQL."""
+"""All queries over the shipped tables, with their SQL.
 
+The indexed collection is `documents` (or `pages`), the queries are `benchmark` items; texts are folded to
+bases. Parameters are small, as these texts are far shorter than genomes.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessella.functions import bases, hashing
+from tessella.operators import bloom, exact, index, kmers, search
+from tessella.params import SketchParams
+from tessella.plans import sql
+from tessella.sources import sinks
+
+PARAMS = SketchParams(k=21, log2_buckets=10, threshold=40)
+#: A wide k, for which the Bloom filter decides something.
+BLOOM_PARAMS = SketchParams(k=31, log2_buckets=8, threshold=40)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """genomes(genome_id, name, seq) of the documents."""
+    t = _table(spark, d, "documents")
+    return t.select(F.col("doc_id").alias("genome_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), bases.text_to_bases(F.col("text")).alias("seq"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "pages")
+    return t.select(F.col("page_id").alias("genome_id"), F.col("url").alias("name"), bases.text_to_bases(F.col("html")).alias("seq"))
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """queries(query_id, header, seq) of the benchmark."""
+    t = _table(spark, d, "benchmark")
+    return t.select(F.col("item_id").alias("query_id"), F.concat(F.lit(">item"), F.col("item_id").cast("string")).alias("header"), bases.text_to_bases(F.col("text")).alias("seq"))
+
+
+def _hashed(spark: SparkSession, d: str, params: SketchParams = PARAMS) -> DataFrame:
+    return hashing.with_hash64(kmers.sketch_kmers(items(spark, d), params.k, "query_id"), "canon", "h")
+
+
+def canonical_kmers(spark, d):
+    return kmers.sketch_kmers(items(spark, d), PARAMS.k, "query_id")
+
+
+def exact_kmer_counts(spark, d):
+    got = kmers.exact_kmers(documents(spark, d), PARAMS.k, "genome_id")
+    return got.groupBy("genome_id").agg(F.count("*").alias("n_kmers"), F.min("canon").alias("least"), F.max("canon").alias("largest"))
+
+
+def kmer_hash(spark, d):
+    both = hashing.with_unhash64(hashing.with_hash64(_hashed(spark, d), "h", "hh"), "h", "back")
+    return both.select("query_id", "pos", "canon", "h", "hh", "back")
+
+
+def bloom_probes(spark, d):
+    got = hashing.with_probes(_hashed(spark, d), "h", "probes")
+    return got.select("query_id", "pos", *(F.get("probes", i).alias(f"probe{i}") for i in range(hashing.BLOOM_HASHES)))
+
+
+def hash32(spark, d):
+    rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("long").alias("x"))
+    return hashing.with_unhash32(hashing.with_hash32(rows, "x", "h"), "x", "u").select("o_orderkey", "h", "u")
+
+
+def fingerprint(spark, d):
+    return hashing.with_fingerprint(_hashed(spark, d), "h", PARAMS.log2_buckets, PARAMS.mantissa).select("query_id", "pos", "bucket", "fp")
+
+
+def sketch(spark, d):
+    return kmers.sketch(documents(spark, d), PARAMS, "genome_id")
+
+
+def genomes(spark, d):
+    """sketch_size and genome_size of every document."""
+    return _index(spark, d).genomes
+
+
+def genome_size_estimate(spark, d):
+    """With two buckets the estimate of the cardinality is no longer capped by every length."""
+    params = SketchParams(k=21, log2_buckets=1)
+    kept = documents(spark, d).where(F.length("seq") >= params.k)
+    return index.genome_sizes(kept.select("genome_id", "name", F.length("seq").cast("long").alias("n_chars")), kmers.sketch(kept, params, "genome_id"), params)
+
+
+def _index(spark, d, params: SketchParams = PARAMS) -> index.Index:
+    return index.build(documents(spark, d), params)
+
+
+def bloom_cells(spark, d):
+    return _index(spark, d, BLOOM_PARAMS).bloom
+
+
+def bloom_filtered_sketch(spark, d):
+    return search.query_sketch(_index(spark, d, BLOOM_PARAMS), items(spark, d))
+
+
+def match_counts(spark, d):
+    built = _index(spark, d)
+    return search.match_counts(built, search.query_sketch(built, items(spark, d)))
+
+
+def search_topn(spark, d):
+    return search.search(_index(spark, d), items(spark, d), **search.RECORDS)
+
+
+def _exact_hits(spark, d) -> DataFrame:
+    built, queries = _index(spark, d), items(spark, d)
+    hits = search.search(built, queries, **search.RECORDS_EXACT)
+    return exact.exact_counts(hits, queries, documents(spark, d), PARAMS.k)
+
+
+def search_exact(spark, d):
+    return _exact_hits(spark, d).select("query_id", "genome_id", "matches", "inter", "union_size", "n_query", "n_genome", "real_jaccard", "jaccard", "intersection")
+
+
+def accuracy_regression(spark, d):
+    got = exact.accuracy(_exact_hits(spark, d))
+    return got.select("metric", "n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
+
+
+def index_merge(spark, d):
+    """Sketch rows by genome of documents and pages in one index."""
+    merged = index.merge(_index(spark, d), index.build(pages(spark, d), PARAMS))
+    sums = merged.sketch.groupBy("genome_id").agg(F.sum("bucket").alias("buckets"), F.sum("fp").cast("long").alias("fps"))
+    return merged.genomes.join(sums, "genome_id").select("genome_id", "name", "n_chars", "sketch_size", "genome_size", "buckets", "fps")
+
+
+def multiset_collisions(spark, d):
+    k = PARAMS.k
+    one = kmers.sketch_kmers(items(spark, d), k, "query_id").select("canon")
+    other = kmers.sketch_kmers(documents(spark, d), k, "genome_id").select("canon")
+    return exact.multiset_collisions(one, other, "canon")
+
+
+def set_intersection(spark, d):
+    k = PARAMS.k
+    one = kmers.sketch_kmers(items(spark, d), k, "query_id")
+    other = kmers.sketch_kmers(documents(spark, d), k, "genome_id")
+    return exact.set_collisions(one, other, "canon")
+
+
+def sequence_functions(spark, d):
+    """Packing, complements and canonical forms of the ends of document texts."""
+    t = _table(spark, d, "documents").select("doc_id", F.substring(bases.text_to_bases(F.col("text")), 1, 24).alias("s"), F.substring("text", 1, 24).alias("raw"))
+    n = bases.strand_number(F.col("s"))
+    return t.select(
+        "doc_id", n.alias("number"), bases.canonical_number(F.col("s")).alias("canonical"), bases.reverse_complement(F.col("s")).alias("flipped"),
+        bases.unpack(n, 24).alias("unpacked"), bases.reverse_complement_number(n, 24).alias("flipped_number"), bases.clean(F.col("raw")).alias("cleaned"),
+        bases.clean(F.col("s")).alias("cleaned_bases"), bases.canonical_string(F.col("s")).alias("canonical_string"), bases.binary_digits(n).alias("bits"),
+        hashing.floor_log2(n).cast("long").alias("log2"), bases.thousands(n).alias("shown"),
+    )
+
+
+def hamming(spark, d):
+    """Differences of each document's first bases from those of the document before it by id."""
+    t = documents(spark, d).select("genome_id", F.substring("seq", 1, 64).alias("s"))
+    before = t.select((F.col("genome_id") + 1).alias("genome_id"), F.col("s").alias("o"))
+    return t.join(before, "genome_id").select("genome_id", bases.hamming(F.col("s"), F.col("o")).cast("long").alias("differences"))
+
+
+def string_product(spark, d):
+    t = _table(spark, d, "customer").select("c_custkey", "c_name")
+    return hashing.with_string_product(t, "c_name", "product").select("c_custkey", "product")
+
+
+def line_numbers(spark, d):
+    t = _table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("genome"), F.col("o_custkey"), F.lit("ln"), F.col("o_orderkey")).alias("name"))
+    return t.select("o_orderkey", bases.line_number(F.col("name")).alias("number"), bases.before_line_number(F.col("name")).alias("rest"))
+
+
+def render_hits(spark, d):
+    queries = items(spark, d).where(F.length("seq") >= PARAMS.k)
+    return sinks.approximate_lines(queries, search_topn(spark, d), empty=True)
+
+
+def render_file_hits(spark, d):
+    hits = search.search(_index(spark, d), items(spark, d), **search.FILES)
+    return sinks.approximate_lines(items(spark, d), hits, empty=False)
+
+
+def render_exact(spark, d):
+    names = documents(spark, d).select("genome_id", "name")
+    return sinks.exact_lines(_exact_hits(spark, d).join(items(spark, d).select("query_id", "header"), "query_id").join(names, "genome_id"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    canonical_kmers, exact_kmer_counts, kmer_hash, bloom_probes, hash32, fingerprint, sketch, genomes, genome_size_estimate, bloom_cells,
+    bloom_filtered_sketch, match_counts, search_topn, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
+    sequence_functions, hamming, string_product, line_numbers, render_hits, render_file_hits, render_exact,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.queries(PARAMS, BLOOM_PARAMS)
