@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 
 def hit_text(genome: str = "genome_id") -> Column:
@@ -22,7 +23,7 @@ def approximate_lines(queries: DataFrame, hits: DataFrame, empty: bool, genome:
     return rows.select("query_id", F.concat("header", F.lit(":"), text).alias("line"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(x: pd.Series) -> pd.Series:
     """A number with six significant digits, as C++ streams write it."""
     return x.map(lambda v: f"{v:g}")
