@@ -60,16 +60,27 @@ def merge(a: Column, b: Column, bound: int = BOUND) -> Column:
     return F.slice(both, 1, F.greatest(F.size(F.filter(both, lambda h: h < bound)), F.lit(LEAST)))
 
 
+def limit(s: Column, bound: int = BOUND) -> Column:
+    """The largest hash up to which a sketch is complete."""
+    return F.when(F.size(s) < LEAST, F.lit(2**63 - 1)).otherwise(F.greatest(F.array_max(s), F.lit(bound - 1)))
+
+
+def likeness(a: Column, b: Column, whole) -> Column:
+    """Shared hashes over `whole` of both sizes, within the range in which both sketches are complete."""
+    top = F.least(limit(a), limit(b))
+    x, y = F.filter(a, lambda h: h <= top), F.filter(b, lambda h: h <= top)
+    shared, n, m = F.size(F.array_intersect(x, y)), F.size(x), F.size(y)
+    return F.when(a == b, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(shared / whole(n, m, shared))
+
+
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller sketch's document that the other one contains."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.least(F.size(a), F.size(b)))
+    """Estimated share of the smaller document that the other one contains."""
+    return likeness(a, b, lambda n, m, shared: F.least(n, m))
 
 
 def resemblance(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of the two documents' shingles."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    return likeness(a, b, lambda n, m, shared: n + m - shared)
 
 
 def as_text(s: Column) -> Column:

@@ -49,22 +49,22 @@ class Rule:
 FAMILIES = r"""
 mit | mit | (?:the )?(?:mit|expat) (?:x11 |open source )?licen[cs]e | licen
 mit-0 | mit 0 | mit (?:no attribution|zero attribution) licen[cs]e | attribution
-apache-1.1 | apache 1 1 | apache (?:software )?licen[cs]e (?:version |v )?1 1 | apache
-apache-1.0 | apache 1 0 | apache (?:software )?licen[cs]e (?:version |v )?1 0 | apache
-apache-2.0 | apache 2 0 | apache (?:software )?licen[cs]e (?:version |v )?2(?: 0)? | apache
-gpl-1.0 | gpl 1 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )1 | general public
-gpl-2.0 | gpl 2 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )2 | general public
-gpl-3.0 | gpl 3 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )3 | general public
-lgpl-2.0 | lgpl 2 0 | (?:gnu )?library general public licen[cs]e(?: (?:version |v )2)? | library general
-lgpl-2.1 | lgpl 2 1 | (?:gnu )?lesser general public licen[cs]e (?:version |v )2 1 | lesser general
-lgpl-3.0 | lgpl 3 0 | (?:gnu )?lesser general public licen[cs]e (?:version |v )3 | lesser general
+apache-1.1 | apache 1 1 | apache (?:software )?licen[cs]e (?:version |v ?)?1 1 | apache
+apache-1.0 | apache 1 0 | apache (?:software )?licen[cs]e (?:version |v ?)?1 0 | apache
+apache-2.0 | apache 2 0 | apache (?:software )?licen[cs]e (?:version |v ?)?2(?: 0)? | apache
+gpl-1.0 | gpl 1 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v ?)1 | general public
+gpl-2.0 | gpl 2 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v ?)2 | general public
+gpl-3.0 | gpl 3 0 | (?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v ?)3 | general public
+lgpl-2.0 | lgpl 2 0 | (?:gnu )?library general public licen[cs]e(?: (?:version |v ?)2)? | library general
+lgpl-2.1 | lgpl 2 1 | (?:gnu )?lesser general public licen[cs]e (?:version |v ?)2 1 | lesser general
+lgpl-3.0 | lgpl 3 0 | (?:gnu )?lesser general public licen[cs]e (?:version |v ?)3 | lesser general
 lgpl | lgpl | (?:gnu )?lesser general public licen[cs]e | lesser general
-agpl-1.0 | agpl 1 0 | affero general public licen[cs]e (?:version |v )1 | affero
-agpl-3.0 | agpl 3 0 | (?:gnu )?affero general public licen[cs]e (?:version |v )3 | affero
+agpl-1.0 | agpl 1 0 | affero general public licen[cs]e (?:version |v ?)1 | affero
+agpl-3.0 | agpl 3 0 | (?:gnu )?affero general public licen[cs]e (?:version |v ?)3 | affero
 agpl | agpl | (?:gnu )?affero general public licen[cs]e | affero
-gfdl-1.1 | gfdl 1 1 | gnu free documentation licen[cs]e (?:version |v )1 1 | free documentation
-gfdl-1.2 | gfdl 1 2 | gnu free documentation licen[cs]e (?:version |v )1 2 | free documentation
-gfdl-1.3 | gfdl 1 3 | gnu free documentation licen[cs]e (?:version |v )1 3 | free documentation
+gfdl-1.1 | gfdl 1 1 | gnu free documentation licen[cs]e (?:version |v ?)1 1 | free documentation
+gfdl-1.2 | gfdl 1 2 | gnu free documentation licen[cs]e (?:version |v ?)1 2 | free documentation
+gfdl-1.3 | gfdl 1 3 | gnu free documentation licen[cs]e (?:version |v ?)1 3 | free documentation
 gfdl | gfdl | gnu free documentation licen[cs]e | free documentation
 bsd-1-clause | bsd 1 clause | (?:bsd (?:1|one) clause|(?:1|one) clause bsd)(?: licen[cs]e)? | clause
 bsd-2-clause | bsd 2 clause | (?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e) | bsd
@@ -73,30 +73,30 @@ bsd-4-clause | bsd 4 clause | (?:bsd (?:4|four) clause|(?:4|four) clause bsd|ori
 bsd-0-clause | 0bsd | (?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)? | bsd
 bsd | bsd | bsd (?:style )?licen[cs]e | bsd
 isc | isc | isc licen[cs]e | isc licen
-mpl-1.0 | mpl 1 0 | mozilla public licen[cs]e (?:version |v )?1 0 | mozilla
-mpl-1.1 | mpl 1 1 | mozilla public licen[cs]e (?:version |v )?1 1 | mozilla
-mpl-2.0 | mpl 2 0 | mozilla public licen[cs]e (?:version |v )?2(?: 0)? | mozilla
+mpl-1.0 | mpl 1 0 | mozilla public licen[cs]e (?:version |v ?)?1 0 | mozilla
+mpl-1.1 | mpl 1 1 | mozilla public licen[cs]e (?:version |v ?)?1 1 | mozilla
+mpl-2.0 | mpl 2 0 | mozilla public licen[cs]e (?:version |v ?)?2(?: 0)? | mozilla
 mpl | mpl | mozilla public licen[cs]e | mozilla
-epl-1.0 | epl 1 0 | eclipse public licen[cs]e (?:version |v )?1(?: 0)? | eclipse
-epl-2.0 | epl 2 0 | eclipse public licen[cs]e (?:version |v )?2(?: 0)? | eclipse
+epl-1.0 | epl 1 0 | eclipse public licen[cs]e (?:version |v ?)?1(?: 0)? | eclipse
+epl-2.0 | epl 2 0 | eclipse public licen[cs]e (?:version |v ?)?2(?: 0)? | eclipse
 epl | epl | eclipse public licen[cs]e | eclipse
 edl-1.0 | edl 1 0 | eclipse distribution licen[cs]e | eclipse
-cddl-1.0 | cddl 1 0 | common development and distribution licen[cs]e(?: (?:version |v )?1 0)? | common development
-cddl-1.1 | cddl 1 1 | common development and distribution licen[cs]e (?:version |v )?1 1 | common development
-cpl-1.0 | cpl 1 0 | common public licen[cs]e(?: (?:version |v )?1 0)? | common public
+cddl-1.0 | cddl 1 0 | common development and distribution licen[cs]e(?: (?:version |v ?)?1 0)? | common development
+cddl-1.1 | cddl 1 1 | common development and distribution licen[cs]e (?:version |v ?)?1 1 | common development
+cpl-1.0 | cpl 1 0 | common public licen[cs]e(?: (?:version |v ?)?1 0)? | common public
 ipl-1.0 | ipl 1 0 | ibm public licen[cs]e | ibm public
-eupl-1.1 | eupl 1 1 | european union public licen[cs]e (?:version |v )?1 1 | european union
-eupl-1.2 | eupl 1 2 | european union public licen[cs]e (?:version |v )?1 2 | european union
+eupl-1.1 | eupl 1 1 | european union public licen[cs]e (?:version |v ?)?1 1 | european union
+eupl-1.2 | eupl 1 2 | european union public licen[cs]e (?:version |v ?)?1 2 | european union
 eupl | eupl | european union public licen[cs]e | european union
-cecill-1.1 | cecill 1 1 | cecill (?:free software )?licen[cs]e (?:agreement )?(?:version |v )?1 1 | cecill
-cecill-2.1 | cecill 2 1 | cecill (?:free software )?licen[cs]e (?:agreement )?(?:version |v )?2 1 | cecill
+cecill-1.1 | cecill 1 1 | cecill (?:free software )?licen[cs]e (?:agreement )?(?:version |v ?)?1 1 | cecill
+cecill-2.1 | cecill 2 1 | cecill (?:free software )?licen[cs]e (?:agreement )?(?:version |v ?)?2 1 | cecill
 cecill-b | cecill b | cecill b | cecill
 cecill-c | cecill c | cecill c | cecill
-osl-3.0 | osl 3 0 | open software licen[cs]e(?: (?:version |v )?3 0)? | open software
-afl-3.0 | afl 3 0 | academic free licen[cs]e(?: (?:version |v )?3 0)? | academic free
-artistic-1.0 | artistic 1 0 | artistic licen[cs]e(?: (?:version |v )?1 0)? | artistic
-artistic-2.0 | artistic 2 0 | artistic licen[cs]e (?:version |v )?2 0 | artistic
-bsl-1.0 | bsl 1 0 | boost software licen[cs]e(?: (?:version |v )?1 0)? | boost
+osl-3.0 | osl 3 0 | open software licen[cs]e(?: (?:version |v ?)?3 0)? | open software
+afl-3.0 | afl 3 0 | academic free licen[cs]e(?: (?:version |v ?)?3 0)? | academic free
+artistic-1.0 | artistic 1 0 | artistic licen[cs]e(?: (?:version |v ?)?1 0)? | artistic
+artistic-2.0 | artistic 2 0 | artistic licen[cs]e (?:version |v ?)?2 0 | artistic
+bsl-1.0 | bsl 1 0 | boost software licen[cs]e(?: (?:version |v ?)?1 0)? | boost
 busl-1.1 | busl 1 1 | business source licen[cs]e(?: 1 1)? | business source
 cc0-1.0 | cc0 1 0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)? | cc0
 cc-by-2.0 | cc by 2 0 | (?:creative commons attribution|cc by) 2 0 | 2 0
@@ -122,15 +122,15 @@ zlib | zlib | zlib (?:libpng )?licen[cs]e | zlib
 libpng | libpng | (?:png reference library|libpng) licen[cs]e | libpng
 psf-2.0 | psf 2 0 | python software foundation licen[cs]e | python
 python-2.0 | python 2 0 | python licen[cs]e | python
-php-3.0 | php 3 0 | php licen[cs]e (?:version |v )?3 0 | php
-php-3.01 | php 3 01 | php licen[cs]e(?: (?:version |v )?3 01)? | php
+php-3.0 | php 3 0 | php licen[cs]e (?:version |v ?)?3 0 | php
+php-3.01 | php 3 01 | php licen[cs]e(?: (?:version |v ?)?3 01)? | php
 ruby | ruby | ruby licen[cs]e | ruby
 perl | perl | same terms as perl(?: itself)? | perl
 openssl | openssl | openssl licen[cs]e | openssl
 ssleay | ssleay | ssleay licen[cs]e | ssleay
 postgresql | postgresql | postgresql licen[cs]e | postgresql
-ofl-1.0 | ofl 1 0 | sil open font licen[cs]e (?:version |v )?1 0 | open font
-ofl-1.1 | ofl 1 1 | sil open font licen[cs]e(?: (?:version |v )?1 1)? | open font
+ofl-1.0 | ofl 1 0 | sil open font licen[cs]e (?:version |v ?)?1 0 | open font
+ofl-1.1 | ofl 1 1 | sil open font licen[cs]e(?: (?:version |v ?)?1 1)? | open font
 odbl-1.0 | odbl 1 0 | open (?:data commons open )?database licen[cs]e | database
 odc-by-1.0 | odc by 1 0 | open data commons attribution licen[cs]e | open data
 pddl-1.0 | pddl 1 0 | (?:open data commons )?public domain dedication and licen[cs]e | public domain
