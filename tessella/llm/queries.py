@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprints, jaccard_join, language_model, licenses, packing, quality, substrings, toxicity, url_filters
+from tessella.llm import bpe, fingerprints, jaccard_join, language_model, licenses, oracles, packing, quality, substrings, toxicity, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": url_filters.oracle()}
+    return oracles.oracle_sql()
