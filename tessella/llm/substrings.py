@@ -46,6 +46,9 @@ HOT_BITS = 20
 #: Occurrences from which a minimizer is hot, and passages of a shard on average.
 HOT = 2000
 SHARD = 30_000
+#: Bytes of a word's hash that passages carry: two words of otherwise equal windows are taken for one
+#: another with a probability of 2**-40.
+WORD_BYTES = 5
 #: Distinct passages that a task gathers before it sends them on.
 GATHER = 50_000
 
@@ -173,25 +176,33 @@ class Reader:
         self.hashes = WordHashes()
 
     def read(self, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-        """(passage, minimizer or window hash to shard by, first window, word hashes) of each."""
+        """(passage, minimizer or window hash to shard by, first window, shortened word hashes) of each."""
         words = self.hashes.of(text.split())
         keys, starts, counts = passages(words)
         if not len(keys):
             return
         chosen = np.flatnonzero(in_bits(self.bits, keys, BITS))
         hot = in_bits(self.hot, keys[chosen], HOT_BITS)
+        named = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
         for i, is_hot in zip(chosen.tolist(), hot.tolist()):
             first, count = int(starts[i]), int(counts[i])
             if is_hot:
                 for j in range(first, first + count):
-                    data = words[j : j + THRESHOLD].tobytes()
+                    data = named[j : j + THRESHOLD].tobytes()
                     name = xxhash.xxh3_64_intdigest(data)
                     yield name, name, j, data
             else:
-                data = words[first : first + count + THRESHOLD - 1].tobytes()
+                data = named[first : first + count + THRESHOLD - 1].tobytes()
                 yield xxhash.xxh3_64_intdigest(data), int(keys[i]), first, data
 
 
+def unpacked(data: bytes) -> np.ndarray:
+    """Word hashes (their first WORD_BYTES bytes) of joined passages."""
+    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view(U64)[:, 0]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -228,9 +239,9 @@ def repeated_windows(source: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = list(held.values())
             out = pa.RecordBatch.from_arrays(
-                [pa.array([r[1] % shards for r in rows], pa.int32()), pa.array([signed(p) for p in held], pa.int64()),
-                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["shard", "passage", "doc", "words"],
+                [pa.array([r[2] % shards for r in rows], pa.int32()), pa.array([signed(p) for p in held], pa.int64()),
+                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+                names=["shard", "passage", "lo", "hi", "words"],
             )
             held.clear()
             return out
@@ -239,9 +250,11 @@ def repeated_windows(source: DataFrame) -> DataFrame:
             for doc, text in zip(batch.column("doc").to_pylist(), raw(batch.column("text"))):
                 for passage, by, _, data in reader.read(text):
                     if (row := held.get(passage)) is None:
-                        held[passage] = [doc, by, data]
+                        held[passage] = [doc, doc, by, data]
                     elif doc < row[0]:
                         row[0] = doc
+                    elif doc > row[1]:
+                        row[1] = doc
                 if len(held) >= GATHER:
                     yield flush()
         if held:
@@ -259,17 +272,19 @@ def repeated_windows(source: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["row_key", "doc", "passage", "first"])
 
     def search(part: pa.Table) -> pa.Table:
-        part = part.group_by("passage").aggregate([("doc", "min"), ("words", "min")])
+        part = part.group_by("passage").aggregate([("lo", "min"), ("hi", "max"), ("words", "min")])
         rows = part.column("words_min").to_pylist()
-        documents = part.column("doc_min").to_numpy()
-        lengths = np.array([len(r) // 8 for r in rows], np.int64)
-        least = first_documents(np.frombuffer(b"".join(rows), U64), lengths, documents)
+        lengths = np.array([len(r) // WORD_BYTES for r in rows], np.int64)
+        least = first_documents(unpacked(b"".join(rows)), lengths, part.column("lo_min").to_numpy())
         windows = lengths - THRESHOLD + 1
-        arrays = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(windows)], pa.array(least)).cast(pa.list_(pa.int64()))
-        return pa.table({"passage": part.column("passage"), "least": arrays})
+        edges = np.r_[0, np.cumsum(windows)]
+        # Passages whose windows all start in no document before their own last one answer nothing.
+        useful = np.minimum.reduceat(least, edges[:-1]) < part.column("hi_max").to_numpy()
+        arrays = pa.LargeListArray.from_arrays(edges, pa.array(least)).cast(pa.list_(pa.int64()))
+        return pa.table({"passage": part.column("passage"), "least": arrays}).filter(pa.array(useful))
 
     text = source.select("doc", "text")
-    firsts = text.mapInArrow(contents, "shard int, passage long, doc long, words binary").groupBy("shard").applyInArrow(search, "passage long, least array<long>")
+    firsts = text.mapInArrow(contents, "shard int, passage long, lo long, hi long, words binary").groupBy("shard").applyInArrow(search, "passage long, least array<long>")
     placed = source.mapInArrow(occurrences, "row_key long, doc long, passage long, first int")
     met = placed.join(firsts, "passage")
     at = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda j: F.get("least", j) < F.col("doc"))
