@@ -73,7 +73,7 @@ def hamming(a: Column, b: Column) -> Column:
 def line_number(name: Column) -> Column:
     """The number after the first "ln" of a name, else 0."""
     digits = F.regexp_extract(name, r"^.*?ln\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)
-    return F.when(F.instr(name, "ln") == 0, 0.0).otherwise(F.coalesce(F.expr("try_cast(null as double)"), F.nullif(digits, F.lit("")).cast("double"), F.lit(0.0)))
+    return F.when(F.instr(name, "ln") == 0, 0.0).otherwise(F.coalesce(F.nullif(digits, F.lit("")).cast("double"), F.lit(0.0)))
 
 
 def before_line_number(name: Column) -> Column:
@@ -92,5 +92,5 @@ def binary_digits(number: Column) -> Column:
 
 def random_bases(length: int, seed: int) -> Column:
     """A random sequence, for test data only."""
-    base = F.element_at(F.array(*map(F.lit, "ACGT")), (F.floor(F.rand(seed) * 4) + 1).cast("int"))
-    return F.concat(*[F.element_at(F.array(*map(F.lit, "ACGT")), (F.floor(F.rand(seed + i) * 4) + 1).cast("int")) for i in range(length)]) if length else F.substring(base, 1, 0)
+    letters = F.array(*map(F.lit, "ACGT"))
+    return F.concat(F.lit(""), *[F.element_at(letters, (F.floor(F.rand(seed + i) * 4) + 1).cast("int")) for i in range(length)])

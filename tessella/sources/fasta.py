@@ -62,8 +62,9 @@ def sequence(content: Column) -> Column:
 def _of_list(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     names = listed(spark, list_path)
     rows = [(r["id"], r["path"]) for r in names.collect()]
-    there = [(i, p) for i, p in rows if _existing(spark, p)]
-    gone = [(i, p) for i, p in rows if (i, p) not in there]
+    found = [(i, p, _existing(spark, p)) for i, p in rows]
+    there = [(i, p) for i, p, ok in found if ok]
+    gone = [(i, p) for i, p, ok in found if not ok]
     missing = spark.createDataFrame(gone, "id int, path string")
     known = spark.createDataFrame(there, "id int, path string")
     if not there:
