@@ -34,8 +34,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     A checkpoint folder is set here only where the session names none (tests, local runs).
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
