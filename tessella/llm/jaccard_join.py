@@ -16,8 +16,8 @@ Documents are sets of hashed five-word shingles; two link at a Jaccard similarit
   near copies takes a number of pairs in proportion to its size.
 * Remaining pairs. Then all pairs of sets that share a prefix shingle, lie in different components
   and pass the filters are verified, once each. With that, no link between components is missed.
-* Suffix filter. Before sets are compared, the counts of their shingles in 16 hash ranges bound the
-  overlap: the sum of the smaller counts must reach what is needed.
+* Suffix filter. Each set has one parity bit for each of 512 hash ranges; sets differ in at least as many
+  shingles as these bits differ. Only pairs for which that leaves room for the overlap are compared.
 
 Defined cases: documents without words (null, empty) have an empty set, link with nothing and are
 their own component. Fewer than five words make one shingle. Repeated rows are in one class and each
@@ -38,14 +38,14 @@ from tessella.llm.graph import components
 
 WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
-ROUNDS = 3
+ROUNDS = 2
 #: log2 of the number of count buckets, and of the bits that preselect documents whose sets are needed.
 BUCKETS = 16
 BITS = 23
 #: Classes that a task remembers, so as to emit the prefix of copies once.
 REMEMBER = 500_000
-#: Ranges of the suffix filter.
-RANGES = 16
+#: Words of the suffix filter's parity bits.
+PARITY = tuple(f"p{i}" for i in range(8))
 
 
 def set_of(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -57,18 +57,24 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 512 hash ranges, as 8 words."""
+    odd = np.bincount((shingles >> U64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int) -> int:
     return n - (80 * n + 99) // 100 + 1
 
 
 def summaries(source: DataFrame, kind: str) -> DataFrame:
-    """Rows of kind 0: key, class, n of each row. Rows of kind 1: bucket (as class) and its count (as n), for each task."""
+    """Rows of kind 0: key, class, n and parity words of each row. Rows of kind 1: bucket (as class) and its count (as n), for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         counts = np.zeros(1 << BUCKETS, np.int64)
         key_type = None
-        names = ["kind", "key", "class", "n"]
+        names = ["kind", "key", "class", "n", *PARITY]
         for batch in slices(batches):
             key_type = batch.column("key").type
             classes, sizes, sets = [], [], []
@@ -77,17 +83,18 @@ def summaries(source: DataFrame, kind: str) -> DataFrame:
                 sets.append(s)
                 sizes.append(len(s))
                 classes.append(class_of(s) if len(s) else None)
+            parity = np.stack([parity_of(s) for s in sets])
             counts += np.bincount((np.concatenate(sets) >> U64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("key"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())], names=names
+                [pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("key"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, parity.T)], names=names
             )
         used = np.flatnonzero(counts)
         if len(used):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(used), np.int32)), pa.nulls(len(used), key_type), pa.array(used), pa.array(counts[used])], names=names
+                [pa.array(np.ones(len(used), np.int32)), pa.nulls(len(used), key_type), pa.array(used), pa.array(counts[used]), *[pa.nulls(len(used), pa.int64())] * len(PARITY)], names=names
             )
 
-    return source.mapInArrow(run, f"kind int, key {kind}, class long, n long")
+    return source.mapInArrow(run, f"kind int, key {kind}, class long, n long, {', '.join(f'{p} long' for p in PARITY)}")
 
 
 def prefixes(source: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -148,14 +155,18 @@ def fits(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (180 * room.cast("long") >= 80 * (n + m).cast("long"))
 
 
-def ranges(s: Column) -> Column:
-    """Counts of a set's shingles in RANGES hash ranges."""
-    slot = F.transform(s, lambda h: F.shiftrightunsigned(h, 60).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(RANGES - 1)), lambda r: F.size(F.filter(slot, lambda x: x == r)))
+def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b of the pairs whose parity bits leave room for the overlap needed: the sets of n and m shingles
+    may differ in (n + m) / 9 of them."""
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), *(F.col(p).alias(f"{p}{x}") for p in PARITY))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY[1:]), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
+    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) that link, by their sets."""
+    sets = checkpoint(sets)
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -163,11 +174,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(180 * F.size(F.array_intersect("sa", "sb")).cast("long") >= 80 * total.cast("long")).select("a", "b").distinct()
 
 
-def with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("class"))
-    named = labels.select(F.col("node").alias("class"), "label")
-    return rows.join(named, "class", "left").withColumn("label", F.coalesce("label", "class"))
+def shared_grams(prefix: DataFrame) -> DataFrame:
+    """Distinct (gram, class, n, pos) of grams that two classes share."""
+    whole = Window.partitionBy("gram")
+    return (
+        prefix.withColumn("lo", F.min("class").over(whole)).withColumn("hi", F.max("class").over(whole)).where("lo <> hi")
+        .withColumn("before", F.lag("class").over(whole.orderBy("class"))).where("before IS NULL OR before <> class")
+        .select("gram", "class", "n", "pos")
+    )
+
+
+def to_leaders(live: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a < b) of each set and its grams' leaders of this round that pass the filters."""
+    order = Window.partitionBy("gram").orderBy(F.xxhash64("class", F.lit(turn)), "class").rowsBetween(Window.unboundedPreceding, 0)
+    led = live.withColumn("l", F.first(F.struct("class", "n", "pos", "label")).over(order)).where(F.col("l.label") != F.col("label"))
+    fit = led.where(fits(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")))
+    return fit.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
+
+
+def all_pairs(live: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of sets in different components that share a gram and pass all filters.
+
+    The parity bits (folded to half) are tested where pairs meet, so pairs that cannot link are never rows.
+    """
+    half = len(PARITY) // 2
+    folded = classes.select("class", *(F.col(PARITY[i]).bitwiseXOR(F.col(PARITY[i + half])).alias(f"q{i}") for i in range(half)))
+    full = live.join(folded, "class")
+    x, y = full.alias("x"), full.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(1, half)), F.bit_count(F.col("x.q0").bitwiseXOR(F.col("y.q0"))))
+    met = x.join(
+        y,
+        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
+        & fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (9 * differ <= F.col("x.n") + F.col("y.n")),
+    )
+    return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,49 +216,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kind = source.schema["key"].dataType.simpleString()
     told = checkpoint(summaries(source, kind))
     rows = told.where("kind = 0").select("key", "class", "n")
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("rep"))
+    classes = checkpoint(
+        told.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("key").alias("rep"), *(F.max(c).alias(c) for c in ("n", *PARITY)))
+    )
     counts = np.zeros(1 << BUCKETS, np.int64)
     got = told.where("kind = 1").groupBy(F.col("class").cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
 
-    # Prefix shingles that two classes share, each with its first leader.
-    def led(prefix: DataFrame, turn: int) -> DataFrame:
-        order = Window.partitionBy("gram").orderBy(F.xxhash64("class", F.lit(turn)), "class").rowsBetween(Window.unboundedPreceding, 0)
-        fields = [c for c in ("class", "n", "pos", "label") if c in prefix.columns]
-        return prefix.withColumn("leader", F.first(F.struct(*fields)).over(order)).where(F.col("leader.class") != F.col("class"))
-
-    members = checkpoint(led(prefixes(source, counts), 0))
-    live = members.select("gram", "class", "n", "pos").union(members.select("gram", "leader.class", "leader.n", "leader.pos")).distinct()
-    needed = members.select("class").union(members.select("leader.class")).distinct().join(classes, "class").select(F.col("rep").alias("key"))
-    sets = checkpoint(sets_of(source, needed))
-
-    def candidates(led_rows: DataFrame) -> DataFrame:
-        fit = led_rows.where(fits(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos")))
-        return fit.select(F.least("class", "leader.class").alias("a"), F.greatest("class", "leader.class").alias("b")).distinct()
-
-    tested = checkpoint(candidates(members))
-    links = checkpoint(verified(tested, sets))
-    labels = components(links)
-    for turn in range(1, ROUNDS + 1):
-        named = with_component(live, labels)
-        mixed = named.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-        live = checkpoint(named.join(mixed, "gram").select("gram", "class", "n", "pos", "label"))
-        if live.isEmpty():
-            break
-        if turn < ROUNDS:
-            pairs = candidates(led(live, turn).where(F.col("leader.label") != F.col("label")))
-        else:
-            other = live.select("gram", *(F.col(c).alias(f"_{c}") for c in ("class", "n", "pos", "label")))
-            met = live.join(other, "gram").where(F.col("class") < F.col("_class")).where(F.col("label") != F.col("_label"))
-            fit = met.where(fits(F.col("n"), F.col("pos"), F.col("_n"), F.col("_pos")))
-            pairs = fit.select(F.col("class").alias("a"), F.col("_class").alias("b")).distinct()
-        pairs = checkpoint(pairs.join(tested, ["a", "b"], "left_anti"))
+    live = checkpoint(shared_grams(prefixes(source, counts))).withColumn("label", F.col("class"))
+    tested = links = labels = None
+    for turn in range(ROUNDS + 1):
+        if turn:
+            named = labels.select(F.col("node").alias("class"), F.col("label").alias("named"))
+            live = live.drop("label").join(named, "class", "left").select("gram", "class", "n", "pos", F.coalesce("named", "class").alias("label"))
+            # Grams whose sets are all in one component have nothing left to link.
+            mixed = live.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+            live = checkpoint(live.join(mixed, "gram", "left_semi"))
+        pairs = to_leaders(live, turn) if turn < ROUNDS else all_pairs(live, classes)
+        pairs = promising(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes)
+        pairs = checkpoint(pairs)
+        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+        sets = sets_of(source, ends.join(classes, "class").select(F.col("rep").alias("key")))
         new = checkpoint(verified(pairs, sets))
-        live = live.drop("label")
-        if new.isEmpty() and turn == ROUNDS:
-            break
-        tested = tested.union(pairs)
-        links = links.union(new)
+        tested = pairs if tested is None else tested.union(pairs)
+        if turn and new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
         labels = components(links)
 
     least = labels.join(classes, labels.node == classes["class"]).groupBy("label").agg(F.min("rep").alias("component"))
