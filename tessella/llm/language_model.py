@@ -15,9 +15,13 @@ most 1.
   among the successors of u (context-relative). Levels are Elias-Fano sequences with 8-bit quantised
   log-probabilities and weights, written to the task's folder, memory-mapped, and searched for all
   positions at once; the folder goes when the task ends.
-* Hot words. Words with a share of 1/HEAVY of the tokens (so at most HEAVY words) are dealt over several
-  shards by w. Their counts are taken from the word counts; trigrams under them are not used, and their
-  number of successors is estimated from the slice of the shard.
+* Hot words. Words with a share of 1/HEAVY of the tokens (so at most HEAVY words) that outgrow a shard are
+  dealt over several shards, each position twice: by w, where c(u w) and c(t u w) are whole, and by t under
+  the name ~u, where c(t u) and c(t u w) are whole. The logarithm of each probability is a sum, so either
+  shard adds its terms: a seen trigram is log(c(t u w) - D) by w and -log c(t u) by t, an unseen one the back-off
+  weight of (t, u) by t and all else by w. c(u) is taken from the word counts; a block's sums collect the
+  number of distinct successors from all slices, and the back-off weight of u is added there. So dealing
+  changes where terms are added, not the model.
 * Words are 64-bit hashes as contexts and 32-bit hashes as successors and predecessors within a context.
 
 Defined cases: null and empty texts are the single end token. Repeated rows are counted and scored each on
@@ -50,6 +54,9 @@ SHARD = 2_500_000
 #: Distinct words that a task counts before it sends the counts on.
 GATHER = 400_000
 
+#: Positions of a shard that are scored at once, about.
+AT_ONCE = 500_000
+
 #: Names of the end token and of "no word" among 32-bit hashes.
 END = np.uint32(0xFFFFFFFF)
 NONE = np.uint32(0)
@@ -71,6 +78,14 @@ class Totals:
     shards: int
     shard_size: int
 
+    @property
+    def hot_words(self) -> np.ndarray:
+        return np.array(sorted(self.hot), U64)
+
+    @property
+    def hot_counts(self) -> np.ndarray:
+        return np.array([self.hot[h] for h in sorted(self.hot)], np.float64)
+
     def slices_of(self, count: int) -> int:
         return max(1, -(-count // self.shard_size))
 
@@ -115,15 +130,17 @@ def totals(source: DataFrame, shard_size: int = SHARD) -> Totals:
     got = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     words = int(got["n"] or 0)
     tokens = words + rows["train"]
-    hot = {r["word"] & (1 << 64) - 1: r["n"] for r in counts.where(F.col("n") >= max(1, tokens) / HEAVY).where(F.col("n") >= shard_size // 4).collect()}
-    every = tokens * rows["all"] / max(rows["train"], 1)
+    hot = {r["word"] & (1 << 64) - 1: r["n"] for r in counts.where(F.col("n") >= max(1, tokens) / HEAVY).where(F.col("n") > shard_size).collect()}
+    every = (tokens + sum(hot.values())) * rows["all"] / max(rows["train"], 1)
     return Totals(tokens, int(got["v"]) + (rows["train"] > 0), rows["train"], hot, max(1, -(-int(every) // shard_size)), shard_size)
 
 
 #: Types of the arrays of a row of positions, of a row of sums, and of the documents that one of a block's rows holds.
+#: Sums end with the documents and hot words of positions that lack a back-off weight, and the hot words and numbers
+#: of the shard's successors.
 DOCUMENTS = ("i8", "?", "i8", "?")
 POSITIONS = ("u8", "u4", "u4", "u4", "u4", *DOCUMENTS)
-SUMS = ("u4", "f8", "f8", "i4", *DOCUMENTS)
+SUMS = ("u4", "f8", "f8", "i4", *DOCUMENTS, "u4", "u2", "u2", "i8")
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -142,12 +159,17 @@ def _unpacked(data: bytes, types: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def positions(source: DataFrame, told: Totals) -> DataFrame:
-    """shard, block and packed positions; one shard's row of each block also holds the block's documents."""
+    """shard, block and packed positions; one shard's row of each block also holds the block's documents.
+
+    Shards of hot words get a row of every block, if empty, so that every block learns of all their successors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        hot = np.array(sorted(told.hot), U64)
+        hot = told.hot_words
         parts = np.array([told.slices_of(told.hot[int(h)]) for h in hot], np.int64)
+        piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        homes = (mix(np.repeat(hot, parts) + piece.astype(U64)) % U64(told.shards)).astype(np.int64)
         block = TaskContext.get().partitionId() << 32
         for batch in slices(batches):
             texts = [t.translate(LOWER).split() for t in raw(batch.column("text"))]
@@ -166,13 +188,16 @@ def positions(source: DataFrame, told: Totals) -> DataFrame:
                 at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
                 is_hot = hot[at] == u
                 spread[is_hot] = mix(w[is_hot].astype(U64)).astype(np.int64) % parts[at[is_hot]]
+                twice = np.flatnonzero(is_hot & (t != NONE))
+                spread = np.r_[spread, mix(t[twice].astype(U64)).astype(np.int64) % parts[at[twice]]]
+                u, t, w, doc = np.r_[u, ~u[twice]], np.r_[t, t[twice]], np.r_[w, w[twice]], np.r_[doc, doc[twice]]
             shard = (mix(u + spread.astype(U64)) % U64(told.shards)).astype(np.int64)
             order = np.lexsort((u, shard))
             u, t, w, doc, shard = u[order], t[order], w[order], doc[order], shard[order]
             edges = np.searchsorted(shard, np.arange(told.shards + 1))
             keeper = block % told.shards
             out: list[list] = [[], [], []]
-            for s in np.union1d(np.unique(shard), [keeper]).tolist():
+            for s in np.union1d(np.unique(shard), np.r_[keeper, homes]).tolist():
                 a, b = edges[s], edges[s + 1]
                 names, runs = np.unique(u[a:b], return_counts=True)
                 more = [np.empty(0, kind) for kind in DOCUMENTS]
@@ -187,27 +212,47 @@ def positions(source: DataFrame, told: Totals) -> DataFrame:
     return source.select("key", "text", "held_out").mapInArrow(run, "shard int, block long, data binary")
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the place of each value among them, and their counts: np.unique in less memory."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    values, starts = values[new], np.flatnonzero(new)
+    back = np.empty(len(new), np.uint32)
+    back[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return values, back, np.diff(np.r_[starts, len(new)])
+
+
 class Trie:
     """The training n-grams of a shard, in memory-mapped levels."""
 
     def __init__(self, folder: str, u: np.ndarray, t: np.ndarray, w: np.ndarray, told: Totals) -> None:
-        words, uid, c1 = np.unique(u, return_inverse=True, return_counts=True)
-        hot = np.isin(words, np.array(sorted(told.hot), U64))
+        words, uid, c1 = distinct(u)
+        by_w, by_t = np.isin(words, told.hot_words), np.isin(words, ~told.hot_words)
         whole = c1.astype(np.float64)
-        whole[hot] = [told.hot[int(x)] for x in words[hot]]
-        pieces = np.array([told.slices_of(told.hot[int(x)]) if h else 1 for x, h in zip(words, hot)]) if hot.any() else np.ones(len(words))
+        whole[by_w] = [told.hot[int(x)] for x in words[by_w]]
         lead = uid.astype(U64) << U64(32)
-        successors, at2, c2 = np.unique(lead | w.astype(U64), return_inverse=True, return_counts=True)
+        successors, at2, c2 = distinct(lead | w)
         parent = (successors >> U64(32)).astype(np.int64)
         first = np.searchsorted(parent, np.arange(len(words)))
-        n1 = np.bincount(parent, minlength=len(words)) * pieces
-        deep = (t != NONE) & ~hot[uid]
-        contexts, at_context, c_context = np.unique(lead[deep] | t[deep].astype(U64), return_inverse=True, return_counts=True)
-        rank = at2[deep] - first[uid[deep]]
-        trigrams, c3 = np.unique(at_context.astype(U64) << U64(32) | rank.astype(U64), return_counts=True)
+        n1 = np.bincount(parent, minlength=len(words))
+        deep = t != NONE
+        contexts, at_context, c_context = distinct(lead[deep] | t[deep])
+        del lead
+        rank = at2[deep] - first.astype(np.uint32)[uid[deep]]
+        del at2, uid, deep
+        lead = at_context.astype(U64) << U64(32) | rank
+        del at_context, rank
+        lead.sort()
+        starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]][: len(lead)])
+        trigrams, c3 = lead[starts], np.diff(np.r_[starts, len(lead)])
+        del lead
         of3 = (trigrams >> U64(32)).astype(np.int64)
         n1_context = np.bincount(of3, minlength=len(contexts))
-        self.count, self.hot = whole, hot
+        word_of3 = (contexts >> U64(32)).astype(np.int64)[of3]
+        self.count = whole
+        self.hot_successors = np.searchsorted(told.hot_words, words[by_w]), n1[by_w]
         levels = {"words": words, "successors": successors, "contexts": contexts, "trigrams": trigrams}
         for name, values in levels.items():
             EliasFano.of(values).save(folder, name)
@@ -215,11 +260,12 @@ class Trie:
             "successors": np.log10((c2 - D) / whole[parent]),
             "words": np.log10(np.minimum(D * n1 / np.maximum(whole, 1), 1.0)),
             "contexts": np.log10(np.minimum(D * n1_context / np.maximum(c_context, 1), 1.0)),
-            "trigrams": np.log10((c3 - D) / c_context[of3]),
+            "trigrams": np.log10(np.where(by_t[word_of3], 1.0, c3 - D) / np.where(by_w[word_of3], 1.0, c_context[of3])),
         }
         self.books = {}
         for name, values in weights.items():
-            codes, self.books[name] = quantised(values)
+            # Parts of probabilities have no common range, so trigrams of dealt words are not quantised.
+            codes, self.books[name] = (values, None) if name == "trigrams" and (by_w | by_t).any() else quantised(values)
             np.save(f"{folder}/{name}.codes.npy", codes)
         np.save(f"{folder}/first.npy", first.astype(np.uint32))
         self.levels = {name: EliasFano.mapped(folder, name) for name in levels}
@@ -227,18 +273,23 @@ class Trie:
         self.first = np.load(f"{folder}/first.npy", mmap_mode="r")
 
     def weight(self, name: str, at: np.ndarray) -> np.ndarray:
-        return self.books[name][self.codes[name][at]]
+        codes, book = self.codes[name][at], self.books[name]
+        return codes if book is None else book[codes]
 
-    def score(self, u: np.ndarray, back: np.ndarray, t: np.ndarray, w: np.ndarray, told: Totals) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of what this shard adds for each position, and the count of each position's u.
+    def score(self, u: np.ndarray, back: np.ndarray, t: np.ndarray, w: np.ndarray, told: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each position: log10 of what this shard adds, the count of its u, whether it is dealt by t (and so
+        counted elsewhere), and the place among the hot words of the u whose back-off weight is still to be added, or -1.
 
         u: distinct words; back: of each position. The unigram of w is added here for the end and for hot
         words, and by the shard of w else.
         """
-        of_word = self.levels["words"].search(u)
-        uid = of_word[back]
-        count = np.where(uid >= 0, self.count[np.maximum(uid, 0)], 0.0) if len(self.count) else np.zeros(len(back))
-        is_hot = np.isin(u, np.array(sorted(told.hot), U64))[back]
+        hot, hot_counts = told.hot_words, told.hot_counts
+        uid = self.levels["words"].search(u)
+        total = np.where(uid >= 0, self.count[np.maximum(uid, 0)], 0.0) if len(self.count) else np.zeros(len(u))
+        place = np.where(np.isin(u, hot), np.searchsorted(hot, u), -1)
+        total[place >= 0] = hot_counts[place[place >= 0]]
+        uid, count, place, by_t = uid[back], total[back], place[back], np.isin(u, ~hot)[back]
+        by_w = place >= 0
         out = np.zeros(len(back))
         known = np.flatnonzero(uid >= 0)
         lead = uid[known].astype(U64) << U64(32)
@@ -253,50 +304,62 @@ class Trie:
         trigram[both] = self.levels["trigrams"].search(context[both].astype(U64) << U64(32) | relative.astype(U64))
         seen3 = trigram >= 0
         out[seen3] = self.weight("trigrams", trigram[seen3])
-        fall = ~seen3 & (context >= 0)
+        fall = ~seen3 & (context >= 0) & ~by_w
         out[fall] += self.weight("contexts", context[fall])
-        seen2 = ~seen3 & (successor >= 0)
+        seen2 = ~seen3 & (successor >= 0) & ~by_t
         out[seen2] += self.weight("successors", successor[seen2])
-        down = successor < 0
-        fall = down & (uid >= 0)
+        down = (successor < 0) & ~by_t
+        fall = down & (uid >= 0) & ~by_w
         out[fall] += self.weight("words", uid[fall])
         # The unigram of w where it is known here.
         out[down & (w == END)] += told.word(np.array([float(told.rows)]))[0]
         if told.hot:
-            names = short(np.array(sorted(told.hot), U64))
+            names = short(hot)
             order = np.argsort(names)
-            counts = np.array([told.hot[h] for h in sorted(told.hot)], float)[order]
+            counts = hot_counts[order]
             at = np.minimum(np.searchsorted(names[order], w), len(names) - 1)
             hit = down & (names[order][at] == w) & (w != END)
             out[hit] += told.word(counts[at[hit]])
         # The unigram of u, for tokens that backed off to it: (t, u) never seen, or no t.
-        own = np.where(is_hot, t == NONE, context < 0)
+        own = np.where(by_w, t == NONE, context < 0) & ~by_t
         out[own] += told.word(count[own])
-        return out, count
+        return out, count, by_t, np.where(down, place, -1)
 
 
 def score_shards(source: DataFrame, told: Totals) -> DataFrame:
     """key, held_out, n_tokens, n_known, base_score, score of every row."""
 
-    def in_shard(part: pa.Table) -> pa.Table:
-        blocks = part.column("block").to_pylist()
-        data = [_unpacked(d, POSITIONS) for d in part.column("data").to_pylist()]
-        u_all = np.concatenate([np.repeat(d[0], d[1]) for d in data])
-        t, w, docs = (np.concatenate([d[i] for d in data]) for i in (2, 3, 4))
-        train = (docs & 1).astype(bool)
-        with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(folder, u_all[train], t[train], w[train], told)
-            u, back = np.unique(u_all, return_inverse=True)
-            score, count = trie.score(u, back, t, w, told)
-        out: list[list] = [[], []]
+    def learned(data: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """u, t, w of the training positions."""
+        train = [(d[4] & 1).astype(bool) for d in data]
+        return np.concatenate([np.repeat(d[0], d[1])[x] for d, x in zip(data, train)]), *(np.concatenate([d[i][x] for d, x in zip(data, train)]) for i in (2, 3))
+
+    def score_rows(trie: Trie, blocks: list[int], data: list[list[np.ndarray]], out: list[list]) -> None:
+        t, w = (np.concatenate([d[i] for d in data]) for i in (2, 3))
+        u, back = np.unique(np.concatenate([np.repeat(d[0], d[1]) for d in data]), return_inverse=True)
+        score, count, again, lacks = trie.score(u, back, t, w, told)
+        base = np.where(again, 0.0, np.log10(count + 0.5))
+        known = (count > 0) & ~again
         at = 0
         for block, d in zip(blocks, data):
             part_of = slice(at, at + len(d[4]))
             touched, of = np.unique(d[4] >> 1, return_inverse=True)
             add = lambda x: np.bincount(of, weights=x[part_of], minlength=len(touched))
             out[0].append(block)
-            out[1].append(_packed(touched, add(score), add(np.log10(count + 0.5)), add(count > 0).astype(np.int32), *d[5:]))
+            lacking = lacks[part_of] >= 0
+            rest = (d[4][lacking] >> 1, lacks[part_of][lacking].astype(np.uint16), trie.hot_successors[0].astype(np.uint16), trie.hot_successors[1].astype(np.int64))
+            out[1].append(_packed(touched, add(score), add(base), add(known).astype(np.int32), *d[5:], *rest))
             at += len(d[4])
+
+    def in_shard(part: pa.Table) -> pa.Table:
+        blocks = part.column("block").to_pylist()
+        data = [_unpacked(d, POSITIONS) for d in part.column("data").to_pylist()]
+        ends = np.cumsum([len(d[4]) for d in data]) // AT_ONCE
+        out: list[list] = [[], []]
+        with tempfile.TemporaryDirectory() as folder:
+            trie = Trie(folder, *learned(data), told)
+            for few in np.split(np.arange(len(data)), np.flatnonzero(np.diff(ends)) + 1):
+                score_rows(trie, [blocks[i] for i in few], [data[i] for i in few], out)
         return pa.table({"block": pa.array(out[0], pa.int64()), "data": pa.array(out[1], pa.binary())})
 
     def of_block(part: pa.Table) -> pa.Table:
@@ -307,6 +370,11 @@ def score_shards(source: DataFrame, told: Totals) -> DataFrame:
             score[touched] += s
             base[touched] += b
             known[touched] += k
+        if told.hot:
+            n1 = sum(np.bincount(d[10], weights=d[11], minlength=len(told.hot)) for d in data)
+            weight = np.log10(np.minimum(D * np.maximum(n1, 1) / told.hot_counts, 1.0))
+            for d in data:
+                score += np.bincount(d[8], weights=weight[d[9]], minlength=len(score))
         size = info["size"] + 1
         end = float(told.rows)
         base = base + np.log10(end + 0.5) - size * np.log10(told.tokens + 0.5 * (told.types + 1))

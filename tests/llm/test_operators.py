@@ -216,6 +216,37 @@ def test_language_model(spark, folder, size, monkeypatch):
     assert len(pairs) > 0 and sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+@pytest.mark.parametrize("size", [10**7, 60])
+def test_language_model_is_one_model_at_every_size(spark, folder, size, monkeypatch):
+    """The whole trigram model by brute force; quantised weights may shift a token by a hundredth or two."""
+    monkeypatch.setattr(language_model.totals, "__defaults__", (size,))
+    got = by_id(language_model.op6_lm_scoring(spark, folder))
+    docs = {i: [None, *space_words((t or "").translate({c: c + 32 for c in range(65, 91)})), "</s>"] for i, t in enumerate(texts())}
+    train = [w for i, w in docs.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = [collections.Counter(tuple(w[j : j + n]) for w in train for j in range(len(w) - n + 1) if n == 3 or w[j] is not None) for n in (1, 2, 3)]
+    context = collections.Counter(g[:2] for g in count[2].elements() if g[0] is not None)
+    spread = [collections.Counter(g[:-1] for g in c) for c in count]
+    tokens, types = sum(count[0].values()), len(count[0])
+    D = language_model.D  # noqa: N806
+
+    def p1(w):
+        return (count[0][w,] - language_model.D1 if count[0][w,] else language_model.D1 * types) / tokens
+
+    def p2(u, w):
+        if u is None or not count[0][u,]:
+            return p1(w)
+        return (count[1][u, w] - D) / count[0][u,] if count[1][u, w] else min(D * spread[1][u,] / count[0][u,], 1) * p1(w)
+
+    def p3(t, u, w):
+        if t is None or not context[t, u]:
+            return p2(u, w)
+        return (count[2][t, u, w] - D) / context[t, u] if count[2][t, u, w] else min(D * spread[2][t, u] / context[t, u], 1) * p2(u, w)
+
+    for i, w in docs.items():
+        want = sum(math.log10(p3(w[j - 2] if j > 1 else None, w[j - 1], w[j])) for j in range(1, len(w)))
+        assert abs(got[i]["score"] - want) < 0.02 * (len(w) - 1) + 1e-6, i
+
+
 def test_bpe(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
