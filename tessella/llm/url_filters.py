@@ -3,7 +3,8 @@
 A rule is a host, a path prefix and/or a regular expression. Its literal tokens (runs of letters
 and digits that every matching URL must contain as whole tokens) are counted in the URLs at hand;
 the rule is indexed under its rarest token. A URL's tokens then fetch candidate rules from the
-index, and only those are tested. Everything is built-in Spark SQL: the rule index is a literal
+index, and only those are tested. The few rules that match inside longer tokens have no such token
+and are tested on every URL. Everything is built-in Spark SQL: the rule index is a literal
 map of a fixed number of rules, so testing is row-local and nothing is shuffled except the
 token counts (at most one row for each rule token).
 
@@ -40,7 +41,7 @@ class PrefixRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression on the lower-cased "host/path?query"; `tokens` stand whole in every match."""
+    """A regular expression on the lower-cased "host/path?query"; `tokens` stand whole in every match; without any it is always tested."""
 
     verdict: str
     name: str
@@ -57,16 +58,16 @@ PREFIX_RULES = (
     PrefixRule("block", "net", "/fr/"),
 )
 
-#: name | verdict | tokens | pattern
+#: name | verdict | tokens (- for none) | pattern
 PATTERNS = r"""
 spam-host | block | spam | ^(?:[^/]*[.-])?spam[.-]
-spam-farm | block | spam farm | ^[^/]*spam-farm
+spam-farm | block | - | ^[^/]*spam-farm
 casino | block | casino | (?:^|[^a-z0-9])casino(?:[^a-z0-9]|$)
 poker | block | poker | (?:^|[^a-z0-9])poker(?:[^a-z0-9]|$)
 betting | block | betting | (?:^|[^a-z0-9])betting(?:[^a-z0-9]|$)
 slots | block | slots | (?:^|[^a-z0-9])slots(?:[^a-z0-9]|$)
 viagra | block | viagra | (?:^|[^a-z0-9])viagra(?:[^a-z0-9]|$)
-payday-loan | block | payday | (?:^|[^a-z0-9])payday[-_]?(?:loans?|advance)
+payday-loan | block | - | (?:^|[^a-z0-9])payday[-_]?(?:loans?|advance)
 porn | block | porn | (?:^|[^a-z0-9])porn(?:[^a-z0-9]|$)
 xxx | block | xxx | (?:^|[^a-z0-9])xxx(?:[^a-z0-9]|$)
 adult | block | adult | ^(?:[^/]*\.)?adult\.|/adult/
@@ -74,14 +75,14 @@ escort | block | escort | (?:^|[^a-z0-9])escort(?:[^a-z0-9]|$)
 torrent | block | torrent | (?:^|[^a-z0-9])torrent(?:[^a-z0-9]|$)
 warez | block | warez | (?:^|[^a-z0-9])warez(?:[^a-z0-9]|$)
 crack | block | keygen | (?:^|[^a-z0-9])keygen(?:[^a-z0-9]|$)
-malware | block | malware | ^[^/]*malware
-phishing | block | phishing | ^[^/]*phishing
+malware | block | - | ^[^/]*malware
+phishing | block | - | ^[^/]*phishing
 clickbait | block | clickbait | (?:^|[^a-z0-9])clickbait(?:[^a-z0-9]|$)
 ads-host | block | ads | ^ads\.
 adserver | block | adserver | ^(?:[^/]*\.)?adserver\.
 doubleclick | block | doubleclick | ^(?:[^/]*\.)?doubleclick\.
 tracker | block | tracker | ^(?:[^/]*\.)?tracker\.
-link-farm | block | farm | ^[^/]*(?:link|content)-?farm\.
+link-farm | block | - | ^[^/]*(?:link|content)-?farm\.
 login | block | login | /login(?:[/?.]|$)
 signin | block | signin | /signin(?:[/?.]|$)
 logout | block | logout | /logout(?:[/?.]|$)
@@ -105,7 +106,7 @@ gov | allow | gov | ^[^/]*\.gov(?:\.[a-z]{2})?/
 
 def pattern_rules() -> list[PatternRule]:
     lines = ([x.strip() for x in line.split(" | ")] for line in PATTERNS.strip().splitlines())
-    return [PatternRule(verdict, name, tuple(tokens.split()), pattern) for name, verdict, tokens, pattern in lines]
+    return [PatternRule(verdict, name, tuple(t for t in tokens.split() if t != "-"), pattern) for name, verdict, tokens, pattern in lines]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -127,8 +128,8 @@ def url_tokens(c: Column) -> Column:
     return F.filter(F.split(c, "[^a-z0-9]+"), lambda t: t != "")
 
 
-def rarest_tokens(urls: DataFrame, rules: list[tuple[str, ...]]) -> list[str]:
-    """For each rule, its token that stands in the fewest rows of `subject` (ties: alphabetical).
+def rarest_tokens(urls: DataFrame, rules: list[tuple[str, ...]]) -> list[str | None]:
+    """For each rule, its token that stands in the fewest rows of `subject` (ties: alphabetical), or None without tokens.
 
     The counts that reach the driver are one row for each distinct rule token at most.
     """
@@ -138,7 +139,7 @@ def rarest_tokens(urls: DataFrame, rules: list[tuple[str, ...]]) -> list[str]:
         .groupBy("t").agg(F.count("*").alias("n")).collect()
     )
     seen = {r["t"]: r["n"] for r in counts}
-    return [min(r, key=lambda t: (seen.get(t, 0), t)) for r in rules]
+    return [min(r, key=lambda t: (seen.get(t, 0), t), default=None) for r in rules]
 
 
 def judge_urls(pages: DataFrame, prefixes: list[PrefixRule], patterns: list[PatternRule], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -151,14 +152,15 @@ def judge_urls(pages: DataFrame, prefixes: list[PrefixRule], patterns: list[Patt
 
     every = [*(tuple(sorted(tokens_of(p))) for p in prefixes), *(p.tokens for p in patterns)]
     kind = "struct<kind:int,verdict:string,name:string,host:string,path:string,pattern:string,rank:int>"
-    index: dict[str, list[Column]] = {}
+    index: dict[str | None, list[Column]] = {}
     for i, (rule, token) in enumerate(zip([*prefixes, *patterns], rarest_tokens(parts, every))):
         fields = (0, rule.verdict, rule.name, rule.host, rule.path, "", i) if isinstance(rule, PrefixRule) else (1, rule.verdict, rule.name, "", "", rule.pattern, i)
         index.setdefault(token, []).append(F.struct(*map(F.lit, fields)).cast(kind))
+    always = F.array(*index.pop(None, [])).cast(f"array<{kind}>")
     of_token = F.create_map(*[x for t, rows in index.items() for x in (F.lit(t), F.array(*rows))])
 
     hits = F.array_intersect(url_tokens(F.col("subject")), F.array(*map(F.lit, index)))
-    found = parts.withColumn("candidates", F.flatten(F.transform(hits, lambda t: of_token[t])))
+    found = parts.withColumn("candidates", F.concat(always, F.flatten(F.transform(hits, lambda t: of_token[t]))))
     fits_host = lambda r: (F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))
     found = found.withColumn(
         "prefix",

@@ -309,6 +309,19 @@ def test_url_filters(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best.name if best else None, verdict), u
 
 
+def test_url_index_finds_what_all_rules_find(spark):
+    hosts = ["linkfarm.org", "contentfarm.net", "link-farm.org", "mycontent-farm.org", "freemalware.org", "malwares.io", "bestphishing.org", "phishing2.org", "myspam-farms.org",
+             "spam-farm.org", "spamfarm.org", "spam.org", "a.spam-x.org", "casinos.org", "casino.org", "xadult.org", "adult.org", "wikis.org", "wiki.org", "docs.org", "a.edu.au"]
+    paths = ["", "/", "/paydayloans", "/payday-loan", "/xpaydayloan", "/paydayadvance", "/payday_loans2", "/wp-admin/", "/xwp-admin/", "/logins", "/login.php", "/rss/feed", "/robots.txt"]
+    pages = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(h + p for h in hosts for p in paths)], "page_id long, url string")
+    rules = url_filters.pattern_rules()
+    for prefixes in (list(url_filters.PREFIX_RULES), [url_filters.PrefixRule("allow", "com", "/")]):
+        for r in url_filters.judge_urls(pages, prefixes, rules).collect():
+            hits = [(p.verdict, n, p.name) for n, p in enumerate(rules) if re.search(p.pattern, r["host"] + r["path"])]
+            assert r["pattern"] == min(hits, default=(0, 0, None))[2], r
+            assert r["rule"] or r["verdict"] == min(hits, default=("allow",))[0], r
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
