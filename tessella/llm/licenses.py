@@ -40,11 +40,12 @@ class Rule:
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
-#: label | SPDX words | pattern of the license's name, over normalised words | its keyword.
+#: label | SPDX words | pattern of the license's name, over normalised words | its keywords,
+#: parted by commas: each match contains one of them.
 #: Versions are written with the spaces that normalising leaves ("2 0").
 FAMILIES = r"""
 mit | mit | (?:the )?(?:mit|expat) (?:x11 |open source )?licen[cs]e | licen
@@ -117,9 +118,9 @@ cc-by-nc-nd-3.0 | cc by nc nd 3 0 | (?:creative commons attribution non ?commerc
 cc-by-nc-nd-4.0 | cc by nc nd 4 0 | (?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd) 4 0 | 4 0
 cc | cc | creative commons (?:attribution )?licen[cs]e | creative commons
 unlicense | unlicense | (?:the )?unlicense | unlicense
-wtfpl | wtfpl | (?:do what the fuck you want to public licen[cs]e|wtfpl) | wtfpl
+wtfpl | wtfpl | (?:do what the fuck you want to public licen[cs]e|wtfpl) | what the fuck, wtfpl
 zlib | zlib | zlib (?:libpng )?licen[cs]e | zlib
-libpng | libpng | (?:png reference library|libpng) licen[cs]e | libpng
+libpng | libpng | (?:png reference library|libpng) licen[cs]e | png reference, libpng
 psf-2.0 | psf 2 0 | python software foundation licen[cs]e | python
 python-2.0 | python 2 0 | python licen[cs]e | python
 php-3.0 | php 3 0 | php licen[cs]e (?:version |v ?)?3 0 | php
@@ -179,7 +180,7 @@ openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]
 proprietary | proprietary | (?:proprietary|commercial) licen[cs]e(?: agreement)? | licen
 """
 
-#: name | label | priority | confidence | keyword | pattern: texts and notices that name no license,
+#: name | label | priority | confidence | keywords | pattern: texts and notices that name no license,
 #: grants, and generic mentions of the base families. A lower number is a higher priority.
 NOTICES = r"""
 mit-grant | mit | 20 | 0.95 | hereby granted | permission is hereby granted free of charge to any person obtaining a copy
@@ -220,15 +221,15 @@ def rules() -> list[Rule]:
     """The signature rules in order: SPDX tags, grants by name, names, then notices and mentions."""
     out = []
     for line in FAMILIES.strip().splitlines():
-        label, spdx, name, keyword = (x.strip() for x in line.split(" | "))
+        label, spdx, name, keywords = (x.strip() for x in line.split(" | "))
         versioned = bool(re.search(r"\d", label))
         grant = rf"(?:licen[cs]ed|released|distributed|available|published|covered|provided|used) (?:only )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{name}"
-        out.append(Rule(f"{label}.spdx", label, 5, 0.99, "spdx", rf"spdx licen[cs]e identifier {spdx}(?: only| or later)?"))
-        out.append(Rule(f"{label}.grant", label, 10 if versioned else 30, 0.95, keyword, grant))
-        out.append(Rule(f"{label}.name", label, 35 if versioned else 45, 0.8, keyword, name))
+        out.append(Rule(f"{label}.spdx", label, 5, 0.99, ("spdx",), rf"spdx licen[cs]e identifier {spdx}(?: only| or later)?"))
+        out.append(Rule(f"{label}.grant", label, 10 if versioned else 30, 0.95, tuple(keywords.split(", ")), grant))
+        out.append(Rule(f"{label}.name", label, 35 if versioned else 45, 0.8, tuple(keywords.split(", ")), name))
     for line in NOTICES.strip().splitlines():
-        name, label, priority, confidence, keyword, pattern = (x.strip() for x in line.split(" | "))
-        out.append(Rule(name, label, int(priority), float(confidence), keyword, pattern))
+        name, label, priority, confidence, keywords, pattern = (x.strip() for x in line.split(" | "))
+        out.append(Rule(name, label, int(priority), float(confidence), tuple(keywords.split(", ")), pattern))
     return out
 
 
@@ -240,7 +241,8 @@ class Scanner:
         self.compiled = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in self.rules]
         self.of_keyword: dict[str, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.of_keyword.setdefault(r.keyword, []).append(i)
+            for k in r.keywords:
+                self.of_keyword.setdefault(k, []).append(i)
         self.keywords = ahocorasick.Automaton()
         for k in self.of_keyword:
             self.keywords.add_word(k, k)
@@ -249,7 +251,7 @@ class Scanner:
     def detections(self, text: str) -> list[tuple[int, int, int]]:
         """(start, end, rule) of what stays after suppression, by place."""
         present = {k for _, k in self.keywords.iter(text)}
-        found = [(m.start(), m.end(), i) for i in sorted(i for k in present for i in self.of_keyword[k]) for m in self.compiled[i].finditer(text)]
+        found = [(m.start(), m.end(), i) for i in sorted({i for k in present for i in self.of_keyword[k]}) for m in self.compiled[i].finditer(text)]
         found.sort(key=lambda d: (self.rules[d[2]].priority, d[0] - d[1], d[0], d[2]))
         kept: list[tuple[int, int, int]] = []
         reach: list[tuple[int, int]] = []  # kept intervals by start; none contains another, so ends ascend as well

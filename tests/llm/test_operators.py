@@ -76,6 +76,46 @@ def test_licenses(spark, folder):
     assert len(licenses.rules()) > 300
 
 
+def test_every_alternative_of_a_license_rule_contains_a_keyword():
+    """Texts of each alternative of each rule, so that the prefilter finds what all rules find."""
+    from re import _parser
+
+    def examples(parsed):
+        """Matches that take every branch and option at least once."""
+        out = [""]
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                kind, first = arg[0]
+                more = ["1"] if str(kind) == "CATEGORY" else [chr(first if str(kind) == "LITERAL" else first[0])]
+            elif op == "ANY":
+                more = ["x"]
+            elif op == "SUBPATTERN":
+                more = examples(arg[3])
+            elif op == "BRANCH":
+                more = [x for branch in arg[1] for x in examples(branch)]
+            else:
+                assert op in ("MAX_REPEAT", "MIN_REPEAT"), op
+                more = [x * max(arg[0], 1) for x in examples(arg[2])]
+                more += [""] * (not arg[0])
+            # Long products are cut to combinations that take each part in turn, the last (shortest) one else.
+            out = [a + b for a in out for b in more] if len(out) * len(more) <= 64 else [*(a + more[-1] for a in out), *(out[-1] + b for b in more)]
+        return out
+
+    scanner = licenses.Scanner()
+    found = collections.Counter()
+    for n, rule in enumerate(scanner.rules):
+        for text in examples(_parser.parse(rule.pattern)):
+            assert scanner.compiled[n].fullmatch(text), (rule.name, text)
+            assert any(k in text for k in rule.keywords), (rule.name, text)
+            found[rule.name] += 1
+    assert found["wtfpl.name"] >= 2 and found["libpng.grant"] >= 2
+    for text, label in (("do what the fuck you want to public license", "wtfpl"), ("released under the png reference library license", "libpng"), ("libpng licence", "libpng")):
+        assert label in {scanner.rules[i].label for _, _, i in scanner.detections(text)}, text
+
+
 def test_packing(spark):
     df = packing.pack_documents(documents(spark), public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
     rows = df.collect()
