@@ -5,7 +5,8 @@ hashed. For each host (the `source` column) and line, distinct documents are cou
 content, so that exact copies count once. A line above the limit is boilerplate if it mostly stands
 in documents that also carry text of their own; lines that travel only with whole documents belong
 to copies, which are for the near-duplicate stage to thin out, not for this one to erase.
-Boilerplate lines are removed, and documents of which too little is left are rejected as depleted.
+Documents of which boilerplate leaves too little are rejected as depleted; the stage of the pipeline removes
+the boilerplate lines from the texts of the others.
 
 Line frequencies are sums by (host, line) with partial sums before the shuffle; the frequent lines
 are joined back with a salt, so that a line of a third of all documents spreads over tasks.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -111,9 +113,9 @@ def line_features(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def boilerplate_words(features: DataFrame) -> DataFrame:
-    """row_key and the number of its words in boilerplate lines, for rows that have any."""
+    """row_key, the number of its words in boilerplate lines and those lines' hashes, for rows that have any."""
     rows = features.select("host", "row_key", "content", "n_words", F.explode("lines").alias("l")).select(
-        F.xxhash64("host", "l.line").alias("line"), "row_key", "content", "n_words", F.col("l.words").alias("words"))
+        F.xxhash64("host", "l.line").alias("line"), F.col("l.line").alias("plain"), "row_key", "content", "n_words", F.col("l.words").alias("words"))
     frequent = (
         rows.groupBy("line", "content").agg(F.lit(1).alias("one"))
         .groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > MAX_DOCUMENTS)
@@ -122,34 +124,68 @@ def boilerplate_words(features: DataFrame) -> DataFrame:
     hot = checkpoint(rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]))
     covered = hot.groupBy("row_key", "content", "n_words").agg(F.sum("words").alias("covered"))
     # Repeated rows share row_key and were summed together: average over them.
-    copies = hot.groupBy("row_key", "line").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    copies = hot.groupBy("row_key", "line").agg(F.count("*").alias("copies"), F.first("words").alias("words"), F.first("plain").alias("plain"))
     own = covered.join(copies.groupBy("row_key").agg(F.max("copies").alias("copies")), "row_key").select(
         "row_key", (F.col("covered") / F.col("copies") <= (1 - OWN_WORDS) * F.col("n_words")).cast("double").alias("own"))
     boiler = copies.join(own, "row_key").groupBy("line").agg(F.avg("own").alias("share")).where(F.col("share") >= OWN_DOCUMENTS).select("line")
     salted = boiler.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return (
         copies.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
-        .join(salted, ["line", "salt"]).groupBy("row_key").agg(F.sum("words").alias("removed_words"))
+        .join(salted, ["line", "salt"]).groupBy("row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("plain").alias("removed_lines"))
     )
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """key, the counts, base_failed, removed_words (in boilerplate lines), kept."""
+def judged(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """The columns of quality_rules and removed_lines: hashes of the row's boilerplate lines, or null."""
     features = checkpoint(line_features(docs, key, text, host))
     out = features.drop("lines", "host", "content").join(boilerplate_words(features), "row_key", "left")
     removed = F.coalesce("removed_words", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(
         F.col("key").alias(key), *COUNTS, failed.alias("base_failed"), removed.alias("removed_words"),
-        (~failed & (F.col("n_words") - removed >= LEAST_LEFT * F.col("n_words"))).alias("kept"),
+        (~failed & (F.col("n_words") - removed >= LEAST_LEFT * F.col("n_words"))).alias("kept"), "removed_lines",
     )
 
 
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """key, the counts, base_failed, removed_words (in boilerplate lines), kept."""
+    return judged(docs, key, text, host).drop("removed_lines")
+
+
+def without_lines(docs: DataFrame, lines: str) -> DataFrame:
+    """docs without the column `lines`, each text without the lines whose hashes that column lists, n_chars of what is left."""
+    schema = docs.drop(lines).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column(lines)
+            columns = {c: batch.column(c) for c in names}
+            if listed.null_count < batch.num_rows:
+                texts = columns["text"].cast(pa.binary()).to_pylist()
+                for i, hashes in enumerate(listed.to_pylist()):
+                    if hashes:
+                        gone = set(hashes)
+                        kept = [x for x in texts[i].split(b"\n") if xxhash.xxh3_64_intdigest(normal_line(x)) - (1 << 63) not in gone]
+                        texts[i] = b"\n".join(kept)
+                columns["text"] = pa.array(texts, pa.binary()).cast(columns["text"].type)
+                if "n_chars" in columns:
+                    sizes = pc.if_else(listed.is_valid(), pc.utf8_length(columns["text"]).cast(columns["n_chars"].type), columns["n_chars"])
+                    columns["n_chars"] = sizes
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return docs.mapInArrow(run, schema)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the columns of documents."""
-    kept = quality_rules(docs.select("doc_id", "text", "source")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Documents that the quality rules keep, without their boilerplate lines, with the columns of documents.
+
+    Rows are judged each on its own, whatever their doc_id; a row is named by a hash of what it is judged by.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source"))
+    kept = judged(rows.select("_row", "text", "source"), "_row", "text", "source").where("kept").select("_row", F.col("removed_lines").alias("_lines"))
+    return without_lines(rows.join(kept.dropDuplicates(["_row"]), "_row").select(*docs.columns, "_lines"), "_lines")

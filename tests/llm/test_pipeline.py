@@ -2,6 +2,8 @@
 
 import re
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -37,3 +39,29 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(text["substrings"])
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 1024
     assert corpus_pipeline.run(spark, SMALL).count() == pieces.count()
+
+
+def documents(spark, rows):
+    """rows: (doc_id, text); one source."""
+    return spark.createDataFrame([(i, t, "en", "one", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def prose(rng, n=80):
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(n))
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_quality_judges_each_row_and_removes_boilerplate(spark):
+    rng = random.Random(3)
+    boiler = "Ümlaut notice No 12 of this site"
+    own = [prose(rng) for _ in range(40)]
+    shared = [(i, f"{boiler}\n{t}\n{boiler.lower()}  ") for i, t in enumerate(own)]
+    odd = [(None, prose(rng)), (None, prose(rng)), (None, "too short"), (50, prose(rng)), (50, "short as well"), (51, "")]
+    docs = documents(spark, [*shared, *odd, odd[0]])
+    out = stage("quality")(spark, docs, None)
+    assert out.schema == docs.schema
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=repr)
+    assert got == sorted(((i, t, len(t)) for i, t in [*enumerate(own), odd[0], odd[0], odd[1], odd[3]]), key=repr)
