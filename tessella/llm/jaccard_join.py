@@ -257,6 +257,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least doc_id, with the columns of documents."""
-    kept = jaccard_components(docs).where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each near-duplicate group, the one with the least doc_id, with the columns of documents.
+
+    Rows are judged each on its own: of texts with one doc_id in one group, one stays; equal rows stay together.
+    Rows with a null doc_id always stay, and do not stand for a group that has others.
+    """
+    text = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), text.alias("text")).alias("row"), "text")
+    kept = jaccard_components(rows, "row").where("row.missing OR row = component_id")
+    kept = kept.select(F.col("row.id").alias("_id"), F.col("row.text").alias("_text")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (text == kept["_text"]), "left_semi").select(docs.columns)

@@ -65,3 +65,12 @@ def test_quality_judges_each_row_and_removes_boilerplate(spark):
     assert out.schema == docs.schema
     got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=repr)
     assert got == sorted(((i, t, len(t)) for i, t in [*enumerate(own), odd[0], odd[0], odd[1], odd[3]]), key=repr)
+
+
+def test_near_duplicates_judges_each_row(spark):
+    rng = random.Random(4)
+    a, b, c, d, e, f = (prose(rng) for _ in range(6))
+    rows = [(1, a), (2, a + " x"), (2, b), (None, c), (None, d), (5, e), (5, e + " y"), (6, e), (None, f), (9, f + " z"), (7, "")]
+    got = {(r["doc_id"], r["text"]) for r in stage("near_duplicates")(spark, documents(spark, rows), None).collect()}
+    of5 = got & {(5, e), (5, e + " y")}
+    assert len(of5) == 1 and got - of5 == {(1, a), (2, b), (None, c), (None, d), (None, f), (9, f + " z"), (7, "")}
