@@ -2,22 +2,29 @@
 
 Documents are sets of hashed five-word shingles; two link at a Jaccard similarity of 0.8 or more.
 
-* Classes. Documents with the same set form a class, named by a 64-bit hash of the set; everything
+* Classes. Documents with the same set form a class, named by a 128-bit hash of the set; everything
   below works on one set for each class.
-* Rare first. Shingles are ordered by (documents in the shingle's count bucket, hash). The 2**16 bucket
-  counts are a table of fixed size, so every task can hold it; any total order gives exact results,
-  this one keeps frequent shingles out of prefixes.
+* Rare first. Shingles are ordered by the exact number of classes that hold them, then by hash. To count, each
+  task sends the shingles of its texts, sorted and packed, to ranges of the hash. A range's task counts the
+  classes of each of its shingles and reports those in two classes or more; a shingle of one class alone can
+  link nothing and only takes a place at the front. Shingles go by 48 bits here: two that meet by chance
+  are counted as one by all, which costs work and loses nothing.
+* Hot shingles. A shingle that stands in a large share of all sets would fill a range. Tasks report what is
+  frequent in their own texts; what adds up to HOT sets (or 2**-HOT_BITS of all shingles, so the list is
+  bounded) is last in the order and is not sent. Only sets that hold little else need hot shingles.
 * Prefix, length and positional filters. Sets that link share a shingle among the first
   n - ceil(0.8 n) + 1 of each; at their first shared one the sizes and places must leave room for
   the overlap needed.
+* Suffix filter. Beside each prefix shingle stand the numbers of the later shared shingles (but hot ones) in each
+  of four hash ranges. What two sets hold before their first shared shingle differs, and so do the suffixes by the
+  differences of these numbers at least; more than the overlap allows is no link.
 * Links by leaders. Only links between different components matter to the result. In each of a few
-  rounds every prefix shingle names one of its sets as leader (least by a hash of the round), and all
-  others that are not yet in the leader's component are verified against it. So a group of thousands of
-  near copies takes a number of pairs in proportion to its size.
+  rounds every prefix shingle names one of its sets as leader (least by a hash of the round), and each set
+  that is not yet in its leaders' component is verified against the one leader it shares most shingles with. So a
+  group of thousands of near copies takes a number of pairs in proportion to its size.
 * Remaining pairs. Then all pairs of sets that share a prefix shingle, lie in different components
-  and pass the filters are verified, once each. With that, no link between components is missed.
-* Suffix filter. Each set has one parity bit for each of 512 hash ranges; sets differ in at least as many
-  shingles as these bits differ. Only pairs for which that leaves room for the overlap are compared.
+  and pass the filters are verified, once each. Shingles keep the sets of their largest component on one side
+  only, so that no pairs arise within it. With that, no link between components is missed.
 
 Defined cases: documents without words (null, empty) have an empty set, link with nothing and are
 their own component. Fewer than five words make one shingle. Repeated rows are in one class and each
@@ -31,81 +38,107 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, bit_table, checkpoint, in_bits, mix, raw, shingle_set, slices, table
+from tessella.llm.common import LOWER, U64, WordHashes, checkpoint, raw, shingle_set, slices, table, with_keys
 from tessella.llm.graph import components
 
 WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
-ROUNDS = 2
-#: log2 of the number of count buckets, and of the bits that preselect documents whose sets are needed.
-BUCKETS = 16
-BITS = 23
-#: Classes that a task remembers, so as to emit the prefix of copies once.
-REMEMBER = 500_000
-#: Words of the suffix filter's parity bits.
-PARITY = tuple(f"p{i}" for i in range(8))
+ROUNDS = 3
+#: Shingles of a range on average.
+PART = 2_000_000
+#: Sets from which a shingle is hot; the list of hot shingles has at most 2**HOT_BITS entries.
+HOT = 1000
+HOT_BITS = 20
+#: Sets of a slice of texts from which a task reports a shingle as frequent.
+FREQUENT = 16
+#: Classes that a task remembers, so as to send the shingles of copies once.
+REMEMBER = 200_000
+#: Hash ranges of the suffix filter.
+RANGES = 4
+#: Rank of hot shingles in the order.
+LAST = (1 << 31) - 1
 
 
 def set_of(text: bytes, hashes: WordHashes) -> np.ndarray:
     return shingle_set(hashes.of(text.translate(LOWER).split()), WORDS)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def class_of(shingles: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def parity_of(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of 512 hash ranges, as 8 words."""
-    odd = np.bincount((shingles >> U64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
-
-
-def prefix_length(n: int) -> int:
-    return n - (80 * n + 99) // 100 + 1
+def prefix_length(n):
+    """Of a set of n; for numbers and columns."""
+    return n - F.ceil(n.cast("long") * 80 / 100) + 1 if isinstance(n, Column) else n - (80 * n + 99) // 100 + 1
 
 
 def summaries(source: DataFrame, kind: str) -> DataFrame:
-    """Rows of kind 0: key, class, n and parity words of each row. Rows of kind 1: bucket (as class) and its count (as n), for each task."""
+    """Rows with key, class, n of each row, and rows with gram, n of shingles that are frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        counts = np.zeros(1 << BUCKETS, np.int64)
-        key_type = None
-        names = ["kind", "key", "class", "n", *PARITY]
         for batch in slices(batches):
-            key_type = batch.column("key").type
-            classes, sizes, sets = [], [], []
-            for t in raw(batch.column("text")):
-                s = set_of(t, hashes)
-                sets.append(s)
-                sizes.append(len(s))
-                classes.append(class_of(s) if len(s) else None)
-            parity = np.stack([parity_of(s) for s in sets])
-            counts += np.bincount((np.concatenate(sets) >> U64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("key"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, parity.T)], names=names
-            )
-        used = np.flatnonzero(counts)
-        if len(used):
+            sets = [set_of(t, hashes) for t in raw(batch.column("text"))]
+            grams = np.concatenate(sets) >> U64(16)
+            bucket = (grams >> U64(28)).astype(np.int64)
+            often, counts = np.unique(grams[np.bincount(bucket, minlength=1)[bucket] >= FREQUENT], return_counts=True)
+            often, counts = often[counts >= FREQUENT], counts[counts >= FREQUENT]
+            rows, more = batch.num_rows, len(often)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(used), np.int32)), pa.nulls(len(used), key_type), pa.array(used), pa.array(counts[used]), *[pa.nulls(len(used), pa.int64())] * len(PARITY)], names=names
+                [
+                    pa.concat_arrays([batch.column("key"), pa.nulls(more, batch.column("key").type)]),
+                    pa.array([class_of(s) if len(s) else None for s in sets] + [None] * more, pa.binary()),
+                    pa.array(np.r_[[len(s) for s in sets], counts].astype(np.int64)),
+                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(often.view(np.int64))]),
+                ],
+                names=["key", "class", "n", "gram"],
             )
 
-    return source.mapInArrow(run, f"kind int, key {kind}, class long, n long, {', '.join(f'{p} long' for p in PARITY)}")
+    return source.mapInArrow(run, f"key {kind}, class binary, n long, gram long")
+
+
+def _planes(x: np.ndarray, count: int) -> bytes:
+    """The low bytes of unsigned integers, all lowest bytes first; sorted numbers compress well so."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count].T.tobytes()
+
+
+def _of_planes(data: bytes, count: int, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :count] = np.frombuffer(data, np.uint8).reshape(count, size).T
+    return out.reshape(-1).view(U64)
+
 
+def packed(classes: list[bytes], sizes: np.ndarray, hot: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> bytes:
+    """A row of sorted shingles and the sets they are of: names, sizes and numbers of hot shingles of the sets present."""
+    present, owner = np.unique(owner, return_inverse=True)
+    data = b"".join([
+        np.array([len(present), len(grams)], "<u4").tobytes(), b"".join(classes[i] for i in present.tolist()),
+        sizes[present].astype("<u4").tobytes(), hot[present].astype("<u4").tobytes(), _planes(owner, 4), _planes(grams, 6),
+    ])
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-def prefixes(source: DataFrame, counts: np.ndarray) -> DataFrame:
-    """gram, class, n, pos for the prefix of each set; copies may repeat."""
-    shared = source.sparkSession.sparkContext.broadcast(counts)
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    m, k = np.frombuffer(data, "<u4", 2).tolist()
+    names = np.frombuffer(data, "S16", m, 8) if m else np.empty(0, "S16")
+    sizes, hot = np.frombuffer(data, "<u4", m, 8 + 16 * m), np.frombuffer(data, "<u4", m, 8 + 20 * m)
+    at = 8 + 24 * m
+    return names, sizes, hot, _of_planes(data[at : at + 4 * k], 4, k), _of_planes(data[at + 4 * k :], 6, k)
+
+
+def sent_grams(source: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """part and packed shingles of each set. Hot ones go to negative parts, by class, and only where a prefix has some."""
+    shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        of_bucket = shared.value
         for batch in slices(batches):
-            grams, classes, sizes, places = [], [], [], []
+            classes, sets = [], []
             for t in raw(batch.column("text")):
                 s = set_of(t, hashes)
                 if not len(s) or (c := class_of(s)) in seen:
@@ -113,101 +146,163 @@ def prefixes(source: DataFrame, counts: np.ndarray) -> DataFrame:
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(c)
-                p = prefix_length(len(s))
-                order = np.lexsort((s, of_bucket[s >> U64(64 - BUCKETS)]))[:p]
-                grams.append(s[order])
-                classes.append(np.full(p, c, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (classes, sizes, places))],
-                    names=["gram", "class", "n", "pos"],
-                )
-
-    return source.select("text").mapInArrow(run, "gram long, class long, n int, pos int")
+                classes.append(c)
+                sets.append(s >> U64(16))
+            if not sets:
+                continue
+            sizes = np.array([len(s) for s in sets], np.int64)
+            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            is_hot = np.isin(grams, shared.value)
+            hots = np.bincount(owner[is_hot], minlength=len(sets))
+            short = (sizes - hots < prefix_length(sizes))[owner] & is_hot
+            out: list[list] = [[], []]
+            home = np.array([int.from_bytes(c[:4], "big") % parts for c in classes])[owner]
+            for part in np.unique(home[short]).tolist():
+                there = short & (home == part)
+                out[0].append(-1 - part)
+                out[1].append(packed(classes, sizes, hots, owner[there], grams[there]))
+            grams, owner = grams[~is_hot], owner[~is_hot]
+            order = np.argsort(grams)
+            grams, owner = grams[order], owner[order]
+            edges = np.searchsorted((grams >> U64(16)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64))
+            for part in np.flatnonzero(np.diff(edges)).tolist():
+                a, b = edges[part], edges[part + 1]
+                out[0].append(part)
+                out[1].append(packed(classes, sizes, hots, owner[a:b], grams[a:b]))
+            for a in range(0, len(out[0]), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 64], pa.int32()), pa.array(out[1][a : a + 64], pa.binary())], names=["part", "data"])
+
+    return source.select("text").mapInArrow(run, "part int, data binary")
+
+
+def counted_grams(sent: DataFrame) -> DataFrame:
+    """class, n, hot, gram, df: the shingles that two classes or more hold, with the number of these; hot ones have LAST."""
+
+    def count(part: pa.Table) -> pa.Table:
+        rows = [unpacked(d.as_py()) for d in part.column("data")]
+        names, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        sizes, hots = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
+        sizes[back], hots[back] = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+        starts = np.cumsum([0, *(len(r[0]) for r in rows)])
+        owner = np.concatenate([back[a + r[3].astype(np.int64)] for a, r in zip(starts, rows)])
+        grams = np.concatenate([r[4] for r in rows])
+        del rows
+        order = np.lexsort((owner, grams))
+        grams, owner = grams[order], owner[order]
+        new = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]
+        grams, owner = grams[new], owner[new]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        df = np.diff(np.r_[first, len(grams)])
+        df = np.repeat(df, df)
+        if part.column("part")[0].as_py() < 0:
+            df[:] = LAST
+        keep = df > 1
+        grams, owner, df = grams[keep], owner[keep], df[keep]
+        binary = pa.array([bytes(x).ljust(16, b"\0") for x in names.tolist()], pa.binary())
+        return pa.table({
+            "class": binary.take(pa.array(owner)), "n": pa.array(sizes[owner]), "hot": pa.array(hots[owner]), "gram": pa.array(grams.view(np.int64)), "df": pa.array(df.astype(np.int32)),
+        })
+
+    return sent.groupBy("part").applyInArrow(count, "class binary, n int, hot int, gram long, df int")
+
+
+def prefixes(counted: DataFrame) -> DataFrame:
+    """gram, class, n, pos and suffix counts r0.. of the prefix of each set, as far as its shingles are shared."""
+    whole = Window.partitionBy("class")
+    order = whole.orderBy("df", "gram")
+    known = F.count_if(F.col("df") < LAST).over(whole)
+    placed = counted.withColumn("pos", (F.col("n") - F.col("hot") - known + F.row_number().over(order) - 1).cast("int"))
+    span = lambda i: F.count_if((F.col("df") < LAST) & (F.col("gram") >= i << 46) & (F.col("gram") < (i + 1) << 46))
+    for i in range(RANGES):
+        placed = placed.withColumn(f"r{i}", (span(i).over(whole) - span(i).over(order)).cast("int"))
+    return placed.where(F.col("pos") < prefix_length(F.col("n"))).select("gram", "class", "n", "pos", *SUFFIX)
+
+
+SUFFIX = tuple(f"r{i}" for i in range(RANGES))
+
+
+def fits(x: str, y: str) -> Column:
+    """Length, positional and suffix filters for the sets of two rows at a shared shingle.
+
+    Sets of n and m shingles that link differ in (n + m) / 9 of them at most.
+    """
+    n, pos, m, at = (F.col(f"{side}.{c}").cast("long") for side in (x, y) for c in ("n", "pos"))
+    differ = pos + at
+    for c in SUFFIX:
+        differ = differ + F.abs(F.col(f"{x}.{c}") - F.col(f"{y}.{c}"))
+    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (180 * F.least(n - pos, m - at) >= 80 * (n + m)) & (9 * differ <= n + m)
 
 
 def sets_of(source: DataFrame, keys: DataFrame) -> DataFrame:
-    """class and sorted set of the rows whose key is in `keys`, and of a few others.
-
-    Rows are preselected by a bitmap of fixed size over hashed keys; users join on class.
-    """
-    bits = bit_table(keys.select(F.xxhash64("key").alias("h")), "h", BITS)
-    shared = source.sparkSession.sparkContext.broadcast(bits)
+    """class and sorted set of the rows whose key is in `keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            wanted = in_bits(shared.value, batch.column("h").to_numpy().view(U64), BITS)
-            sets = [s for t in raw(batch.filter(pa.array(wanted)).column("text")) if len(s := set_of(t, hashes))]
+            sets = [s for t in raw(batch.column("text")) if len(s := set_of(t, hashes))]
             if sets:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "set"]
+                    [pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "set"]
                 )
 
-    return source.select(F.xxhash64("key").alias("h"), "text").mapInArrow(run, "class long, set array<long>")
-
-
-def fits(n: Column, pos: Column, m: Column, at: Column) -> Column:
-    """Length and positional filters for two sets at a shared shingle."""
-    room = 1 + F.least(n - pos, m - at) - 1
-    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (180 * room.cast("long") >= 80 * (n + m).cast("long"))
-
-
-def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b of the pairs whose parity bits leave room for the overlap needed: the sets of n and m shingles
-    may differ in (n + m) / 9 of them."""
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), *(F.col(p).alias(f"{p}{x}") for p in PARITY))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = sum((F.bit_count(F.col(f"{p}a").bitwiseXOR(F.col(f"{p}b"))) for p in PARITY[1:]), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
-    return both.where(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
+    return with_keys(source, keys, "key").select("text").mapInArrow(run, "class binary, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) that link, by their sets."""
-    sets = checkpoint(sets)
     left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     total = F.size("sa") + F.size("sb")
-    return both.where(180 * F.size(F.array_intersect("sa", "sb")).cast("long") >= 80 * total.cast("long")).select("a", "b").distinct()
-
-
-def shared_grams(prefix: DataFrame) -> DataFrame:
-    """Distinct (gram, class, n, pos) of grams that two classes share."""
-    whole = Window.partitionBy("gram")
-    return (
-        prefix.withColumn("lo", F.min("class").over(whole)).withColumn("hi", F.max("class").over(whole)).where("lo <> hi")
-        .withColumn("before", F.lag("class").over(whole.orderBy("class"))).where("before IS NULL OR before <> class")
-        .select("gram", "class", "n", "pos")
-    )
+    return both.where(180 * F.size(F.array_intersect("sa", "sb")).cast("long") >= 80 * total.cast("long")).select("a", "b")
 
 
 def to_leaders(live: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a < b) of each set and its grams' leaders of this round that pass the filters."""
-    order = Window.partitionBy("gram").orderBy(F.xxhash64("class", F.lit(turn)), "class").rowsBetween(Window.unboundedPreceding, 0)
-    led = live.withColumn("l", F.first(F.struct("class", "n", "pos", "label")).over(order)).where(F.col("l.label") != F.col("label"))
-    fit = led.where(fits(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")))
-    return fit.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
-
-
-def all_pairs(live: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of sets in different components that share a gram and pass all filters.
-
-    The parity bits (folded to half) are tested where pairs meet, so pairs that cannot link are never rows.
-    """
-    half = len(PARITY) // 2
-    folded = classes.select("class", *(F.col(PARITY[i]).bitwiseXOR(F.col(PARITY[i + half])).alias(f"q{i}") for i in range(half)))
-    full = live.join(folded, "class")
-    x, y = full.alias("x"), full.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.q{i}").bitwiseXOR(F.col(f"y.q{i}"))) for i in range(1, half)), F.bit_count(F.col("x.q0").bitwiseXOR(F.col("y.q0"))))
-    met = x.join(
-        y,
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label"))
-        & fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")) & (9 * differ <= F.col("x.n") + F.col("y.n")),
-    )
-    return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    """a, b: each set and, of its shingles' leaders of this round in other components that pass the filters, the most frequent."""
+    row = F.struct("class", "n", "pos", "label", *SUFFIX)
+    leaders = live.groupBy("gram").agg(F.min_by(row, F.struct(F.xxhash64("class", F.lit(turn)), "class")).alias("l")).select("gram", "l.*")
+    x, y = live.alias("x"), leaders.alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
+    counts = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("n"))
+    return counts.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b", F.lit(turn)))).alias("b"))
+
+
+def between_components(live: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of sets in different components that share a shingle and pass the filters."""
+    counts = live.groupBy("gram", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = live.join(main.select("gram", "main"), "gram")
+    x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
+    a, b = F.col("x.class"), F.col("y.class")
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.select(F.col("node").alias("class"), F.col("label").alias("named"))
+    return live.drop("label").join(named, "class", "left").withColumn("label", F.coalesce("named", "class")).drop("named")
+
+
+def links_of(source: DataFrame, classes: DataFrame, counted: DataFrame) -> DataFrame | None:
+    """node, label of the classes that link with others, or None without any."""
+    first = checkpoint(prefixes(counted))
+    twice = first.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    plain = checkpoint(first.join(twice, "gram", "left_semi"))
+    if plain.isEmpty():
+        return None
+    keys = plain.select("class").distinct().join(classes, "class").select(F.col("rep").alias("key"))
+    sets = checkpoint(sets_of(source, keys))
+    live, links, labels = plain.withColumn("label", F.col("class")), None, None
+    for turn in range(ROUNDS + 1):
+        if labels is not None:
+            live = relabelled(plain, labels)
+        pairs = to_leaders(live, turn) if turn < ROUNDS else between_components(live)
+        new = checkpoint(verified(pairs, sets))
+        if new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
+        labels = components(links)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,38 +310,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     told = checkpoint(summaries(source, kind))
-    rows = told.where("kind = 0").select("key", "class", "n")
-    classes = checkpoint(
-        told.where("kind = 0 AND class IS NOT NULL").groupBy("class").agg(F.min("key").alias("rep"), *(F.max(c).alias(c) for c in ("n", *PARITY)))
-    )
-    counts = np.zeros(1 << BUCKETS, np.int64)
-    got = told.where("kind = 1").groupBy(F.col("class").cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
-    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-
-    live = checkpoint(shared_grams(prefixes(source, counts))).withColumn("label", F.col("class"))
-    tested = links = labels = None
-    for turn in range(ROUNDS + 1):
-        if turn:
-            named = labels.select(F.col("node").alias("class"), F.col("label").alias("named"))
-            live = live.drop("label").join(named, "class", "left").select("gram", "class", "n", "pos", F.coalesce("named", "class").alias("label"))
-            # Grams whose sets are all in one component have nothing left to link.
-            mixed = live.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-            live = checkpoint(live.join(mixed, "gram", "left_semi"))
-        pairs = to_leaders(live, turn) if turn < ROUNDS else all_pairs(live, classes)
-        pairs = promising(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes)
-        pairs = checkpoint(pairs)
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        sets = sets_of(source, ends.join(classes, "class").select(F.col("rep").alias("key")))
-        new = checkpoint(verified(pairs, sets))
-        tested = pairs if tested is None else tested.union(pairs)
-        if turn and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
-
-    least = labels.join(classes, labels.node == classes["class"]).groupBy("label").agg(F.min("rep").alias("component"))
-    named = labels.join(least, "label").select(F.col("node").alias("class"), "component")
-    of_class = classes.join(named, "class", "left").select("class", F.least("rep", "component").alias("component"))
+    rows = told.where("gram IS NULL").select("key", "class", "n")
+    classes = checkpoint(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("rep"), F.max("n").alias("n")))
+    total = int(rows.agg(F.sum("n")).first()[0] or 0)
+    frequent = told.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT, total >> HOT_BITS))
+    hot = np.sort(frequent.select("gram").toArrow().column("gram").to_numpy()).astype(U64)
+    labels = links_of(source, classes, counted_grams(sent_grams(source, max(1, -(-total // PART)), hot)))
+    of_class = classes.select("class", F.col("rep").alias("component"))
+    if labels is not None:
+        least = labels.join(classes, labels.node == classes["class"]).groupBy("label").agg(F.min("rep").alias("component"))
+        named = labels.join(least, "label").select(F.col("node").alias("class"), F.col("component").alias("joint"))
+        of_class = of_class.join(named, "class", "left").select("class", F.least("component", "joint").alias("component"))
     return rows.join(of_class, "class", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")
     )
@@ -259,11 +333,14 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the least doc_id, with the columns of documents.
 
-    Rows are judged each on its own: of texts with one doc_id in one group, one stays; equal rows stay together.
-    Rows with a null doc_id always stay, and do not stand for a group that has others.
+    Rows are judged each on its own: of texts with one doc_id in one group, one stays, and of rows with equal doc_id and
+    text one stays. Rows with a null doc_id always stay, and do not stand for a group that has others; texts without
+    words always stay. An empty table gives an empty one; other columns, whatever their names, are kept as they are.
     """
     text = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), text.alias("text")).alias("row"), "text")
-    kept = jaccard_components(rows, "row").where("row.missing OR row = component_id")
-    kept = kept.select(F.col("row.id").alias("_id"), F.col("row.text").alias("_text")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (text == kept["_text"]), "left_semi").select(docs.columns)
+    named = docs.where("doc_id IS NOT NULL")
+    rows = named.select(F.struct(F.col("doc_id").alias("id"), text.alias("text")).alias("row"), "text")
+    kept = jaccard_components(rows, "row").where("row = component_id").select("row").distinct()
+    found = named.withColumn("_near_row", F.struct(F.col("doc_id").alias("id"), text.alias("text")))
+    one = found.join(kept, found["_near_row"] == kept["row"], "left_semi").dropDuplicates(["_near_row"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
