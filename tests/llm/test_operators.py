@@ -1,6 +1,7 @@
 """Each operator on small hand-made tables, held against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -189,6 +191,63 @@ def test_fingerprints(spark, folder):
     assert df.select(fingerprints.merge(F.col("a"), F.col("b"))).first()[0][: len(b)] is not None
 
 
+def sketch_by_hand(text):
+    """The sketch's hashes by another library: XXH64 of each word, chained over five words, with Spark's seed."""
+    one = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+    chain = lambda hashes: functools.reduce(lambda seed, h: one(h.to_bytes(8, "little"), seed), hashes, 42)
+    words = [one(w.lower().encode(), 42) for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    every = {chain(words[i : i + 5]) for i in range(max(len(words) - 4, min(1, len(words))))}
+    every = sorted(h - (1 << 64) if h >> 63 else h for h in every)
+    low = [h for h in every if h < fingerprints.BOUND]
+    return low if len(low) >= fingerprints.LEAST else every[: fingerprints.LEAST]
+
+
+def likeness_by_hand(a, b):
+    top = min(2**63 - 1 if len(s) < fingerprints.LEAST else max(s[-1], fingerprints.BOUND - 1) for s in (a, b))
+    x, y = {h for h in a if h <= top}, {h for h in b if h <= top}
+    if a == b:
+        return 1.0, 1.0
+    return (len(x & y) / min(len(x), len(y)), len(x & y) / len(x | y)) if x and y else (0.0, 0.0)
+
+
+def test_fingerprints_and_likenesses_by_hand(spark, tmp_path):
+    """Every value of the query, with a very long text, nulls and repeated keys among the rows."""
+    rng = random.Random(6)
+    rows = [*texts(), " ".join(f"v{rng.randrange(500)}" for _ in range(60_000)), "same", "same"]
+    ids = [*range(len(texts())), 900, 901, 901]
+    documents(spark, rows, ids).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(fingerprints.op4_fingerprints(spark, str(tmp_path)).collect(), key=lambda r: -r["doc_id"])
+    order = sorted(range(len(rows)), key=lambda i: -ids[i])
+    shown = lambda s: "".join(f"{h & (1 << 64) - 1:016x}" for h in s)
+    for n, (i, r) in enumerate(zip(order, got)):
+        t, after = rows[i] or "", rows[order[(n + 1) % len(order)]] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = map(sketch_by_hand, (t, edited, after))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(a), shown(b)), i
+        assert (r["near_edited"], r["jaccard_edited"]) == pytest.approx(likeness_by_hand(a, b))
+        assert (r["near_next"], r["jaccard_next"]) == pytest.approx(likeness_by_hand(a, c))
+
+
+@pytest.mark.parametrize("partitions", ["1", "13"])
+def test_each_document_stands_beside_its_successor(spark, partitions):
+    """One walk through all rows, with a key that a third of them hold and with rows without a key."""
+    rng = random.Random(12)
+    for rows in ([(5 if i % 3 == 0 else i if i % 7 else None, f"text {rng.randrange(10**9)}") for i in range(200)], [(None, f"t{i}") for i in range(30)], [(1, "only")]):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = fingerprints.beside_next(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        key = dict((t, k) for k, t in rows)
+        after = {r["text"]: r["next_text"] for r in got}
+        assert len(after) == len(rows) and set(after.values()) == set(after)
+        down = sorted((k for k in key.values() if k is not None), reverse=True) + [None] * sum(k is None for k in key.values())
+        start = next(t for t in after if key[t] == down[-1] and key[after[t]] == down[0] and (len(set(down)) == 1 or down[0] != down[-1]))
+        walk = [after[start]]
+        while len(walk) < len(rows):
+            walk.append(after[walk[-1]])
+        assert len(set(walk)) == len(rows) and [key[t] for t in walk] == down
+
+
 def removed(rows):
     first, out = {}, {}
     for i, t in enumerate(rows):
