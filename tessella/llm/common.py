@@ -102,6 +102,14 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(gram_hashes(words, min(size, len(words))))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: log2 of the bits of the largest bitmap that preselects rows by key.
 KEY_BITS = 24
 

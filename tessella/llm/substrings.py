@@ -5,22 +5,25 @@ repeating windows cover are removed.
 
 * Passages. Each window belongs to its minimizer, the least hash of its runs of GRAM words. Windows in a
   row with one minimizer form a passage, so equal windows of any documents meet under one minimizer.
-* Preselection. Minimizers that occur in one document only cannot matter. The others set bits of a bitmap of
-  fixed size; passages whose bit is clear are dropped where they are read. A bit set by chance only
-  costs work.
-* Hot minimizers. Where one occurs very often, its passages are cut into single windows, which are
+* Preselection. Minimizers that occur in one row only cannot matter. The others set bits of a bitmap with 16 bits for
+  each; passages whose bit is clear are dropped where they are read. With more than TABLE_KEYS minimizers a bitmap would be
+  too large to broadcast, so the rows' minimizers are joined with the repeating ones instead, and each row
+  learns which of its passages to send. Both ways give the same results.
+* Hot minimizers. Where one occurs in very many rows, its passages are cut into single windows, which are
   sharded by their own hash; equal windows have been merged before they are shuffled.
-* Shards. Distinct passages, each with the least doc_id it occurs in, are dealt to shards by minimizer. A
-  shard's task sorts the suffixes of its passages, keeps their Burrows-Wheeler transform as a wavelet
-  matrix of packed bits with block counts, and extends all windows of its passages backwards at once. After
-  THRESHOLD steps a window's interval holds all its occurrences; the least doc_id over the interval is
-  the window's first document. (Matching statistics are thus followed up to the threshold.)
-* Removal. Occurrences look up their passages' windows, keep those that start elsewhere earlier, and
-  meet their document's text.
+* Shards. Distinct passages, each with the least doc_id it occurs in, are dealt to shards by minimizer. A shard's task
+  builds an FM-index: the Burrows-Wheeler transform as a wavelet matrix of packed bits with a two-level directory of
+  counts. Then the passages of the documents are streamed against it. Backward search from each place gives its matching
+  statistic: how many words that end there stand in an earlier document, as the least document of the suffix interval
+  tells; it is followed up to LONGEST words. Intervals of THRESHOLD words or more are reported, and their unions are the
+  spans that the passage's first document loses. All later documents have the whole passage from that first one.
+* Removal. Occurrences look up their passages' spans and meet their document's text.
+
+Passages carry WORD_BYTES of each word's hash and are named by 96 bits of a hash of these.
 
 Defined cases: null and empty texts have no words; nothing is removed from them. Rows with the same doc_id
 do not repeat one another, being neither smaller. A null doc_id counts as larger than all others. Extra
-columns are ignored.
+columns are ignored; the pipeline's stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,20 +38,27 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import U64, WordHashes, bit_table, checkpoint, gram_hashes, in_bits, mix, raw, slices, table
+from tessella.llm.common import U64, WordHashes, bit_table, checkpoint, gram_hashes, in_bits, mix, raw, slices, table, unused
 
 #: Words of a window, words of a minimizer's run.
 THRESHOLD = 13
 GRAM = 5
-#: log2 of the bits for repeating and for hot minimizers.
-BITS = 27
+#: Words up to which matching statistics are followed (a power of two).
+LONGEST = 16
+#: Repeating minimizers up to which a bitmap preselects (16 bits for each, so 16 MB), and log2 of the bits for hot ones.
+TABLE_KEYS = 1 << 23
 HOT_BITS = 20
-#: Occurrences from which a minimizer is hot, and passages of a shard on average.
+#: Rows from which a minimizer is hot, and passages of a shard on average.
 HOT = 2000
 SHARD = 30_000
+#: Passages that are streamed against an index at once, and 64-bit words of a block in the directory of counts.
+STREAM = 8_192
+BLOCK = 512
 #: Bytes of a word's hash that passages carry: two words of otherwise equal windows are taken for one
 #: another with a probability of 2**-40.
 WORD_BYTES = 5
+#: Bytes of a passage's name.
+NAME_BYTES = 12
 #: Distinct passages that a task gathers before it sends them on.
 GATHER = 50_000
 
@@ -71,22 +81,21 @@ def passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class FmIndex:
     """FM-index of word sequences: a wavelet matrix over the Burrows-Wheeler transform.
 
-    Suffixes are sorted by their first 16 words, which is exact for patterns of up to 16 words.
+    Suffixes are sorted by their first LONGEST words, which is exact for patterns of up to that many. Kept are, for each bit of a
+    word's number, one bit a place with a two-level directory of counts (a quarter on top), the places where words
+    begin, and the document of each suffix in the narrowest type; the suffixes themselves are dropped.
     """
 
-    DEPTH = 4  # doublings of the sorted prefix
-
-    def __init__(self, words: np.ndarray, lengths: np.ndarray) -> None:
-        """words: all sequences one after another; lengths: of each."""
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, documents: np.ndarray | None = None) -> None:
+        """words: all sequences one after another; lengths and documents: of each."""
         self.alphabet, ids = np.unique(words, return_inverse=True)
-        ends = np.cumsum(lengths)
         # A separator (0) after each sequence.
         self.place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)  # of each word in the text
-        text = np.zeros(len(words) + len(lengths), np.int64)
+        text = np.zeros(len(words) + len(lengths), np.int32)
         text[self.place] = ids + 1
         self.text, n = text, len(text)
-        rank = text
-        for k in range(self.DEPTH):
+        rank = text.astype(np.int64)
+        for k in range(LONGEST.bit_length() - 1):
             step = 1 << k
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
@@ -95,24 +104,31 @@ class FmIndex:
             fresh = np.r_[0, np.cumsum(key[order[1:]] != key[order[:-1]])]
             rank = np.empty(n, np.int64)
             rank[order] = fresh
-        self.suffixes = order
+        del rank, key, fresh
         bwt = text[order - 1]  # the first suffix wraps to the last separator
         self.first = np.searchsorted(np.sort(text), np.arange(len(self.alphabet) + 2))
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.values, code = np.unique(np.zeros(len(lengths), np.int64) if documents is None else documents, return_inverse=True)
+        kind = np.min_scalar_type(len(self.values))
+        of_text = np.full(n, len(self.values), kind)
+        of_text[self.place] = np.repeat(code, lengths)
+        self.documents = np.r_[of_text[order], np.array([len(self.values)], kind)]
+        self.values = np.r_[self.values, LAST]
+        del order, of_text
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
         for level in reversed(range(int(len(self.alphabet)).bit_length())):
             bit = (bwt >> level & 1).astype(bool)
             packed = np.packbits(np.r_[bit, np.zeros(-len(bit) % 64 + 64, bool)], bitorder="little").view(U64)
-            before = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)]
-            zeros = n - int(bit.sum())
-            self.levels.append((packed, before, zeros))
+            before = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)][:-1]
+            wide = before[::BLOCK]
+            near = (before - np.repeat(wide, BLOCK)[: len(before)]).astype(np.uint16)
+            self.levels.append((packed, near, wide, n - int(bit.sum())))
             bwt = np.r_[bwt[~bit], bwt[bit]]
-        del bwt, ends
 
     def ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        packed, before, _ = self.levels[level]
+        packed, near, wide, _ = self.levels[level]
         block = at >> 6
         mask = (U64(1) << (at & 63).astype(U64)) - U64(1)
-        return before[block] + np.bitwise_count(packed[block] & mask)
+        return wide[block // BLOCK] + near[block] + np.bitwise_count(packed[block] & mask)
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
@@ -120,7 +136,7 @@ class FmIndex:
         base = np.zeros(len(symbol), np.int64)
         lo, hi = low, high
         for i in range(count):
-            zeros = self.levels[i][2]
+            zeros = self.levels[i][3]
             up = (symbol >> (count - 1 - i) & 1).astype(bool)
             l1, h1, b1 = self.ones(i, lo), self.ones(i, hi), self.ones(i, base)
             lo = np.where(up, zeros + l1, lo - l1)
@@ -129,71 +145,124 @@ class FmIndex:
         start = self.first[symbol]
         return start + lo - base, start + hi - base
 
-    def intervals(self, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns of `length` words that end at the places `last` of the text.
+    def intervals(self, text: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of the patterns of `length` words that end at the places `last` of a text of indexed words.
 
-        All patterns occur, as they come from the indexed text; one that occurs once leaves early.
+        All patterns occur, as the text's sequences are in the index; one that occurs once leaves early.
         """
-        symbol = self.text[last]
+        symbol = text[last]
         low, high = self.first[symbol].copy(), self.first[symbol + 1].copy()
         live = np.flatnonzero(high - low > 1)
         for k in range(1, length):
             if not len(live):
                 break
-            low[live], high[live] = self.extend(self.text[last[live] - k], low[live], high[live])
+            low[live], high[live] = self.extend(text[last[live] - k], low[live], high[live])
             live = live[high[live] - low[live] > 1]
         return low, high
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least document of each interval; intervals of one depth."""
+        if not len(low):
+            return np.empty(0, np.int64)
+        starts, back = np.unique(low, return_inverse=True)
+        ends = np.zeros(len(starts), np.int64)
+        ends[back] = high
+        return self.values[np.minimum.reduceat(self.documents, np.column_stack([starts, ends]).ravel())[::2]][back]
+
+    def statistics(self, text: np.ndarray, last: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Matching statistics of a text of indexed words: for each place `last`, how many words that end there (LONGEST at
+        most) stand in a document before `own`; 0 for less than THRESHOLD. Each place has THRESHOLD words of its sequence."""
+        low, high = self.intervals(text, last, THRESHOLD)
+        out = np.zeros(len(last), np.int64)
+        live = np.flatnonzero(high - low > 1)
+        for length in range(THRESHOLD, LONGEST + 1):
+            live = live[self.least(low[live], high[live]) < own[live]]
+            out[live] = length
+            live = live[text[last[live] - length] > 0]
+            if not len(live) or length == LONGEST:
+                break
+            low[live], high[live] = self.extend(text[last[live] - length], low[live], high[live])
+            live = live[high[live] > low[live]]
+        return out
+
 
 def first_documents(words: np.ndarray, lengths: np.ndarray, documents: np.ndarray) -> np.ndarray:
     """For each window of each sequence, the least document whose sequences hold it; windows in order."""
-    index = FmIndex(words, lengths)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    window_end = at >= THRESHOLD - 1
-    last = index.place[window_end]
-    own = documents[owner[window_end]]
-    low, high = index.intervals(last, THRESHOLD)
+    index = FmIndex(words, lengths, documents)
+    ends = within(lengths) >= THRESHOLD - 1
+    out = np.repeat(documents, lengths)[ends]
+    low, high = index.intervals(index.text, index.place[ends], THRESHOLD)
     several = high - low > 1
-    out = own.copy()
-    if several.any():
-        starts, back = np.unique(low[several], return_inverse=True)
-        ends = np.zeros(len(starts), np.int64)
-        ends[back] = high[several]
-        of_text = np.full(len(index.text), LAST, np.int64)
-        of_text[index.place] = documents[owner]
-        of_suffix = np.r_[of_text[index.suffixes], LAST]
-        least = np.minimum.reduceat(of_suffix, np.column_stack([starts, ends]).ravel())[::2]
-        out[several] = np.minimum(least[back], own[several])
+    out[several] = index.least(low[several], high[several])
+    return out
+
+
+def within(lengths: np.ndarray) -> np.ndarray:
+    """The place of each word in its sequence."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def earlier_spans(words: np.ndarray, lengths: np.ndarray, documents: np.ndarray) -> list[np.ndarray]:
+    """For each sequence, the spans (start, end, start, end, ...) of THRESHOLD words or more that a document before its own has.
+
+    The sequences are indexed, then streamed against the index, STREAM of them at once; spans are the unions of the
+    intervals that the matching statistics report.
+    """
+    index = FmIndex(words, lengths, documents)
+    edges = np.cumsum(lengths + 1) - lengths - 1
+    out: list[np.ndarray] = []
+    for a in range(0, len(lengths), STREAM):
+        few = lengths[a : a + STREAM]
+        begin = np.repeat(edges[a : a + STREAM], few)
+        at = within(few)
+        owner = np.repeat(np.arange(len(few)), few)
+        ends = at >= THRESHOLD - 1
+        length = index.statistics(index.text, (begin + at)[ends], documents[a : a + STREAM][owner[ends]])
+        hit = length > 0
+        owner, stop = owner[ends][hit], at[ends][hit] + 1
+        start = stop - length[hit]
+        # An interval opens a span where its sequence's intervals before it end before it starts.
+        new = np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] > stop[:-1])][: len(owner)]
+        heads = np.flatnonzero(new)
+        if len(heads):
+            spans = np.column_stack([np.minimum.reduceat(start, heads), stop[np.r_[heads[1:], len(stop)] - 1]])
+        else:
+            spans = np.empty((0, 2), np.int64)
+        cuts = np.searchsorted(owner[heads], np.arange(len(few) + 1))
+        out += [spans[cuts[i] : cuts[i + 1]].ravel() for i in range(len(few))]
     return out
 
 
 class Reader:
-    """Passages of texts that pass the bitmaps."""
+    """Passages of texts that are to be sent: by bitmaps, or by lists of the row's minimizers."""
 
-    def __init__(self, bits: np.ndarray, hot: np.ndarray) -> None:
-        self.bits, self.hot = bits, hot
+    def __init__(self, bits: np.ndarray | None, log2_bits: int, hot: np.ndarray | None) -> None:
+        self.bits, self.log2_bits, self.hot = bits, log2_bits, hot
         self.hashes = WordHashes()
 
-    def read(self, text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-        """(passage, minimizer or window hash to shard by, first window, shortened word hashes) of each."""
+    def read(self, text: bytes, wanted: np.ndarray | None = None, cut: np.ndarray | None = None) -> Iterator[tuple[bytes, int, int, bytes]]:
+        """(passage, minimizer or window hash to shard by, first word, shortened word hashes) of each."""
         words = self.hashes.of(text.split())
         keys, starts, counts = passages(words)
         if not len(keys):
             return
-        chosen = np.flatnonzero(in_bits(self.bits, keys, BITS))
-        hot = in_bits(self.hot, keys[chosen], HOT_BITS)
+        if self.bits is not None:
+            chosen = np.flatnonzero(in_bits(self.bits, keys, self.log2_bits))
+            hot = in_bits(self.hot, keys[chosen], HOT_BITS)
+        else:
+            chosen = np.flatnonzero(np.isin(keys.view(np.int64), wanted))
+            hot = np.isin(keys[chosen].view(np.int64), cut)
         named = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
         for i, is_hot in zip(chosen.tolist(), hot.tolist()):
             first, count = int(starts[i]), int(counts[i])
             if is_hot:
                 for j in range(first, first + count):
                     data = named[j : j + THRESHOLD].tobytes()
-                    name = xxhash.xxh3_64_intdigest(data)
-                    yield name, name, j, data
+                    name = xxhash.xxh3_128_digest(data)[:NAME_BYTES]
+                    yield name, int.from_bytes(name[:8], "big"), j, data
             else:
                 data = named[first : first + count + THRESHOLD - 1].tobytes()
-                yield xxhash.xxh3_64_intdigest(data), int(keys[i]), first, data
+                yield xxhash.xxh3_128_digest(data)[:NAME_BYTES], int(keys[i]), first, data
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -203,43 +272,63 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(U64)[:, 0]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def minimizers(source: DataFrame) -> DataFrame:
+    """key (minimizer) and n, the rows that have it, summed over a few texts of a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            keys = [np.unique(passages(hashes.of(t.split()))[0]) for t in raw(batch.column("text"))]
+            names, counts = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-def minimizers(source: DataFrame) -> DataFrame:
-    """key (minimizer) and doc of each passage."""
+    return source.select("text").mapInArrow(run, "key long, n long")
+
+
+def with_minimizers(source: DataFrame, counted: DataFrame) -> DataFrame:
+    """source with `wanted` and `cut`: the repeating and the hot ones among each row's minimizers, or null without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            docs = batch.column("doc").to_numpy()
-            keys = [passages(hashes.of(t.split()))[0] for t in raw(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(docs, [len(k) for k in keys]))], names=["key", "doc"]
-            )
+            keys = [np.unique(passages(hashes.of(t.split()))[0]) for t in raw(batch.column("text"))]
+            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            columns = [batch.column("row_key").take(of), batch.column("doc").take(of), pa.array(np.concatenate(keys).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc", "key"])
 
-    return source.select("doc", "text").mapInArrow(run, "key long, doc long")
+    each = source.mapInArrow(run, "row_key long, doc long, key long").join(counted, "key")
+    lists = each.groupBy("row_key", "doc").agg(F.collect_set("key").alias("wanted"), F.collect_set(F.when(F.col("n") >= HOT, F.col("key"))).alias("cut"))
+    return source.join(lists, ["row_key", "doc"], "left")
 
 
-def repeated_windows(source: DataFrame) -> DataFrame:
-    """row_key and the starts of the row's windows that also start in a document with a smaller doc."""
+def spans_of_rows(source: DataFrame) -> DataFrame:
+    """row_key, doc and spans (start, end, start, end, ...): the words of the row that earlier documents have."""
     spark = source.sparkSession
-    counted = minimizers(source).groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    counted = checkpoint(counted.select("key", "n"))
-    bits = spark.sparkContext.broadcast(bit_table(counted, "key", BITS))
-    hot = spark.sparkContext.broadcast(bit_table(counted.where(F.col("n") >= HOT), "key", HOT_BITS))
-    found = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    shards = max(1, -(-int(found) // SHARD))
+    counted = checkpoint(minimizers(source).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    told = counted.agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()
+    shards = max(1, -(-int(told["n"] or 0) // SHARD))
+    if told["keys"] <= TABLE_KEYS:
+        log2_bits = max(12, (16 * told["keys"] - 1).bit_length())
+        tables = bit_table(counted, "key", log2_bits), log2_bits, bit_table(counted.where(F.col("n") >= HOT), "key", HOT_BITS)
+        source = source.select("*", F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("array<long>").alias("cut"))
+    else:
+        tables = None, 0, None
+        source = with_minimizers(source, counted)
+    shared = spark.sparkContext.broadcast(tables)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """row_key, doc, text, wanted, cut of each row."""
+        columns = [batch.column(c).to_pylist() if shared.value[0] is None else [None] * batch.num_rows for c in ("wanted", "cut")]
+        return zip(batch.column("row_key").to_pylist(), batch.column("doc").to_pylist(), raw(batch.column("text")), *([np.array(x or [], np.int64) for x in c] for c in columns))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(bits.value, hot.value)
-        held: dict[int, list] = {}
+        reader = Reader(*shared.value)
+        held: dict[bytes, list] = {}
 
         def flush() -> pa.RecordBatch:
             rows = list(held.values())
             out = pa.RecordBatch.from_arrays(
-                [pa.array([r[2] % shards for r in rows], pa.int32()), pa.array([signed(p) for p in held], pa.int64()),
+                [pa.array([r[2] % shards for r in rows], pa.int32()), pa.array(list(held), pa.binary()),
                  pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                 names=["shard", "passage", "lo", "hi", "words"],
             )
@@ -247,8 +336,8 @@ def repeated_windows(source: DataFrame) -> DataFrame:
             return out
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column("doc").to_pylist(), raw(batch.column("text"))):
-                for passage, by, _, data in reader.read(text):
+            for _, doc, text, wanted, cut in rows(batch):
+                for passage, by, _, data in reader.read(text, wanted, cut):
                     if (row := held.get(passage)) is None:
                         held[passage] = [doc, doc, by, data]
                     elif doc < row[0]:
@@ -261,66 +350,64 @@ def repeated_windows(source: DataFrame) -> DataFrame:
             yield flush()
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(bits.value, hot.value)
+        reader = Reader(*shared.value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
         for batch in slices(batches):
-            out: list[list] = [[], [], [], []]
-            for row_key, doc, text in zip(batch.column("row_key").to_pylist(), batch.column("doc").to_pylist(), raw(batch.column("text"))):
-                for passage, _, first, _ in reader.read(text):
-                    for column, x in zip(out, (row_key, doc, signed(passage), first)):
+            out: list[list] = [[] for _ in kinds]
+            for row_key, doc, text, wanted, cut in rows(batch):
+                for passage, _, first, data in reader.read(text, wanted, cut):
+                    for column, x in zip(out, (row_key, doc, passage, first, first + len(data) // WORD_BYTES)):
                         column.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["row_key", "doc", "passage", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["row_key", "doc", "passage", "first", "stop"])
 
     def search(part: pa.Table) -> pa.Table:
         part = part.group_by("passage").aggregate([("lo", "min"), ("hi", "max"), ("words", "min")])
-        rows = part.column("words_min").to_pylist()
-        lengths = np.array([len(r) // WORD_BYTES for r in rows], np.int64)
-        least = first_documents(unpacked(b"".join(rows)), lengths, part.column("lo_min").to_numpy())
-        windows = lengths - THRESHOLD + 1
-        edges = np.r_[0, np.cumsum(windows)]
-        # Passages whose windows all start in no document before their own last one answer nothing.
-        useful = np.minimum.reduceat(least, edges[:-1]) < part.column("hi_max").to_numpy()
-        arrays = pa.LargeListArray.from_arrays(edges, pa.array(least)).cast(pa.list_(pa.int64()))
-        return pa.table({"passage": part.column("passage"), "least": arrays}).filter(pa.array(useful))
-
-    text = source.select("doc", "text")
-    firsts = text.mapInArrow(contents, "shard int, passage long, lo long, hi long, words binary").groupBy("shard").applyInArrow(search, "passage long, least array<long>")
-    placed = source.mapInArrow(occurrences, "row_key long, doc long, passage long, first int")
-    met = placed.join(firsts, "passage")
-    at = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda j: F.get("least", j) < F.col("doc"))
-    starts = met.select("row_key", F.transform(at, lambda j: F.col("first") + j).alias("starts")).where(F.size("starts") > 0)
-    return starts.groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-
-
-def covered(count: int, starts: np.ndarray) -> np.ndarray:
-    """Which of a text's words the windows with these starts cover."""
+        data = part.column("words_min").to_pylist()
+        spans = earlier_spans(unpacked(b"".join(data)), np.array([len(d) // WORD_BYTES for d in data], np.int64), part.column("lo_min").to_numpy())
+        # Passages of one document that no earlier one has a part of answer nothing.
+        useful = np.array([len(x) > 0 for x in spans]) | (part.column("lo_min").to_numpy() < part.column("hi_max").to_numpy())
+        return pa.table({"passage": part.column("passage"), "lo": part.column("lo_min"), "spans": pa.array(spans, pa.list_(pa.int64()))}).filter(pa.array(useful))
+
+    firsts = source.select("row_key", "doc", "text", "wanted", "cut").mapInArrow(contents, "shard int, passage binary, lo long, hi long, words binary")
+    firsts = firsts.groupBy("shard").applyInArrow(search, "passage binary, lo long, spans array<long>")
+    met = source.mapInArrow(occurrences, "row_key long, doc long, passage binary, first int, stop int").join(firsts, "passage")
+    spans = F.when(F.col("doc") > F.col("lo"), F.array("first", "stop")).otherwise(F.transform("spans", lambda x: (x + F.col("first")).cast("int")))
+    found = met.select("row_key", "doc", spans.alias("spans")).where(F.size("spans") > 0)
+    return found.groupBy("row_key", "doc").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def covered(count: int, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Which of a text's words these spans cover; without ends, windows of THRESHOLD words."""
     edge = np.zeros(count + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + THRESHOLD, count), -1)
+    np.add.at(edge, np.minimum(starts + THRESHOLD if ends is None else ends, count), -1)
     return np.cumsum(edge[:count]) > 0
 
 
-def with_starts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows with `starts`, of their repeating windows, or null."""
-    keyed = docs.withColumn("_row", F.xxhash64(key, text))
-    source = keyed.select(F.col("_row").alias("row_key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).cast("string").alias("text"))
-    found = repeated_windows(source).select(F.col("row_key").alias("_row"), F.col("starts").alias("_starts"))
-    return keyed.join(found, "_row", "left").drop("_row")
+def with_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """The rows with the spans that earlier documents have, or null, and the name of that column."""
+    row, doc, spans = (unused(docs, name) for name in ("row", "doc", "spans"))
+    keyed = docs.withColumn(row, F.xxhash64(F.col(key), F.col(text))).withColumn(doc, F.coalesce(F.col(key).cast("long"), F.lit(LAST)))
+    source = keyed.select(F.col(row).alias("row_key"), F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
+    found = spans_of_rows(source).select(F.col("row_key").alias(row), F.col("doc").alias(doc), F.col("spans").alias(spans))
+    return keyed.join(found, [row, doc], "left").select(*docs.columns, spans), spans
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_starts(docs, "doc_id", "text").select("doc_id", "text", "_starts")
+    rows, spans = with_spans(docs, "doc_id", "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts, removed, hashes = [], [], []
-            for t, starts in zip(raw(batch.column("text")), batch.column("_starts")):
+            for t, found in zip(raw(batch.column("text")), batch.column(spans)):
                 words = t.split()
                 counts.append(len(words))
                 n = 0
-                if starts.is_valid:
-                    gone = covered(len(words), starts.values.to_numpy())
+                if found.is_valid:
+                    at = found.values.to_numpy()
+                    gone = covered(len(words), at[::2], at[1::2])
                     n = int(gone.sum())
                     words = list(compress(words, ~gone))
                 removed.append(n)
@@ -335,10 +422,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def without(text: bytes, starts: np.ndarray) -> bytes:
+def without(text: bytes, starts: np.ndarray, ends: np.ndarray | None = None) -> bytes:
     """The text without its covered words; what stands between kept words stays as it is."""
     spans = [m.span() for m in WORD.finditer(text)]
-    gone = covered(len(spans), starts)
+    gone = covered(len(spans), starts, ends)
     out, at, skipping = [], 0, False
     for (a, b), g in zip(spans, gone.tolist()):
         if g and not skipping:
@@ -351,21 +438,23 @@ def without(text: bytes, starts: np.ndarray) -> bytes:
 
 
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated passages; n_chars counts the new text. No row is dropped."""
-    rows = with_starts(docs, "doc_id", "text")
+    """The documents without repeated passages; n_chars counts the new text. No row is dropped.
+
+    Null and empty texts stay as they are; rows with a null doc_id count as last; rows with equal doc_id do not repeat one
+    another, so equal rows all stay, alike. An empty table gives an empty one; other columns are kept as they are.
+    """
+    rows, spans = with_spans(docs, "doc_id", "text")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [
-                without(t, s.values.to_numpy()) if s.is_valid else t
-                for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_starts"))
-            ]
+            found = [s.values.to_numpy() if s.is_valid else None for s in batch.column(spans)]
+            texts = [t if s is None else without(t, s[::2], s[1::2]) for t, s in zip(batch.column("text").cast(pa.binary()).to_pylist(), found)]
             new = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [new if name == "text" else batch.column(name) for name in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    got = rows.select(*docs.columns, "_starts").mapInArrow(cut, docs.schema)
+    got = rows.mapInArrow(cut, docs.schema)
     if "n_chars" not in docs.columns:
         return got
     return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)

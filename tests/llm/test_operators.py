@@ -260,9 +260,11 @@ def removed(rows):
     return out
 
 
+@pytest.mark.parametrize("keys", [1 << 23, 0])
 @pytest.mark.parametrize("hot", [2000, 2])
-def test_substrings(spark, folder, hot, monkeypatch):
+def test_substrings(spark, folder, hot, keys, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "TABLE_KEYS", keys)
     got = by_id(substrings.op5_substring_dedup(spark, folder))
     for i, (w, gone) in removed(texts()).items():
         kept = " ".join(x for x, g in zip(w, gone) if not g)
@@ -282,6 +284,45 @@ def test_backward_search():
     assert got.tolist() == [least[tuple(s[j : j + 13])] for s in seqs for j in range(len(s) - 12)]
 
 
+def test_matching_statistics(monkeypatch):
+    """Spans of sequences that earlier documents have, by comparing all windows; streamed in one piece and in many."""
+    rng = random.Random(9)
+    for stream in (8192, 3):
+        monkeypatch.setattr(substrings, "STREAM", stream)
+        for alphabet, longest in ((2, 40), (3, 30), (9, 20)):
+            seqs = [[rng.randint(1, alphabet) for _ in range(rng.randint(13, longest))] for _ in range(60)]
+            seqs += [rng.choice(seqs)[: rng.randint(13, 60)] for _ in range(20)] + [[5] * 400, [5] * 90, [7] * 14]
+            docs = np.array([rng.choice([rng.randint(0, 9), substrings.LAST]) for _ in seqs])
+            first = {}
+            for s, d in zip(seqs, docs.tolist()):
+                for j in range(len(s) - 12):
+                    first[tuple(s[j : j + 13])] = min(first.get(tuple(s[j : j + 13]), d), d)
+            got = substrings.earlier_spans(np.array([x for s in seqs for x in s], np.uint64), np.array([len(s) for s in seqs]), docs)
+            for s, d, spans in zip(seqs, docs.tolist(), got):
+                want = np.zeros(len(s), bool)
+                for j in range(len(s) - 12):
+                    if first[tuple(s[j : j + 13])] < d:
+                        want[j : j + 13] = True
+                assert substrings.covered(len(s), spans[::2], spans[1::2]).tolist() == want.tolist()
+                assert (np.diff(spans.reshape(-1, 2), axis=1) >= 13).all()
+
+
+def test_a_statistic_is_the_longest_match_of_an_earlier_document():
+    rng = random.Random(10)
+    seqs = [[rng.randint(1, 2) for _ in range(rng.randint(13, 30))] for _ in range(30)]
+    docs = np.array([rng.randint(0, 5) for _ in seqs])
+    index = substrings.FmIndex(np.array([x for s in seqs for x in s], np.uint64), np.array([len(s) for s in seqs]), docs)
+    at = 0
+    for s, d in zip(seqs, docs):
+        places = np.arange(12, len(s))
+        got = index.statistics(index.text, at + places, np.full(len(places), d))
+        at += len(s) + 1
+        for j, n in zip(places.tolist(), got.tolist()):
+            earlier = [" ".join(map(str, o)) + " " for o, e in zip(seqs, docs) if e < d]
+            best = max((k for k in range(13, 17) if k <= j + 1 and any(" ".join(map(str, s[j + 1 - k : j + 1])) + " " in o for o in earlier)), default=0)
+            assert n == best
+
+
 def test_cutting_keeps_what_stands_between():
     text = b"a b\n" + b" ".join(b"x%d" % i for i in range(13)) + b"\n\nc"
     assert substrings.without(text, np.array([2])) == b"a b\n\n\nc"
