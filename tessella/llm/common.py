@@ -117,19 +117,19 @@ KEY_BITS = 24
 def with_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among `keys` (distinct or not, of the same type).
 
-    Rows are preselected by a broadcast bitmap of hashed keys, with 16 bits for each key and at most 2**KEY_BITS
+    Rows are preselected by a broadcast bitmap of hashed keys, with 64 bits for each key and at most 2**KEY_BITS
     (2 MB), so that few others are shuffled; the exact semi-join follows. Where there are too many keys for that
     bitmap to sort rows out, the semi-join works alone.
     """
     keys = checkpoint(keys.distinct())
-    bits = max(12, (16 * keys.count()).bit_length())
-    if bits <= KEY_BITS + 2:
+    bits = max(12, (64 * keys.count()).bit_length())
+    if bits <= KEY_BITS + 4:
         bits = min(bits, KEY_BITS)
         slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-        words = keys.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot & 63 as int)))").alias("_bits"))
-        marked = source.withColumn("_slot", slot)
-        marked = marked.join(F.broadcast(words), F.shiftright("_slot", 6) == words["_word"])
-        source = marked.where("shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1 = 1").select(source.columns)
+        place, word, mask = (unused(source, x) for x in ("place", "word", "mask"))
+        words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias(mask))
+        marked = source.withColumn(place, slot).withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word)
+        source = marked.where(f"shiftrightunsigned({mask}, cast({place} & 63 as int)) & 1 = 1").select(source.columns)
     return source.join(keys, key, "left_semi")
 
 

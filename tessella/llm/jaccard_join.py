@@ -7,8 +7,8 @@ Documents are sets of hashed five-word shingles; two link at a Jaccard similarit
 * Rare first. Shingles are ordered by the exact number of classes that hold them, then by hash. To count, each
   task sends the shingles of its texts, sorted and packed, to ranges of the hash. A range's task counts the
   classes of each of its shingles and reports those in two classes or more; a shingle of one class alone can
-  link nothing and only takes a place at the front. Shingles go by 48 bits here: two that meet by chance
-  are counted as one by all, which costs work and loses nothing.
+  link nothing and only takes a place at the front. Shingles go by as many bits here as keep most apart: two that
+  meet by chance are counted as one by all, which costs work and loses nothing.
 * Hot shingles. A shingle that stands in a large share of all sets would fill a range. Tasks report what is
   frequent in their own texts; what adds up to HOT sets (or 2**-HOT_BITS of all shingles, so the list is
   bounded) is last in the order and is not sent. Only sets that hold little else need hot shingles.
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.llm.common import LOWER, U64, WordHashes, checkpoint, raw, shingle_set, slices, table, with_keys
 from tessella.llm.graph import components
@@ -48,7 +48,9 @@ WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
 ROUNDS = 3
 #: Shingles of a range on average.
-PART = 2_000_000
+PART = 5_000_000
+#: Bits of a shingle's name beyond the logarithm of their number: one in 2**SPARE_BITS meets another by chance.
+SPARE_BITS = 14
 #: Sets from which a shingle is hot; the list of hot shingles has at most 2**HOT_BITS entries.
 HOT = 1000
 HOT_BITS = 20
@@ -72,8 +74,8 @@ def class_of(shingles: np.ndarray) -> bytes:
 
 
 def prefix_length(n):
-    """Of a set of n; for numbers and columns."""
-    return n - F.ceil(n.cast("long") * 80 / 100) + 1 if isinstance(n, Column) else n - (80 * n + 99) // 100 + 1
+    """Of a set of n shingles."""
+    return n - (80 * n + 99) // 100 + 1
 
 
 def summaries(source: DataFrame, kind: str) -> DataFrame:
@@ -102,7 +104,7 @@ def summaries(source: DataFrame, kind: str) -> DataFrame:
 
 
 def _planes(x: np.ndarray, count: int) -> bytes:
-    """The low bytes of unsigned integers, all lowest bytes first; sorted numbers compress well so."""
+    """The low bytes of unsigned integers, all lowest bytes first; bytes of one weight compress well together."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count].T.tobytes()
 
 
@@ -115,9 +117,10 @@ def _of_planes(data: bytes, count: int, size: int) -> np.ndarray:
 def packed(classes: list[bytes], sizes: np.ndarray, hot: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> bytes:
     """A row of sorted shingles and the sets they are of: names, sizes and numbers of hot shingles of the sets present."""
     present, owner = np.unique(owner, return_inverse=True)
+    steps = np.diff(grams, prepend=U64(0))
     data = b"".join([
         np.array([len(present), len(grams)], "<u4").tobytes(), b"".join(classes[i] for i in present.tolist()),
-        sizes[present].astype("<u4").tobytes(), hot[present].astype("<u4").tobytes(), _planes(owner, 4), _planes(grams, 6),
+        _planes(sizes[present], 4), _planes(hot[present], 4), _planes(owner, 4), _planes(steps, 8),
     ])
     return zstandard.ZstdCompressor(level=1).compress(data)
 
@@ -125,14 +128,14 @@ def packed(classes: list[bytes], sizes: np.ndarray, hot: np.ndarray, owner: np.n
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(data)
     m, k = np.frombuffer(data, "<u4", 2).tolist()
-    names = np.frombuffer(data, "S16", m, 8) if m else np.empty(0, "S16")
-    sizes, hot = np.frombuffer(data, "<u4", m, 8 + 16 * m), np.frombuffer(data, "<u4", m, 8 + 20 * m)
-    at = 8 + 24 * m
-    return names, sizes, hot, _of_planes(data[at : at + 4 * k], 4, k), _of_planes(data[at + 4 * k :], 6, k)
+    cuts = np.cumsum([8, 16 * m, 4 * m, 4 * m, 4 * k, 8 * k]).tolist()
+    names, sizes, hot, owner, steps = (data[a:b] for a, b in zip(cuts, cuts[1:]))
+    small = lambda x, n: _of_planes(x, 4, n).astype(np.int32)
+    return np.frombuffer(names, "S16"), small(sizes, m), small(hot, m), small(owner, k), np.cumsum(_of_planes(steps, 8, k), dtype=U64)
 
 
-def sent_grams(source: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """part and packed shingles of each set. Hot ones go to negative parts, by class, and only where a prefix has some."""
+def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> DataFrame:
+    """part and packed shingles (their first bits) of each set. Hot ones go to negative parts, by class, and only where a prefix has some."""
     shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,75 +150,124 @@ def sent_grams(source: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     seen.clear()
                 seen.add(c)
                 classes.append(c)
-                sets.append(s >> U64(16))
+                sets.append(s)
             if not sets:
                 continue
             sizes = np.array([len(s) for s in sets], np.int64)
-            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            is_hot = np.isin(grams, shared.value)
+            grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+            is_hot = np.isin(grams >> U64(16), shared.value)
             hots = np.bincount(owner[is_hot], minlength=len(sets))
             short = (sizes - hots < prefix_length(sizes))[owner] & is_hot
+            grams >>= U64(64 - bits)
             out: list[list] = [[], []]
-            home = np.array([int.from_bytes(c[:4], "big") % parts for c in classes])[owner]
-            for part in np.unique(home[short]).tolist():
-                there = short & (home == part)
-                out[0].append(-1 - part)
-                out[1].append(packed(classes, sizes, hots, owner[there], grams[there]))
+            if short.any():
+                home = np.array([int.from_bytes(c[:4], "big") % parts for c in classes])[owner]
+                for part in np.unique(home[short]).tolist():
+                    there = np.flatnonzero(short & (home == part))
+                    there = there[np.argsort(grams[there])]
+                    out[0].append(-1 - part)
+                    out[1].append(packed(classes, sizes, hots, owner[there], grams[there]))
             grams, owner = grams[~is_hot], owner[~is_hot]
             order = np.argsort(grams)
             grams, owner = grams[order], owner[order]
-            edges = np.searchsorted((grams >> U64(16)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64))
+            edges = np.searchsorted((grams >> U64(bits - 32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64))
             for part in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[part], edges[part + 1]
                 out[0].append(part)
                 out[1].append(packed(classes, sizes, hots, owner[a:b], grams[a:b]))
-            for a in range(0, len(out[0]), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 64], pa.int32()), pa.array(out[1][a : a + 64], pa.binary())], names=["part", "data"])
+            for a in range(0, len(out[0]), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 16], pa.int32()), pa.array(out[1][a : a + 16], pa.binary())], names=["part", "data"])
 
     return source.select("text").mapInArrow(run, "part int, data binary")
 
 
 def counted_grams(sent: DataFrame) -> DataFrame:
-    """class, n, hot, gram, df: the shingles that two classes or more hold, with the number of these; hot ones have LAST."""
+    """class, n, hot, grams, dfs: for each set and range, the shingles that two classes or more hold, and the number of these; hot ones have LAST."""
 
     def count(part: pa.Table) -> pa.Table:
+        hot_part = part.column("part")[0].as_py() < 0
         rows = [unpacked(d.as_py()) for d in part.column("data")]
-        names, back = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        sizes, hots = np.zeros(len(names), np.int32), np.zeros(len(names), np.int32)
-        sizes[back], hots[back] = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+        names = np.concatenate([r[0] for r in rows])
         starts = np.cumsum([0, *(len(r[0]) for r in rows)])
-        owner = np.concatenate([back[a + r[3].astype(np.int64)] for a, r in zip(starts, rows)])
+        owner = np.concatenate([r[3] + np.int32(a) for a, r in zip(starts, rows)])
         grams = np.concatenate([r[4] for r in rows])
+        sizes, hots = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
         del rows
-        order = np.lexsort((owner, grams))
+        # A class that several tasks sent counts once: its first row stands for it.
+        names, first = np.unique(names, return_index=True)
+        place = np.full(len(sizes), -1, np.int32)
+        place[first] = np.arange(len(first), dtype=np.int32)
+        owner = place[owner]
+        grams, owner = grams[owner >= 0], owner[owner >= 0]
+        order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
-        new = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]
-        grams, owner = grams[new], owner[new]
-        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-        df = np.diff(np.r_[first, len(grams)])
+        heads = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        df = np.diff(np.r_[heads, len(grams)]).astype(np.int32)
         df = np.repeat(df, df)
-        if part.column("part")[0].as_py() < 0:
+        if hot_part:
             df[:] = LAST
         keep = df > 1
         grams, owner, df = grams[keep], owner[keep], df[keep]
-        binary = pa.array([bytes(x).ljust(16, b"\0") for x in names.tolist()], pa.binary())
+        order = np.argsort(owner, kind="stable")
+        grams, owner, df = grams[order], owner[order], df[order]
+        of = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+        who, edges = owner[of], pa.array(np.r_[of, len(owner)].astype(np.int32))
+        lists = lambda x, kind: pa.ListArray.from_arrays(edges, pa.array(x, kind))
         return pa.table({
-            "class": binary.take(pa.array(owner)), "n": pa.array(sizes[owner]), "hot": pa.array(hots[owner]), "gram": pa.array(grams.view(np.int64)), "df": pa.array(df.astype(np.int32)),
+            "class": pa.array([bytes(x).ljust(16, b"\0") for x in names[who].tolist()], pa.binary()), "n": pa.array(sizes[first][who], pa.int32()),
+            "hot": pa.array(hots[first][who], pa.int32()), "grams": lists(grams.view(np.int64), pa.int64()), "dfs": lists(df, pa.int32()),
         })
 
-    return sent.groupBy("part").applyInArrow(count, "class binary, n int, hot int, gram long, df int")
+    return sent.groupBy("part").applyInArrow(count, "class binary, n int, hot int, grams array<long>, dfs array<int>")
 
 
-def prefixes(counted: DataFrame) -> DataFrame:
-    """gram, class, n, pos and suffix counts r0.. of the prefix of each set, as far as its shingles are shared."""
-    whole = Window.partitionBy("class")
-    order = whole.orderBy("df", "gram")
-    known = F.count_if(F.col("df") < LAST).over(whole)
-    placed = counted.withColumn("pos", (F.col("n") - F.col("hot") - known + F.row_number().over(order) - 1).cast("int"))
-    span = lambda i: F.count_if((F.col("df") < LAST) & (F.col("gram") >= i << 46) & (F.col("gram") < (i + 1) << 46))
-    for i in range(RANGES):
-        placed = placed.withColumn(f"r{i}", (span(i).over(whole) - span(i).over(order)).cast("int"))
-    return placed.where(F.col("pos") < prefix_length(F.col("n"))).select("gram", "class", "n", "pos", *SUFFIX)
+def prefixes(counted: DataFrame, bits: int) -> DataFrame:
+    """gram, class, n, pos and suffix counts r0.. of the prefix of each set, as far as its shingles are shared.
+
+    A set's rows from all ranges come one after another; only the last set of a batch waits for the next one.
+    """
+
+    def of_sets(rows: pa.Table) -> pa.RecordBatch:
+        names = rows.column("class").to_pylist()
+        new = np.array([True, *(a != b for a, b in zip(names, names[1:]))])
+        heads = np.flatnonzero(new)
+        size = np.diff(rows.column("grams").combine_chunks().offsets.to_numpy())
+        owner = np.repeat(np.cumsum(new) - 1, size)
+        grams, dfs = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "dfs"))
+        n, hot = (rows.column(c).to_numpy()[heads].astype(np.int64) for c in ("n", "hot"))
+        order = np.lexsort((grams, dfs, owner))
+        grams, owner, cold = grams[order], owner[order], dfs[order] < LAST
+        known = np.bincount(owner[cold], minlength=len(heads))
+        begin = np.searchsorted(owner, np.arange(len(heads)))
+        pos = (n - hot - known - begin)[owner] + np.arange(len(owner))
+        keep = np.flatnonzero(pos < prefix_length(n)[owner])
+        later = []
+        for i in range(RANGES):
+            upto = np.cumsum(cold & (grams >> (bits - 2) == i))
+            whole = np.r_[upto[begin[1:] - 1], upto[-1:]]
+            later.append((whole[owner] - upto)[keep])
+        who = owner[keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(grams[keep]), pa.array([names[i] for i in heads[who].tolist()], pa.binary()), *(pa.array(x, pa.int32()) for x in (n[who], pos[keep], *later))],
+            names=["gram", "class", "n", "pos", *SUFFIX],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            names = rows.column("class").to_pylist()
+            done = names.index(names[-1])
+            held = rows.slice(done)
+            if done:
+                yield of_sets(rows.slice(0, done))
+        if held is not None:
+            yield of_sets(held)
+
+    together = counted.repartition("class").sortWithinPartitions("class")
+    return together.mapInArrow(run, f"gram long, class binary, n int, pos int, {', '.join(f'{c} int' for c in SUFFIX)}")
 
 
 SUFFIX = tuple(f"r{i}" for i in range(RANGES))
@@ -283,9 +335,9 @@ def relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
     return live.drop("label").join(named, "class", "left").withColumn("label", F.coalesce("named", "class")).drop("named")
 
 
-def links_of(source: DataFrame, classes: DataFrame, counted: DataFrame) -> DataFrame | None:
+def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFrame | None:
     """node, label of the classes that link with others, or None without any."""
-    first = checkpoint(prefixes(counted))
+    first = checkpoint(prefix)
     twice = first.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     plain = checkpoint(first.join(twice, "gram", "left_semi"))
     if plain.isEmpty():
@@ -315,7 +367,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     total = int(rows.agg(F.sum("n")).first()[0] or 0)
     frequent = told.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT, total >> HOT_BITS))
     hot = np.sort(frequent.select("gram").toArrow().column("gram").to_numpy()).astype(U64)
-    labels = links_of(source, classes, counted_grams(sent_grams(source, max(1, -(-total // PART)), hot)))
+    bits = min(62, max(32, total.bit_length() + SPARE_BITS))
+    labels = links_of(source, classes, prefixes(counted_grams(sent_grams(source, max(1, -(-total // PART)), bits, hot)), bits))
     of_class = classes.select("class", F.col("rep").alias("component"))
     if labels is not None:
         least = labels.join(classes, labels.node == classes["class"]).groupBy("label").agg(F.min("rep").alias("component"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, elias_fano, fingerprints, graph, jaccard_join, language_model, licenses, packing, quality, substrings, toxicity, url_filters
+from tessella.llm import bpe, common, elias_fano, fingerprints, graph, jaccard_join, language_model, licenses, packing, quality, substrings, toxicity, url_filters
 
 WORDS = [f"w{i}" for i in range(60)] + ["the", "of", "Übung", "año"]
 
@@ -399,7 +399,10 @@ def test_bpe(spark):
         assert list(got[i]["ids"]) == want and back[i]["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
-def test_jaccard_components(spark):
+@pytest.mark.parametrize(("part", "hot", "frequent", "rounds"), [(5_000_000, 1000, 16, 3), (300, 4, 2, 3), (50, 2, 1, 0), (1000, 10**9, 16, 0)])
+def test_jaccard_components(spark, part, hot, frequent, rounds, monkeypatch):
+    for name, value in (("PART", part), ("HOT", hot), ("FREQUENT", frequent), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(11)
     base = [[rng.choice(WORDS) for _ in range(120)] for _ in range(8)]
     rows = texts()
@@ -409,6 +412,7 @@ def test_jaccard_components(spark):
             for _ in range(rng.randint(0, 5)):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             rows.append(" ".join(w))
+    rows += [rows[-1], rows[-2] + "  ", "a b c d e f", "A b c d E f g", "common line " * 4 + rows[3], "common line " * 4 + rows[4]]
     got = by_id(jaccard_join.jaccard_components(documents(spark, rows)))
     sets = []
     for t in rows:
@@ -423,6 +427,25 @@ def test_jaccard_components(spark):
     assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i in got} == {i: (len(sets[i]), label[i]) for i in range(len(rows))}
 
 
+def test_packed_shingles_come_back():
+    rng = np.random.default_rng(3)
+    for k in (0, 1, 1000):
+        classes, grams = [bytes(rng.integers(0, 256, 15, np.uint8)) + b"\0" for _ in range(50)], np.sort(rng.integers(0, 1 << 62, k).astype(np.uint64))
+        owner, sizes, hot = rng.integers(0, 50, k), rng.integers(1, 1 << 30, 50), rng.integers(0, 9, 50)
+        names, n, h, at, back = jaccard_join.unpacked(jaccard_join.packed(classes, sizes, hot, owner, grams))
+        assert back.tolist() == grams.tolist() and [bytes(x).ljust(16, b"\0") for x in names[at].tolist()] == [classes[i] for i in owner]
+        assert n[at].tolist() == sizes[owner].tolist() and h[at].tolist() == hot[owner].tolist()
+
+
+def test_rows_with_keys(spark, monkeypatch):
+    """By the bitmap and without it."""
+    rows, keys = spark.range(3000).select(F.col("id").alias("key"), F.col("id").alias("_slot")), spark.range(0, 3000, 7).select(F.col("id").alias("key"))
+    for bits in (24, 0):
+        monkeypatch.setattr(common, "KEY_BITS", bits)
+        got = common.with_keys(rows, keys.union(keys), "key").collect()
+        assert sorted((r["key"], r["_slot"]) for r in got) == [(i, i) for i in range(0, 3000, 7)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
