@@ -3,16 +3,17 @@
 A rule is a host, a path prefix and/or a regular expression. Its literal tokens (runs of letters
 and digits that every matching URL must contain as whole tokens) are counted in the URLs at hand;
 the rule is indexed under its rarest token. A URL's tokens then fetch candidate rules from the
-index, and only those are tested. The few rules that match inside longer tokens have no such token
-and are tested on every URL. Everything is built-in Spark SQL: the rule index is a literal
-map of a fixed number of rules, so testing is row-local and nothing is shuffled except the
-token counts (at most one row for each rule token).
+index by a join, and only those are tested; so a URL's cost does not grow with the rules that have other tokens. The
+index is broadcast up to BROADCAST_RULES rules, and joined by its size else. The few rules that match inside
+longer tokens have no such token and are tested on every URL. Everything is built-in Spark SQL.
+
+A URL is judged once, however many rows have it; the rows look their URL's result up.
 
 Verdicts: prefix rules come first and the longest fitting one wins; without one, the pattern rules
 decide: an allow pattern wins over block patterns, and a URL that no pattern fits is allowed.
 
 Defined cases: a null url or one without "://" has empty host and path and is tested as such (no
-prefix rule fits; verdict allow). Repeated rows are judged each on its own. Extra columns are
+prefix rule fits; verdict allow). A null key stays. Repeated rows are judged each on its own. Extra columns are
 ignored.
 """
 
@@ -49,6 +50,9 @@ class PatternRule:
     pattern: str
 
 
+#: Rules up to which the index is broadcast.
+BROADCAST_RULES = 100_000
+
 #: Fixed values of the query's contract.
 PREFIX_RULES = (
     PrefixRule("allow", "com", "/"),
@@ -129,59 +133,62 @@ def url_tokens(c: Column) -> Column:
 
 
 def rarest_tokens(urls: DataFrame, rules: list[tuple[str, ...]]) -> list[str | None]:
-    """For each rule, its token that stands in the fewest rows of `subject` (ties: alphabetical), or None without tokens.
+    """For each rule, its token that stands in the fewest rows of (url, token) (ties: alphabetical), or None without tokens.
 
     The counts that reach the driver are one row for each distinct rule token at most.
     """
     wanted = sorted({t for r in rules for t in r})
-    counts = (
-        urls.select(F.explode(F.array_intersect(url_tokens(F.col("subject")), F.array(*map(F.lit, wanted)))).alias("t"))
-        .groupBy("t").agg(F.count("*").alias("n")).collect()
-    )
-    seen = {r["t"]: r["n"] for r in counts}
+    known = _sized(urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), len(wanted))
+    counts = urls.select("token").join(known, "token").groupBy("token").agg(F.count("*").alias("n")).collect()
+    seen = {r["token"]: r["n"] for r in counts}
     return [min(r, key=lambda t: (seen.get(t, 0), t), default=None) for r in rules]
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """The table for a broadcast if it has few rows; a larger one is joined as Spark sees fit."""
+    return F.broadcast(df) if rows <= BROADCAST_RULES else df
+
+
 def judge_urls(pages: DataFrame, prefixes: list[PrefixRule], patterns: list[PatternRule], key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule (longest fitting prefix rule or null), pattern (first fitting pattern or null), verdict."""
     base = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
-    parts = base.select("key", "url", host.alias("host"), path.alias("path"))
     query = F.coalesce(F.regexp_extract("url", r"(\?[^#]*)", 1), F.lit(""))
-    parts = parts.select("key", "host", "path", F.concat("host", ascii_lower(F.col("path")), ascii_lower(query)).alias("subject"))
+    with_parts = lambda df: df.select("*", host.alias("host"), path.alias("path"))
+    subject = F.concat("host", ascii_lower(F.col("path")), ascii_lower(query))
+    urls = with_parts(base.where("url IS NOT NULL").select("url").distinct()).select("*", subject.alias("subject"))
+    tokens = urls.select("*", F.explode(F.array_distinct(url_tokens(F.col("subject")))).alias("token"))
 
     every = [*(tuple(sorted(tokens_of(p))) for p in prefixes), *(p.tokens for p in patterns)]
-    kind = "struct<kind:int,verdict:string,name:string,host:string,path:string,pattern:string,rank:int>"
-    index: dict[str | None, list[Column]] = {}
-    for i, (rule, token) in enumerate(zip([*prefixes, *patterns], rarest_tokens(parts, every))):
+    rows = []
+    for i, (rule, token) in enumerate(zip([*prefixes, *patterns], rarest_tokens(tokens, every))):
         fields = (0, rule.verdict, rule.name, rule.host, rule.path, "", i) if isinstance(rule, PrefixRule) else (1, rule.verdict, rule.name, "", "", rule.pattern, i)
-        index.setdefault(token, []).append(F.struct(*map(F.lit, fields)).cast(kind))
-    always = F.array(*index.pop(None, [])).cast(f"array<{kind}>")
-    of_token = F.create_map(*[x for t, rows in index.items() for x in (F.lit(t), F.array(*rows))])
-
-    hits = F.array_intersect(url_tokens(F.col("subject")), F.array(*map(F.lit, index)))
-    found = parts.withColumn("candidates", F.concat(always, F.flatten(F.transform(hits, lambda t: of_token[t]))))
-    fits_host = lambda r: (F.col("host") == r["host"]) | F.col("host").endswith(F.concat(F.lit("."), r["host"]))
-    found = found.withColumn(
-        "prefix",
-        F.array_max(F.transform(
-            F.filter("candidates", lambda r: (r["kind"] == 0) & fits_host(r) & F.startswith(F.col("path"), r["path"])),
-            lambda r: F.struct(F.length(r["name"]).alias("n"), (-r["rank"]).alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict")),
-        )),
-    ).withColumn(
-        "pattern",
-        F.array_min(F.transform(
-            F.filter("candidates", lambda r: F.when(r["kind"] == 1, F.regexp_like(F.col("subject"), r["pattern"])).otherwise(False)),
-            lambda r: F.struct(r["verdict"].alias("verdict"), r["rank"].alias("rank"), r["name"].alias("name")),
-        )),
-    )
-    return found.select(
+        rows.append((token, *fields))
+    kind = "token string, kind int, verdict string, name string, rule_host string, rule_path string, pattern string, rank int"
+    index = rule_table(pages, [r for r in rows if r[0] is not None], kind)
+    below = (F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), F.col("rule_host")))
+    fits = F.when(F.col("kind") == 0, below & F.startswith(F.col("path"), F.col("rule_path"))).otherwise(F.regexp_like("subject", F.col("pattern")))
+    found = tokens.join(index, "token").where(fits).select("url", "kind", "verdict", "name", "rank")
+    # Rules without a necessary token: literals, tested where the urls are.
+    always = [r for r in rows if r[0] is None]
+    if always:
+        each = F.array(*(F.when(F.regexp_like("subject", F.lit(r[6])), F.struct(F.lit(r[1]).alias("kind"), F.lit(r[2]).alias("verdict"), F.lit(r[3]).alias("name"), F.lit(r[7]).alias("rank"))) for r in always))
+        found = found.union(urls.select("url", F.explode(F.array_compact(each)).alias("r")).select("url", "r.kind", "r.verdict", "r.name", "r.rank"))
+    best = found.groupBy("url").agg(
+        F.max(F.when(F.col("kind") == 0, F.struct(F.length("name").alias("n"), (-F.col("rank")).alias("rank"), "name", "verdict"))).alias("prefix"),
+        F.min(F.when(F.col("kind") == 1, F.struct("verdict", "rank", "name"))).alias("pattern"),
+    )
+    return with_parts(base).join(best, "url", "left").select(
         F.col("key").alias(key), "host", "path", F.col("prefix.name").alias("rule"),
         F.coalesce("prefix.verdict", "pattern.verdict", F.lit("allow")).alias("verdict"),
         F.col("pattern.name").alias("pattern"),
     )
 
 
+def rule_table(pages: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
+    return _sized(pages.sparkSession.createDataFrame(rows, kind), len(rows))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), list(PREFIX_RULES), pattern_rules())
 

@@ -485,6 +485,33 @@ def test_url_index_finds_what_all_rules_find(spark):
             assert r["rule"] or r["verdict"] == min(hits, default=("allow",))[0], r
 
 
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_url_rules_may_be_many(spark, limit, monkeypatch):
+    """Thousands of generated rules, each url held against all of them; null and repeated urls and keys among the rows."""
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", limit)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    patterns = []
+    for i in range(3000):
+        t = sorted({rng.choice(words) for _ in range(rng.randint(1, 2))})
+        patterns.append(url_filters.PatternRule(rng.choice(["allow", "block"]), f"p{i}", tuple(t), rf"(?:^|[^a-z0-9]){t[0]}(?:[^a-z0-9]|$).*(?:^|[^a-z0-9]){t[-1]}" if len(t) > 1 else rf"/{t[0]}(?:[^a-z0-9]|$)"))
+    patterns = [p if len(p.tokens) == 1 else url_filters.PatternRule(p.verdict, p.name, p.tokens[:1], p.pattern) for p in patterns]
+    prefixes = [url_filters.PrefixRule(rng.choice(["allow", "block"]), f"{rng.choice(words)}.org", "/" + rng.choice(words)[:1]) for _ in range(50)]
+    urls = ["http://" + ".".join(rng.choice(words) for _ in range(2)) + ".org/" + "/".join(rng.choice(words) for _ in range(3)) for _ in range(60)]
+    rows = [*enumerate(urls), (None, urls[0]), (None, None), (7, urls[7]), (90, "//" + urls[3][7:]), (91, "")]
+    got = url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), prefixes, patterns).collect()
+    assert len(got) == len(rows) and sum(r["page_id"] is None for r in got) == 2
+    verdict = {}
+    for r in got:
+        fit = [(len(p.name), -n, p.name, p.verdict) for n, p in enumerate(prefixes) if (r["host"] == p.host or r["host"].endswith("." + p.host)) and r["path"].startswith(p.path)]
+        best = max(fit, default=None)
+        hits = [(p.verdict, n, p.name) for n, p in enumerate(patterns) if re.search(p.pattern, r["host"] + r["path"])]
+        assert (r["rule"], r["pattern"]) == (best and best[2], min(hits)[2] if hits else None)
+        assert r["verdict"] == (best[3] if best else min(hits)[0] if hits else "allow")
+        verdict.setdefault((r["host"], r["path"]), set()).add(r["verdict"])
+    assert all(len(v) == 1 for v in verdict.values())
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
