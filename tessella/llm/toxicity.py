@@ -7,14 +7,16 @@
    enter the lexicon with their log-odds; every other token costs a fixed negative amount.
 2. Segments. A linear scan finds all maximal scoring segments of each document: the hits are taken
    left to right, and disjoint candidates merge as long as merging raises a segment's score.
-3. Calibration. Under clean text the best segment's score follows an extreme-value law whose
-   location grows with the log of the length. A document's raw score is log-length corrected, its
-   significant segments are summed, and a logistic curve turns both into a probability. The curve is
-   fitted to one half of the training rows with a lexicon learned from the other half, so that it
-   sees how tokens score on texts that they were not learned from.
+3. Calibration. The best segment's score S of a clean text of n tokens follows an extreme-value law,
+   P(S > x) = 1 - exp(-K n exp(-L x)), a Gumbel law with scale 1 / L and location log(K n) / L. L and K are fitted by
+   maximum likelihood to clean training rows; rows without a hit count by P(S <= 0). A segment is significant
+   if its p-value is ALPHA or less; only these are passages of the result. A document's features are the excess of its best
+   segment, -log(K n exp(-L x)), and the logarithm of its segments' summed excesses; a logistic
+   curve turns both into a probability. Law and curve are fitted to one half of the training rows with a lexicon learned
+   from the other half, so that they see how tokens score on texts that they were not learned from.
 
 Learning uses a bounded sample: at most SAMPLE labelled training rows, taken by hash of doc_id, so the
-sample's ids may be broadcast. The lexicon keeps at most LEXICON tokens by z-score.
+sample's ids may be broadcast. The lexicon has every significant token of the sample; so the sample bounds it as well.
 
 Defined cases: null and empty texts have no segments and get the score of a text without hits. If
 there are no labelled rows of both labels, every score is the same: the share of label 1, or 0.
@@ -35,8 +37,8 @@ from tessella.llm.common import raw, slices, table
 
 #: Labelled training rows to learn from at most (documented bound of the classifier's sample).
 SAMPLE = 20_000
-#: Tokens of the lexicon at most (documented bound of the classifier's features).
-LEXICON = 20_000
+#: Largest p-value of a significant segment.
+ALPHA = 0.01
 #: Pseudo-counts of the Dirichlet prior, and the least significance and log-odds of a lexicon token.
 PRIOR = 10.0
 LEAST = 0.5
@@ -89,49 +91,82 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     (high). A new candidate merges with the nearest one to its left whose low is lower and whose high
     does not reach its own, taking in all between; otherwise it stands alone.
     """
-    stack: list[list[float]] = []  # [first, last, low, high]
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, low, high, nearest to the left with a lower low
     total, at = 0.0, 0
     for place, score in hits:
         total += drift * (place - at)
         low, total, at = total, total + score, place + 1
-        first, high = place, total
+        first, j = place, len(stack) - 1
         while True:
-            j = len(stack) - 1
+            # Candidates between one and its link have no lower low than it has, so each is passed over once.
             while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                stack.append([first, place, low, high])
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= total:
+                stack.append((first, place, low, total, j))
                 break
-            first, low = int(stack[j][0]), stack[j][2]
+            first, _, low, _, link = stack[j]
             del stack[j:]
-    return [(int(a), int(b), high - low) for a, b, low, high in stack]
+            j = link
+    return [(a, b, high - low) for a, b, low, high, _ in stack]
+
+
+def excess(score, n, law: tuple[float, float]):
+    """-log of the expected number of clean segments with this score or more among n tokens."""
+    scale, share = law
+    return scale * score - np.log(share * np.maximum(n, 1))
+
+
+def extreme_value_law(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """L and K of the law by maximum likelihood, from the best scores (0 without a hit) of clean texts of n tokens.
+
+    One observation of score 1 in a text of mean length is added, so that the law is defined without any hits.
+    """
+    n = np.maximum(n, 1).astype(float)
+    best, n = np.r_[best, 1.0], np.r_[n, n.mean() if len(n) else 1.0]
+    some = best > 0
+    low, high = 1e-3, 1e2
+
+    def slope(scale: float) -> float:
+        weight = n * np.exp(-scale * best)
+        return 1 / scale - best[some].mean() + (weight * best).sum() / weight.sum()
+
+    for _ in range(100):  # the likelihood's slope falls with the scale
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if slope(middle) > 0 else (low, middle)
+    return low, float(some.sum() / (n * np.exp(-low * best)).sum())
 
 
 @dataclass(frozen=True)
 class Model:
-    """Lexicon, length correction and logistic curve; small and of bounded size."""
+    """Lexicon, extreme-value law and logistic curve."""
 
     lexicon: dict[bytes, float]
     drift: float
-    location: float
+    law: tuple[float, float]
     curve: tuple[float, float, float]
 
-    def features(self, text: bytes, scores: WordScores) -> tuple[float, float, list[tuple[int, int, float]]]:
-        """Best segment's score beyond the extreme-value location, sum over significant segments, segments."""
+    def segments(self, text: bytes, scores: WordScores) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and all maximal segments."""
         words = tokens(text)
-        hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s is not None]
-        if not hits:
-            return 0.0, 0.0, []
-        found = segments(hits, self.drift)
-        base = self.location * np.log1p(len(words))
-        best = max(s for _, _, s in found)
-        return max(best - base, 0.0), float(np.log1p(sum(max(s - base, 0.0) for _, _, s in found))), found
+        return len(words), segments([(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s is not None], self.drift)
+
+    def features(self, text: bytes, scores: WordScores) -> tuple[float, float, list[tuple[int, int, float, float]]]:
+        """Excess of the best segment, log of the summed excesses, and the significant segments with their p-values."""
+        n, found = self.segments(text, scores)
+        over = [(a, b, s, float(excess(s, n, self.law))) for a, b, s in found]
+        kept = [(a, b, s, float(-np.expm1(-np.exp(-x)))) for a, b, s, x in over if -np.expm1(-np.exp(-x)) <= ALPHA]
+        return *summed([x for _, _, _, x in over]), kept
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         z = self.curve[0] + x @ np.asarray(self.curve[1:])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def summed(excesses: list[float]) -> tuple[float, float]:
+    """The features of a document from its segments' excesses."""
+    return max(max(excesses, default=0.0), 0.0), float(np.log1p(sum(max(x, 0.0) for x in excesses)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights (intercept first) by Newton steps with a small ridge on the slopes."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -163,7 +198,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str) ->
 def lexicons(sample: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
     """Tokens with significantly raised log-odds of label 1, from fold 0 alone and from both folds.
 
-    A token counts once for each distinct text. Both results hold LEXICON tokens at most.
+    A token counts once for each distinct text.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,23 +230,23 @@ def lexicons(sample: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]
     kept = counts.select(
         "token", scored(F.col("a0"), F.col("a1"), a0, a1, "half"), scored(F.col("a0") + F.col("b0"), F.col("a1") + F.col("b1"), a0 + b0, a1 + b1, "full")
     ).where("half IS NOT NULL OR full IS NOT NULL")
-    rows = kept.orderBy(F.greatest(F.coalesce("half.z", F.lit(0.0)), F.coalesce("full.z", F.lit(0.0))).desc(), "token").limit(LEXICON).collect()
+    rows = kept.collect()
     return tuple({bytes(r["token"]): float(r[k]["delta"]) for r in rows if r[k]} for k in ("half", "full"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Learn the lexicon and calibrate; only the sample's features (at most SAMPLE rows) reach the driver."""
+    """Learn the lexicon and calibrate; only the sample's tokens and scores (at most SAMPLE rows) reach the driver."""
     sample = labelled_sample(docs, labels, key, text)
     half, words = lexicons(sample)
-    first = Model(half, DRIFT, 0.0, (0.0, 0.0, 0.0))
+    first = Model(half, DRIFT, (1.0, 1.0), (0.0, 0.0, 0.0))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(first.lexicon)
         for batch in slices(batches):
             rows = [(t, y) for t, y in zip(raw(batch.column("text")), batch.column("toxic").to_pylist())]
-            got = [first.features(t, scores)[2] for t, _ in rows]
+            got = [first.segments(t, scores) for t, _ in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([[s for _, _, s in g] for g in got], pa.list_(pa.float64())), pa.array([len(tokens(t)) for t, _ in rows], pa.int64()),
+                [pa.array([[s for _, _, s in g] for _, g in got], pa.list_(pa.float64())), pa.array([n for n, _ in got], pa.int64()),
                  pa.array([1.0 if y else 0.0 for _, y in rows], pa.float64())],
                 names=["scores", "n", "y"],
             )
@@ -222,16 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     scores = got.column("scores").to_pylist()
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Model({}, DRIFT, 0.0, (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
-    best = np.array([max(s, default=0.0) for s in scores])
-    clean = (y == 0) & (best > 0)
-    # Extreme-value location: the slope of the best clean score on the log length, through the origin.
-    length = np.log1p(n)
-    location = float((best[clean] * length[clean]).sum() / (length[y == 0] ** 2).sum()) if clean.any() else 0.0
-    base = location * length
-    x = np.column_stack([np.maximum(best - base, 0), np.log1p([sum(max(s - b, 0.0) for s in ss) for ss, b in zip(scores, base)])])
+        return Model({}, DRIFT, (1.0, 1.0), (float(np.log((share + 1e-9) / (1 - share + 1e-9))), 0.0, 0.0))
+    law = extreme_value_law(np.array([max(s, default=0.0) for s, toxic in zip(scores, y) if not toxic]), n[y == 0])
+    x = np.array([summed([float(excess(s, k, law)) for s in of_row]) for of_row, k in zip(scores, n)])
     w = logistic(x, y)
-    return Model(words, DRIFT, location, tuple(float(v) for v in w))
+    return Model(words, DRIFT, law, tuple(float(v) for v in w))
 
 
 def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,16 +273,16 @@ def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scores = WordScores(m.lexicon)
-        spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+        spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())]))
         for batch in slices(batches):
             got = [m.features(t, scores) for t in raw(batch.column("text"))]
             p = m.probability(np.array([g[:2] for g in got], float).reshape(len(got), 2))
-            spans = [[{"first": a, "last": b, "score": s} for a, b, s in g[2]] for g in got]
+            spans = [[{"first": a, "last": b, "score": s, "p_value": p} for a, b, s, p in g[2]] for g in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(p, pa.float64()), pa.array(spans, spans_type)], names=["key", "score", "segments"]
             )
 
-    scored = source.mapInArrow(run, f"key {kind}, score double, segments array<struct<first:long,last:long,score:double>>")
+    scored = source.mapInArrow(run, f"key {kind}, score double, segments array<struct<first:long,last:long,score:double,p_value:double>>")
     return scored.select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
 
 
@@ -264,7 +294,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic, with the columns of documents."""
+    """Documents that are not predicted toxic, with the columns of documents, whatever else they hold.
+
+    Null and empty texts score like a text without hits; rows with a null doc_id are scored but never learned from; repeated
+    rows are judged alike, each on its own. An empty table gives an empty one.
+    """
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     # Row-local: the score is an array of one beside the row's own columns, so nothing is shuffled.
     shared = spark.sparkContext.broadcast(model)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -533,6 +534,74 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {none.probability(np.zeros((1, 2)))[0]}
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Lexicon, law, curve's features, segments and scores of every row, from their definitions."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(WORDS) for _ in range(rng.randint(1, 90))]
+        bad = i % 4 == 0
+        for _ in range(rng.randint(1, 4) * bad + (rng.random() < 0.02)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice(["scum", "idiotic", "Idiots", "trash"]))
+        rows.append(" ".join(w))
+        labels.append((i, 1, int(bad)))
+    rows += [None, "", "idiot " * 20_000]
+    docs = documents(spark, rows)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, table)
+    train = [(rows[i], y) for i, _, y in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    seen = collections.defaultdict(int)
+    for t, y in train:
+        seen[t] = max(seen[t], y)
+    forms = lambda w: {w, *(w[:n] + b" " for n in (4, 5, 6) if len(w) > n)}
+    words = lambda t: re.findall(rb"[a-z0-9'\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    count = [collections.Counter(f for t, y in seen.items() if y == k for f in {f for w in words(t) for f in forms(w)}) for k in (0, 1)]
+    size = [sum(y == k for y in seen.values()) for k in (0, 1)]
+    lexicon = {}
+    for token in set(count[0]) | set(count[1]):
+        c, both = [count[0][token], count[1][token]], count[0][token] + count[1][token]
+        prior = toxicity.LEAST + toxicity.PRIOR / sum(size) * both
+        delta = math.log((c[1] + prior) / (size[1] + toxicity.PRIOR)) - math.log((c[0] + prior) / (size[0] + toxicity.PRIOR))
+        ratio = 2 * sum(c[k] * math.log(c[k] / (both * size[k] / sum(size))) for k in (0, 1) if c[k])
+        if delta >= toxicity.DELTA_LEAST and ratio**0.5 >= toxicity.Z_LEAST:
+            lexicon[token] = delta
+    assert model.lexicon.keys() == lexicon.keys() and all(abs(model.lexicon[t] - lexicon[t]) < 1e-9 for t in lexicon) and len(lexicon) >= 3
+    got = by_id(toxicity.toxicity(docs, model))
+    scale, share = model.law
+    for i, t in enumerate(rows):
+        w = words(t)
+        value = [max((lexicon[f] for f in forms(x) if f in lexicon), default=None) for x in w]
+        found = toxicity.segments([(k, v) for k, v in enumerate(value) if v is not None], toxicity.DRIFT)
+        over = [(a, b, s, scale * s - math.log(share * max(len(w), 1))) for a, b, s in found]
+        x = max([0.0, *(o for *_, o in over)]), math.log1p(sum(max(o, 0) for *_, o in over))
+        z = model.curve[0] + model.curve[1] * x[0] + model.curve[2] * x[1]
+        assert abs(got[i]["score"] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-9
+        passages = [(a, b, 1 - math.exp(-math.exp(-o))) for a, b, s, o in over if 1 - math.exp(-math.exp(-o)) <= toxicity.ALPHA]
+        assert [(r["first"], r["last"]) for r in got[i]["segments"]] == [p[:2] for p in passages]
+        assert all(abs(r["p_value"] - p[2]) < 1e-9 for r, p in zip(got[i]["segments"], passages))
+
+
+def test_extreme_value_law_finds_its_parameters():
+    rng = np.random.default_rng(4)
+    n = rng.integers(20, 2000, 20_000)
+    scale, share = 1.7, 0.01
+    best = np.maximum((np.log(share * n) - np.log(-np.log(rng.random(len(n))))) / scale, 0.0)
+    got = toxicity.extreme_value_law(best, n)
+    assert abs(got[0] / scale - 1) < 0.05 and abs(got[1] / share - 1) < 0.05
+    assert all(np.isfinite(toxicity.extreme_value_law(np.zeros(k), np.full(k, 9)))[0] for k in (0, 5))
+
+
+def test_the_scan_of_segments_is_linear():
+    """Scores that fall and rise slowly keep many candidates open; ten times the hits take about ten times the time."""
+    took = []
+    for n in (20_000, 200_000):
+        hits = [(2 * i, 0.5 + (i % 7 == 0) * 0.2) for i in range(n)]
+        began = time.perf_counter()
+        assert toxicity.segments(hits, -0.7)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0] + 1
+
+
 def test_segments_are_the_maximal_ones():
     """Against the recursive definition: the best segment, then the same on either side of it."""
 
