@@ -13,33 +13,43 @@ _ZEROS = ~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorde
 SELECT0 = np.argsort(~_ZEROS, axis=1, kind="stable").astype(np.uint8)
 
 
+def _parts(width: int) -> list[tuple[int, type]]:
+    """Offsets and types of the arrays that hold `width` bits (whole bytes)."""
+    out, at = [], 0
+    for size, kind in ((32, np.uint32), (16, np.uint16), (8, np.uint8)):
+        while width - at >= size:
+            out.append((at, kind))
+            at += size
+    return out
+
+
 class EliasFano:
-    """A strictly ascending sequence of unsigned 64-bit integers.
+    """An ascending sequence of unsigned 64-bit integers.
 
-    The low bits of each value are stored plainly (whole bytes), the high bits in unary: for value i a one
-    at place high + i. Zeros are counted for each 64-bit block, which is all that searching needs.
+    The low bits of each value are stored plainly, in as many whole bytes as they need; the high bits in unary: for value i
+    a one at place high + i. Zeros are counted before each 64-bit block, in 32 bits; ones follow from that.
     """
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, shift: int, size: int) -> None:
+    def __init__(self, low: list[np.ndarray], high: np.ndarray, zeros: np.ndarray, shift: int, size: int) -> None:
         self.low, self.high, self.zeros, self.shift, self.size = low, high, zeros, shift, size
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
-        need = max(0, (top // max(n, 1)).bit_length())
-        shift = next(b for b in (0, 8, 16, 32, 48) if b >= min(need, 48))
-        kind = {0: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32, 48: np.uint64}[shift]
-        low = (values & U64((1 << shift) - 1)).astype(kind) if shift else np.zeros(0, kind)
+        shift = min(56, -(-(top // max(n, 1)).bit_length() // 8) * 8)
+        low = [(values >> U64(at)).astype(kind) for at, kind in _parts(shift)]
         upper = (values >> U64(shift)).astype(np.int64)
         bits = np.zeros((n + (top >> shift) + 2 + 63) // 64 * 64, bool)
         bits[upper + np.arange(n)] = True
         packed = np.packbits(bits, bitorder="little").view(U64)
-        zeros = np.r_[0, np.cumsum(64 - np.bitwise_count(packed).astype(np.int64))]
+        zeros = np.r_[0, np.cumsum(64 - np.bitwise_count(packed).astype(np.int64))].astype(np.uint32)
         return cls(low, packed, zeros, shift, n)
 
     def save(self, folder: str, name: str) -> None:
-        for part in ("low", "high", "zeros"):
+        for i, part in enumerate(self.low):
+            np.save(os.path.join(folder, f"{name}.low{i}.npy"), part)
+        for part in ("high", "zeros"):
             np.save(os.path.join(folder, f"{name}.{part}.npy"), getattr(self, part))
         np.save(os.path.join(folder, f"{name}.size.npy"), np.array([self.shift, self.size]))
 
@@ -47,19 +57,38 @@ class EliasFano:
     def mapped(cls, folder: str, name: str) -> EliasFano:
         load = lambda part: np.load(os.path.join(folder, f"{name}.{part}.npy"), mmap_mode="r")
         shift, size = load("size").tolist()
-        return cls(load("low"), load("high"), load("zeros"), shift, size)
+        return cls([load(f"low{i}") for i in range(len(_parts(shift)))], load("high"), load("zeros"), shift, size)
+
+    def low_at(self, at: np.ndarray) -> np.ndarray:
+        """Low bits of the values at places."""
+        if len(self.low) == 1:
+            return self.low[0][at]
+        out = np.zeros(len(at), U64)
+        for (offset, _), part in zip(_parts(self.shift), self.low):
+            out |= part[at].astype(U64) << U64(offset)
+        return out
 
-    def place_of_zero(self, k: np.ndarray) -> np.ndarray:
-        """Bit place of the k-th zero (from 0); k must be within the zeros there are."""
-        block = np.searchsorted(self.zeros, k, side="right") - 1
-        rest = (k - self.zeros[block]).astype(np.int64)
-        octets = self.high[block].astype("<u8").view(np.uint8).reshape(len(k), 8)
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at places, which must be within the sequence."""
+        ones = np.arange(0, 64 * len(self.zeros), 64) - self.zeros
+        block = np.searchsorted(ones, at, side="right") - 1
+        place = block * 64 + self._within(block, at - ones[block], one=True)
+        return ((place - at).astype(U64) << U64(self.shift)) | self.low_at(at).astype(U64)
+
+    def _within(self, block: np.ndarray, rest: np.ndarray, one: bool) -> np.ndarray:
+        """Bit place in its block of the rest-th zero, or one, from 0."""
+        words = self.high[block] if not one else ~self.high[block]
+        octets = words.astype("<u8").view(np.uint8).reshape(len(block), 8)
         counts = 8 - np.bitwise_count(octets).astype(np.int64)
         ahead = np.cumsum(counts, axis=1)
         which = (ahead <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest -= ahead[row, which] - counts[row, which]
-        return block * 64 + which * 8 + SELECT0[octets[row, which], rest]
+        row = np.arange(len(block))
+        return which * 8 + SELECT0[octets[row, which], rest - ahead[row, which] + counts[row, which]]
+
+    def place_of_zero(self, k: np.ndarray) -> np.ndarray:
+        """Bit place of the k-th zero (from 0); k must be within the zeros there are."""
+        block = np.searchsorted(self.zeros, k.astype(np.uint32), side="right") - 1
+        return block * 64 + self._within(block, k - self.zeros[block], one=False)
 
     def search(self, values: np.ndarray) -> np.ndarray:
         """Place of each value in the sequence, or -1: successor search in the bucket of its high bits."""
@@ -67,7 +96,7 @@ class EliasFano:
         if not self.size:
             return out
         upper = (values >> U64(self.shift)).astype(np.int64)
-        ok = np.flatnonzero(upper < self.zeros[-1] - 1) if len(self.zeros) else np.empty(0, np.int64)
+        ok = np.flatnonzero(upper < int(self.zeros[-1]) - 1)
         for a in range(0, len(ok), 1 << 18):
             part = ok[a : a + (1 << 18)]
             h = upper[part]
@@ -77,19 +106,20 @@ class EliasFano:
                 hit = begin < stop
                 out[part[hit]] = begin[hit]
                 continue
-            want = (values[part] & U64((1 << self.shift) - 1)).astype(self.low.dtype)
+            want = values[part] & U64((1 << self.shift) - 1)
+            want = want.astype(self.low[0].dtype) if len(self.low) == 1 else want
             lo, hi = begin, stop.copy()
             while True:  # lowest place whose low bits reach those wanted
                 open_ = np.flatnonzero(lo < hi)
                 if not len(open_):
                     break
                 mid = (lo[open_] + hi[open_]) >> 1
-                less = self.low[mid] < want[open_]
+                less = self.low_at(mid) < want[open_]
                 lo[open_[less]] = mid[less] + 1
                 hi[open_[~less]] = mid[~less]
             inside = lo < stop
             hit = np.zeros(len(part), bool)
-            hit[inside] = self.low[lo[inside]] == want[inside]
+            hit[inside] = self.low_at(lo[inside]) == want[inside]
             out[part[hit]] = lo[hit]
         return out
 

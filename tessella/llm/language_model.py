@@ -11,8 +11,9 @@ most 1.
   as contexts, so all counts it needs are its own: c(u), c(u w), c(t u), c(t u w), and also whether (t, u) was
   seen as a bigram, by which it adds P(u) for tokens u that backed off to the unigram.
 * Trie. The shard's training n-grams form levels: words u; their successors w and predecessors t, each as
-  one ascending sequence led by the parent's place; and trigrams, in which w is replaced by its rank
-  among the successors of u (context-relative). Levels are Elias-Fano sequences with 8-bit quantised
+  one ascending sequence led by the parent's place, with monotone pointers to each word's first successor; and
+  trigrams, in which w is replaced by its rank among the successors of u (context-relative), which is its place less
+  the pointer. Levels and pointers are Elias-Fano sequences; beside the levels stand 8-bit quantised
   log-probabilities and weights, written to the task's folder, memory-mapped, and searched for all
   positions at once; the folder goes when the task ends.
 * Hot words. Words with a share of 1/HEAVY of the tokens (so at most HEAVY words) that outgrow a shard are
@@ -47,10 +48,10 @@ from tessella.llm.elias_fano import EliasFano, quantised
 #: Discounts of n-grams and of words.
 D = 0.75
 D1 = 0.5
-#: Words with a share of 1/HEAVY of all tokens are dealt over several shards.
-HEAVY = 1000
+#: Words with a share of 1/HEAVY of all tokens are dealt over several shards, if they outgrow one.
+HEAVY = 60_000
 #: Positions of a shard on average.
-SHARD = 2_500_000
+SHARD = 1_500_000
 #: Distinct words that a task counts before it sends the counts on.
 GATHER = 400_000
 
@@ -254,7 +255,7 @@ class Trie:
         self.count = whole
         self.hot_successors = np.searchsorted(told.hot_words, words[by_w]), n1[by_w]
         levels = {"words": words, "successors": successors, "contexts": contexts, "trigrams": trigrams}
-        for name, values in levels.items():
+        for name, values in (levels | {"first": first.astype(U64)}).items():
             EliasFano.of(values).save(folder, name)
         weights = {
             "successors": np.log10((c2 - D) / whole[parent]),
@@ -267,10 +268,8 @@ class Trie:
             # Parts of probabilities have no common range, so trigrams of dealt words are not quantised.
             codes, self.books[name] = (values, None) if name == "trigrams" and (by_w | by_t).any() else quantised(values)
             np.save(f"{folder}/{name}.codes.npy", codes)
-        np.save(f"{folder}/first.npy", first.astype(np.uint32))
-        self.levels = {name: EliasFano.mapped(folder, name) for name in levels}
+        self.levels = {name: EliasFano.mapped(folder, name) for name in [*levels, "first"]}
         self.codes = {name: np.load(f"{folder}/{name}.codes.npy", mmap_mode="r") for name in weights}
-        self.first = np.load(f"{folder}/first.npy", mmap_mode="r")
 
     def weight(self, name: str, at: np.ndarray) -> np.ndarray:
         codes, book = self.codes[name][at], self.books[name]
@@ -300,8 +299,8 @@ class Trie:
         context[known[with_t]] = self.levels["contexts"].search(lead[with_t] | t[known[with_t]].astype(U64))
         trigram = np.full(len(back), -1, np.int64)
         both = np.flatnonzero((context >= 0) & (successor >= 0))
-        relative = successor[both] - self.first[uid[both]]
-        trigram[both] = self.levels["trigrams"].search(context[both].astype(U64) << U64(32) | relative.astype(U64))
+        relative = successor[both].astype(U64) - self.levels["first"].get(uid[both])
+        trigram[both] = self.levels["trigrams"].search(context[both].astype(U64) << U64(32) | relative)
         seen3 = trigram >= 0
         out[seen3] = self.weight("trigrams", trigram[seen3])
         fall = ~seen3 & (context >= 0) & ~by_w

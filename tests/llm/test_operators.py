@@ -331,12 +331,14 @@ def test_cutting_keeps_what_stands_between():
 
 def test_elias_fano():
     rng = random.Random(1)
-    for size, top in ((0, 10), (1, 5), (1000, 1 << 62), (5000, 6000), (300, 1 << 20)):
+    for size, top in ((0, 10), (1, 5), (1000, 1 << 62), (5000, 6000), (300, 1 << 20), (3, 1 << 63), (200, 1 << 45), (100, 1 << 30), (70, 1 << 37)):
         values = np.array(sorted(rng.sample(range(top), size) if top < 1 << 30 else {rng.randrange(top) for _ in range(size)}), np.uint64)
         ef = elias_fano.EliasFano.of(values)
         asked = np.r_[values, np.array([rng.randrange(top) for _ in range(500)], np.uint64)]
         want = {int(v): i for i, v in enumerate(values)}
         assert ef.search(asked).tolist() == [want.get(int(v), -1) for v in asked]
+        at = np.array([rng.randrange(len(values)) for _ in range(300)] if len(values) else [], np.int64)
+        assert ef.get(at).tolist() == values[at].tolist() and sum(x.nbytes for x in ef.low) == len(values) * ef.shift // 8
 
 
 @pytest.mark.parametrize("size", [10**7, 60])
