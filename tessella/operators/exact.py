@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.operators import kmers
+from tessella.shared import broadcast_if_small, checkpoint
 
 
 def exact_counts(pairs: DataFrame, queries: DataFrame, segments: DataFrame, k: int) -> DataFrame:
@@ -13,13 +14,21 @@ def exact_counts(pairs: DataFrame, queries: DataFrame, segments: DataFrame, k: i
     queries(query_id, seq); segments(genome_id, seq), several for a genome. Only genomes and queries of the
     pairs are taken apart.
     """
+    pairs = checkpoint(pairs)  # used on all sides below
     wanted_q = pairs.select("query_id").distinct()
     wanted_g = pairs.select("genome_id").distinct()
-    a = kmers.exact_kmers(queries.join(wanted_q, "query_id", "left_semi"), k, "query_id")
+    a = checkpoint(kmers.exact_kmers(queries.join(wanted_q, "query_id", "left_semi"), k, "query_id"))
     b = kmers.exact_kmers(segments.join(wanted_g, "genome_id", "left_semi"), k, "genome_id")
     size_a = a.groupBy("query_id").agg(F.count("*").alias("n_query"))
-    size_b = b.groupBy("genome_id").agg(F.count("*").alias("n_genome"))
-    inter = pairs.select("query_id", "genome_id").join(a, "query_id").join(b, ["genome_id", "canon"]).groupBy("query_id", "genome_id").agg(F.count("*").alias("inter"))
+    # One pass over the genomes' k-mers gives their sizes and those that any query has.
+    asked = a.select("canon").distinct().withColumn("asked", F.lit(True))
+    marked = checkpoint(
+        b.join(broadcast_if_small(asked), "canon", "left")
+        .groupBy("genome_id").agg(F.count("*").alias("n_genome"), F.collect_list(F.when(F.col("asked"), F.col("canon"))).alias("shared"))
+    )
+    size_b = marked.select("genome_id", "n_genome")
+    shared = marked.select("genome_id", F.explode("shared").alias("canon"))
+    inter = pairs.select("query_id", "genome_id").join(shared, "genome_id").join(a, ["query_id", "canon"]).groupBy("query_id", "genome_id").agg(F.count("*").alias("inter"))
     out = pairs.join(inter, ["query_id", "genome_id"]).join(size_a, "query_id").join(size_b, "genome_id")
     union = F.col("n_query") + F.col("n_genome") - F.col("inter")
     return out.withColumn("union_size", union).withColumn("real_jaccard", F.col("inter") / F.col("union_size"))
@@ -27,12 +36,13 @@ def exact_counts(pairs: DataFrame, queries: DataFrame, segments: DataFrame, k: i
 
 def multiset_collisions(one: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """collisions: the rows of `other`, with repeats, whose value occurs in `one`."""
-    return other.join(one.select(column).distinct(), column, "left_semi").agg(F.count("*").alias("collisions"))
+    return other.join(broadcast_if_small(one.select(column).distinct()), column, "left_semi").agg(F.count("*").alias("collisions"))
 
 
 def set_collisions(one: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """collisions: the number of distinct values in both."""
-    return one.select(column).intersect(other.select(column)).agg(F.count("*").alias("collisions"))
+    """collisions: the number of distinct values in both. `one` is best the smaller: only values in it are shuffled."""
+    few = broadcast_if_small(one.select(column).distinct())
+    return other.select(column).join(few, column, "left_semi").distinct().agg(F.count("*").alias("collisions"))
 
 
 def accuracy(hits: DataFrame) -> DataFrame:

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.operators import bloom as blooms
 from tessella.operators import kmers
 from tessella.params import SketchParams
+from tessella.shared import checkpoint
 
 #: Fixed value: the constant of the cardinality estimate.
 ALPHA = 0.72134
 
 
+#: Name of the sketch's partition column.
+RANGE = "bucket_range"
+
+
 @dataclass(frozen=True)
 class Index:
-    """sketch(genome_id, bucket, fp, khash), genomes(genome_id, name, n_chars, sketch_size, genome_size), bloom(cell)."""
+    """sketch(genome_id, bucket, fp, khash; a saved one also bucket_range), genomes(genome_id, name, n_chars, sketch_size, genome_size), bloom(cell)."""
 
     params: SketchParams
     sketch: DataFrame
     genomes: DataFrame
     bloom: DataFrame
+    #: Ranges of buckets that the sketch's folders are for, in the column RANGE; 0 if it is no saved one.
+    ranges: int = 0
 
 
 def genome_sizes(genomes: DataFrame, sketch: DataFrame, params: SketchParams) -> DataFrame:
@@ -41,9 +48,12 @@ def genome_sizes(genomes: DataFrame, sketch: DataFrame, params: SketchParams) ->
 
 
 def build(genomes: DataFrame, params: SketchParams) -> Index:
-    """Index of genomes(genome_id, name, seq); sequences shorter than k are left out."""
+    """Index of genomes(genome_id, name, seq); sequences shorter than k are left out.
+
+    The sketch is made once and checkpointed, as metadata, filter and searches all read it.
+    """
     kept = genomes.where(F.length("seq") >= params.k)
-    sketch = kmers.sketch(kept, params, "genome_id")
+    sketch = checkpoint(kmers.sketch(kept, params, "genome_id"))
     meta = genome_sizes(kept.select("genome_id", "name", F.length("seq").cast("long").alias("n_chars")), sketch, params)
     return Index(params, sketch, meta, blooms.bloom_cells(sketch, params))
 
@@ -53,9 +63,10 @@ def merge(a: Index, b: Index) -> Index:
     if a.params != b.params:
         raise ValueError("indexes of different parameters can't be merged")
     first = (a.genomes.agg(F.max("genome_id")).first()[0] or 0) + 1 if not a.genomes.isEmpty() else 0
+    plain = lambda df: df.select("genome_id", "bucket", "fp", "khash")
     moved = lambda df: df.withColumn("genome_id", F.col("genome_id") + F.lit(first))
     return Index(
-        a.params, a.sketch.unionByName(moved(b.sketch)), a.genomes.unionByName(moved(b.genomes)), a.bloom.unionByName(b.bloom).distinct()
+        a.params, plain(a.sketch).unionByName(moved(plain(b.sketch))), a.genomes.unionByName(moved(b.genomes)), a.bloom.unionByName(b.bloom).distinct()
     )
 
 
@@ -64,18 +75,29 @@ def append(index: Index, genomes: DataFrame) -> Index:
     return merge(index, build(genomes, index.params))
 
 
-def save(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Parquet tables sketch, genomes, bloom and params; the sketch is clustered by (bucket, fp)."""
-    index.sketch.repartitionByRange("bucket", "fp").sortWithinPartitions("bucket", "fp").write.mode(mode).parquet(f"{path}/sketch")
+def in_range(index_params: SketchParams, ranges: int) -> Column:
+    """The range that a row's bucket is in, of so many equal ones."""
+    return F.shiftright("bucket", max(0, index_params.log2_buckets - (max(1, ranges) - 1).bit_length())).cast("int")
+
+
+def save(index: Index, path: str, mode: str = "errorifexists", ranges: int = 256) -> None:
+    """Parquet tables sketch, genomes, bloom and params.
+
+    The sketch has a folder for each of `ranges` ranges of buckets (up to a power of two), each sorted by (bucket, fp); a
+    search reads only the folders of its queries' buckets. More ranges suit larger collections, whose folders stay full.
+    """
+    placed = index.sketch.select("genome_id", "bucket", "fp", "khash").withColumn(RANGE, in_range(index.params, ranges))
+    placed.repartitionByRange(RANGE, "bucket", "fp").sortWithinPartitions(RANGE, "bucket", "fp").write.mode(mode).partitionBy(RANGE).parquet(f"{path}/sketch")
     index.genomes.write.mode(mode).parquet(f"{path}/genomes")
     index.bloom.write.mode(mode).parquet(f"{path}/bloom")
     spark = index.sketch.sparkSession
-    spark.createDataFrame([asdict(index.params)]).coalesce(1).write.mode(mode).parquet(f"{path}/params")
+    spark.createDataFrame([asdict(index.params) | {"ranges": ranges}]).coalesce(1).write.mode(mode).parquet(f"{path}/params")
 
 
 def load(spark: SparkSession, path: str, threshold: float | None = None) -> Index:
     """A saved index; its parameters come from the files, but the threshold may be given anew."""
     row = spark.read.parquet(f"{path}/params").first().asDict()
+    ranges = row.pop("ranges")
     params = SketchParams(**row | ({} if threshold is None else {"threshold": threshold}))
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(params, read("sketch"), read("genomes"), read("bloom"))
+    return Index(params, read("sketch"), read("genomes"), read("bloom"), ranges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from tessella.functions import bases, hashing
 from tessella.params import SketchParams
 
+#: Rows of a batch that a kernel hands back, about.
+ROWS = 1_000_000
 #: Positions that the kernel handles at once; a sequence of any length is taken in pieces of this size.
 PIECE = 1 << 21
 
 
-def sketch_kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+def sketch_kmers_by_sql(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """key, pos (from 0), canon: the canonical k-mers that a sketch sees.
 
     The first k-1 characters are taken in either case, and as all A if any of them is not a base; in the
@@ -44,7 +46,7 @@ def sketch_kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq")
     )
 
 
-def exact_kmers(segments: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+def exact_kmers_by_sql(segments: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """key, canon: the distinct canonical k-mers of sequences, the last one included, either case.
 
     A k-mer with a character that is not a base counts as 0. A key may have several sequences.
@@ -57,7 +59,7 @@ def exact_kmers(segments: DataFrame, k: int, key: str = "seq_id", seq: str = "se
 
 def sketch_by_sql(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """key, bucket, fp, khash from exploded k-mers: the least fingerprint of each bucket, first come first."""
-    hashed = hashing.with_hash64(sketch_kmers(seqs, params.k, key, seq), "canon", "h")
+    hashed = hashing.with_hash64(sketch_kmers_by_sql(seqs, params.k, key, seq), "canon", "h")
     marked = hashing.with_fingerprint(hashed, "h", params.log2_buckets, params.mantissa)
     best = marked.groupBy(key, "bucket").agg(F.min("fp").alias("fp"), F.min_by("h", F.struct("fp", "pos")).alias("khash"))
     return best.where(F.col("fp") < 255)
@@ -69,6 +71,10 @@ _REVERSE = np.zeros(256, np.uint64)
 _REVERSE[[ord("A"), ord("C"), ord("G")]] = 3, 2, 1
 
 
+_BASE = np.zeros(256, bool)
+_BASE[list(b"ACGT")] = True
+
+
 def _windows(codes: np.ndarray, k: int, forward: bool) -> np.ndarray:
     """Packed numbers of all runs of k codes, by doubling: first code highest, or lowest."""
     out, have = None, 0
@@ -114,44 +120,62 @@ def _fingerprints(value: np.ndarray, params: SketchParams) -> np.ndarray:
     return np.where(value == 0, np.uint64(255), fp)
 
 
-def sketch_of(seq: bytes, params: SketchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets, fingerprints and hashes of one sequence, in pieces of bounded size."""
-    k, bits = params.k, params.value_bits
-    n = len(seq) - k
-    none = np.empty(0, np.int64)
-    if n <= 0:
-        return none, none, none
+def _lead(seq: bytes, k: int) -> bytes:
+    """The sequence with its first k-1 characters as a sketch sees them."""
     lead = seq[: k - 1].upper()
-    lead = lead if not lead.translate(None, b"ACGT") else b"A" * (k - 1)
-    data = np.frombuffer(lead + seq[k - 1 :], np.uint8)
-    # The first k-1 characters are the same for both strands; later ones are read as A on either.
-    best: dict[str, np.ndarray] = {}
+    return (lead if not lead.translate(None, b"ACGT") else b"A" * (k - 1)) + seq[k - 1 :]
+
+
+def _pieces(data: bytes, n: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Starts of pieces of at most PIECE of n positions, and the characters that their k-mers need."""
+    codes = np.frombuffer(data, np.uint8)
     for start in range(0, n, PIECE):
-        part = data[start : min(start + PIECE, n) + k - 1]
+        yield start, codes[start : min(start + PIECE, n) + k - 1]
+
+
+def canonical_of(seq: bytes, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and canonical k-mers that a sketch sees, in pieces; see sketch_kmers_by_sql()."""
+    for start, part in _pieces(_lead(seq, k), len(seq) - k, k):
         canon = np.minimum(_windows(_FORWARD[part], k, True), _windows(_REVERSE[part], k, False))
+        yield np.arange(start, start + len(canon)), canon
+
+
+def distinct_of(seq: bytes, k: int) -> Iterator[tuple[np.ndarray]]:
+    """Distinct canonical k-mers in pieces, the last one included, either case; 0 for one with a character that is not a base."""
+    upper = seq.upper()
+    for _, part in _pieces(upper, len(seq) - k + 1, k):
+        canon = np.minimum(_windows(_FORWARD[part], k, True), _windows(_REVERSE[part], k, False))
+        other = np.cumsum(np.r_[0, ~_BASE[part]])
+        canon[other[k:] > other[:-k]] = 0
+        yield (np.unique(canon),)
+
+
+def sketch_of(seq: bytes, params: SketchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets, fingerprints and hashes of one sequence, in pieces of bounded size."""
+    bits = params.value_bits
+    best: dict[str, np.ndarray] = {}
+    for _, canon in canonical_of(seq, params.k):
         h = _hash64(canon)
         bucket = (h >> np.uint64(bits)).astype(np.int64)
         fp = _fingerprints(h & np.uint64((1 << bits) - 1), params)
-        order = np.argsort(bucket.astype(np.uint64) << np.uint64(8) | fp, kind="stable")
-        bucket, fp, h = bucket[order], fp[order], h[order]
         if best:
             bucket, fp, h = (np.r_[best[c], x] for c, x in (("bucket", bucket), ("fp", fp), ("h", h)))
-            order = np.argsort(bucket.astype(np.uint64) << np.uint64(8) | fp, kind="stable")
-            bucket, fp, h = bucket[order], fp[order], h[order]
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(8) | fp, kind="stable")
+        bucket, fp, h = bucket[order], fp[order], h[order]
         lead_rows = np.r_[True, bucket[1:] != bucket[:-1]]
         best = {"bucket": bucket[lead_rows], "fp": fp[lead_rows], "h": h[lead_rows]}
+    if not best:
+        none = np.empty(0, np.int64)
+        return none, none, none
     some = best["fp"] < 255
     return best["bucket"][some], best["fp"][some].astype(np.int64), best["h"][some].view(np.int64)
 
 
-def sketch(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """key, bucket, fp, khash: the same rows as sketch_by_sql, without a shuffle.
-
-    A sequence's k-mers never leave its task: the kernel works on Arrow batches and keeps the least
-    fingerprint of each bucket.
-    """
+def _of_each(seqs: DataFrame, key: str, seq: str, columns: dict[str, str], kernel: Callable[[bytes], Iterable[tuple[np.ndarray, ...]]]) -> DataFrame:
+    """key and the columns that a kernel makes of each sequence that is not null: no shuffle, batches of bounded size."""
     source = seqs.select(F.col(key).alias("key"), F.col(seq).cast("string").alias("seq")).where("seq IS NOT NULL")
     kind = source.schema["key"].dataType.simpleString()
+    types = {"long": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,19 +183,38 @@ def sketch(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str
             rows, out, size = [], [], 0
 
             def done() -> pa.RecordBatch:
-                columns = [np.concatenate(x) for x in zip(*out)]
-                picked = keys.take(pa.array(np.repeat(rows, [len(b) for b, _, _ in out])))
-                return pa.RecordBatch.from_arrays([picked, pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2])], names=["key", "bucket", "fp", "khash"])
+                arrays = [pa.array(np.concatenate(x).astype(np.int64), types[t]) for x, t in zip(zip(*out), columns.values())]
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(rows, [len(x[0]) for x in out]))), *arrays], names=["key", *columns])
 
             for i in range(batch.num_rows):
-                got = sketch_of(texts[i].as_py(), params)
-                rows.append(i)
-                out.append(got)
-                size += len(got[0])
-                if size > 1_000_000:
-                    yield done()
-                    rows, out, size = [], [], 0
+                for got in kernel(texts[i].as_py()):
+                    rows.append(i)
+                    out.append(got)
+                    size += len(got[0])
+                    if size > ROWS:
+                        yield done()
+                        rows, out, size = [], [], 0
             if size:
                 yield done()
 
-    return source.mapInArrow(run, f"key {kind}, bucket long, fp int, khash long").withColumnRenamed("key", key)
+    schema = ", ".join(f"{name} {t}" for name, t in columns.items())
+    return source.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+
+
+def sketch_kmers(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, pos, canon: the same rows as sketch_kmers_by_sql, in time linear in the sequence."""
+    return _of_each(seqs, key, seq, {"pos": "int", "canon": "long"}, lambda s: canonical_of(s, k))
+
+
+def exact_kmers(segments: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, canon: the same rows as exact_kmers_by_sql; each task makes its sequences' k-mers distinct before the shuffle."""
+    return _of_each(segments, key, seq, {"canon": "long"}, lambda s: distinct_of(s, k)).distinct()
+
+
+def sketch(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """key, bucket, fp, khash: the same rows as sketch_by_sql, without a shuffle.
+
+    A sequence's k-mers never leave its task: the kernel works on Arrow batches and keeps the least
+    fingerprint of each bucket.
+    """
+    return _of_each(seqs, key, seq, {"bucket": "long", "fp": "int", "khash": "long"}, lambda s: [sketch_of(s, params)])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessella.operators import bloom, kmers
-from tessella.operators.index import Index
+from tessella.operators.index import RANGE, Index, in_range
+from tessella.shared import checkpoint
 
 #: Hits of a query, least matches, and the share of the threshold that an
 #: intersection must reach, for each kind of search.
@@ -21,14 +22,23 @@ def query_sketch(index: Index, queries: DataFrame) -> DataFrame:
     return bloom.pass_bloom(kmers.sketch(kept, index.params, "query_id"), index.bloom, index.params)
 
 
+def stored_for(index: Index, q: DataFrame) -> DataFrame:
+    """The index's sketch, of a saved one the folders that rows with the buckets of q may be in."""
+    if not index.ranges:
+        return index.sketch
+    asked = sorted(r[0] for r in q.select(in_range(index.params, index.ranges)).distinct().collect())
+    return index.sketch.where(F.col(RANGE).isin(asked))
+
+
 def match_counts(index: Index, sketched: DataFrame) -> DataFrame:
     """query_id, genome_id, matches: buckets in which both have the same fingerprint.
 
     An equi-join on (bucket, fp), counted before the shuffle by pair; Spark picks the side to broadcast by
-    its size. Pairs without a match have no row.
+    its size. Of a saved sketch only the folders of the queries' bucket ranges are read; their numbers, at most
+    index.ranges of them, go through the driver. Pairs without a match have no row.
     """
-    q = sketched.select("query_id", "bucket", "fp")
-    return index.sketch.select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"]).groupBy("query_id", "genome_id").agg(F.count("*").alias("matches"))
+    q = checkpoint(sketched.select("query_id", "bucket", "fp"))
+    return stored_for(index, q).select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"]).groupBy("query_id", "genome_id").agg(F.count("*").alias("matches"))
 
 
 def ranked(index: Index, counts: DataFrame, top: int, min_score: int, share: float) -> DataFrame:
