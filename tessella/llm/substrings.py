@@ -5,7 +5,7 @@ repeating windows cover are removed.
 
 * Passages. Each window belongs to its minimizer, the least hash of its runs of GRAM words. Windows in a
   row with one minimizer form a passage, so equal windows of any documents meet under one minimizer.
-* Preselection. Minimizers that occur in one row only cannot matter. The others set bits of a bitmap with 16 bits for
+* Preselection. Minimizers that occur in one row only cannot matter. The others set bits of a bitmap with up to 64 bits for
   each; passages whose bit is clear are dropped where they are read. With more than TABLE_KEYS minimizers a bitmap would be
   too large to broadcast, so the rows' minimizers are joined with the repeating ones instead, and each row
   learns which of its passages to send. Both ways give the same results.
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -45,7 +46,7 @@ THRESHOLD = 13
 GRAM = 5
 #: Words up to which matching statistics are followed (a power of two).
 LONGEST = 16
-#: Repeating minimizers up to which a bitmap preselects (16 bits for each, so 16 MB), and log2 of the bits for hot ones.
+#: Repeating minimizers up to which a bitmap preselects (64 bits for each, but at most 16 MB), and log2 of the bits for hot ones.
 TABLE_KEYS = 1 << 23
 HOT_BITS = 20
 #: Rows from which a minimizer is hot, and passages of a shard on average.
@@ -65,17 +66,28 @@ GATHER = 50_000
 LAST = (1 << 63) - 1
 
 
-def passages(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each passage of a text's word hashes."""
+def passages(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, text, first window and number of windows of each passage of the texts whose word hashes follow one another."""
+    windows = np.maximum(sizes - THRESHOLD + 1, 0)
     n = len(words) - THRESHOLD + 1
-    if n <= 0:
-        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    if n <= 0 or not windows.any():
+        return np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(3))
     grams = gram_hashes(words, GRAM)
     least = grams[:n].copy()
     for k in range(1, THRESHOLD - GRAM + 1):
         np.minimum(least, grams[k : k + n], out=least)
-    starts = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    return mix(least[starts]), starts, np.diff(np.r_[starts, n])
+    # The windows that lie within a text.
+    text = np.repeat(np.arange(len(sizes)), windows)
+    first = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    least = least[(np.cumsum(sizes) - sizes)[text] + first]
+    heads = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+    return mix(least[heads]), text[heads], first[heads], np.diff(np.r_[heads, len(least)])
+
+
+def hashed(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, and the number of words of each."""
+    split = [t.split() for t in texts]
+    return hashes.of([w for t in split for w in t]), np.array([len(t) for t in split], np.int64)
 
 
 class FmIndex:
@@ -233,6 +245,18 @@ def earlier_spans(words: np.ndarray, lengths: np.ndarray, documents: np.ndarray)
     return out
 
 
+@dataclass
+class Sent:
+    """Passages to be sent: text, minimizer or window hash to shard by, first and one past the last word, words, name."""
+
+    text: np.ndarray
+    by: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    words: list[bytes]
+    names: list[bytes]
+
+
 class Reader:
     """Passages of texts that are to be sent: by bitmaps, or by lists of the row's minimizers."""
 
@@ -240,29 +264,32 @@ class Reader:
         self.bits, self.log2_bits, self.hot = bits, log2_bits, hot
         self.hashes = WordHashes()
 
-    def read(self, text: bytes, wanted: np.ndarray | None = None, cut: np.ndarray | None = None) -> Iterator[tuple[bytes, int, int, bytes]]:
-        """(passage, minimizer or window hash to shard by, first word, shortened word hashes) of each."""
-        words = self.hashes.of(text.split())
-        keys, starts, counts = passages(words)
-        if not len(keys):
-            return
+    def read(self, batch: pa.RecordBatch) -> Sent:
+        words, sizes = hashed(raw(batch.column("text")), self.hashes)
+        keys, text, first, count = passages(words, sizes)
         if self.bits is not None:
-            chosen = np.flatnonzero(in_bits(self.bits, keys, self.log2_bits))
-            hot = in_bits(self.hot, keys[chosen], HOT_BITS)
+            chosen = in_bits(self.bits, keys, self.log2_bits)
+            hot = in_bits(self.hot, keys, HOT_BITS)
         else:
-            chosen = np.flatnonzero(np.isin(keys.view(np.int64), wanted))
-            hot = np.isin(keys[chosen].view(np.int64), cut)
-        named = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
-        for i, is_hot in zip(chosen.tolist(), hot.tolist()):
-            first, count = int(starts[i]), int(counts[i])
-            if is_hot:
-                for j in range(first, first + count):
-                    data = named[j : j + THRESHOLD].tobytes()
-                    name = xxhash.xxh3_128_digest(data)[:NAME_BYTES]
-                    yield name, int.from_bytes(name[:8], "big"), j, data
-            else:
-                data = named[first : first + count + THRESHOLD - 1].tobytes()
-                yield xxhash.xxh3_128_digest(data)[:NAME_BYTES], int(keys[i]), first, data
+            lists = [batch.column(c).to_pylist() for c in ("wanted", "cut")]
+            edges = np.searchsorted(text, np.arange(len(sizes) + 1))
+            chosen, hot = (
+                np.concatenate([np.isin(keys[a:b].view(np.int64), np.array(x or [], np.int64)) for a, b, x in zip(edges, edges[1:], of)]) for of in lists
+            )
+        text, first, count, keys, hot = text[chosen], first[chosen], count[chosen], keys[chosen], hot[chosen]
+        # Passages of hot minimizers become single windows.
+        pieces = np.where(hot, count, 1)
+        step = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        text, by, hot, first = (np.repeat(x, pieces) for x in (text, keys, hot, first))
+        first = first + step
+        stop = first + np.where(hot, 1, np.repeat(count, pieces)) + THRESHOLD - 1
+        data = words.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+        at = (np.cumsum(sizes) - sizes)[text]
+        found = [data[a:b] for a, b in zip((WORD_BYTES * (at + first)).tolist(), (WORD_BYTES * (at + stop)).tolist())]
+        names = [xxhash.xxh3_128_digest(d)[:NAME_BYTES] for d in found]
+        for i in np.flatnonzero(hot).tolist():
+            by[i] = int.from_bytes(names[i][:8], "big")
+        return Sent(text, by, first, stop, found, names)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -272,15 +299,24 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view(U64)[:, 0]
 
 
+def _minimizers_of_rows(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (minimizer, row of the batch), by minimizer."""
+    keys, text, _, _ = passages(*hashed(raw(batch.column("text")), hashes))
+    order = np.lexsort((text, keys))
+    keys, text = keys[order], text[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])][: len(keys)]
+    return keys[new], text[new]
+
+
 def minimizers(source: DataFrame) -> DataFrame:
     """key (minimizer) and n, the rows that have it, summed over a few texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            keys = [np.unique(passages(hashes.of(t.split()))[0]) for t in raw(batch.column("text"))]
-            names, counts = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["key", "n"])
+            keys, _ = _minimizers_of_rows(batch, hashes)
+            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[heads].view(np.int64)), pa.array(np.diff(np.r_[heads, len(keys)]))], names=["key", "n"])
 
     return source.select("text").mapInArrow(run, "key long, n long")
 
@@ -291,9 +327,8 @@ def with_minimizers(source: DataFrame, counted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            keys = [np.unique(passages(hashes.of(t.split()))[0]) for t in raw(batch.column("text"))]
-            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            columns = [batch.column("row_key").take(of), batch.column("doc").take(of), pa.array(np.concatenate(keys).view(np.int64))]
+            keys, text = _minimizers_of_rows(batch, hashes)
+            columns = [*(batch.column(c).take(pa.array(text)) for c in ("row_key", "doc")), pa.array(keys.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc", "key"])
 
     each = source.mapInArrow(run, "row_key long, doc long, key long").join(counted, "key")
@@ -308,7 +343,7 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
     told = counted.agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()
     shards = max(1, -(-int(told["n"] or 0) // SHARD))
     if told["keys"] <= TABLE_KEYS:
-        log2_bits = max(12, (16 * told["keys"] - 1).bit_length())
+        log2_bits = min(27, max(12, (64 * told["keys"]).bit_length()))
         tables = bit_table(counted, "key", log2_bits), log2_bits, bit_table(counted.where(F.col("n") >= HOT), "key", HOT_BITS)
         source = source.select("*", F.lit(None).cast("array<long>").alias("wanted"), F.lit(None).cast("array<long>").alias("cut"))
     else:
@@ -316,11 +351,6 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
         source = with_minimizers(source, counted)
     shared = spark.sparkContext.broadcast(tables)
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """row_key, doc, text, wanted, cut of each row."""
-        columns = [batch.column(c).to_pylist() if shared.value[0] is None else [None] * batch.num_rows for c in ("wanted", "cut")]
-        return zip(batch.column("row_key").to_pylist(), batch.column("doc").to_pylist(), raw(batch.column("text")), *([np.array(x or [], np.int64) for x in c] for c in columns))
-
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
         held: dict[bytes, list] = {}
@@ -328,7 +358,7 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             rows = list(held.values())
             out = pa.RecordBatch.from_arrays(
-                [pa.array([r[2] % shards for r in rows], pa.int32()), pa.array(list(held), pa.binary()),
+                [pa.array([r[2] for r in rows], pa.int32()), pa.array(list(held), pa.binary()),
                  pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                 names=["shard", "passage", "lo", "hi", "words"],
             )
@@ -336,30 +366,27 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
             return out
 
         for batch in slices(batches):
-            for _, doc, text, wanted, cut in rows(batch):
-                for passage, by, _, data in reader.read(text, wanted, cut):
-                    if (row := held.get(passage)) is None:
-                        held[passage] = [doc, doc, by, data]
-                    elif doc < row[0]:
-                        row[0] = doc
-                    elif doc > row[1]:
-                        row[1] = doc
-                if len(held) >= GATHER:
-                    yield flush()
+            sent = reader.read(batch)
+            docs = batch.column("doc").to_numpy()[sent.text].tolist()
+            for passage, doc, shard, words in zip(sent.names, docs, (sent.by % U64(shards)).tolist(), sent.words):
+                if (row := held.get(passage)) is None:
+                    held[passage] = [doc, doc, shard, words]
+                elif doc < row[0]:
+                    row[0] = doc
+                elif doc > row[1]:
+                    row[1] = doc
+            if len(held) >= GATHER:
+                yield flush()
         if held:
             yield flush()
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
         for batch in slices(batches):
-            out: list[list] = [[] for _ in kinds]
-            for row_key, doc, text, wanted, cut in rows(batch):
-                for passage, _, first, data in reader.read(text, wanted, cut):
-                    for column, x in zip(out, (row_key, doc, passage, first, first + len(data) // WORD_BYTES)):
-                        column.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["row_key", "doc", "passage", "first", "stop"])
+            sent = reader.read(batch)
+            of_row = [batch.column(c).take(pa.array(sent.text)) for c in ("row_key", "doc")]
+            places = (pa.array(x.astype(np.int32)) for x in (sent.first, sent.stop))
+            yield pa.RecordBatch.from_arrays([*of_row, pa.array(sent.names, pa.binary()), *places], names=["row_key", "doc", "passage", "first", "stop"])
 
     def search(part: pa.Table) -> pa.Table:
         part = part.group_by("passage").aggregate([("lo", "min"), ("hi", "max"), ("words", "min")])
