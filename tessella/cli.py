@@ -7,17 +7,19 @@ import logging
 import sys
 import time
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from tessella.operators import exact as exacts
 from tessella.operators import index as indexes
 from tessella.operators import search
 from tessella.params import SketchParams
+from tessella.shared import checkpoint
 from tessella.sources import fasta, sinks
 
 log = logging.getLogger("tessella")
 
 
+# The letters of the options and their defaults.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessella", add_help=False, description="Sequence search by sketches")
     p.add_argument("--help", action="help")
@@ -37,12 +39,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def tell_missing(spark: SparkSession, path: str | None) -> None:
+    """A missing input is told and counts as empty."""
+    if path and not fasta.existing(spark, [path]):
+        log.warning("missing file: %s", path)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     began = time.time()
     if args.load:
         index = indexes.load(spark, args.load)
     else:
         params = SketchParams(args.k, args.log2_buckets, args.mantissa, args.log2_bloom, args.threshold)
+        tell_missing(spark, args.files)
         genomes, missing = fasta.genomes_of_list(spark, args.files, params.k)
         for r in missing.toLocalIterator():
             log.warning("missing file: %s", r["path"])
@@ -52,22 +61,22 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         index = indexes.load(spark, args.dump)
     log.info("index ready after %s s", f"{time.time() - began:,.0f}")
     k = index.params.k
+    tell_missing(spark, args.records or args.query_files)
     if args.records:
         queries = fasta.records(spark, args.records, k, args.exact)
         kind = search.RECORDS_EXACT if args.exact else search.RECORDS
     elif args.query_files:
-        queries, _ = fasta.file_queries(spark, args.query_files, k, args.exact)
+        queries, missing = fasta.file_queries(spark, args.query_files, k, args.exact)
+        for r in missing.toLocalIterator():
+            log.warning("missing file: %s", r["path"])
         kind = search.FILES_EXACT if args.exact else search.FILES
     else:
         log.warning("no query given")
         return
-    hits = search.search(index, queries, **kind)
+    hits = checkpoint(search.search(index, queries, **kind))
     if args.exact:
         named = index.genomes.select("genome_id", "name")
-        files = fasta.read_whole(spark, [r["name"] for r in hits.join(named, "genome_id").select("name").distinct().collect()])
-        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-        parts = files.select(bare(F.col("path")).alias("_p"), F.explode(fasta.segments(F.col("content"), k)).alias("seq"))
-        parts = named.select("genome_id", bare(F.col("name")).alias("_p")).join(parts, "_p").drop("_p")
+        parts = fasta.segments_of_files(spark, hits.join(named, "genome_id").select("genome_id", "name"), k)
         checked = exacts.exact_counts(hits, queries.select("query_id", "seq"), parts, k)
         full = checked.join(queries.select("query_id", "header"), "query_id").join(named, "genome_id")
         sinks.write_lines(sinks.exact_lines(full), args.output)

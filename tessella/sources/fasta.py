@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: The first bytes of gzip, and of zlib streams of the usual levels.
 GZIP = b"\x1f\x8b"
 ZLIB = (b"\x78\x01", b"\x78\x9c", b"\x78\xda")
+#: The least length of a listed path, and first characters of sequences for exact search.
+LEAST_PATH = 4
+EXACT_FIRST = tuple("ACGTN")
+#: Listed paths of one folder from which the folder is listed instead of asking for each path.
+MANY = 16
+#: Characters of sequences that a task hands back at once, about.
+CHARACTERS = 1 << 24
 
 
 def inflate(data: bytes) -> bytes:
@@ -27,85 +36,158 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, content of whole files; missing files are skipped."""
+def _file(spark: SparkSession, path: str):
+    """The file system of a path, and the path as this file system names it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(p)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The one name of a file, however its path is written: relative, with or without a scheme."""
+    return _file(spark, path)[1].toString()
+
+
+def existing(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
+    """The paths that exist, by the path as it is written, with their qualified names.
+
+    Folders that many of the paths are in are listed once; else each path is asked for.
+    """
+    named = {p: _file(spark, p) for p in dict.fromkeys(paths)}
+    folders = Counter(str(q.getParent()) for _, q in named.values())
+    inside: dict[str, set[str]] = {}
+    out = {}
+    for path, (system, q) in named.items():
+        folder = q.getParent()
+        if folder is not None and folders[str(folder)] >= MANY:
+            if str(folder) not in inside:
+                inside[str(folder)] = {s.getPath().toString() for s in system.listStatus(folder)} if system.exists(folder) else set()
+            there = q.toString() in inside[str(folder)]
+        else:
+            there = system.exists(q)
+        if there:
+            out[path] = q.toString()
+    return out
+
+
+def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Callable[[str], Iterable[tuple[dict, int]]]) -> DataFrame:
+    """path (qualified) and the rows that `make` yields, each with its size, from the content of each file; a file is read once."""
+    kind = f"path string, {schema}"
+    names = sorted(set(names))
+    if not names:
+        return spark.createDataFrame([], kind)
+    arrow = pa.schema([pa.field(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in kind.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                text = inflate(batch.column("content")[i].as_py()).decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([batch.column("path").slice(i, 1), pa.array([text])], names=["path", "content"])
+                path, held, size = batch.column("path")[i].as_py(), [], 0
+                for row, n in make(inflate(batch.column("content")[i].as_py()).decode("utf-8", "replace")):
+                    held.append(row | {"path": path})
+                    size += n + 64
+                    if size >= CHARACTERS:
+                        yield pa.RecordBatch.from_pylist(held, arrow)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, arrow)
 
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, content string")
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names]  # paths, not patterns
+    return spark.read.format("binaryFile").load(plain).select("path", "content").mapInArrow(run, kind)
 
 
-def _existing(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, content of whole files; missing files are skipped. Paths are as they were given, each once for each time it was."""
+    asked = [paths] if isinstance(paths, str) else list(paths)
+    there = existing(spark, asked)
+    files = _of_files(spark, there.values(), "content string", lambda content: [({"content": content}, len(content))])
+    given = spark.createDataFrame([(p, there[p]) for p in asked if p in there], "given string, path string")
+    return given.join(files, "path").select(F.col("given").alias("path"), "content")
 
 
 def listed(spark: SparkSession, list_path: str) -> DataFrame:
     """id (0-based among the accepted lines), path of the lines of a list with more than 3 characters."""
-    lines = read_whole(spark, list_path).select(F.posexplode(F.split("content", "\n")).alias("pos", "path")).where(F.length("path") > 3)
-    # A list of files is the unit a driver plans a scan from, so it is numbered as one array.
-    every = lines.agg(F.sort_array(F.collect_list(F.struct("pos", "path"))).alias("l"))
-    return every.select(F.posexplode("l").alias("id", "l")).select("id", F.col("l.path").alias("path"))
+    # A list of files is what a driver plans a scan from, so it is read there.
+    lines = [line for r in read_whole(spark, list_path).select("content").collect() for line in r[0].split("\n")]
+    return spark.createDataFrame(list(enumerate(x for x in lines if len(x) >= LEAST_PATH)), "id int, path string")
 
 
-def sequence(content: Column) -> Column:
+def joined_lines(content: str) -> str:
     """All lines that do not begin with > of a FASTA file, joined into one sequence."""
-    return F.concat_ws("", F.filter(F.split(content, "\n"), lambda line: ~line.startswith(">")))
-
+    return "".join(line for line in content.split("\n") if not line.startswith(">"))
 
-def _of_list(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    names = listed(spark, list_path)
-    rows = [(r["id"], r["path"]) for r in names.collect()]
-    found = [(i, p, _existing(spark, p)) for i, p in rows]
-    there = [(i, p) for i, p, ok in found if ok]
-    gone = [(i, p) for i, p, ok in found if not ok]
-    missing = spark.createDataFrame(gone, "id int, path string")
-    known = spark.createDataFrame(there, "id int, path string")
-    if not there:
-        return known, spark.createDataFrame([], "path string, content string"), missing
-    return known, read_whole(spark, [p for _, p in there]), missing
 
-
-def _joined(known: DataFrame, files: DataFrame) -> DataFrame:
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return known.withColumn("_p", bare(F.col("path"))).join(files.select(bare(F.col("path")).alias("_p"), "content"), "_p").drop("_p")
+def _of_list(spark: SparkSession, list_path: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """known(id, path, file) of the listed files that exist, their qualified names, and missing(id, path)."""
+    rows = [(r["id"], r["path"]) for r in listed(spark, list_path).collect()]
+    there = existing(spark, (p for _, p in rows))
+    known = spark.createDataFrame([(i, p, there[p]) for i, p in rows if p in there], "id long, name string, path string")
+    missing = spark.createDataFrame([(i, p) for i, p in rows if p not in there], "id int, path string")
+    return known, list(there.values()), missing
 
 
 def genomes_of_list(spark: SparkSession, list_path: str, k: int) -> tuple[DataFrame, DataFrame]:
     """genomes(genome_id, name, seq) of the files of a list, and missing(id, path).
 
-    A file is one sequence; sequences shorter than k are left out. Ids are places among accepted lines.
+    A file is one sequence; sequences shorter than k are left out. Ids are places among accepted lines, so a file that is
+    listed twice has two ids.
     """
     known, files, missing = _of_list(spark, list_path)
-    rows = _joined(known, files).select(F.col("id").cast("long").alias("genome_id"), F.col("path").alias("name"), sequence(F.col("content")).alias("seq"))
-    return rows.where(F.length("seq") >= k), missing
+    seqs = _of_files(spark, files, "seq string", lambda content: [({"seq": joined_lines(content)}, len(content))])
+    return known.join(seqs, "path").select(F.col("id").alias("genome_id"), "name", "seq").where(F.length("seq") >= k), missing
 
 
 def genome_of_file(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """genomes with the one sequence of a file."""
-    rows = read_whole(spark, path).select(F.lit(0).cast("long").alias("genome_id"), F.lit(path).alias("name"), sequence(F.col("content")).alias("seq"))
-    return rows.where(F.length("seq") >= k)
+    """genomes with the one sequence of a file; none if the file is missing."""
+    files = existing(spark, [path]).values()
+    seqs = _of_files(spark, files, "seq string", lambda content: [({"seq": joined_lines(content)}, len(content))])
+    return seqs.select(F.lit(0).cast("long").alias("genome_id"), F.lit(path).alias("name"), "seq").where(F.length("seq") >= k)
+
+
+def _is_plain(spark: SparkSession, path: str) -> bool:
+    """Whether a file is neither gzip nor zlib, by its first two bytes."""
+    system, q = _file(spark, path)
+    stream = system.open(q)
+    try:
+        first = [stream.read() for _ in range(2)]
+    finally:
+        stream.close()
+    return -1 in first or (bytes(first) != GZIP and bytes(first) not in ZLIB)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 0), line of a plain file of any size, read in splits.
+
+    A split's lines are numbered in order; the numbers of lines in the splits before it, one row for each, are added.
+    """
+    lines = spark.read.option("lineSep", "\n").text(qualified(spark, path)).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("at").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("at", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, "at").select((F.col("id") + F.col("shift")).alias("number"), F.col("value").alias("line"))
+
+
+def _pairs(content: str) -> Iterator[tuple[dict, int]]:
+    lines = content.split("\n")
+    for i in range(0, len(lines), 2):
+        seq = lines[i + 1] if i + 1 < len(lines) else ""
+        yield {"query_id": i // 2, "header": lines[i], "seq": seq}, len(lines[i]) + len(seq)
 
 
 def records(spark: SparkSession, path: str, k: int, exact: bool = False) -> DataFrame:
-    """queries(query_id, header, seq) of a file of two-line records; headers as they are.
+    """queries(query_id, header, seq) of a file of two-line records; headers as they are. A missing file has none.
 
-    Sequences shorter than k are left out, and for exact search those that do not begin with A, C, G, T or N.
+    A plain file is read in splits and its lines are paired by number, so it may be of any size; a compressed one is
+    read by one task. Sequences shorter than k are left out, and for exact search those that do not begin with A, C, G, T or N.
     """
-    lines = F.split("content", "\n")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")),
-        lambda i: F.struct(F.get(lines, 2 * i).alias("header"), F.coalesce(F.get(lines, 2 * i + 1), F.lit("")).alias("seq")),
-    )
-    rows = read_whole(spark, path).select(F.posexplode(pairs).alias("query_id", "r")).select(F.col("query_id").cast("long"), "r.header", "r.seq")
+    files = existing(spark, [path])
+    if files and _is_plain(spark, path):
+        of = numbered_lines(spark, path).groupBy(F.floor(F.col("number") / 2).alias("query_id"))
+        at = lambda i: F.max(F.when(F.col("number") % 2 == i, F.col("line")))
+        rows = of.agg(at(0).alias("header"), F.coalesce(at(1), F.lit("")).alias("seq"))
+    else:
+        rows = _of_files(spark, files.values(), "query_id long, header string, seq string", _pairs).select("query_id", "header", "seq")
     rows = rows.where(F.length("seq") >= k)
-    return rows.where(F.col("seq").rlike("^[ACGTN]")) if exact else rows
+    return rows.where(F.substring("seq", 1, 1).isin(*EXACT_FIRST)) if exact else rows
 
 
 def file_queries(spark: SparkSession, list_path: str, k: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -115,34 +197,45 @@ def file_queries(spark: SparkSession, list_path: str, k: int, exact: bool = Fals
     line, and only lines of k characters or more that begin with A, C, G, T or N are joined.
     """
     known, files, missing = _of_list(spark, list_path)
-    rows = _joined(known, files)
-    lines = F.split("content", "\n")
-    if exact:
-        kept = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: (F.length(x) >= k) & x.rlike("^[ACGTN]"))
-        out = rows.select(F.col("id").cast("long").alias("query_id"), F.get(lines, 0).alias("header"), F.concat_ws("", kept).alias("seq"))
-        return out, missing
-    out = rows.select(F.col("id").cast("long").alias("query_id"), F.col("path").alias("header"), sequence(F.col("content")).alias("seq"))
-    return out.where(F.length("seq") >= k), missing
 
+    def exact_query(content: str) -> Iterable[tuple[dict, int]]:
+        first, *rest = content.split("\n")
+        return [({"header": first, "seq": "".join(x for x in rest if len(x) >= k and x.startswith(EXACT_FIRST))}, len(content))]
 
-def segments(content: Column, k: int) -> Column:
-    """Sequences of a FASTA file for exact search, as an array.
+    make = exact_query if exact else lambda content: [({"header": None, "seq": joined_lines(content)}, len(content))]
+    rows = known.join(_of_files(spark, files, "header string, seq string", make), "path")
+    out = rows.select(F.col("id").alias("query_id"), F.coalesce("header", "name").alias("header"), "seq")
+    return (out if exact else out.where(F.length("seq") >= k)), missing
 
-    At a header line the sequence so far ends if it has k characters; a shorter one runs on into the next.
-    """
-    state = "struct<done:array<string>,open:string>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(state)
 
-    def step(acc: Column, line: Column) -> Column:
-        ends = line.startswith(">") & (F.length(acc["open"]) >= k)
-        done = F.when(ends, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        open_ = F.when(ends, F.lit("")).when(line.startswith(">"), acc["open"]).otherwise(F.concat(acc["open"], line))
-        return F.struct(done.alias("done"), open_.alias("open")).cast(state)
+def segments(content: str, k: int) -> Iterator[str]:
+    """Sequences of a FASTA file for exact search.
 
-    return F.aggregate(F.split(content, "\n"), start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda x: F.length(x) >= k))
+    At a header line the sequence so far ends if it has k characters; a shorter one runs on into the next.
+    """
+    held: list[str] = []
+    size = 0
+    for line in content.split("\n"):
+        if not line.startswith(">"):
+            held.append(line)
+            size += len(line)
+        elif size >= k:
+            yield "".join(held)
+            held, size = [], 0
+    if size >= k:
+        yield "".join(held)
+
+
+def segments_of_files(spark: SparkSession, names: DataFrame, k: int) -> DataFrame:
+    """genome_id, seq of the files that names(genome_id, name) lists; missing files are skipped."""
+    rows = [(r["genome_id"], r["name"]) for r in names.distinct().collect()]
+    there = existing(spark, (n for _, n in rows))
+    known = spark.createDataFrame([(i, there[n]) for i, n in rows if n in there], "genome_id long, path string")
+    parts = _of_files(spark, there.values(), "seq string", lambda content: (({"seq": s}, len(s)) for s in segments(content, k)))
+    return known.join(parts, "path").select("genome_id", "seq")
 
 
 def segments_of_list(spark: SparkSession, list_path: str, k: int) -> DataFrame:
     """segments(genome_id, seq) of the files of a list."""
-    known, files, _ = _of_list(spark, list_path)
-    return _joined(known, files).select(F.col("id").cast("long").alias("genome_id"), F.explode(segments(F.col("content"), k)).alias("seq"))
+    known, _, _ = _of_list(spark, list_path)
+    return segments_of_files(spark, known.select(F.col("id").alias("genome_id"), "name"), k)

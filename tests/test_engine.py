@@ -1,5 +1,7 @@
 import gzip
+import os
 import random
+import time
 import zlib
 
 import plain
@@ -166,6 +168,98 @@ def test_files(spark, tmp_path):
     assert fasta.genome_of_file(spark, str(tmp_path / "a.fa"), 11).count() == 1
 
 
+def test_paths_in_lists_as_users_write_them(spark, tmp_path, monkeypatch):
+    """Relative, repeated, with a scheme, with characters of patterns; the same for queries and segments."""
+    from pathlib import Path
+
+    here = Path(spark.sparkContext._jvm.java.lang.System.getProperty("user.dir"))
+    folder = os.path.relpath(tmp_path, here)
+    for name, seq in (("a.fa", A), ("b[1]*.fa", A[5:]), ("c d.fa", A[9:])):
+        (tmp_path / name).write_text(f">x\n{seq}\n")
+    lines = [f"{folder}/a.fa", f"{tmp_path}/a.fa", f"file://{tmp_path}/a.fa", f"{folder}/./b[1]*.fa", f"{folder}/gone.fa", f"{tmp_path}/c d.fa", f"{folder}/a.fa"]
+    (tmp_path / "list").write_text("\n".join(lines))
+    want = {0: A, 1: A, 2: A, 3: A[5:], 5: A[9:], 6: A}
+    for many in (16, 2):
+        monkeypatch.setattr(fasta, "MANY", many)
+        genomes, missing = fasta.genomes_of_list(spark, f"{tmp_path}/list", 11)
+        assert sorted((r["genome_id"], r["name"], r["seq"]) for r in genomes.collect()) == sorted((i, lines[i], s) for i, s in want.items())
+        assert [(r["id"], r["path"]) for r in missing.collect()] == [(4, lines[4])]
+        assert sorted((r["genome_id"], r["seq"]) for r in fasta.segments_of_list(spark, f"{tmp_path}/list", 11).collect()) == sorted(want.items())
+        queries, gone = fasta.file_queries(spark, f"{tmp_path}/list", 11)
+        assert {r["query_id"]: (r["header"], r["seq"]) for r in queries.collect()} == {i: (lines[i], s) for i, s in want.items()} and gone.count() == 1
+    whole = fasta.read_whole(spark, [lines[0], lines[4], lines[0]]).collect()
+    assert [r["path"] for r in whole] == [lines[0]] * 2
+
+
+def test_missing_inputs_count_as_empty(spark, tmp_path, caplog):
+    gone = f"{tmp_path}/gone"
+    assert fasta.records(spark, gone, 11).count() == 0 and fasta.genome_of_file(spark, gone, 11).count() == 0
+    assert fasta.genomes_of_list(spark, gone, 11)[0].count() == 0 and fasta.segments_of_list(spark, gone, 11).count() == 0
+    (tmp_path / "a.fa").write_text(f">x\n{A}\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n{tmp_path}/none\n")
+    base = ["-l", f"{tmp_path}/list", "-k", "11", "-h", "8", "-s", "10"]
+    assert cli.main([*base, "-a", gone, "-o", f"{tmp_path}/out"]) == 0 and spark.read.text(f"{tmp_path}/out").count() == 0
+    assert gone in caplog.text and f"{tmp_path}/none" in caplog.text
+    caplog.clear()
+    assert cli.main(["-l", gone, "-k", "11", "-h", "8", "-A", f"{tmp_path}/list", "-o", f"{tmp_path}/out2"]) == 0
+    assert gone in caplog.text and f"{tmp_path}/none" in caplog.text
+
+
+def test_many_records_in_splits(spark, tmp_path):
+    """A hundred thousand records over many splits, plain and compressed alike."""
+    rng = random.Random(3)
+    lines = [f">r{i} \r" if i % 3 else f">r{i}" for i in range(100_000)]
+    seqs = ["".join(rng.choice("ACGTNx") for _ in range(rng.choice([0, 5, 30]))) for _ in lines]
+    text = "\n".join(x for pair in zip(lines, seqs) for x in pair)
+    (tmp_path / "plain").write_bytes(text.encode())
+    (tmp_path / "packed").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "odd").write_text(f">a\n{A}\n>b")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    began = time.perf_counter()
+    for name in ("plain", "packed"):
+        got = {r["query_id"]: (r["header"], r["seq"]) for r in fasta.records(spark, f"{tmp_path}/{name}", 5).collect()}
+        assert got == {i: (h, s) for i, (h, s) in enumerate(zip(lines, seqs)) if len(s) >= 5}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert time.perf_counter() - began < 60
+    assert [tuple(r) for r in fasta.records(spark, f"{tmp_path}/odd", 5).collect()] == [(0, ">a", A)]
+
+
+def test_segments_take_time_in_proportion(spark):
+    text = ">h\n" + (A + "\n") * 200_000 + ">i\nAC\n>j\n" + A
+    began = time.perf_counter()
+    assert [len(s) for s in fasta.segments(text, 11)] == [200_000 * len(A), 2 + len(A)]
+    assert time.perf_counter() - began < 10
+
+
+def test_a_saved_index_is_read_by_bucket_range(spark, tmp_path):
+    rng = random.Random(5)
+    p = SketchParams(k=15, log2_buckets=10, threshold=1)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(4)]
+    built = index.build(frame(spark, seqs), p)
+    index.save(built, str(tmp_path / "i"), ranges=64)
+    again = index.load(spark, str(tmp_path / "i"))
+    assert sketch_rows(again.sketch) == sketch_rows(built.sketch)
+    every = len(again.sketch.inputFiles())
+    queries = spark.createDataFrame([(0, seqs[2][100:118])], "query_id long, seq string")
+    sketched = search.query_sketch(again, queries)
+    buckets = {r["bucket"] for r in sketched.collect()}
+    few = search.stored_for(again, sketched)
+    read = {r[0] for r in few.select(F.input_file_name()).distinct().collect()}
+    assert every >= 64 and len(read) <= len(buckets) <= 4 and "PartitionFilters: [bucket_range" in few._jdf.queryExecution().toString()
+    assert sorted(map(tuple, search.match_counts(again, sketched).collect())) == sorted(map(tuple, search.match_counts(built, search.query_sketch(built, queries)).collect()))
+    assert sketch_rows(index.merge(again, again).sketch)[: len(sketch_rows(built.sketch))] == sketch_rows(built.sketch)
+
+
+def test_kernels_equal_their_sql_forms(spark, monkeypatch):
+    df = frame(spark, sequences()).select("genome_id", F.col("seq"))
+    for piece in (1 << 21, 16):
+        monkeypatch.setattr(kmers, "PIECE", piece)
+        for kernel, by_sql in ((kmers.sketch_kmers, kmers.sketch_kmers_by_sql), (kmers.exact_kmers, kmers.exact_kmers_by_sql)):
+            a, b = (sorted(map(tuple, f(df, 11, "genome_id").collect())) for f in (kernel, by_sql))
+            assert a == b and a
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.fa").write_text(f">x\n{A}\n")
     (tmp_path / "list").write_text(f"{tmp_path}/a.fa\n")
