@@ -6,7 +6,6 @@ everywhere in this subpackage unless an operator says otherwise.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella.shared import checkpoint
+
 #: Text bytes that a task handles at once; longer single texts are handled alone.
 SLICE_BYTES = 8 << 20
 
@@ -28,18 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
-
-    A checkpoint folder is set here only where the session names none (tests, local runs).
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about SLICE_BYTES of text, or one row."""
     for batch in batches:
@@ -118,8 +107,8 @@ def with_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among `keys` (distinct or not, of the same type).
 
     Rows are preselected by a broadcast bitmap of hashed keys, with 64 bits for each key and at most 2**KEY_BITS
-    (2 MB), so that few others are shuffled; the exact semi-join follows. Where there are too many keys for that
-    bitmap to sort rows out, the semi-join works alone.
+    (2 MB), so that few others are shuffled; the exact join follows. Where there are too many keys for that
+    bitmap to sort rows out, the join works alone.
     """
     keys = checkpoint(keys.distinct())
     bits = max(12, (64 * keys.count()).bit_length())
@@ -130,7 +119,8 @@ def with_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias(mask))
         marked = source.withColumn(place, slot).withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word)
         source = marked.where(f"shiftrightunsigned({mask}, cast({place} & 63 as int)) & 1 = 1").select(source.columns)
-    return source.join(keys, key, "left_semi")
+    # Not a semi-join, which the optimizer would move below the bitmap.
+    return source.join(keys, key).select(source.columns)
 
 
 def bit_table(df: DataFrame, key: str, log2_bits: int) -> np.ndarray:

@@ -18,10 +18,10 @@ Documents are sets of hashed five-word shingles; two link at a Jaccard similarit
 * Suffix filter. Beside each prefix shingle stand the numbers of the later shared shingles (but hot ones) in each
   of four hash ranges. What two sets hold before their first shared shingle differs, and so do the suffixes by the
   differences of these numbers at least; more than the overlap allows is no link.
-* Links by leaders. Only links between different components matter to the result. In each of a few
-  rounds every prefix shingle names one of its sets as leader (least by a hash of the round), and each set
-  that is not yet in its leaders' component is verified against the one leader it shares most shingles with. So a
-  group of thousands of near copies takes a number of pairs in proportion to its size.
+* Links by leaders. Only links between different components matter to the result. Every prefix shingle
+  names as leader the set that shares its prefix shingles with most others, and each set is verified against the one leader it
+  shares most shingles with. Further rounds do the same among the sets outside of their shingles' largest
+  components. So a group of thousands of near copies takes a number of pairs in proportion to its size.
 * Remaining pairs. Then all pairs of sets that share a prefix shingle, lie in different components
   and pass the filters are verified, once each. Shingles keep the sets of their largest component on one side
   only, so that no pairs arise within it. With that, no link between components is missed.
@@ -41,12 +41,13 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, checkpoint, raw, shingle_set, slices, table, with_keys
+from tessella.llm.common import LOWER, U64, WordHashes, raw, shingle_set, slices, table, with_keys
 from tessella.llm.graph import components
+from tessella.shared import checkpoint
 
 WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
-ROUNDS = 3
+ROUNDS = 2
 #: Shingles of a range on average.
 PART = 5_000_000
 #: Bits of a shingle's name beyond the logarithm of their number: one in 2**SPARE_BITS meets another by chance.
@@ -302,59 +303,65 @@ def sets_of(source: DataFrame, keys: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) that link, by their sets."""
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
     total = F.size("sa") + F.size("sb")
     return both.where(180 * F.size(F.array_intersect("sa", "sb")).cast("long") >= 80 * total.cast("long")).select("a", "b")
 
 
-def to_leaders(live: DataFrame, turn: int) -> DataFrame:
-    """a, b: each set and, of its shingles' leaders of this round in other components that pass the filters, the most frequent."""
-    row = F.struct("class", "n", "pos", "label", *SUFFIX)
-    leaders = live.groupBy("gram").agg(F.min_by(row, F.struct(F.xxhash64("class", F.lit(turn)), "class")).alias("l")).select("gram", "l.*")
+def beside_main(live: DataFrame) -> DataFrame:
+    """The rows of shingles that several components share, with `main`, the component of most of the shingle's sets."""
+    counts = live.groupBy("gram", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    return live.join(main.select("gram", "main"), "gram")
+
+
+def to_leaders(live: DataFrame) -> DataFrame:
+    """a, b: each set and, of its shingles' leaders in other components that pass the filters, the most frequent."""
+    row = F.struct("node", "n", "pos", "label", *SUFFIX)
+    leaders = live.groupBy("gram").agg(F.max_by(row, F.struct("shared", "node")).alias("l")).select("gram", "l.*")
     x, y = live.alias("x"), leaders.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
-    counts = met.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("n"))
-    return counts.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b", F.lit(turn)))).alias("b"))
+    counts = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("n"))
+    return counts.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
 def between_components(live: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of sets in different components that share a shingle and pass the filters."""
-    counts = live.groupBy("gram", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = live.join(main.select("gram", "main"), "gram")
+    mixed = beside_main(live)
     x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
-    a, b = F.col("x.class"), F.col("y.class")
+    a, b = F.col("x.node"), F.col("y.node")
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
-    named = labels.select(F.col("node").alias("class"), F.col("label").alias("named"))
-    return live.drop("label").join(named, "class", "left").withColumn("label", F.coalesce("named", "class")).drop("named")
+    named = labels.select("node", F.col("label").alias("named"))
+    return live.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("named", "node")).drop("named")
 
 
 def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFrame | None:
-    """node, label of the classes that link with others, or None without any."""
+    """class, rep, label of the classes that link with others, or None without any."""
     first = checkpoint(prefix)
-    twice = first.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    plain = checkpoint(first.join(twice, "gram", "left_semi"))
-    if plain.isEmpty():
+    shared = first.join(first.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1"), "gram")
+    named = shared.groupBy("class").agg(F.sum("sets").alias("shared")).join(classes.select("class", "rep"), "class")
+    named = checkpoint(named.withColumn("node", F.monotonically_increasing_id()))
+    if named.isEmpty():
         return None
-    keys = plain.select("class").distinct().join(classes, "class").select(F.col("rep").alias("key"))
-    sets = checkpoint(sets_of(source, keys))
-    live, links, labels = plain.withColumn("label", F.col("class")), None, None
+    live = checkpoint(shared.join(named, "class").select("gram", "node", "shared", "n", "pos", *SUFFIX)).withColumn("label", F.col("node"))
+    found = sets_of(source, named.select(F.col("rep").alias("key")))
+    sets = checkpoint(found.join(named.select("class", "node"), "class").select("node", "set").dropDuplicates(["node"]))
+    links = labels = None
     for turn in range(ROUNDS + 1):
-        if labels is not None:
-            live = relabelled(plain, labels)
-        pairs = to_leaders(live, turn) if turn < ROUNDS else between_components(live)
+        now = live if labels is None else relabelled(live, labels)
+        pairs = to_leaders(now if not turn else beside_main(now).where("label <> main")) if turn < ROUNDS else between_components(now)
         new = checkpoint(verified(pairs, sets))
         if new.isEmpty():
             continue
         links = new if links is None else links.union(new)
         labels = components(links)
-    return labels
+    return None if labels is None else labels.join(named, "node").select("class", "rep", "label")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -371,8 +378,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     labels = links_of(source, classes, prefixes(counted_grams(sent_grams(source, max(1, -(-total // PART)), bits, hot)), bits))
     of_class = classes.select("class", F.col("rep").alias("component"))
     if labels is not None:
-        least = labels.join(classes, labels.node == classes["class"]).groupBy("label").agg(F.min("rep").alias("component"))
-        named = labels.join(least, "label").select(F.col("node").alias("class"), F.col("component").alias("joint"))
+        least = labels.groupBy("label").agg(F.min("rep").alias("joint"))
+        named = labels.join(least, "label").select("class", "joint")
         of_class = of_class.join(named, "class", "left").select("class", F.least("component", "joint").alias("component"))
     return rows.join(of_class, "class", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")

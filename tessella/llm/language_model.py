@@ -42,8 +42,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, checkpoint, mix, raw, slices, table
+from tessella.llm.common import LOWER, U64, WordHashes, mix, raw, slices, table
 from tessella.llm.elias_fano import EliasFano, quantised
+from tessella.shared import checkpoint
 
 #: Discounts of n-grams and of words.
 D = 0.75

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, WordHashes, checkpoint, gram_hashes, raw, slices, table
+from tessella.llm.common import LOWER, WordHashes, gram_hashes, raw, slices, table
+from tessella.shared import checkpoint
 
 #: Documents of one host in which a normalised line may stand.
 MAX_DOCUMENTS = 25

@@ -39,7 +39,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import U64, WordHashes, bit_table, checkpoint, gram_hashes, in_bits, mix, raw, slices, table, unused
+from tessella.llm.common import U64, WordHashes, bit_table, gram_hashes, in_bits, mix, raw, slices, table, unused
+from tessella.shared import checkpoint
 
 #: Words of a window, words of a minimizer's run.
 THRESHOLD = 13
