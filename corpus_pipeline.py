@@ -23,6 +23,7 @@ from tessella.llm.packing import stage_packing
 from tessella.llm.quality import stage_quality
 from tessella.llm.substrings import stage_substrings
 from tessella.llm.toxicity import stage_toxicity
+from tessella.shared import shared_folder
 
 STAGES = [
     ("quality", stage_quality),
@@ -38,8 +39,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
