@@ -71,9 +71,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def line_number(name: Column) -> Column:
-    """The number after the first "ln" of a name, else 0."""
-    digits = F.regexp_extract(name, r"^.*?ln\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)
-    return F.when(F.instr(name, "ln") == 0, 0.0).otherwise(F.coalesce(F.nullif(digits, F.lit("")).cast("double"), F.lit(0.0)))
+    """The number after the first "ln" of a name, in single precision; 0 without one there."""
+    rest = F.when(F.instr(name, "ln") > 0, F.substring(name, F.instr(name, "ln") + 2, F.length(name)))
+    digits = F.regexp_extract(rest, r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)", 1)
+    return F.coalesce(F.nullif(digits, F.lit("")).cast("float").cast("double"), F.lit(0.0))
 
 
 def before_line_number(name: Column) -> Column:
@@ -81,6 +82,11 @@ def before_line_number(name: Column) -> Column:
     return F.substring_index(name, "ln", 1)
 
 
+def in_pieces(seq: Column, size: int) -> Column:
+    """The sequence as an array of consecutive pieces of `size` characters, the last one shorter."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+
+
 def thousands(number: Column) -> Column:
     return F.format_number(number, 0)
 

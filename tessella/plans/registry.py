@@ -148,22 +148,32 @@ def set_intersection(spark, d):
 
 
 def sequence_functions(spark, d):
-    """Packing, complements and canonical forms of the ends of document texts."""
-    t = _table(spark, d, "documents").select("doc_id", F.substring(bases.text_to_bases(F.col("text")), 1, 24).alias("s"), F.substring("text", 1, 24).alias("raw"))
+    """Packing, complements and canonical forms of all 24-base pieces of the whole texts."""
+    t = _table(spark, d, "documents").select("doc_id", F.posexplode(bases.in_pieces(bases.text_to_bases(F.col("text")), 24)).alias("piece", "s"))
     n = bases.strand_number(F.col("s"))
+    t = t.withColumn("number", n)
+    n = F.col("number")
     return t.select(
-        "doc_id", n.alias("number"), bases.canonical_number(F.col("s")).alias("canonical"), bases.reverse_complement(F.col("s")).alias("flipped"),
-        bases.unpack(n, 24).alias("unpacked"), bases.reverse_complement_number(n, 24).alias("flipped_number"), bases.clean(F.col("raw")).alias("cleaned"),
-        bases.clean(F.col("s")).alias("cleaned_bases"), bases.canonical_string(F.col("s")).alias("canonical_string"), bases.binary_digits(n).alias("bits"),
+        "doc_id", "piece", "number", bases.canonical_number(F.col("s")).alias("canonical"), bases.reverse_complement(F.col("s")).alias("flipped"),
+        bases.unpack(n, 24).alias("unpacked"), bases.reverse_complement_number(n, 24).alias("flipped_number"), bases.binary_digits(n).alias("bits"),
         hashing.floor_log2(n).cast("long").alias("log2"), bases.thousands(n).alias("shown"),
     )
 
 
+def string_functions(spark, d):
+    """Functions of strings of any length, of whole texts."""
+    t = _table(spark, d, "documents").select("doc_id", bases.text_to_bases(F.col("text")).alias("s"), F.col("text").alias("raw"))
+    return t.select(
+        "doc_id", bases.clean(F.col("raw")).alias("cleaned"), bases.clean(F.col("s")).alias("cleaned_bases"),
+        bases.reverse_complement(F.col("s")).alias("flipped"), bases.canonical_string(F.col("s")).alias("canonical_string"),
+    )
+
+
 def hamming(spark, d):
-    """Differences of each document's first bases from those of the document before it by id."""
-    t = documents(spark, d).select("genome_id", F.substring("seq", 1, 64).alias("s"))
+    """Differences of each document's bases from those of the document with the id before it (none: all differ)."""
+    t = documents(spark, d).select("genome_id", F.col("seq").alias("s"))
     before = t.select((F.col("genome_id") + 1).alias("genome_id"), F.col("s").alias("o"))
-    return t.join(before, "genome_id").select("genome_id", bases.hamming(F.col("s"), F.col("o")).cast("long").alias("differences"))
+    return t.join(before, "genome_id", "left").select("genome_id", bases.hamming(F.col("s"), F.coalesce("o", F.lit(""))).cast("long").alias("differences"))
 
 
 def string_product(spark, d):
@@ -172,7 +182,14 @@ def string_product(spark, d):
 
 
 def line_numbers(spark, d):
-    t = _table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("genome"), F.col("o_custkey"), F.lit("ln"), F.col("o_orderkey")).alias("name"))
+    """Names with and without a number behind the first "ln": signs, fractions, exponents, blanks, words that follow."""
+    key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    forms = (
+        F.concat(F.lit("genome"), cust, F.lit("ln"), key), F.concat(F.lit("genome"), cust), F.concat(F.lit("g ln -"), key, F.lit(".25 ln7 tail")),
+        F.concat(F.lit("xln ab ln"), key), F.concat(F.lit("gln+"), cust, F.lit("e1x")), F.concat(F.lit("ln \t.5"), cust),
+    )
+    name = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
+    t = _table(spark, d, "orders").select("o_orderkey", name.alias("name"))
     return t.select("o_orderkey", bases.line_number(F.col("name")).alias("number"), bases.before_line_number(F.col("name")).alias("rest"))
 
 
@@ -194,7 +211,7 @@ def render_exact(spark, d):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     canonical_kmers, exact_kmer_counts, kmer_hash, bloom_probes, hash32, fingerprint, sketch, genomes, genome_size_estimate, bloom_cells,
     bloom_filtered_sketch, match_counts, search_topn, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
-    sequence_functions, hamming, string_product, line_numbers, render_hits, render_file_hits, render_exact,
+    sequence_functions, string_functions, hamming, string_product, line_numbers, render_hits, render_file_hits, render_exact,
 ]
 
 

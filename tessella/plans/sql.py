@@ -143,7 +143,6 @@ def queries(p: SketchParams, b: SketchParams) -> dict[str, str]:
         return f"""{out}_1 AS (SELECT *, {step("x", factors[0])} AS _1 FROM {source}), {out}_2 AS (SELECT * EXCLUDE (_1), {step("_1", factors[1])} AS _2 FROM {out}_1),
 {out} AS (SELECT * EXCLUDE (_2), xor(_2 >> 16, _2)::BIGINT AS {out}x FROM {out}_2)"""
 
-    s = "substr(seq, 1, 24)"
     flip = "reverse(translate(s, 'ACGT', 'TGCA'))"
     number = lambda x: f"(CASE WHEN length({x}) = 0 THEN 0 ELSE ('0b' || {two_bits(x)})::BIGINT END)"
     one_cell = SketchParams(k=21, log2_buckets=1)
@@ -181,18 +180,25 @@ def queries(p: SketchParams, b: SketchParams) -> dict[str, str]:
         "set_intersection": with_(kmers("docs", "dk", p.k), kmers("items", "ik", p.k))
         + " SELECT count(*) AS collisions FROM (SELECT canon FROM ik INTERSECT SELECT canon FROM dk)",
         "sequence_functions": with_(
-            f"\nt AS (SELECT doc_id, {s} AS s, substr(text, 1, 24) AS raw FROM documents JOIN docs ON id = doc_id)",
+            "\np AS (SELECT id AS doc_id, regexp_extract_all(seq, '.{1,24}') AS ps FROM docs)",
+            "\nt AS (SELECT doc_id, unnest(range(0, len(ps)))::INT AS piece, unnest(ps) AS s FROM p)",
             f"\nn AS (SELECT *, {flip} AS r, {number('s')} AS x, {number(flip)} AS y FROM t)",
             "\nu AS (SELECT *, lpad(bin(x), 48, '0') AS b48 FROM n)",
             "\nw AS (SELECT *, array_to_string(list_transform(range(0, 24), lambda i: CASE substr(b48, (2 * i + 1)::BIGINT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS unpacked FROM u)",
-        ) + f""" SELECT doc_id, x AS number, least(x, y) AS canonical, r AS flipped, unpacked,
+        ) + f""" SELECT doc_id, piece, x AS number, least(x, y) AS canonical, r AS flipped, unpacked,
             {number("reverse(translate(unpacked, 'ACGT', 'TGCA'))")} AS flipped_number,
-            CASE WHEN regexp_full_match(raw, '[ACGTacgt]*') THEN upper(raw) ELSE '' END AS cleaned, s AS cleaned_bases, least(s, r) AS canonical_string,
             lpad(bin(x), 64, '0') AS bits, CASE WHEN x = 0 THEN 0 ELSE length(bin(x)) - 1 END::BIGINT AS log2, format('{{:,}}', x) AS shown FROM w""",
-        "hamming": with_("\nt AS (SELECT id, substr(seq, 1, 64) AS s FROM docs)")
-        + " SELECT a.id AS genome_id, len(list_filter(range(1, length(a.s) + 1), lambda i: substr(a.s, i, 1) <> substr(b.s, i, 1)))::BIGINT AS differences FROM t a JOIN t b ON a.id = b.id + 1",
+        "string_functions": with_(f"\nt AS (SELECT doc_id, seq AS s, text AS raw FROM documents JOIN docs ON id = doc_id)", f"\nn AS (SELECT *, {flip} AS r FROM t)")
+        + " SELECT doc_id, CASE WHEN regexp_full_match(raw, '[ACGTacgt]*') THEN upper(raw) ELSE '' END AS cleaned, s AS cleaned_bases, r AS flipped, least(s, r) AS canonical_string FROM n",
+        "hamming": with_("\nt AS (SELECT id, seq AS s FROM docs)", "\no AS (SELECT a.id, a.s, coalesce(b.s, '') AS o FROM t a LEFT JOIN t b ON a.id = b.id + 1)")
+        + " SELECT id AS genome_id, CASE WHEN s = '' THEN 0 ELSE len(list_filter(list_zip(string_split(s, ''), string_split(o, '')),"
+        " lambda z: z[1] IS NOT NULL AND z[1] IS DISTINCT FROM z[2])) END::BIGINT AS differences FROM o",
         "string_product": f"SELECT c_custkey, {signed('product')} AS product FROM (SELECT c_custkey, list_reduce(list_prepend(1::UHUGEINT, list_transform(range(1, length(c_name) + 1), lambda i: ascii(substr(c_name, i, 1))::UHUGEINT)), lambda a, c: a * c % {WRAP})::UBIGINT AS product FROM customer)",
-        "line_numbers": "SELECT o_orderkey, o_orderkey::DOUBLE AS number, 'genome' || o_custkey AS rest FROM orders",
+        "line_numbers": """WITH n AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'genome' || o_custkey || 'ln' || o_orderkey WHEN 1 THEN 'genome' || o_custkey
+            WHEN 2 THEN 'g ln -' || o_orderkey || '.25 ln7 tail' WHEN 3 THEN 'xln ab ln' || o_orderkey WHEN 4 THEN 'gln+' || o_custkey || 'e1x'
+            ELSE 'ln ' || chr(9) || '.5' || o_custkey END AS name FROM orders),
+        d AS (SELECT *, strpos(name, 'ln') AS place, regexp_extract(CASE WHEN place > 0 THEN substr(name, place + 2) ELSE '' END, '^\\s*([-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?)', 1) AS t FROM n)
+        SELECT o_orderkey, CASE WHEN t = '' THEN 0 ELSE t::FLOAT::DOUBLE END AS number, CASE WHEN place > 0 THEN substr(name, 1, place - 1) ELSE name END AS rest FROM d""",
         "render_hits": with_(hits(p, **search.RECORDS))
         + f" SELECT i.id AS query_id, i.name || ':' || {LINE} AS line FROM (SELECT * FROM items WHERE length(seq) >= {p.k}) i LEFT JOIN hits ON query_id = i.id GROUP BY i.id, i.name",
         "render_file_hits": with_(hits(p, **search.FILES)) + f" SELECT i.id AS query_id, i.name || ':' || {LINE} AS line FROM items i JOIN hits ON query_id = i.id GROUP BY i.id, i.name",
