@@ -6,8 +6,9 @@ lowest-ranked pair, and merges all its places at once. Distinct words are merged
 kept in a bounded dictionary.
 
 Splitting into words uses plain regular expressions with spelled-out classes, which agree with the
-library's Unicode classes on SAFE characters (Latin letters, common punctuation). A text with any
-other character is encoded by the tokenizers library itself, so results are the library's everywhere.
+library's Unicode classes on all but UNSAFE characters (so on Latin letters, common punctuation). A text with any
+other character, or with a special token, is normalised and split by the library's own rules, word by word. The merging
+is the same for all texts.
 
 Defined cases: null and empty texts have no ids, an empty decoded text, and the hashes of empty
 strings. Repeated rows get equal results. Extra columns are ignored. No vocabulary is trained or copied;
@@ -139,35 +140,43 @@ class Encoder:
         self.lower = spec["normalizer"] is not None
         self.pattern = LOWER_WORDS if self.lower else BYTE_LEVEL
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.special_ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+        self.of_symbol = {c: b for b, c in enumerate(byte_symbols())}
         size = max(max(model["vocab"].values()), *(t["id"] for t in spec["added_tokens"]), 0) + 1
         self.names = [b""] * size
         for name, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
             self.names[i] = name.encode()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.special_ids)
 
     def plain(self, text: str) -> bool:
         """Whether this class encodes the text itself."""
         return text.isascii() or not UNSAFE.search(text)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text, special tokens among them."""
+        if self.plain(text) and not (self.special is not None and self.special.search(text)):
+            return self.pattern.findall(text.lower() if self.lower else text)
+        out: list[str] = []
+        for i, part in enumerate(self.special.split(text) if self.special is not None else [text]):
+            if i % 2:
+                out.append(part)
+            elif part:
+                part = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+                # The library names bytes by printable characters.
+                out += [bytes(map(self.of_symbol.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
-        for t in texts:
-            if not self.plain(t) or self.special is not None and self.special.search(t):
-                words.append(None)
-            else:
-                words.append(self.pattern.findall(t.lower() if self.lower else t))
-        fresh = {w for ws in words if ws for w in ws}.difference(self.known)
+        words = [self.split(t) for t in texts]
+        fresh = {w for ws in words for w in ws}.difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
-            self.known.clear()
-            fresh = {w for ws in words if ws for w in ws}
+            self.known = dict(self.special_ids)
+            fresh = {w for ws in words for w in ws}.difference(self.known)
         new = list(fresh)
         self.known.update(zip(new, self.merges.encode([w.encode() for w in new])))
         get = self.known.__getitem__
-        return [
-            b"".join(map(get, ws)) if ws is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, ws in zip(texts, words)
-        ]
+        return [b"".join(map(get, ws)) for ws in words]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False) for a vocabulary without a decoder."""

@@ -402,6 +402,21 @@ def test_bpe(spark):
         assert list(got[i]["ids"]) == want and back[i]["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
+def test_all_scripts_pass_the_merge_rounds():
+    """Generated texts of many scripts, combining marks, specials and odd white space, in both vocabularies."""
+    rng = random.Random(13)
+    spans = [(0x20, 0x7E), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x6FF), (0x900, 0x97F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x4E80), (0xAC00, 0xAC40), (0xFB00, 0xFB06), (0xFF10, 0xFF40), (0x1F600, 0x1F640)]
+    char = lambda: chr(rng.randint(*rng.choice(spans)))
+    rows = ["".join(char() for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows += [" ".join("".join(char() for _ in range(4)) for _ in range(9)) + rng.choice(["<|endoftext|>", " <|startoftext|>x", "\u2028\x85 \t", ""]) for _ in range(200)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        got = bpe.Encoder(path).encode(rows)
+        for t, ids in zip(rows, got):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 @pytest.mark.parametrize(("part", "hot", "frequent", "rounds"), [(5_000_000, 1000, 16, 3), (300, 4, 2, 3), (50, 2, 1, 0), (1000, 10**9, 16, 0)])
 def test_jaccard_components(spark, part, hot, frequent, rounds, monkeypatch):
     for name, value in (("PART", part), ("HOT", hot), ("FREQUENT", frequent), ("ROUNDS", rounds)):
