@@ -41,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, raw, shingle_set, slices, table, with_keys
+from tessella.llm.common import LOWER, U64, WordHashes, raw, shingle_set, slices, table, unused, with_keys
 from tessella.llm.graph import components
 from tessella.shared import checkpoint
 
@@ -401,6 +401,7 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     named = docs.where("doc_id IS NOT NULL")
     rows = named.select(F.struct(F.col("doc_id").alias("id"), text.alias("text")).alias("row"), "text")
     kept = jaccard_components(rows, "row").where("row = component_id").select("row").distinct()
-    found = named.withColumn("_near_row", F.struct(F.col("doc_id").alias("id"), text.alias("text")))
-    one = found.join(kept, found["_near_row"] == kept["row"], "left_semi").dropDuplicates(["_near_row"])
+    row = unused(docs, "row")
+    found = named.withColumn(row, F.struct(F.col("doc_id").alias("id"), text.alias("text")))
+    one = found.join(kept.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row])
     return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

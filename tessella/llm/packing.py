@@ -162,5 +162,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of CAPACITY ids."""
+    """Pieces of the documents in sequences of CAPACITY ids.
+
+    Null and empty texts are one piece of the end's id alone; null and repeated doc_ids and equal rows are packed each on its own;
+    an empty table gives no pieces; other columns are ignored.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, WordHashes, gram_hashes, raw, slices, table
+from tessella.llm.common import LOWER, WordHashes, gram_hashes, raw, slices, table, unused
 from tessella.shared import checkpoint
 
 #: Documents of one host in which a normalised line may stand.
@@ -185,8 +185,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines, with the columns of documents.
 
-    Rows are judged each on its own, whatever their doc_id; a row is named by a hash of what it is judged by.
+    Rows are judged each on its own, whatever their doc_id, null or not; a row is named by two hashes of what it is judged by.
+    Null and empty texts go. Equal rows stay or go together. An empty table gives an empty one; other columns are kept as
+    they are, whatever their names.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", "source"))
-    kept = judged(rows.select("_row", "text", "source"), "_row", "text", "source").where("kept").select("_row", F.col("removed_lines").alias("_lines"))
-    return without_lines(rows.join(kept.dropDuplicates(["_row"]), "_row").select(*docs.columns, "_lines"), "_lines")
+    row, lines = unused(docs, "row"), unused(docs, "lines")
+    name = F.struct(F.xxhash64("doc_id", "text", "source").alias("a"), F.xxhash64(F.lit(1), "source", "text", "doc_id").alias("b"))
+    rows = docs.withColumn(row, name)
+    found = judged(rows.select(F.col(row).alias("key"), "text", "source"), "key", "text", "source").where("kept")
+    kept = found.select(F.col("key").alias(row), F.col("removed_lines").alias(lines)).dropDuplicates([row])
+    return without_lines(rows.join(kept, row).select(*docs.columns, lines), lines)
