@@ -48,7 +48,7 @@ class Rule:
 #: parted by commas: each match contains one of them.
 #: Versions are written with the spaces that normalising leaves ("2 0").
 FAMILIES = r"""
-mit | mit | (?:the )?(?:mit|expat) (?:x11 |open source )?licen[cs]e | licen
+mit | mit | (?:the )?(?:mit|expat) (?:x11 |open source )?licen[cs]e | mit, expat
 mit-0 | mit 0 | mit (?:no attribution|zero attribution) licen[cs]e | attribution
 apache-1.1 | apache 1 1 | apache (?:software )?licen[cs]e (?:version |v ?)?1 1 | apache
 apache-1.0 | apache 1 0 | apache (?:software )?licen[cs]e (?:version |v ?)?1 0 | apache
@@ -100,22 +100,22 @@ artistic-2.0 | artistic 2 0 | artistic licen[cs]e (?:version |v ?)?2 0 | artisti
 bsl-1.0 | bsl 1 0 | boost software licen[cs]e(?: (?:version |v ?)?1 0)? | boost
 busl-1.1 | busl 1 1 | business source licen[cs]e(?: 1 1)? | business source
 cc0-1.0 | cc0 1 0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)? | cc0
-cc-by-2.0 | cc by 2 0 | (?:creative commons attribution|cc by) 2 0 | 2 0
-cc-by-2.5 | cc by 2 5 | (?:creative commons attribution|cc by) 2 5 | 2 5
-cc-by-3.0 | cc by 3 0 | (?:creative commons attribution|cc by) 3 0 | 3 0
-cc-by-4.0 | cc by 4 0 | (?:creative commons attribution|cc by) 4 0 | 4 0
-cc-by-sa-2.0 | cc by sa 2 0 | (?:creative commons attribution share ?alike|cc by sa) 2 0 | 2 0
-cc-by-sa-2.5 | cc by sa 2 5 | (?:creative commons attribution share ?alike|cc by sa) 2 5 | 2 5
-cc-by-sa-3.0 | cc by sa 3 0 | (?:creative commons attribution share ?alike|cc by sa) 3 0 | 3 0
-cc-by-sa-4.0 | cc by sa 4 0 | (?:creative commons attribution share ?alike|cc by sa) 4 0 | 4 0
-cc-by-nc-3.0 | cc by nc 3 0 | (?:creative commons attribution non ?commercial|cc by nc) 3 0 | 3 0
-cc-by-nc-4.0 | cc by nc 4 0 | (?:creative commons attribution non ?commercial|cc by nc) 4 0 | 4 0
-cc-by-nc-sa-3.0 | cc by nc sa 3 0 | (?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 3 0 | 3 0
-cc-by-nc-sa-4.0 | cc by nc sa 4 0 | (?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 4 0 | 4 0
-cc-by-nd-3.0 | cc by nd 3 0 | (?:creative commons attribution no ?deriv(?:ative)?s|cc by nd) 3 0 | 3 0
-cc-by-nd-4.0 | cc by nd 4 0 | (?:creative commons attribution no ?deriv(?:ative)?s|cc by nd) 4 0 | 4 0
-cc-by-nc-nd-3.0 | cc by nc nd 3 0 | (?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd) 3 0 | 3 0
-cc-by-nc-nd-4.0 | cc by nc nd 4 0 | (?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd) 4 0 | 4 0
+cc-by-2.0 | cc by 2 0 | (?:creative commons attribution|cc by) 2 0 | creative commons attribution, cc by
+cc-by-2.5 | cc by 2 5 | (?:creative commons attribution|cc by) 2 5 | creative commons attribution, cc by
+cc-by-3.0 | cc by 3 0 | (?:creative commons attribution|cc by) 3 0 | creative commons attribution, cc by
+cc-by-4.0 | cc by 4 0 | (?:creative commons attribution|cc by) 4 0 | creative commons attribution, cc by
+cc-by-sa-2.0 | cc by sa 2 0 | (?:creative commons attribution share ?alike|cc by sa) 2 0 | creative commons attribution, cc by
+cc-by-sa-2.5 | cc by sa 2 5 | (?:creative commons attribution share ?alike|cc by sa) 2 5 | creative commons attribution, cc by
+cc-by-sa-3.0 | cc by sa 3 0 | (?:creative commons attribution share ?alike|cc by sa) 3 0 | creative commons attribution, cc by
+cc-by-sa-4.0 | cc by sa 4 0 | (?:creative commons attribution share ?alike|cc by sa) 4 0 | creative commons attribution, cc by
+cc-by-nc-3.0 | cc by nc 3 0 | (?:creative commons attribution non ?commercial|cc by nc) 3 0 | creative commons attribution, cc by
+cc-by-nc-4.0 | cc by nc 4 0 | (?:creative commons attribution non ?commercial|cc by nc) 4 0 | creative commons attribution, cc by
+cc-by-nc-sa-3.0 | cc by nc sa 3 0 | (?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 3 0 | creative commons attribution, cc by
+cc-by-nc-sa-4.0 | cc by nc sa 4 0 | (?:creative commons attribution non ?commercial share ?alike|cc by nc sa) 4 0 | creative commons attribution, cc by
+cc-by-nd-3.0 | cc by nd 3 0 | (?:creative commons attribution no ?deriv(?:ative)?s|cc by nd) 3 0 | creative commons attribution, cc by
+cc-by-nd-4.0 | cc by nd 4 0 | (?:creative commons attribution no ?deriv(?:ative)?s|cc by nd) 4 0 | creative commons attribution, cc by
+cc-by-nc-nd-3.0 | cc by nc nd 3 0 | (?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd) 3 0 | creative commons attribution, cc by
+cc-by-nc-nd-4.0 | cc by nc nd 4 0 | (?:creative commons attribution non ?commercial no ?deriv(?:ative)?s|cc by nc nd) 4 0 | creative commons attribution, cc by
 cc | cc | creative commons (?:attribution )?licen[cs]e | creative commons
 unlicense | unlicense | (?:the )?unlicense | unlicense
 wtfpl | wtfpl | (?:do what the fuck you want to public licen[cs]e|wtfpl) | what the fuck, wtfpl
@@ -151,7 +151,7 @@ vim | vim | vim licen[cs]e | vim licen
 tcl | tcl | tcl tk licen[cs]e | tcl
 curl | curl | curl licen[cs]e | curl
 icu | icu | icu licen[cs]e | icu licen
-unicode-dfs-2016 | unicode dfs 2016 | unicode (?:inc )?licen[cs]e (?:agreement )?(?:data files and software)? | unicode
+unicode-dfs-2016 | unicode dfs 2016 | unicode (?:inc )?licen[cs]e(?: agreement)?(?: data files and software)? | unicode
 ecl-2.0 | ecl 2 0 | educational community licen[cs]e | educational
 efl-2.0 | efl 2 0 | eiffel forum licen[cs]e | eiffel
 entessa | entessa | entessa public licen[cs]e | entessa
@@ -177,7 +177,7 @@ json | json | json licen[cs]e | json
 blueoak-1.0.0 | blueoak 1 0 0 | blue oak model licen[cs]e | blue oak
 hippocratic-2.1 | hippocratic 2 1 | hippocratic licen[cs]e | hippocratic
 openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)? | rail
-proprietary | proprietary | (?:proprietary|commercial) licen[cs]e(?: agreement)? | licen
+proprietary | proprietary | (?:proprietary|commercial) licen[cs]e(?: agreement)? | proprietary, commercial
 """
 
 #: name | label | priority | confidence | keywords | pattern: texts and notices that name no license,
@@ -208,9 +208,79 @@ all-rights | all-rights-reserved | 40 | 0.5 | rights reserved | all rights reser
 copyright-year | copyright | 60 | 0.3 | copyright | copyright (?:c )?(?:19|20)\d\d
 see-license | license-reference | 55 | 0.3 | licen | see (?:the )?(?:accompanying |attached )?licen[cs]e(?: file| txt| md)?
 dual | dual-license | 30 | 0.7 | dual | dual(?:ly)? licen[cs]ed
-mit-mention | mit | 50 | 0.7 | licen | mit licen[cs]ed?
+mit-mention | mit | 50 | 0.7 | mit | mit licen[cs]ed?
 apache-mention | apache | 50 | 0.7 | apache | apache licen[cs]ed?
 gpl-mention | gpl | 50 | 0.7 | general public | general public licen[cs]e
+mit-conditions | mit | 25 | 0.85 | without restriction | to deal in the software without restriction including without limitation the rights to use
+mit-warranty | mit | 28 | 0.8 | warranties of merchantability | the warranties of merchantability fitness for a particular purpose and non ?infringement in no event shall the authors
+mit-liability | mit | 28 | 0.75 | dealings in the software | out of or in connection with the software or the use or other dealings in the software
+mit-0-grant | mit-0 | 18 | 0.7 | hereby granted | permission is hereby granted free of charge .{1,200}? to permit persons to whom the software is furnished to do so the software is provided as is
+isc-notice | isc | 24 | 0.85 | with or without fee | for any purpose with or without fee is hereby granted provided that the above copyright notice
+isc-warranty | isc | 28 | 0.75 | special direct indirect | in no event shall the author be liable for any special direct indirect or consequential damages
+bsd-source | bsd | 24 | 0.85 | source code must retain | redistributions of source code must retain the above copyright notice
+bsd-binary | bsd | 24 | 0.85 | binary form must | redistributions in binary form must reproduce the above copyright notice
+bsd-warranty | bsd | 28 | 0.8 | copyright holders and contributors | this software is provided by the copyright holders and contributors as is
+bsd-regents | bsd-3-clause | 18 | 0.8 | regents | (?:the )?regents of the university of california
+bsd-acknowledge | bsd-4-clause | 18 | 0.85 | acknowledg | must display the following acknowledg(?:e)?ment
+bsd-views | bsd-2-clause | 18 | 0.85 | freebsd project | views and conclusions .{1,160}? should not be interpreted as representing official policies .{1,40}? freebsd project
+bsd-patent | bsd-2-clause-patent | 14 | 0.85 | patent rights | no express or implied licenses to any party s patent rights are granted by this license
+apache-basis | apache-2.0 | 20 | 0.85 | as is basis | distributed on an as is basis without warranties or conditions of any kind
+apache-terms | apache-2.0 | 20 | 0.9 | terms and conditions for use | terms and conditions for use reproduction and distribution
+apache-contribution | apache-2.0 | 25 | 0.85 | contribution shall mean | contribution shall mean any work of authorship including the original version
+apache-except | apache-2.0 | 25 | 0.7 | except in compliance | you may not use this file except in compliance with the license
+apache-1.1-ack | apache-1.1 | 18 | 0.9 | developed by the apache | this product includes software developed by the apache (?:software foundation|group)
+gpl-hope | gpl | 25 | 0.85 | in the hope | distributed in the hope that it will be useful but without any warranty
+gpl-merchant | gpl | 28 | 0.75 | implied warranty | without even the implied warranty of merchantability or fitness for a particular purpose
+gpl-preamble | gpl | 22 | 0.85 | freedom to share | (?:licenses|agreements) for most software .{1,60}? are designed to take away your freedom to share
+gpl-3-only | gpl-3.0 | 15 | 0.9 | version 3 | general public license as published by the free software foundation version 3 of the license
+gpl-2-only | gpl-2.0 | 15 | 0.9 | version 2 | general public license version 2 as published by the free software foundation
+gpl-franklin | gpl | 30 | 0.7 | free software foundation | free software foundation inc (?:51 franklin|59 temple|675 mass)
+gpl-classpath | gpl-classpath | 14 | 0.9 | exception | as a special exception .{1,120}? permission to link this (?:library|code) with independent modules
+gpl-font | gpl-font | 14 | 0.85 | uses this font | if you create a document which uses this font
+gpl-bison | gpl-bison | 14 | 0.85 | bison | you may create a larger work that contains part or all of the bison parser skeleton
+lgpl-hope | lgpl | 24 | 0.8 | this library is distributed | this library is distributed in the hope that it will be useful
+lgpl-link | lgpl | 26 | 0.8 | designed to work with the library | a program that contains no derivative of any portion of the library but is designed to work with the library
+agpl-network | agpl-3.0 | 18 | 0.9 | remotely | users interacting with it remotely through a computer network
+gfdl-invariant | gfdl | 18 | 0.9 | invariant sections | with (?:no|the) invariant sections .{0,80}? (?:no )?front cover texts
+mpl-notice | mpl-2.0 | 18 | 0.9 | mozilla org mpl | (?:you can obtain one at )?(?:https? )?(?:www )?mozilla org mpl 2 0
+mpl-1-notice | mpl-1.1 | 16 | 0.9 | mozilla public | the contents of this file are subject to the mozilla public license version 1 1
+mpl-incompatible | mpl-2.0-no-copyleft | 14 | 0.85 | incompatible with secondary | this source code form is incompatible with secondary licenses
+epl-notice | epl | 18 | 0.9 | accompanying materials | this program and the accompanying materials are made available under the terms of the eclipse public license
+epl-url | epl | 20 | 0.9 | eclipse org | (?:www )?eclipse org legal epl
+cddl-notice | cddl-1.0 | 18 | 0.9 | common development | the contents of this file are subject to the terms of the common development and distribution license
+cpl-notice | cpl-1.0 | 18 | 0.85 | common public | the accompanying program is provided under the terms of this common public license
+eupl-notice | eupl | 18 | 0.9 | eupl | licensed under the eupl
+artistic-intent | artistic-1.0 | 18 | 0.9 | artistic control | state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control
+boost-hereby | bsl-1.0 | 16 | 0.9 | execute and transmit | to use reproduce display distribute execute and transmit the software
+zlib-altered | zlib | 22 | 0.9 | altered source | altered source versions must be plainly marked as such
+zlib-origin | zlib | 22 | 0.9 | misrepresented | the origin of this software must not be misrepresented
+cc-by-share | cc-by-sa | 24 | 0.8 | share alike, sharealike | (?:attribution|by) (?:non ?commercial )?share ?alike (?:international|unported|generic)
+cc-legal | cc | 24 | 0.85 | creative commons | creative commons corporation is not a law firm and does not provide legal services
+cc0-dedicate | cc0-1.0 | 20 | 0.9 | cc0, associated a work | the person who associated a work with this deed has dedicated the work to the public domain|cc0 is a public domain dedication
+unlicense-dedicate | unlicense | 20 | 0.9 | dedicate any and all, make this dedication | we make this dedication for the benefit of the public at large|dedicate any and all copyright interest in the software to the public domain
+ofl-reserved | ofl-1.1 | 18 | 0.9 | reserved font | reserved font name
+odbl-notice | odbl-1.0 | 18 | 0.9 | opendatacommons | (?:www )?opendatacommons org licenses odbl
+ms-pl-notice | ms-pl | 18 | 0.85 | accept the license | if you use the software you accept this license if you do not accept the license do not use the software
+wtfpl-terms | wtfpl | 18 | 0.9 | everyone is permitted | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed
+beerware-terms | beerware | 18 | 0.95 | buy me a beer | you can buy me a beer in return
+json-evil | json | 16 | 0.95 | good not evil | the software shall be used for good not evil
+sspl-service | sspl-1.0 | 18 | 0.85 | service source code | service source code
+commons-sell | commons-clause | 16 | 0.9 | right to sell | does not grant to you the right to sell the software
+busl-change | busl-1.1 | 16 | 0.85 | change date | (?:on|after) the change date .{1,80}? change license
+elastic-hosted | elastic-2.0 | 16 | 0.85 | hosted or managed | may not provide the software to third parties as a hosted or managed service
+openrail-use | openrail | 20 | 0.85 | use based restrictions | use based restrictions
+ncsa-grant | ncsa | 18 | 0.9 | deal with the software | to deal with the software without restriction including without limitation the rights
+postgresql-grant | postgresql | 18 | 0.85 | written agreement | without fee and without a written agreement is hereby granted
+psf-grant | psf-2.0 | 18 | 0.9 | python software foundation | the python software foundation (?:psf )?(?:and|hereby grants|is making)
+openssl-ack | openssl | 18 | 0.9 | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay-ack | ssleay | 18 | 0.9 | eric young | this product includes cryptographic software written by eric young
+curl-notice | curl | 18 | 0.85 | name of a copyright holder | except as contained in this notice the name of a copyright holder shall not be used in advertising
+x11-notice | x11 | 18 | 0.85 | name of the x consortium | the name of the x consortium shall not be used in advertising
+no-warranty | no-warranty | 60 | 0.3 | no warranty | (?:comes with|there is) (?:absolutely )?no warranty
+non-commercial | non-commercial | 40 | 0.5 | commercial | for (?:personal and )?non ?commercial (?:use|purposes) only
+no-redistribution | proprietary | 40 | 0.6 | prior written | (?:may not be|no part .{1,60}? may be) (?:copied|reproduced|distributed|redistributed) .{0,80}? without (?:the )?prior written (?:permission|consent)
+confidential | proprietary | 40 | 0.6 | confidential | (?:proprietary and confidential|confidential and proprietary)
+eula | proprietary | 35 | 0.7 | end user | end user licen[cs]e agreement
 gpl-short | gpl | 50 | 0.6 | gpl | gpl ?v?[123]?
 lgpl-short | lgpl | 48 | 0.6 | gpl | lgpl ?v?[23]?(?: 1)?
 agpl-short | agpl | 48 | 0.6 | gpl | agpl ?v?[3]?
