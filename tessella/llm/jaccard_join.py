@@ -5,8 +5,8 @@ Documents are sets of hashed five-word shingles; two link at a Jaccard similarit
 * Classes. Documents with the same set form a class, named by a 128-bit hash of the set; everything
   below works on one set for each class.
 * Rare first. Shingles are ordered by the exact number of classes that hold them, then by hash. To count, each
-  task sends the shingles of its texts, sorted and packed, to ranges of the hash. A range's task counts the
-  classes of each of its shingles and reports those in two classes or more; a shingle of one class alone can
+  task sends the shingles of a slice of its texts, sorted and packed, to ranges of the hash. A range's task counts the
+  classes of each of its shingles and reports those in two classes or more to the slices that have them; a shingle of one class alone can
   link nothing and only takes a place at the front. Shingles go by as many bits here as keep most apart: two that
   meet by chance are counted as one by all, which costs work and loses nothing.
 * Hot shingles. A shingle that stands in a large share of all sets would fill a range. Tasks report what is
@@ -115,28 +115,27 @@ def _of_planes(data: bytes, count: int, size: int) -> np.ndarray:
     return out.reshape(-1).view(U64)
 
 
-def packed(classes: list[bytes], sizes: np.ndarray, hot: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> bytes:
-    """A row of sorted shingles and the sets they are of: names, sizes and numbers of hot shingles of the sets present."""
-    present, owner = np.unique(owner, return_inverse=True)
-    steps = np.diff(grams, prepend=U64(0))
-    data = b"".join([
-        np.array([len(present), len(grams)], "<u4").tobytes(), b"".join(classes[i] for i in present.tolist()),
-        _planes(sizes[present], 4), _planes(hot[present], 4), _planes(owner, 4), _planes(steps, 8),
-    ])
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def packed(owner: np.ndarray, grams: np.ndarray, more: np.ndarray | None = None) -> bytes:
+    """Sorted shingles, the number of the set that each is of within its slice, and a small number more of each if given."""
+    planes = [_planes(owner, 4), _planes(np.diff(grams, prepend=U64(0)), 8), *([] if more is None else [_planes(more, 4)])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(grams)], "<u4").tobytes(), *planes]))
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(data)
-    m, k = np.frombuffer(data, "<u4", 2).tolist()
-    cuts = np.cumsum([8, 16 * m, 4 * m, 4 * m, 4 * k, 8 * k]).tolist()
-    names, sizes, hot, owner, steps = (data[a:b] for a, b in zip(cuts, cuts[1:]))
-    small = lambda x, n: _of_planes(x, 4, n).astype(np.int32)
-    return np.frombuffer(names, "S16"), small(sizes, m), small(hot, m), small(owner, k), np.cumsum(_of_planes(steps, 8, k), dtype=U64)
+    k = int(np.frombuffer(data, "<u4", 1)[0])
+    owner, steps, more = (data[a:b] for a, b in ((4, 4 + 4 * k), (4 + 4 * k, 4 + 12 * k), (4 + 12 * k, None)))
+    small = lambda x: _of_planes(x, 4, k).astype(np.int32)
+    return small(owner), np.cumsum(_of_planes(steps, 8, k), dtype=U64), small(more) if more else np.empty(0, np.int32)
 
 
 def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> DataFrame:
-    """part and packed shingles (their first bits) of each set. Hot ones go to negative parts, by class, and only where a prefix has some."""
+    """Rows for each slice of texts, named by `slice`.
+
+    With `data` and `tags`: the packed shingles (their first bits) of a range `part`, and the first 8 bytes of the names of the
+    sets that have them, by number of the set. With `names`, `sizes`, `hots`: the slice's sets, how many shingles and how many
+    hot ones they have; there `data` holds the hot shingles of the sets whose prefix has some.
+    """
     shared = source.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,121 +153,104 @@ def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> Dat
                 sets.append(s)
             if not sets:
                 continue
+            names = b"".join(classes)
+            slice_ = xxhash.xxh3_64_intdigest(names) - (1 << 63)
             sizes = np.array([len(s) for s in sets], np.int64)
             grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
             is_hot = np.isin(grams >> U64(16), shared.value)
             hots = np.bincount(owner[is_hot], minlength=len(sets))
-            short = (sizes - hots < prefix_length(sizes))[owner] & is_hot
             grams >>= U64(64 - bits)
-            out: list[list] = [[], []]
-            if short.any():
-                home = np.array([int.from_bytes(c[:4], "big") % parts for c in classes])[owner]
-                for part in np.unique(home[short]).tolist():
-                    there = np.flatnonzero(short & (home == part))
-                    there = there[np.argsort(grams[there])]
-                    out[0].append(-1 - part)
-                    out[1].append(packed(classes, sizes, hots, owner[there], grams[there]))
-            grams, owner = grams[~is_hot], owner[~is_hot]
             order = np.argsort(grams)
-            grams, owner = grams[order], owner[order]
+            grams, owner, is_hot = grams[order], owner[order], is_hot[order]
+            needed = is_hot & (sizes - hots < prefix_length(sizes))[owner]
+            out: list[tuple] = [(slice_ % parts, slice_, packed(owner[needed], grams[needed]), None, names, sizes.tolist(), hots.tolist())]
+            grams, owner = grams[~is_hot], owner[~is_hot]
+            tags = np.frombuffer(names, "<u8")[::2]
             edges = np.searchsorted((grams >> U64(bits - 32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64))
             for part in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[part], edges[part + 1]
-                out[0].append(part)
-                out[1].append(packed(classes, sizes, hots, owner[a:b], grams[a:b]))
-            for a in range(0, len(out[0]), 16):
-                yield pa.RecordBatch.from_arrays([pa.array(out[0][a : a + 16], pa.int32()), pa.array(out[1][a : a + 16], pa.binary())], names=["part", "data"])
+                present, local = np.unique(owner[a:b], return_inverse=True)
+                head = np.array([len(present)], "<u4").tobytes() + present.astype("<u4").tobytes()
+                out.append((part, slice_, packed(local, grams[a:b]), head + tags[present].tobytes(), None, None, None))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            for a in range(0, len(out), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[a : a + 16]), kinds)], names=["part", "slice", "data", "tags", "names", "sizes", "hots"])
 
-    return source.select("text").mapInArrow(run, "part int, data binary")
+    return source.select("text").mapInArrow(run, "part int, slice long, data binary, tags binary, names binary, sizes array<int>, hots array<int>")
 
 
 def counted_grams(sent: DataFrame) -> DataFrame:
-    """class, n, hot, grams, dfs: for each set and range, the shingles that two classes or more hold, and the number of these; hot ones have LAST."""
+    """slice and packed shingles that two classes or more hold, with the number of these; the rows of the slices' sets as they are."""
 
     def count(part: pa.Table) -> pa.Table:
-        hot_part = part.column("part")[0].as_py() < 0
+        columns = ["slice", "data", "names", "sizes", "hots"]
+        tables = part.filter(part.column("names").is_valid()).select(columns)
+        part = part.filter(part.column("names").is_null()).sort_by("slice")
+        if not part.num_rows:
+            return tables
         rows = [unpacked(d.as_py()) for d in part.column("data")]
-        names = np.concatenate([r[0] for r in rows])
-        starts = np.cumsum([0, *(len(r[0]) for r in rows)])
-        owner = np.concatenate([r[3] + np.int32(a) for a, r in zip(starts, rows)])
-        grams = np.concatenate([r[4] for r in rows])
-        sizes, hots = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+        heads = [d.as_py() for d in part.column("tags")]
+        sizes = [int(np.frombuffer(h, "<u4", 1)[0]) for h in heads]
+        tags = np.concatenate([np.frombuffer(h, "<u8", m, 4 + 4 * m) for h, m in zip(heads, sizes)])
+        starts = np.cumsum([0, *sizes])
+        owner = np.concatenate([r[0] + np.int32(a) for a, r in zip(starts, rows)])
+        grams = np.concatenate([r[1] for r in rows])
         del rows
-        # A class that several tasks sent counts once: its first row stands for it.
-        names, first = np.unique(names, return_index=True)
-        place = np.full(len(sizes), -1, np.int32)
-        place[first] = np.arange(len(first), dtype=np.int32)
-        owner = place[owner]
-        grams, owner = grams[owner >= 0], owner[owner >= 0]
+        # A class that several tasks sent counts once: its row in the first slice stands for it, in every range.
+        _, first = np.unique(tags, return_index=True)
+        stays = np.zeros(len(tags), bool)
+        stays[first] = True
+        keep = stays[owner]
+        grams, owner = grams[keep], owner[keep]
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
-        heads = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
-        df = np.diff(np.r_[heads, len(grams)]).astype(np.int32)
+        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        df = np.diff(np.r_[begin, len(grams)]).astype(np.int32)
         df = np.repeat(df, df)
-        if hot_part:
-            df[:] = LAST
-        keep = df > 1
-        grams, owner, df = grams[keep], owner[keep], df[keep]
-        order = np.argsort(owner, kind="stable")
-        grams, owner, df = grams[order], owner[order], df[order]
-        of = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
-        who, edges = owner[of], pa.array(np.r_[of, len(owner)].astype(np.int32))
-        lists = lambda x, kind: pa.ListArray.from_arrays(edges, pa.array(x, kind))
-        return pa.table({
-            "class": pa.array([bytes(x).ljust(16, b"\0") for x in names[who].tolist()], pa.binary()), "n": pa.array(sizes[first][who], pa.int32()),
-            "hot": pa.array(hots[first][who], pa.int32()), "grams": lists(grams.view(np.int64), pa.int64()), "dfs": lists(df, pa.int32()),
-        })
-
-    return sent.groupBy("part").applyInArrow(count, "class binary, n int, hot int, grams array<long>, dfs array<int>")
+        grams, owner, df = grams[df > 1], owner[df > 1], df[df > 1]
+        out: list[list] = [[], []]
+        of_slice = np.searchsorted(starts, owner, side="right") - 1
+        order = np.argsort(of_slice, kind="stable")
+        edges = np.searchsorted(of_slice[order], np.arange(len(heads) + 1))
+        names = part.column("slice").to_pylist()
+        for i, (head, m) in enumerate(zip(heads, sizes)):
+            at = order[edges[i] : edges[i + 1]]
+            if len(at):
+                numbers = np.frombuffer(head, "<u4", m, 4)
+                out[0].append(names[i])
+                out[1].append(packed(numbers[owner[at] - starts[i]], grams[at], df[at]))
+        n = len(out[0])
+        lists = pa.nulls(n, pa.list_(pa.int32()))
+        return pa.concat_tables([tables, pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.nulls(n, pa.binary()), lists, lists], names=columns).cast(tables.schema)])
+
+    return sent.groupBy("part").applyInArrow(count, "slice long, data binary, names binary, sizes array<int>, hots array<int>")
 
 
 def prefixes(counted: DataFrame, bits: int) -> DataFrame:
-    """gram, class, n, pos and suffix counts r0.. of the prefix of each set, as far as its shingles are shared.
-
-    A set's rows from all ranges come one after another; only the last set of a batch waits for the next one.
-    """
-
-    def of_sets(rows: pa.Table) -> pa.RecordBatch:
-        names = rows.column("class").to_pylist()
-        new = np.array([True, *(a != b for a, b in zip(names, names[1:]))])
-        heads = np.flatnonzero(new)
-        size = np.diff(rows.column("grams").combine_chunks().offsets.to_numpy())
-        owner = np.repeat(np.cumsum(new) - 1, size)
-        grams, dfs = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("grams", "dfs"))
-        n, hot = (rows.column(c).to_numpy()[heads].astype(np.int64) for c in ("n", "hot"))
+    """gram, class, n, pos and suffix counts r0.. of the prefix of each set, as far as its shingles are shared; a slice at once."""
+
+    def of_slice(rows: pa.Table) -> pa.Table:
+        table = rows.filter(rows.column("names").is_valid())
+        names = table.column("names")[0].as_py()
+        n, hot = (np.array(table.column(c)[0].as_py(), np.int64) for c in ("sizes", "hots"))
+        owner, grams, _ = unpacked(table.column("data")[0].as_py())
+        found = [(owner, grams, np.full(len(grams), LAST, np.int32)), *(unpacked(d.as_py()) for d in rows.filter(rows.column("names").is_null()).column("data"))]
+        owner, grams, dfs = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((grams, dfs, owner))
-        grams, owner, cold = grams[order], owner[order], dfs[order] < LAST
-        known = np.bincount(owner[cold], minlength=len(heads))
-        begin = np.searchsorted(owner, np.arange(len(heads)))
-        pos = (n - hot - known - begin)[owner] + np.arange(len(owner))
+        grams, owner, cold = grams[order].astype(np.int64), owner[order], dfs[order] < LAST
+        begin = np.searchsorted(owner, np.arange(len(n) + 1))
+        known = np.bincount(owner[cold], minlength=len(n))
+        pos = (n - hot - known - begin[:-1])[owner] + np.arange(len(owner))
         keep = np.flatnonzero(pos < prefix_length(n)[owner])
+        who = owner[keep]
         later = []
         for i in range(RANGES):
-            upto = np.cumsum(cold & (grams >> (bits - 2) == i))
-            whole = np.r_[upto[begin[1:] - 1], upto[-1:]]
-            later.append((whole[owner] - upto)[keep])
-        who = owner[keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams[keep]), pa.array([names[i] for i in heads[who].tolist()], pa.binary()), *(pa.array(x, pa.int32()) for x in (n[who], pos[keep], *later))],
-            names=["gram", "class", "n", "pos", *SUFFIX],
-        )
+            upto = np.r_[0, np.cumsum(cold & (grams >> (bits - 2) == i))]
+            later.append(upto[begin[1:]][who] - upto[keep + 1])
+        classes = pa.array([names[16 * i : 16 * i + 16] for i in who.tolist()], pa.binary())
+        return pa.table([pa.array(grams[keep]), classes, *(pa.array(x, pa.int32()) for x in (n[who], pos[keep], *later))], names=["gram", "class", "n", "pos", *SUFFIX])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            names = rows.column("class").to_pylist()
-            done = names.index(names[-1])
-            held = rows.slice(done)
-            if done:
-                yield of_sets(rows.slice(0, done))
-        if held is not None:
-            yield of_sets(held)
-
-    together = counted.repartition("class").sortWithinPartitions("class")
-    return together.mapInArrow(run, f"gram long, class binary, n int, pos int, {', '.join(f'{c} int' for c in SUFFIX)}")
+    return counted.groupBy("slice").applyInArrow(of_slice, f"gram long, class binary, n int, pos int, {', '.join(f'{c} int' for c in SUFFIX)}")
 
 
 SUFFIX = tuple(f"r{i}" for i in range(RANGES))

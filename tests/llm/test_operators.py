@@ -448,11 +448,9 @@ def test_jaccard_components(spark, part, hot, frequent, rounds, monkeypatch):
 def test_packed_shingles_come_back():
     rng = np.random.default_rng(3)
     for k in (0, 1, 1000):
-        classes, grams = [bytes(rng.integers(0, 256, 15, np.uint8)) + b"\0" for _ in range(50)], np.sort(rng.integers(0, 1 << 62, k).astype(np.uint64))
-        owner, sizes, hot = rng.integers(0, 50, k), rng.integers(1, 1 << 30, 50), rng.integers(0, 9, 50)
-        names, n, h, at, back = jaccard_join.unpacked(jaccard_join.packed(classes, sizes, hot, owner, grams))
-        assert back.tolist() == grams.tolist() and [bytes(x).ljust(16, b"\0") for x in names[at].tolist()] == [classes[i] for i in owner]
-        assert n[at].tolist() == sizes[owner].tolist() and h[at].tolist() == hot[owner].tolist()
+        grams, owner, more = np.sort(rng.integers(0, 1 << 62, k).astype(np.uint64)), rng.integers(0, 50, k), rng.integers(0, 1 << 31, k)
+        assert [x.tolist() for x in jaccard_join.unpacked(jaccard_join.packed(owner, grams, more))] == [owner.tolist(), grams.tolist(), more.tolist()]
+        assert [x.tolist() for x in jaccard_join.unpacked(jaccard_join.packed(owner, grams))] == [owner.tolist(), grams.tolist(), []]
 
 
 def test_rows_with_keys(spark, monkeypatch):
