@@ -52,11 +52,7 @@ lines AS (SELECT *, {normal} AS norm, len({WORDS.format("line")}) AS words FROM
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
 per AS (SELECT rid, host, any_value(text) AS text, norm, sum(words) AS words FROM lines GROUP BY rid, host, norm),
 frequent AS (SELECT host, norm FROM per GROUP BY host, norm HAVING count(DISTINCT text) > {quality.MAX_DOCUMENTS}),
-hot AS (SELECT per.* FROM per JOIN frequent USING (host, norm)),
-own AS (SELECT hot.rid, (sum(words) <= {1 - quality.OWN_WORDS} * any_value(len(ws)))::INT AS own FROM hot JOIN l USING (rid) GROUP BY hot.rid),
-doc AS (SELECT host, norm, text, any_value(own) AS own FROM hot JOIN own USING (rid) JOIN l USING (rid, host, text) GROUP BY host, norm, text, l.doc_id),
-boiler AS (SELECT host, norm FROM doc GROUP BY host, norm HAVING avg(own) >= {quality.OWN_DOCUMENTS}),
-gone AS (SELECT rid, sum(words)::BIGINT AS n FROM hot JOIN boiler USING (host, norm) GROUP BY rid),
+gone AS (SELECT rid, sum(words)::BIGINT AS n FROM per JOIN frequent USING (host, norm) GROUP BY rid),
 full_ AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words

@@ -2,11 +2,9 @@
 
 Lines are normalised (A-Z lowered, digits to 0, white space runs to one space, ends trimmed) and
 hashed. For each host (the `source` column) and line, distinct documents are counted, distinct by
-content, so that exact copies count once. A line above the limit is boilerplate if it mostly stands
-in documents that also carry text of their own; lines that travel only with whole documents belong
-to copies, which are for the near-duplicate stage to thin out, not for this one to erase.
-Documents of which boilerplate leaves too little are rejected as depleted; the stage of the pipeline removes
-the boilerplate lines from the texts of the others.
+content, so that exact copies count once. Lines that stand in more than MAX_DOCUMENTS documents are removed. Documents of
+which that leaves less than LEAST_LEFT of their words are rejected as depleted; the stage of the pipeline passes the
+others on without these lines.
 
 Line frequencies are sums by (host, line) with partial sums before the shuffle; the frequent lines
 are joined back with a salt, so that a line of a third of all documents spreads over tasks.
@@ -30,11 +28,7 @@ from tessella.shared import checkpoint
 
 #: Documents of one host in which a normalised line may stand.
 MAX_DOCUMENTS = 25
-#: A line above the limit is boilerplate if at least this share of its documents have text of their own ...
-OWN_DOCUMENTS = 0.5
-#: ... that is, at least this share of their words in lines below the limit.
-OWN_WORDS = 0.1
-#: A document is depleted if boilerplate leaves less than this share of its words.
+#: A document is depleted if its lines below the limit have less than this share of its words.
 LEAST_LEFT = 0.2
 #: Pieces into which the rows of a frequent line are dealt for joins.
 SALTS = 16
@@ -114,26 +108,18 @@ def line_features(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 
 
 def boilerplate_words(features: DataFrame) -> DataFrame:
-    """row_key, the number of its words in boilerplate lines and those lines' hashes, for rows that have any."""
-    rows = features.select("host", "row_key", "content", "n_words", F.explode("lines").alias("l")).select(
-        F.xxhash64("host", "l.line").alias("line"), F.col("l.line").alias("plain"), "row_key", "content", "n_words", F.col("l.words").alias("words"))
+    """row_key, the number of its words in lines above the limit and those lines' hashes, for rows that have any."""
+    rows = features.select("host", "row_key", "content", F.explode("lines").alias("l")).select(
+        F.xxhash64("host", "l.line").alias("line"), F.col("l.line").alias("plain"), "row_key", "content", F.col("l.words").alias("words"))
     frequent = (
         rows.groupBy("line", "content").agg(F.lit(1).alias("one"))
         .groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > MAX_DOCUMENTS)
     )
     salted = frequent.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hot = checkpoint(rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]))
-    covered = hot.groupBy("row_key", "content", "n_words").agg(F.sum("words").alias("covered"))
-    # Repeated rows share row_key and were summed together: average over them.
-    copies = hot.groupBy("row_key", "line").agg(F.count("*").alias("copies"), F.first("words").alias("words"), F.first("plain").alias("plain"))
-    own = covered.join(copies.groupBy("row_key").agg(F.max("copies").alias("copies")), "row_key").select(
-        "row_key", (F.col("covered") / F.col("copies") <= (1 - OWN_WORDS) * F.col("n_words")).cast("double").alias("own"))
-    boiler = copies.join(own, "row_key").groupBy("line").agg(F.avg("own").alias("share")).where(F.col("share") >= OWN_DOCUMENTS).select("line")
-    salted = boiler.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return (
-        copies.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int"))
-        .join(salted, ["line", "salt"]).groupBy("row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("plain").alias("removed_lines"))
-    )
+    hot = rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
+    # Repeated rows share row_key; each line counts once for them.
+    once = hot.groupBy("row_key", "line").agg(F.first("words").alias("words"), F.first("plain").alias("plain"))
+    return once.groupBy("row_key").agg(F.sum("words").alias("removed_words"), F.collect_list("plain").alias("removed_lines"))
 
 
 def judged(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
