@@ -70,6 +70,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def planes(x: np.ndarray, count: int) -> bytes:
+    """The low bytes of unsigned integers, all lowest bytes first; bytes of one weight compress well together."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count].T.tobytes()
+
+
+def of_planes(data: bytes, count: int, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :count] = np.frombuffer(data, np.uint8).reshape(count, size).T
+    return out.reshape(-1).view(U64)
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of `size` consecutive word hashes (a polynomial in the window, then mixed)."""
     count = len(words) - size + 1

@@ -41,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, raw, shingle_set, slices, table, unused, with_keys
+from tessella.llm.common import LOWER, U64, WordHashes, of_planes, planes, raw, shingle_set, slices, table, unused, with_keys
 from tessella.llm.graph import components
 from tessella.shared import checkpoint
 
@@ -104,29 +104,18 @@ def summaries(source: DataFrame, kind: str) -> DataFrame:
     return source.mapInArrow(run, f"key {kind}, class binary, n long, gram long")
 
 
-def _planes(x: np.ndarray, count: int) -> bytes:
-    """The low bytes of unsigned integers, all lowest bytes first; bytes of one weight compress well together."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count].T.tobytes()
-
-
-def _of_planes(data: bytes, count: int, size: int) -> np.ndarray:
-    out = np.zeros((size, 8), np.uint8)
-    out[:, :count] = np.frombuffer(data, np.uint8).reshape(count, size).T
-    return out.reshape(-1).view(U64)
-
-
 def packed(owner: np.ndarray, grams: np.ndarray, more: np.ndarray | None = None) -> bytes:
     """Sorted shingles, the number of the set that each is of within its slice, and a small number more of each if given."""
-    planes = [_planes(owner, 4), _planes(np.diff(grams, prepend=U64(0)), 8), *([] if more is None else [_planes(more, 4)])]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(grams)], "<u4").tobytes(), *planes]))
+    columns = [planes(owner, 4), planes(np.diff(grams, prepend=U64(0)), 8), *([] if more is None else [planes(more, 4)])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(grams)], "<u4").tobytes(), *columns]))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = zstandard.ZstdDecompressor().decompress(data)
     k = int(np.frombuffer(data, "<u4", 1)[0])
     owner, steps, more = (data[a:b] for a, b in ((4, 4 + 4 * k), (4 + 4 * k, 4 + 12 * k), (4 + 12 * k, None)))
-    small = lambda x: _of_planes(x, 4, k).astype(np.int32)
-    return small(owner), np.cumsum(_of_planes(steps, 8, k), dtype=U64), small(more) if more else np.empty(0, np.int32)
+    small = lambda x: of_planes(x, 4, k).astype(np.int32)
+    return small(owner), np.cumsum(of_planes(steps, 8, k), dtype=U64), small(more) if more else np.empty(0, np.int32)
 
 
 def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> DataFrame:

@@ -37,9 +37,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import U64, WordHashes, bit_table, gram_hashes, in_bits, mix, raw, slices, table, unused
+from tessella.llm.common import U64, WordHashes, bit_table, gram_hashes, in_bits, mix, of_planes, planes, raw, slices, table, unused
 from tessella.shared import checkpoint
 
 #: Words of a window, words of a minimizer's run.
@@ -293,11 +294,42 @@ class Reader:
         return Sent(text, by, first, stop, found, names)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    """Word hashes (their first WORD_BYTES bytes) of joined passages."""
-    out = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
-    out[:, :WORD_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, WORD_BYTES)
-    return out.view(U64)[:, 0]
+def packed(names: list[bytes], lo: list[int], hi: list[int], words: list[bytes]) -> bytes:
+    """Passages of one shard: names, least and largest documents, and words as numbers in a list of the distinct ones."""
+    sizes = np.array([len(w) // WORD_BYTES for w in words], np.int64)
+    flat = np.zeros((int(sizes.sum()), 8), np.uint8)
+    flat[:, :WORD_BYTES] = np.frombuffer(b"".join(words), np.uint8).reshape(-1, WORD_BYTES)
+    known, code = np.unique(flat.view(U64)[:, 0], return_inverse=True)
+    data = b"".join([
+        np.array([len(names), len(known), len(flat)], "<u4").tobytes(), b"".join(names),
+        *(planes(np.array(x, np.int64).view(U64), 8) for x in (lo, hi)), planes(sizes, 4), planes(np.diff(known, prepend=U64(0)), 8), planes(code, 4),
+    ])
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, least and largest documents, numbers of words, and all words one after another."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n, known, total = np.frombuffer(data, "<u4", 3).tolist()
+    cuts = np.cumsum([12, NAME_BYTES * n, 8 * n, 8 * n, 4 * n, 8 * known, 4 * total]).tolist()
+    names, lo, hi, sizes, list_, code = (data[a:b] for a, b in zip(cuts, cuts[1:]))
+    documents = (of_planes(x, 8, n).view(np.int64) for x in (lo, hi))
+    words = np.cumsum(of_planes(list_, 8, known), dtype=U64)[of_planes(code, 4, total).astype(np.int64)]
+    return np.frombuffer(names, f"S{NAME_BYTES}"), *documents, of_planes(sizes, 4, n).astype(np.int64), words
+
+
+def distinct_passages(rows: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The passages of packed rows, each once: names, least and largest documents, numbers of words, words."""
+    names, lo, hi, sizes, words = (np.concatenate(x) for x in zip(*map(unpacked, rows)))
+    found, first, back = np.unique(names, return_index=True, return_inverse=True)
+    least, most = lo[first], hi[first]
+    np.minimum.at(least, back, lo)
+    np.maximum.at(most, back, hi)
+    kept = np.zeros(len(names), bool)
+    kept[first] = True
+    order = np.argsort(first)  # in the order of their words
+    named = [bytes(x).ljust(NAME_BYTES, b"\0") for x in found[order].tolist()]
+    return named, least[order], most[order], sizes[kept], words[np.repeat(kept, sizes)]
 
 
 def _minimizers_of_rows(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -357,14 +389,12 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
         held: dict[bytes, list] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = list(held.values())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([r[2] for r in rows], pa.int32()), pa.array(list(held), pa.binary()),
-                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-                names=["shard", "passage", "lo", "hi", "words"],
-            )
+            by_shard: dict[int, list] = {}
+            for name, (lo, hi, shard, words) in held.items():
+                by_shard.setdefault(shard, []).append((name, lo, hi, words))
             held.clear()
-            return out
+            rows = [packed(*map(list, zip(*of))) for of in by_shard.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(by_shard), pa.int32()), pa.array(rows, pa.binary())], names=["shard", "data"])
 
         for batch in slices(batches):
             sent = reader.read(batch)
@@ -390,14 +420,13 @@ def spans_of_rows(source: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*of_row, pa.array(sent.names, pa.binary()), *places], names=["row_key", "doc", "passage", "first", "stop"])
 
     def search(part: pa.Table) -> pa.Table:
-        part = part.group_by("passage").aggregate([("lo", "min"), ("hi", "max"), ("words", "min")])
-        data = part.column("words_min").to_pylist()
-        spans = earlier_spans(unpacked(b"".join(data)), np.array([len(d) // WORD_BYTES for d in data], np.int64), part.column("lo_min").to_numpy())
+        names, lo, hi, sizes, words = distinct_passages([d.as_py() for d in part.column("data")])
+        spans = earlier_spans(words, sizes, lo)
         # Passages of one document that no earlier one has a part of answer nothing.
-        useful = np.array([len(x) > 0 for x in spans]) | (part.column("lo_min").to_numpy() < part.column("hi_max").to_numpy())
-        return pa.table({"passage": part.column("passage"), "lo": part.column("lo_min"), "spans": pa.array(spans, pa.list_(pa.int64()))}).filter(pa.array(useful))
+        useful = np.array([len(x) > 0 for x in spans]) | (lo < hi)
+        return pa.table({"passage": pa.array(names, pa.binary()), "lo": pa.array(lo), "spans": pa.array(spans, pa.list_(pa.int64()))}).filter(pa.array(useful))
 
-    firsts = source.select("row_key", "doc", "text", "wanted", "cut").mapInArrow(contents, "shard int, passage binary, lo long, hi long, words binary")
+    firsts = source.select("row_key", "doc", "text", "wanted", "cut").mapInArrow(contents, "shard int, data binary")
     firsts = firsts.groupBy("shard").applyInArrow(search, "passage binary, lo long, spans array<long>")
     met = source.mapInArrow(occurrences, "row_key long, doc long, passage binary, first int, stop int").join(firsts, "passage")
     spans = F.when(F.col("doc") > F.col("lo"), F.array("first", "stop")).otherwise(F.transform("spans", lambda x: (x + F.col("first")).cast("int")))

@@ -285,6 +285,21 @@ def test_backward_search():
     assert got.tolist() == [least[tuple(s[j : j + 13])] for s in seqs for j in range(len(s) - 12)]
 
 
+def test_packed_passages_come_back():
+    rng = random.Random(2)
+    made = lambda n: [bytes(rng.randrange(256) for _ in range(substrings.WORD_BYTES)) for _ in range(n)]
+    known = made(30)
+    words = [b"".join(rng.choices(known, k=rng.randint(13, 25))) for _ in range(20)]
+    names = [bytes([i]) * (substrings.NAME_BYTES - 1) + b"\0" for i in range(20)]
+    docs = [rng.choice([rng.randint(-5, 9), substrings.LAST]) for _ in range(20)]
+    one = substrings.packed(names[:15], docs[:15], docs[:15], words[:15])
+    two = substrings.packed(names[10:], docs[10:], [d if d == substrings.LAST else d + 1 for d in docs[10:]], words[10:])
+    got, lo, hi, sizes, flat = substrings.distinct_passages([one, two])
+    assert got == names and lo.tolist() == docs and sizes.tolist() == [len(w) // substrings.WORD_BYTES for w in words]
+    assert hi.tolist() == [d if i < 10 or d == substrings.LAST else d + 1 for i, d in enumerate(docs)]
+    assert flat.view(np.uint8).reshape(-1, 8)[:, : substrings.WORD_BYTES].tobytes() == b"".join(words)
+
+
 def test_matching_statistics(monkeypatch):
     """Spans of sequences that earlier documents have, by comparing all windows; streamed in one piece and in many."""
     rng = random.Random(9)
