@@ -300,16 +300,18 @@ def to_leaders(live: DataFrame) -> DataFrame:
 
 def between_components(live: DataFrame) -> DataFrame:
     """Distinct pairs (a < b) of sets in different components that share a shingle and pass the filters."""
-    mixed = beside_main(live)
+    mixed = live if "main" in live.columns else beside_main(live)
     x, y = mixed.where("label <> main").alias("x"), mixed.alias("y")
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & fits("x", "y"))
     a, b = F.col("x.node"), F.col("y.node")
     return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def relabelled(live: DataFrame, labels: DataFrame) -> DataFrame:
+def relabelled(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return live.drop("main")
     named = labels.select("node", F.col("label").alias("named"))
-    return live.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("named", "node")).drop("named")
+    return live.drop("label", "main").join(named, "node", "left").withColumn("label", F.coalesce("named", "node")).drop("named")
 
 
 def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFrame | None:
@@ -325,13 +327,17 @@ def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFr
     sets = checkpoint(found.join(named.select("class", "node"), "class").select("node", "set").dropDuplicates(["node"]))
     links = labels = None
     for turn in range(ROUNDS + 1):
-        now = live if labels is None else relabelled(live, labels)
-        pairs = to_leaders(now if not turn else beside_main(now).where("label <> main")) if turn < ROUNDS else between_components(now)
+        if turn:
+            # Shingles whose sets are all in one component have nothing left to link, in this round and in later ones.
+            live = checkpoint(beside_main(relabelled(live, labels)))
+        if turn == ROUNDS:
+            pairs = between_components(live)
+        else:
+            pairs = to_leaders(live.where("label <> main") if turn else live)
         new = checkpoint(verified(pairs, sets))
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        labels = components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            labels = components(links)
     return None if labels is None else labels.join(named, "node").select("class", "rep", "label")
 
 

@@ -460,6 +460,16 @@ def test_jaccard_components(spark, part, hot, frequent, rounds, monkeypatch):
     assert {i: (got[i]["n_shingles"], got[i]["component_id"]) for i in got} == {i: (len(sets[i]), label[i]) for i in range(len(rows))}
 
 
+def test_sets_that_share_much_but_do_not_link(spark):
+    rng = random.Random(14)
+    p, q, r = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "pqr")
+    rows = [f"{p} {q}", f"{p} {r}", f"{q} {r}", f"{p} {q} x", "alone"]
+    got = by_id(jaccard_join.jaccard_components(documents(spark, rows[:3] + rows[4:])))
+    assert [got[i]["component_id"] for i in range(4)] == [0, 1, 2, 3]
+    got = by_id(jaccard_join.jaccard_components(documents(spark, rows)))
+    assert [got[i]["component_id"] for i in range(5)] == [0, 1, 2, 0, 4]
+
+
 def test_packed_shingles_come_back():
     rng = np.random.default_rng(3)
     for k in (0, 1, 1000):
