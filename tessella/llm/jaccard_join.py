@@ -49,7 +49,7 @@ WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
 ROUNDS = 2
 #: Shingles of a range on average.
-PART = 5_000_000
+PART = 2_500_000
 #: Bits of a shingle's name beyond the logarithm of their number: one in 2**SPARE_BITS meets another by chance.
 SPARE_BITS = 14
 #: Sets from which a shingle is hot; the list of hot shingles has at most 2**HOT_BITS entries.
@@ -189,14 +189,18 @@ def counted_grams(sent: DataFrame) -> DataFrame:
         _, first = np.unique(tags, return_index=True)
         stays = np.zeros(len(tags), bool)
         stays[first] = True
-        keep = stays[owner]
-        grams, owner = grams[keep], owner[keep]
+        if not stays.all():
+            keep = stays[owner]
+            grams, owner = grams[keep], owner[keep]
+            del keep
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
+        del order
         begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
         df = np.diff(np.r_[begin, len(grams)]).astype(np.int32)
         df = np.repeat(df, df)
-        grams, owner, df = grams[df > 1], owner[df > 1], df[df > 1]
+        several = df > 1
+        grams, owner, df = grams[several], owner[several], df[several]
         out: list[list] = [[], []]
         of_slice = np.searchsorted(starts, owner, side="right") - 1
         order = np.argsort(of_slice, kind="stable")
