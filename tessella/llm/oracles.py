@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import jaccard_join, quality, substrings, url_filters
+from tessella.llm import jaccard_join, quality, spelling, substrings, url_filters
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -61,5 +61,30 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT *, NOT base_failed AND n_words - removed_words >= {quality.LEAST_LEFT} * n_words AS kept FROM judged"""
 
 
+def op13() -> str:
+    # crc32 by its table: letters below 128 are one byte of UTF-8, the others 195 and their code less 64.
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    size, every = spelling.LEAST_LENGTH, spelling.EVERY
+    return f"""WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, x: {step}) AS v FROM range(256) r(i))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all({LOWER.format("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+each AS (SELECT k, w, count(*) AS c FROM runs WHERE length(w) >= {size} GROUP BY k, w),
+coded AS (SELECT w, c, flatten(list_transform(string_split(k || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))::UBIGINT[] AS b FROM each),
+hashed AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda a, x: xor(a >> 8, t[(xor(a, x) % 256)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h FROM coded, crc_table),
+lost AS (SELECT c, CASE WHEN h % {every} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM lost WHERE length(word) >= {size} GROUP BY word HAVING sum(c) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM places),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.v = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.v = b.word),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS form_n, arg_max(other, (other_n, -r)) AS form
+    FROM near JOIN (SELECT word AS other, row_number() OVER (ORDER BY encode(word)) AS r FROM words) USING (other) GROUP BY word),
+linked AS (SELECT word, form, form_n FROM best WHERE form_n >= {spelling.FACTOR} * n),
+chain(word, tip) AS (SELECT word, form FROM linked UNION ALL SELECT c.word, l.form FROM chain c JOIN linked l ON l.word = c.tip),
+root AS (SELECT word, tip FROM chain WHERE tip NOT IN (SELECT word FROM linked))
+SELECT w.word, l.form, coalesce(r.tip, w.word) AS root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, l.form_n
+FROM words w LEFT JOIN best b USING (word) LEFT JOIN linked l USING (word) LEFT JOIN root r USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3(), "op5_substring_dedup": op5(), "op8_jaccard_join": op8(), "op9_url_filters": url_filters.oracle()}
+    return {"op13_spelling_variants": op13(), "op3_quality_rules": op3(), "op5_substring_dedup": op5(), "op8_jaccard_join": op8(), "op9_url_filters": url_filters.oracle()}

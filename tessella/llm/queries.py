@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, fingerprints, jaccard_join, language_model, licenses, oracles, packing, quality, substrings, toxicity, url_filters
+from tessella.llm import bpe, fingerprints, jaccard_join, language_model, licenses, oracles, packing, quality, quality_trees, spelling
+from tessella.llm import substrings, toxicity, url_filters, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_url_filters": url_filters.op9_url_filters,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_quality_trees": quality_trees.op11_quality_trees,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
