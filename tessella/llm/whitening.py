@@ -4,8 +4,8 @@
    by a distinct over compact keys and checkpointed, so a vector that a third of all rows share is one row.
 2. Counts, sums and products of the fit list are summed by Spark in whole numbers: entries are centred on the
    whole part of their mean before they are multiplied, and what the rounding of the mean leaves is taken off exactly. So
-   the covariance does not depend on partitions or order, and is rounded once. Only sums of one row
-   for each pair of dimensions reach the driver, whatever the number of rows.
+   the covariance does not depend on partitions or order, and is rounded once. Each task gives one row of
+   sums, and the driver gets as many as the root of the number of tasks, whatever the number of rows.
 3. The covariance (dimension x dimension) is split by spectral divide and conquer: the polar factor U of V - shift I,
    found by QDWH (dynamically weighted Halley steps, by QR while they are ill-conditioned and by Cholesky after), gives
    the projector (U + I) / 2 on the invariant subspace of all eigenvalues above the shift; bases of it and of its
@@ -21,7 +21,7 @@ none is left). An empty table gives an empty one. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -236,21 +236,40 @@ def fit_list(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return checkpoint(source.mapInArrow(run, "dim int, key binary").distinct())
 
 
-def _sums(fitted: DataFrame, dim: int, part) -> dict[int, int]:
-    """Whole sums over the fit list of what `part` makes of a block of rows, by number of the entry."""
+def _sums(fitted: DataFrame, dim: int, part: Callable[[np.ndarray], np.ndarray], kind: str) -> np.ndarray | None:
+    """The sum over the fit list of the arrays that `part` makes of blocks of rows, flat; None without rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Whole numbers travel as text, as they may have any size. Each task gives one row, and about the root of their number of tasks adds these up, so that the driver adds few.
+    """
+    number = pa.float64() if kind == "double" else pa.string()
+
+    def one(total: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            values = total.ravel().tolist() if kind == "double" else [str(int(v)) for v in total.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array([values], pa.list_(number))], names=["sums"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for x in unpacked(batch.column("key").to_pylist(), dim):
                 got = part(x)
                 total = got if total is None else total + got
-        if total is not None:
-            values = pa.array([int(v) for v in total.ravel()], pa.decimal128(38, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), values], names=["entry", "value"])
+        yield from one(total)
 
-    rows = fitted.select("key").mapInArrow(run, "entry int, value decimal(38,0)").groupBy("entry").agg(F.sum("value").alias("value")).collect()
-    return {r["entry"]: int(r["value"]) for r in rows}
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for values in batch.column("sums").to_pylist():
+                got = np.array([float(v) if kind == "double" else int(v) for v in values], float if kind == "double" else object)
+                total = got if total is None else total + got
+        yield from one(total)
+
+    schema = f"sums array<{kind}>"
+    tasks = fitted.rdd.getNumPartitions()
+    rows = fitted.select("key").mapInArrow(first, schema).repartition(max(1, int(tasks**0.5))).mapInArrow(again, schema).collect()
+    if not rows:
+        return None
+    return sum(np.array([float(v) if kind == "double" else int(v) for v in r["sums"]], float if kind == "double" else object) for r in rows)
 
 
 def fit(df: DataFrame, vector: str = "embedding", count: int = COMPONENTS) -> Whitening | None:
@@ -261,8 +280,8 @@ def fit(df: DataFrame, vector: str = "embedding", count: int = COMPONENTS) -> Wh
         return None
     dim, n = int(most["dim"]), int(most["n"])
     fitted = fitted.where(F.col("dim") == dim)
-    got = _sums(fitted, dim, lambda x: x.astype(object).sum(axis=0) if np.abs(x.astype(float)).max() * len(x) >= 2.0**62 else x.sum(axis=0).astype(object))
-    sums = [got[i] for i in range(dim)]
+    whole_sums = lambda x: (x.astype(object) if np.abs(x.astype(float)).max() * len(x) >= 2.0**62 else x).sum(axis=0).astype(object)
+    sums = [int(v) for v in _sums(fitted, dim, whole_sums, "string")]
     middle = [s // n for s in sums]
     wide = max(map(abs, middle)) >= 1 << 61
 
@@ -271,9 +290,9 @@ def fit(df: DataFrame, vector: str = "embedding", count: int = COMPONENTS) -> Wh
         y = x - np.array(middle, np.int64) if safe else x.astype(object) - np.array(middle, object)
         return _products(y)
 
-    got = _sums(fitted, dim, products)
+    got = _sums(fitted, dim, products, "string")
     left = [s - n * m for s, m in zip(sums, middle)]  # sums of what was multiplied, each below n
-    cov = np.array([[float(Fraction(n * got[i * dim + j] - left[i] * left[j], n * n)) for j in range(dim)] for i in range(dim)])
+    cov = np.array([[float(Fraction(n * int(got[i * dim + j]) - left[i] * left[j], n * n)) for j in range(dim)] for i in range(dim)])
     values, vectors = components_of(cov, min(count, dim))
     model = Whitening(n, tuple(sums), values, vectors, float(np.trace(cov)))
     return Whitening(model.n, model.sums, values, vectors, model.trace, identity_error(fitted, model))
@@ -286,19 +305,11 @@ def identity_error(fitted: DataFrame, model: Whitening) -> float:
     if not k:
         return 0.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k))
-        for batch in batches:
-            for x in unpacked(batch.column("key").to_pylist(), dim):
-                w = model.whitened(x)[:, keep]
-                total += np.vstack([w.T @ w, w.sum(axis=0)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["entry", "value"])
-
-    rows = fitted.select("key").mapInArrow(run, "entry int, value double").groupBy("entry").agg(F.sum("value").alias("value")).collect()
-    got = np.zeros((k + 1) * k)
-    for r in rows:
-        got[r["entry"]] = r["value"]
-    got = got.reshape(k + 1, k) / model.n
+    def moments(x: np.ndarray) -> np.ndarray:
+        w = model.whitened(x)[:, keep]
+        return np.vstack([w.T @ w, w.sum(axis=0)])
+
+    got = _sums(fitted, dim, moments, "double").reshape(k + 1, k) / model.n
     return float(np.abs(got[:k] - np.outer(got[k], got[k]) - np.eye(k)).max())
 
 
