@@ -98,13 +98,18 @@ def _windows(codes: np.ndarray, k: int, forward: bool) -> np.ndarray:
     return out
 
 
-def _hash64(x: np.ndarray) -> np.ndarray:
+def hash64(x: np.ndarray, factor: int = hashing.MIX64) -> np.ndarray:
     half = np.uint64(32)
     for _ in range(2):
-        x = ((x >> half) ^ x) * np.uint64(hashing.MIX64)
+        x = ((x >> half) ^ x) * np.uint64(factor)
     return (x >> half) ^ x
 
 
+def letters(text: str) -> bytes:
+    """A sequence with one byte for each character; those beyond Latin-1 are bytes that are no base."""
+    return text.encode("latin-1", "replace")
+
+
 def _fingerprints(value: np.ndarray, params: SketchParams) -> np.ndarray:
     place = np.zeros(len(value), np.int64)
     rest = value.copy()
@@ -155,7 +160,7 @@ def sketch_of(seq: bytes, params: SketchParams) -> tuple[np.ndarray, np.ndarray,
     bits = params.value_bits
     best: dict[str, np.ndarray] = {}
     for _, canon in canonical_of(seq, params.k):
-        h = _hash64(canon)
+        h = hash64(canon)
         bucket = (h >> np.uint64(bits)).astype(np.int64)
         fp = _fingerprints(h & np.uint64((1 << bits) - 1), params)
         if best:
@@ -179,7 +184,7 @@ def _of_each(seqs: DataFrame, key: str, seq: str, columns: dict[str, str], kerne
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column("key"), batch.column("seq").cast(pa.binary())
+            keys, texts = batch.column("key"), batch.column("seq")
             rows, out, size = [], [], 0
 
             def done() -> pa.RecordBatch:
@@ -187,7 +192,7 @@ def _of_each(seqs: DataFrame, key: str, seq: str, columns: dict[str, str], kerne
                 return pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(rows, [len(x[0]) for x in out]))), *arrays], names=["key", *columns])
 
             for i in range(batch.num_rows):
-                for got in kernel(texts[i].as_py()):
+                for got in kernel(letters(texts[i].as_py())):
                     rows.append(i)
                     out.append(got)
                     size += len(got[0])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
-from tessella.operators import bloom, kmers
+from tessella.operators import bloom, columns, kmers
 from tessella.operators.index import RANGE, Index, in_range
 from tessella.shared import checkpoint
 
@@ -19,26 +20,33 @@ FILES_EXACT = {"top": 5, "min_score": 5, "share": 1.0}
 def query_sketch(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, bucket, fp, khash of queries(query_id, seq), after the Bloom filter."""
     kept = queries.where(F.length("seq") >= index.params.k)
-    return bloom.pass_bloom(kmers.sketch(kept, index.params, "query_id"), index.bloom, index.params)
+    return bloom.pass_bloom(kmers.sketch(kept, index.params, "query_id"), index.bloom if index.words is None else index.words, index.params)
 
 
-def stored_for(index: Index, q: DataFrame) -> DataFrame:
-    """The index's sketch, of a saved one the folders that rows with the buckets of q may be in."""
-    if not index.ranges:
-        return index.sketch
+def stored_for(index: Index, q: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The index's sketch (or columns), of a saved one the folders that rows with the buckets of q may be in."""
+    stored = index.sketch if stored is None else stored
+    if not index.ranges or RANGE not in stored.columns:
+        return stored
     asked = sorted(r[0] for r in q.select(in_range(index.params, index.ranges)).distinct().collect())
-    return index.sketch.where(F.col(RANGE).isin(asked))
+    return stored.where(F.col(RANGE).isin(asked))
 
 
-def match_counts(index: Index, sketched: DataFrame) -> DataFrame:
-    """query_id, genome_id, matches: buckets in which both have the same fingerprint.
+def match_counts(index: Index, sketched: DataFrame, least: int = 1) -> DataFrame:
+    """query_id, genome_id, matches (at least `least`): buckets in which both have the same fingerprint.
 
-    An equi-join on (bucket, fp), counted before the shuffle by pair; Spark picks the side to broadcast by
-    its size. Of a saved sketch only the folders of the queries' bucket ranges are read; their numbers, at most
-    index.ranges of them, go through the driver. Pairs without a match have no row.
+    Packed columns are compared whole, queries being packed as well; see the module columns. An index of rows alone, or
+    queries whose ids are no whole numbers, are matched by an equi-join on (bucket, fp), counted before the shuffle by pair. Of a
+    saved index only the folders of the queries' bucket ranges are read; their numbers, at most index.ranges of
+    them, go through the driver. Pairs without a match have no row.
     """
     q = checkpoint(sketched.select("query_id", "bucket", "fp"))
-    return stored_for(index, q).select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"]).groupBy("query_id", "genome_id").agg(F.count("*").alias("matches"))
+    kind = q.schema["query_id"].dataType
+    if index.columns is not None and isinstance(kind, IntegralType):
+        counts = columns.match_counts(stored_for(index, q, index.columns), q, least)
+        return counts.withColumn("query_id", F.col("query_id").cast(kind))
+    joined = stored_for(index, q).select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"])
+    return joined.groupBy("query_id", "genome_id").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)
 
 
 def ranked(index: Index, counts: DataFrame, top: int, min_score: int, share: float) -> DataFrame:
@@ -61,4 +69,4 @@ def ranked(index: Index, counts: DataFrame, top: int, min_score: int, share: flo
 
 
 def search(index: Index, queries: DataFrame, top: int = 10, min_score: int = 10, share: float = 0.5) -> DataFrame:
-    return ranked(index, match_counts(index, query_sketch(index, queries)), top, min_score, share)
+    return ranked(index, match_counts(index, query_sketch(index, queries), min_score), top, min_score, share)
