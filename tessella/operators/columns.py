@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.functions import hashing
 from tessella.operators import kmers
@@ -64,7 +64,6 @@ def parts(genomes: DataFrame, params: SketchParams) -> DataFrame:
     A genome's row has its letters (b), filled buckets (size), the sum of 2**-exponent over them (weight) and its name (data).
     """
     source = genomes.select(F.col("genome_id").cast("long").alias("id"), F.col("name").cast("string").alias("name"), F.col("seq").cast("string").alias("seq")).where("seq IS NOT NULL")
-    mantissa = np.uint64(params.mantissa)
     names = ["kind", "a", "b", "size", "weight", "data"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
 
@@ -75,14 +74,10 @@ def parts(genomes: DataFrame, params: SketchParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        meta: list[tuple] = []
         size = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            nonlocal held, meta, size
-            if meta:
-                ids, letters, filled, weights, named = zip(*meta)
-                yield table(GENOME, np.array(ids), np.array(letters), np.array(filled), np.array(weights), pa.array(named, pa.binary()))
+            nonlocal held, size
             if size:
                 ids, bucket, fp, h = (np.concatenate(c) for c in zip(*held))
                 yield table(WORD, *_probed_words(h, params))
@@ -93,19 +88,22 @@ def parts(genomes: DataFrame, params: SketchParams) -> DataFrame:
                 rows["slot"], rows["fp"] = ids[order] & ((1 << BLOCK_BITS) - 1), fp[order]
                 starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])])
                 yield table(COLUMN, block[starts], bucket[starts], data=_binaries(rows, starts))
-            held, meta, size = [], [], 0
+            held, size = [], 0
 
         for batch in batches:
-            for id_, name, text in zip(batch.column("id").to_pylist(), batch.column("name").to_pylist(), batch.column("seq")):
-                seq = kmers.letters(text.as_py())
-                bucket, fp, h = kmers.sketch_of(seq, params)
-                weight = float(np.ldexp(1.0, -(fp.astype(np.uint64) >> mantissa).astype(np.int64)).sum())
-                meta.append((id_, len(seq), len(fp), weight, None if name is None else name.encode()))
-                if len(fp):
-                    held.append((np.full(len(fp), id_), bucket, fp.astype(np.uint8), h.view(np.uint64)))
-                    size += len(fp)
-                if size >= HELD or len(meta) >= 100_000:
+            ids = batch.column("id").to_numpy()
+            seqs = [kmers.letters(s) for s in batch.column("seq").to_pylist()]
+            filled, weights = np.zeros(len(seqs), np.int64), np.zeros(len(seqs))
+            for rows, bucket, fp, h in kmers.sketches_of(seqs, params):
+                filled += np.bincount(rows, minlength=len(seqs))
+                # Sums of powers of two are exact in any order.
+                weights += np.bincount(rows, np.ldexp(1.0, -(fp >> params.mantissa)), len(seqs))
+                held.append((ids[rows], bucket, fp.astype(np.uint8), h.view(np.uint64)))
+                size += len(rows)
+                if size >= HELD:
                     yield from done()
+            names_ = [None if x is None else x.encode() for x in batch.column("name").to_pylist()]
+            yield table(GENOME, ids, np.array([len(s) for s in seqs]), filled, weights, pa.array(names_, pa.binary()))
         yield from done()
 
     return source.mapInArrow(run, "kind int, a long, b long, size long, weight double, data binary")
@@ -139,14 +137,14 @@ def packed(made: DataFrame) -> DataFrame:
                     at, held = (block, bucket), []
                 held.append(data)
             if out:
-                yield _columns(out)
+                yield batch_of(out)
         if held:
-            yield _columns([(*at, laid())])
+            yield batch_of([(*at, laid())])
 
     return dealt.mapInArrow(run, "block long, bucket long, fps binary")
 
 
-def _columns(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["block", "bucket", "fps"])
 
 
@@ -285,13 +283,19 @@ def added(vectors: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(run, "query_id long, genome_id long, matches long")
 
 
-def match_counts(columns: DataFrame, q: DataFrame, least: int = 1) -> DataFrame:
+def match_counts(columns: DataFrame, q: DataFrame, least: int = 1, place: tuple[str, Column] | None = None) -> DataFrame:
     """query_id, genome_id, matches of q(query_id, bucket, fp) against columns(block, bucket, fps).
 
-    Columns that come from several indexes or generations may overlap; their counts add up.
+    Columns that come from several indexes or generations may overlap; their counts add up. `place` is the partition column of
+    saved columns and its value for a bucket: packs that are broadcast prune the scan by it while the query runs.
     """
-    packs = broadcast_if_small(query_packs(q), SMALL)
-    joined = columns.join(packs, "bucket")
+    packs = query_packs(q)
+    keys = ["bucket"]
+    if place is not None:
+        packs, keys = packs.withColumn(*place), [place[0], "bucket"]
+    # The filter drops nothing; by it Spark sees that the packs select.
+    packs = broadcast_if_small(packs, SMALL).where(F.size("ids") > 0)
+    joined = columns.join(packs, keys)
     return added(compare(joined.select("block", "bucket", "pack", "fps", "ids", "fps_asked").sortWithinPartitions("block", "pack", "bucket")), least)
 
 
@@ -310,6 +314,6 @@ def moved(columns: DataFrame, by: int) -> DataFrame:
                 if len(fps) > width - shift:
                     out.append((block + blocks + 1, bucket, fps[width - shift :]))
             if out:
-                yield _columns(out)
+                yield batch_of(out)
 
     return columns.select("block", "bucket", "fps").mapInArrow(run, "block long, bucket long, fps binary")

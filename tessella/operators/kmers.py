@@ -15,6 +15,8 @@ from tessella.params import SketchParams
 ROWS = 1_000_000
 #: Positions that the kernel handles at once; a sequence of any length is taken in pieces of this size.
 PIECE = 1 << 21
+#: Letters of short sequences that the sketch kernel takes together.
+GROUP = 1 << 18
 
 
 def sketch_kmers_by_sql(seqs: DataFrame, k: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -111,13 +113,11 @@ def letters(text: str) -> bytes:
 
 
 def _fingerprints(value: np.ndarray, params: SketchParams) -> np.ndarray:
-    place = np.zeros(len(value), np.int64)
-    rest = value.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        high = rest >> np.uint64(step)
-        some = high > 0
-        place[some] += step
-        rest = np.where(some, high, rest)
+    high = value >> np.uint64(32)
+    some = high > 0
+    # Numbers below 2**32 are exact as doubles, whose exponent is the place of the highest bit.
+    _, place = np.frexp(np.where(some, high, value).astype(np.float64))
+    place = np.maximum(place.astype(np.int64) - 1, 0) + np.where(some, 32, 0)
     exponent = np.maximum(place - 32 + params.log2_buckets, 0).astype(np.uint64)
     offset = np.maximum(place - params.mantissa, 0).astype(np.uint64)
     mantissa = (value - (np.uint64(1) << place.astype(np.uint64))) >> offset
@@ -176,6 +176,59 @@ def sketch_of(seq: bytes, params: SketchParams) -> tuple[np.ndarray, np.ndarray,
     return best["bucket"][some], best["fp"][some].astype(np.int64), best["h"][some].view(np.int64)
 
 
+def _sketch_group(seqs: list[bytes], params: SketchParams) -> tuple[np.ndarray, ...]:
+    """Places in `seqs`, buckets, fingerprints and hashes of some short sequences, taken as one array.
+
+    Sequence, bucket, fingerprint and position are packed into one number each, so that a plain sort finds the first
+    least fingerprint of each bucket; the sequences' number and letters are bounded by sketches_of().
+    """
+    k, bits = params.k, params.value_bits
+    codes = np.frombuffer(b"".join(_lead(s, k) for s in seqs), np.uint8)
+    canon = np.minimum(_windows(_FORWARD[codes], k, True), _windows(_REVERSE[codes], k, False))
+    sizes = np.array([len(s) for s in seqs])
+    starts = np.cumsum(sizes) - sizes
+    counts = sizes - k  # the last k-mer is left out, as are those that cross into the next sequence
+    owner = np.repeat(np.arange(len(seqs)), counts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    h = hash64(canon[at])
+    bucket = h >> np.uint64(bits)
+    fp = _fingerprints(h & np.uint64((1 << bits) - 1), params)
+    place = np.uint64(GROUP.bit_length())
+    group = owner.astype(np.uint64) << np.uint64(params.log2_buckets) | bucket
+    order = np.sort((group << np.uint64(8) | fp) << place | np.arange(len(h), dtype=np.uint64))
+    group = order >> (place + np.uint64(8))
+    first = order[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] if len(order) else order
+    first = (first & np.uint64((1 << int(place)) - 1)).astype(np.int64)
+    first = first[fp[first] < 255]
+    return owner[first], bucket[first].astype(np.int64), fp[first].astype(np.int64), h[first].view(np.int64)
+
+
+def sketches_of(seqs: list[bytes], params: SketchParams) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places in `seqs`, buckets, fingerprints and hashes of all sequences; short ones are taken together."""
+    most = 1 << max(0, min(16, 64 - 8 - GROUP.bit_length() - params.log2_buckets))
+    held: list[int] = []
+    size = 0
+
+    def done() -> tuple[np.ndarray, ...]:
+        places, *rest = _sketch_group([seqs[i] for i in held], params)
+        return np.array(held)[places], *rest
+
+    for i, seq in enumerate(seqs):
+        if len(seq) <= params.k:  # no k-mer
+            continue
+        if len(seq) > GROUP // 4:
+            got = sketch_of(seq, params)
+            yield np.full(len(got[0]), i), *got
+            continue
+        if held and (size + len(seq) > GROUP or len(held) == most):
+            yield done()
+            held, size = [], 0
+        held.append(i)
+        size += len(seq)
+    if held:
+        yield done()
+
+
 def _of_each(seqs: DataFrame, key: str, seq: str, columns: dict[str, str], kernel: Callable[[bytes], Iterable[tuple[np.ndarray, ...]]]) -> DataFrame:
     """key and the columns that a kernel makes of each sequence that is not null: no shuffle, batches of bounded size."""
     source = seqs.select(F.col(key).alias("key"), F.col(seq).cast("string").alias("seq")).where("seq IS NOT NULL")
@@ -222,4 +275,14 @@ def sketch(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str
     A sequence's k-mers never leave its task: the kernel works on Arrow batches and keeps the least
     fingerprint of each bucket.
     """
-    return _of_each(seqs, key, seq, {"bucket": "long", "fp": "int", "khash": "long"}, lambda s: [sketch_of(s, params)])
+    source = seqs.select(F.col(key).alias("key"), F.col(seq).cast("string").alias("seq")).where("seq IS NOT NULL")
+    kind = source.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, bucket, fp, h in sketches_of([letters(s) for s in batch.column("seq").to_pylist()], params):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(rows)), pa.array(bucket), pa.array(fp.astype(np.int32)), pa.array(h)], names=["key", "bucket", "fp", "khash"]
+                )
+
+    return source.mapInArrow(run, f"key {kind}, bucket long, fp int, khash long").withColumnRenamed("key", key)

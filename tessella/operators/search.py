@@ -23,27 +23,27 @@ def query_sketch(index: Index, queries: DataFrame) -> DataFrame:
     return bloom.pass_bloom(kmers.sketch(kept, index.params, "query_id"), index.bloom if index.words is None else index.words, index.params)
 
 
-def stored_for(index: Index, q: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """The index's sketch (or columns), of a saved one the folders that rows with the buckets of q may be in."""
-    stored = index.sketch if stored is None else stored
-    if not index.ranges or RANGE not in stored.columns:
-        return stored
+def stored_for(index: Index, q: DataFrame) -> DataFrame:
+    """The index's sketch, of a saved one the folders that rows with the buckets of q may be in."""
+    if not index.ranges or RANGE not in index.sketch.columns:
+        return index.sketch
     asked = sorted(r[0] for r in q.select(in_range(index.params, index.ranges)).distinct().collect())
-    return stored.where(F.col(RANGE).isin(asked))
+    return index.sketch.where(F.col(RANGE).isin(asked))
 
 
 def match_counts(index: Index, sketched: DataFrame, least: int = 1) -> DataFrame:
     """query_id, genome_id, matches (at least `least`): buckets in which both have the same fingerprint.
 
     Packed columns are compared whole, queries being packed as well; see the module columns. An index of rows alone, or
-    queries whose ids are no whole numbers, are matched by an equi-join on (bucket, fp), counted before the shuffle by pair. Of a
-    saved index only the folders of the queries' bucket ranges are read; their numbers, at most index.ranges of
-    them, go through the driver. Pairs without a match have no row.
+    queries whose ids are no whole numbers, are matched by an equi-join on (bucket, fp), counted before the shuffle by pair. Of saved
+    columns only the folders of the queries' bucket ranges are read, as broadcast queries prune the scan (of saved rows by a list of
+    at most index.ranges numbers from the driver). Pairs without a match have no row.
     """
     q = checkpoint(sketched.select("query_id", "bucket", "fp"))
     kind = q.schema["query_id"].dataType
     if index.columns is not None and isinstance(kind, IntegralType):
-        counts = columns.match_counts(stored_for(index, q, index.columns), q, least)
+        place = (RANGE, in_range(index.params, index.ranges)) if index.ranges and RANGE in index.columns.columns else None
+        counts = columns.match_counts(index.columns, q, least, place)
         return counts.withColumn("query_id", F.col("query_id").cast(kind))
     joined = stored_for(index, q).select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"])
     return joined.groupBy("query_id", "genome_id").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)

@@ -6,17 +6,21 @@ bases. Parameters are small, as these texts are far shorter than genomes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.functions import bases, hashing
-from tessella.operators import bloom, exact, index, kmers, search
+from tessella.operators import exact, index, kmers, search, store
 from tessella.params import SketchParams
 from tessella.plans import sql
+from tessella.shared import checkpoint, shared_folder
 from tessella.sources import sinks
 
 PARAMS = SketchParams(k=21, log2_buckets=10, threshold=40)
+#: A k that fits between the capitals of noisy sequences.
+NOISY_PARAMS = SketchParams(k=5, log2_buckets=6, threshold=40)
 #: A wide k, for which the Bloom filter decides something.
 BLOOM_PARAMS = SketchParams(k=31, log2_buckets=8, threshold=40)
 
@@ -111,6 +115,43 @@ def search_topn(spark, d):
     return search.search(_index(spark, d), items(spark, d), **search.RECORDS)
 
 
+def saved_index_search(spark, d):
+    """The search of search_topn in an index that was saved, grown by two appends, laid together, and opened again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = documents(spark, d)
+    middle = docs.agg(F.expr("cast(floor((min(genome_id) + max(genome_id)) / 2) AS long)")).first()[0] or 0
+    store.create(spark, path, PARAMS)
+    store.append(spark, path, docs.where(F.col("genome_id") <= middle), numbered=True)
+    store.append(spark, path, docs.where(F.col("genome_id") > middle), numbered=True)
+    store.compact(spark, path)
+    hits = checkpoint(search.search(store.open_version(spark, path), items(spark, d), **search.RECORDS))
+    store.remove(spark, path)
+    return hits
+
+
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    """genomes(genome_id, name, seq) as sequencers write them: small letters, N and other characters kept, several contigs joined.
+
+    Letters keep their case and are folded onto bases but for n, which stays, and e, which is N; digits stay, and so do letters
+    beyond ASCII. A text's lines are its contigs.
+    """
+    t = _table(spark, d, "documents")
+    kept = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]", "")
+    seq = F.translate(kept, "BDEFHIJKLMOPQRSUVWXYZbdefhijklmopqrsuvwxyz", "ACNTACGTACTACGTCGTACacNtacgtactacgtcgtac")
+    return t.select(F.col("doc_id").alias("genome_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), seq.alias("seq"))
+
+
+def noisy_sketch(spark, d):
+    """Sketches of sequences with N, small letters and other characters: the prefix rule and capitals behind it."""
+    return kmers.sketch(noisy(spark, d).where(F.length("seq") >= NOISY_PARAMS.k), NOISY_PARAMS, "genome_id")
+
+
+def noisy_kmer_counts(spark, d):
+    """Distinct exact k-mers of the same sequences, either case; those with another character count as one."""
+    got = kmers.exact_kmers(noisy(spark, d), NOISY_PARAMS.k, "genome_id")
+    return got.groupBy("genome_id").agg(F.count("*").alias("n_kmers"), F.min("canon").alias("least"), F.max("canon").alias("largest"))
+
+
 def _exact_hits(spark, d) -> DataFrame:
     built, queries = _index(spark, d), items(spark, d)
     hits = search.search(built, queries, **search.RECORDS_EXACT)
@@ -210,7 +251,7 @@ def render_exact(spark, d):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     canonical_kmers, exact_kmer_counts, kmer_hash, bloom_probes, hash32, fingerprint, sketch, genomes, genome_size_estimate, bloom_cells,
-    bloom_filtered_sketch, match_counts, search_topn, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
+    bloom_filtered_sketch, match_counts, search_topn, saved_index_search, noisy_sketch, noisy_kmer_counts, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
     sequence_functions, string_functions, hamming, string_product, line_numbers, render_hits, render_file_hits, render_exact,
 ]
 
@@ -220,4 +261,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.queries(PARAMS, BLOOM_PARAMS)
+    return sql.queries(PARAMS, BLOOM_PARAMS, NOISY_PARAMS)

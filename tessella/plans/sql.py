@@ -25,6 +25,8 @@ def signed(x: str) -> str:
 SEQS = {
     "docs": f"SELECT doc_id AS id, 'doc' || doc_id AS name, {bases('text')} AS seq FROM documents",
     "pagesq": f"SELECT page_id AS id, url AS name, {bases('html')} AS seq FROM pages",
+    "noisy": "SELECT doc_id AS id, translate(regexp_replace(coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g'), "
+    "'BDEFHIJKLMOPQRSUVWXYZbdefhijklmopqrsuvwxyz', 'ACNTACGTACTACGTCGTACacNtacgtactacgtcgtac') AS seq FROM documents",
     "items": f"SELECT item_id AS id, '>item' || item_id AS name, {bases('text')} AS seq FROM benchmark",
 }
 
@@ -43,6 +45,31 @@ def kmers(source: str, out: str, k: int, last: bool = False) -> str:
     least(('0b' || substr(f, 2 * (p - a) + 1, {2 * k}))::UBIGINT, ('0b' || substr(r, 2 * (n - {k} - p - ra) + 1, {2 * k}))::UBIGINT) AS canon FROM {out}_p)"""
 
 
+def noisy_kmers(source: str, out: str, k: int) -> str:
+    """CTE out(id, pos, canon) as a sketch sees any characters: the first k - 1 in either case, and as A if one is no base; then capitals only."""
+    return f"""
+{out}_l AS (SELECT id, length(seq) AS n, substr(seq, 1, {k - 1}) AS lead, substr(seq, {k}) AS rest FROM {source} WHERE length(seq) > {k}),
+{out}_s AS (SELECT id, n, (CASE WHEN regexp_full_match(lead, '[ACGTacgt]*') THEN upper(lead) ELSE repeat('A', {k - 1}) END) || rest AS s FROM {out}_l),
+{out}_d AS (SELECT id, n, translate(regexp_replace(s, '[^CGT]', 'A', 'g'), 'ACGT', '0123') AS f, translate(regexp_replace(s, '[^ACG]', 'T', 'g'), 'ACGT', '3210') AS r FROM {out}_s),
+{out}_p AS (SELECT *, unnest(range(1, n - {k} + 1)) AS p FROM {out}_d),
+{out} AS (SELECT id, p - 1 AS pos, least({digits("substr(f, p, " + str(k) + ")", k)}, {digits("reverse(substr(r, p, " + str(k) + "))", k)})::UBIGINT AS canon FROM {out}_p)"""
+
+
+def noisy_exact(source: str, out: str, k: int) -> str:
+    """CTE out(id, canon): distinct canonical k-mers, either case, the last included; 0 for those with another character."""
+    part = f"upper(substr(seq, p, {k}))"
+    return f"""
+{out}_p AS (SELECT id, seq, unnest(range(1, length(seq) - {k} + 2)) AS p FROM {source} WHERE length(seq) >= {k}),
+{out}_u AS (SELECT id, {part} AS u FROM {out}_p WHERE regexp_full_match(substr(seq, p, {k}), '[ACGTacgt]*')),
+{out} AS (SELECT DISTINCT id, least({digits("translate(u, 'ACGT', '0123')", k)}, {digits("translate(reverse(u), 'ACGT', '3210')", k)})::BIGINT AS canon FROM {out}_u
+    UNION SELECT DISTINCT id, 0::BIGINT FROM {out}_p WHERE NOT regexp_full_match(substr(seq, p, {k}), '[ACGTacgt]*'))"""
+
+
+def digits(text: str, k: int) -> str:
+    """Number of k base-4 digits."""
+    return "(" + " + ".join(f"ascii(substr({text}, {i + 1}, 1)) % 4 * {4 ** (k - 1 - i)}" for i in range(k)) + ")"
+
+
 def mixed(source: str, column: str, out: str, name: str, factor: int) -> str:
     """CTE out: source with a 64-bit hash of an unsigned column."""
     step = lambda x: f"((xor({x} >> 32, {x}))::UHUGEINT * {factor}::UHUGEINT % {WRAP})::UBIGINT"
@@ -132,7 +159,7 @@ exact AS (SELECT *, n_query + n_genome - inter AS union_size, inter::DOUBLE / (n
 LINE = "coalesce(string_agg(genome_id || chr(9) || matches || chr(9) || floor(intersection)::BIGINT || chr(9) || printf('%.6f', jaccard) || ';', '' ORDER BY rank), '')"
 
 
-def queries(p: SketchParams, b: SketchParams) -> dict[str, str]:
+def queries(p: SketchParams, b: SketchParams, z: SketchParams) -> dict[str, str]:
     seqs = ", ".join(f"{name} AS ({q})" for name, q in SEQS.items())
     with_ = lambda *parts: "WITH " + ", ".join([seqs, *parts])
     item_hash = [kmers("items", "k", p.k), mixed("k", "canon", "hashed", "h", MIX64)]
@@ -165,6 +192,12 @@ def queries(p: SketchParams, b: SketchParams) -> dict[str, str]:
         "bloom_filtered_sketch": with_(matching(b)) + f" SELECT id AS query_id, bucket, fp, {signed('h')} AS khash FROM q",
         "match_counts": with_(matching(p)) + " SELECT * FROM counts",
         "search_topn": with_(hits(p, **search.RECORDS)) + " SELECT query_id, genome_id, matches, jaccard, intersection, rank FROM hits",
+        "saved_index_search": with_(hits(p, **search.RECORDS)) + " SELECT query_id, genome_id, matches, jaccard, intersection, rank FROM hits",
+        "noisy_sketch": with_(
+            noisy_kmers("noisy", "k", z.k), mixed("k", "canon", "hashed", "h", MIX64), fingerprints("hashed", "fps", z),
+            "\nd AS (SELECT id, bucket, min(fp) AS fp, arg_min(h, fp::BIGINT * 4294967296 + pos) AS h FROM fps GROUP BY id, bucket HAVING min(fp) < 255)",
+        ) + f" SELECT id AS genome_id, bucket, fp, {signed('h')} AS khash FROM d",
+        "noisy_kmer_counts": with_(noisy_exact("noisy", "k", z.k)) + " SELECT id AS genome_id, count(*) AS n_kmers, min(canon) AS least, max(canon) AS largest FROM k GROUP BY id",
         "search_exact": with_(exact_hits(p))
         + " SELECT query_id, genome_id, matches, inter, union_size, n_query, n_genome, real_jaccard, jaccard, intersection FROM exact",
         "accuracy_regression": with_(exact_hits(p), "\nxy AS (SELECT 'jaccard' AS metric, real_jaccard AS x, jaccard AS y FROM exact UNION ALL SELECT 'intersection', inter::DOUBLE, intersection FROM exact)")

@@ -105,3 +105,22 @@ def test_no_genomes_and_no_queries(spark):
     assert search.match_counts(built, search.query_sketch(built, queries)).count() == 0
     full = index.build(genomes(spark, [1]), P)
     assert search.match_counts(full, search.query_sketch(full, queries.limit(0))).count() == 0
+
+
+def test_sequences_taken_together(spark, monkeypatch):
+    """Groups of every size, up to single sequences and with long ones between, give the sketches of each on its own."""
+    rng = random.Random(7)
+    seqs = [("".join(rng.choice("ACGTNacgt") for _ in range(rng.choice([0, 5, 11, 12, 40, 90, 300])))).encode() for _ in range(60)]
+    for p in (P, SketchParams(k=21, log2_buckets=12), SketchParams(k=5, log2_buckets=30)):
+        want = {}
+        for i, s in enumerate(seqs):
+            for bucket, (fp, h) in plain.sketch(s.decode(), p.k, p.log2_buckets).items():
+                want[i, bucket] = (fp, plain.signed(h))
+        for group in (1 << 18, 400, 64, 8):
+            monkeypatch.setattr(kmers, "GROUP", group)
+            got = {}
+            for rows_, bucket, fp, h in kmers.sketches_of(seqs, p):
+                for i, b, f, x in zip(rows_.tolist(), bucket.tolist(), fp.tolist(), h.tolist()):
+                    assert (i, b) not in got
+                    got[i, b] = (f, x)
+            assert got == want
