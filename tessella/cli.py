@@ -52,12 +52,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         params = SketchParams(args.k, args.log2_buckets, args.mantissa, args.log2_bloom, args.threshold)
         tell_missing(spark, args.files)
-        genomes, missing = fasta.genomes_of_list(spark, args.files, params.k)
+        whole, pieces, missing = fasta.genome_pieces_of_list(spark, args.files, params.k)
         for r in missing.toLocalIterator():
             log.warning("missing file: %s", r["path"])
-        index = indexes.build(genomes, params)
+        index = indexes.build(whole, params)
+        if not pieces.isEmpty():
+            index = indexes.together(index, indexes.build_of_pieces(pieces, params))
     if args.dump:
-        indexes.save(index, args.dump)
+        indexes.save(index, args.dump, rows=False)
         index = indexes.load(spark, args.dump)
     log.info("index ready after %s s", f"{time.time() - began:,.0f}")
     k = index.params.k

@@ -74,6 +74,21 @@ def build(genomes: DataFrame, params: SketchParams) -> Index:
     return Index(params, kmers.sketch(kept, params, "genome_id"), meta, blooms.cells_of(words), columns=packing.packed(made), words=words)
 
 
+def build_of_pieces(pieces: DataFrame, params: SketchParams) -> Index:
+    """Index of genomes that come in pieces(genome_id, name, seq, start, carry, prefix, total), each over several tasks."""
+    sketch = checkpoint(kmers.sketch_of_pieces(pieces, params, "genome_id"))
+    genomes = pieces.groupBy("genome_id", "name").agg(F.max("total").alias("n_chars"))
+    words = blooms.filter_words(blooms.with_cells(sketch.select("khash"), params).select(F.explode("cells").alias("cell")))
+    return Index(params, sketch, genome_sizes(genomes, sketch, params), blooms.cells_of(words), columns=packing.of_rows(sketch), words=words)
+
+
+def together(a: Index, b: Index) -> Index:
+    """Both collections in one index, with the ids that they have (no id in both)."""
+    words = a.words.unionByName(b.words).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
+    columns = a.columns.select("block", "bucket", "fps").unionByName(b.columns.select("block", "bucket", "fps"))
+    return Index(a.params, a.sketch.unionByName(b.sketch), a.genomes.unionByName(b.genomes), blooms.cells_of(words), columns=columns, words=words)
+
+
 def merge(a: Index, b: Index) -> Index:
     """Both collections in one index; the genomes of `b` are numbered on from those of `a`."""
     if a.params != b.params:

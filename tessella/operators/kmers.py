@@ -286,3 +286,48 @@ def sketch(seqs: DataFrame, params: SketchParams, key: str = "seq_id", seq: str
                 )
 
     return source.mapInArrow(run, f"key {kind}, bucket long, fp int, khash long").withColumnRenamed("key", key)
+
+
+def _lead_at(text: bytes, offset: int, prefix: bytes, k: int) -> bytes:
+    """Letters from place `offset` of a sequence on, its first k - 1 as a sketch sees them; prefix: those, if the text begins behind them."""
+    if not offset:
+        return _lead(text, k) if len(text) >= k - 1 else text
+    inside = max(0, k - 1 - offset)
+    return _lead(prefix, k)[offset : offset + inside] + text[inside:] if inside else text
+
+
+def sketch_of_pieces(pieces: DataFrame, params: SketchParams, key: str = "genome_id") -> DataFrame:
+    """key, bucket, fp, khash: sketches of sequences that come in pieces(key, seq, start, carry, prefix, total).
+
+    A piece gives the k-mers that end in it and the least fingerprint of each bucket with its place; the first least one of all
+    pieces is the sequence's, so one genome is sketched by as many tasks as it has pieces. Their merge is pre-aggregated.
+    """
+    k, bits = params.k, params.value_bits
+    kind = pieces.schema[key].dataType.simpleString()
+    source = pieces.select(F.col(key).alias("key"), "seq", "start", "carry", "prefix", "total")
+    names = ["key", "bucket", "fp", "pos", "khash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (seq, start, carry, prefix, total) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("seq", "start", "carry", "prefix", "total")))):
+                offset = start - len(carry)
+                text = _lead_at(letters(carry) + letters(seq), offset, letters(prefix), k)
+                count = min(len(text) - k + 1, total - k - offset)  # the sequence's last k-mer is left out
+                for at, part in _pieces(text, max(count, 0), k):
+                    h = hash64(np.minimum(_windows(_FORWARD[part], k, True), _windows(_REVERSE[part], k, False)))
+                    bucket = (h >> np.uint64(bits)).astype(np.int64)
+                    fp = _fingerprints(h & np.uint64((1 << bits) - 1), params)
+                    order = np.argsort(bucket.astype(np.uint64) << np.uint64(8) | fp, kind="stable")
+                    first = order[np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])]
+                    first = first[fp[first] < 255]
+                    columns = [pa.array(bucket[first]), pa.array(fp[first].astype(np.int32)), pa.array(first + offset + at), pa.array(h[first].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.full(len(first), i))), *columns], names=names)
+
+    found = source.mapInArrow(run, f"key {kind}, bucket long, fp int, pos long, khash long")
+    best = found.groupBy("key", "bucket").agg(F.min(F.struct("fp", "pos", "khash")).alias("b"))
+    return best.select(F.col("key").alias(key), "bucket", "b.fp", "b.khash")
+
+
+def exact_of_pieces(pieces: DataFrame, key: str = "genome_id") -> DataFrame:
+    """key, seq: sequences whose exact k-mers are together those of pieces(key, seq, seg_carry): each piece behind what it carries on."""
+    return pieces.select(key, F.concat("seg_carry", "seq").alias("seq"))

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tessella.shared import broadcast_if_small, checkpoint
+
 #: The first bytes of gzip, and of zlib streams of the usual levels.
 GZIP = b"\x1f\x8b"
 ZLIB = (b"\x78\x01", b"\x78\x9c", b"\x78\xda")
@@ -239,3 +241,123 @@ def segments_of_list(spark: SparkSession, list_path: str, k: int) -> DataFrame:
     """segments(genome_id, seq) of the files of a list."""
     known, _, _ = _of_list(spark, list_path)
     return segments_of_files(spark, known.select(F.col("id").alias("genome_id"), "name"), k)
+
+
+# ---- genomes over many tasks
+
+#: Letters of a piece at most.
+PIECE = 4 << 20
+#: Bytes from which a plain file is read in splits.
+LARGE = 64 << 20
+
+
+def split_lines(spark: SparkSession, paths: Iterable[str], k: int) -> DataFrame:
+    """path, at, no, fresh, n, head, tail, seq: the letters of plain FASTA files of any size, read in splits.
+
+    A piece (number `no` of the split at byte `at`) ends at a header line or after about PIECE letters; `fresh` if a header line
+    stands before it. head and tail are its first and last k - 1 letters. A split without letters has a piece of none, if it
+    has a header.
+    """
+    text = spark.read.option("lineSep", "\n").text(list(paths))
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    schema = "path string, at long, no int, fresh boolean, n long, head string, tail string, seq string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, no, fresh, held, size = None, 0, False, [], 0
+
+        def done() -> pa.RecordBatch:
+            seq = "".join(held)
+            row = [*split, no, fresh, len(seq), seq[: k - 1], seq[len(seq) - min(len(seq), k - 1) :], seq]
+            types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
+
+        for batch in batches:
+            for value, path, at in zip(*(batch.column(c).to_pylist() for c in ("value", "path", "at"))):
+                if (path, at) != split:
+                    if held or fresh:
+                        yield done()
+                    split, no, fresh, held, size = (path, at), 0, False, [], 0
+                if value.startswith(">"):
+                    if held:
+                        yield done()
+                        no, held, size = no + 1, [], 0
+                    fresh = True
+                elif value:
+                    held.append(value)
+                    size += len(value)
+                    if size >= PIECE:
+                        yield done()
+                        no, fresh, held, size = no + 1, False, [], 0
+        if held or fresh:
+            yield done()
+
+    return lines.mapInArrow(run, schema)
+
+
+def pieces_of_files(spark: SparkSession, paths: Iterable[str], k: int) -> DataFrame:
+    """path, seq, start, carry, prefix, total, seg_carry: pieces of plain FASTA files that can be taken apart on their own.
+
+    start: letters of the file before the piece; carry: the k - 1 letters before it (fewer at the beginning); prefix: the file's
+    first k - 1 letters, if they end before the piece; total: all letters. seg_carry: as carry, but only of the same sequence for exact
+    search, see segments(). What is carried is worked out from the pieces' ends alone; letters are read twice and never
+    shuffled, as long as the list of pieces is small enough to be broadcast.
+    """
+    paths = list(paths)
+    kind = "path string, at long, no int, start long, carry string, prefix string, seg_carry string"
+    made = split_lines(spark, paths, k)
+    ends = checkpoint(made.select("path", "at", "no", "fresh", "n", "head", "tail"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = None
+        keep = k - 1
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    path, start, carry, prefix, held, held_size = r["path"], 0, "", "", "", 0
+                if r["fresh"] and held_size >= k:
+                    held, held_size = "", 0
+                rows.append((path, r["at"], r["no"], start, carry, prefix, held))
+                prefix += r["head"][: keep - len(prefix)]
+                carry, held = (carry + r["tail"])[-keep:], (held + r["tail"])[-keep:]
+                start, held_size = start + r["n"], held_size + r["n"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()))],
+                names=["path", "at", "no", "start", "carry", "prefix", "seg_carry"],
+            )
+
+    placed = ends.repartition("path").sortWithinPartitions("path", "at", "no").mapInArrow(run, kind)
+    totals = ends.groupBy("path").agg(F.sum("n").alias("total"))
+    known = broadcast_if_small(placed.join(totals, "path"))
+    return made.select("path", "at", "no", "seq").join(known, ["path", "at", "no"]).select("path", "seq", "start", "carry", "prefix", "total", "seg_carry")
+
+
+def large_and_other(spark: SparkSession, names: Iterable[str]) -> tuple[list[str], list[str]]:
+    """Of existing files (by qualified name) the plain ones of LARGE bytes or more, and the others."""
+    large, other = [], []
+    for name in dict.fromkeys(names):
+        system, q = _file(spark, name)
+        size = system.getFileStatus(q).getLen()
+        (large if size >= LARGE and _is_plain(spark, name) else other).append(name)
+    return large, other
+
+
+def genome_pieces_of_list(spark: SparkSession, list_path: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """whole(genome_id, name, seq), pieces(genome_id, name, seq, start, carry, prefix, total, seg_carry) and missing(id, path) of a list.
+
+    Large plain files come in pieces, the others whole, as from genomes_of_list(); files shorter than k are in neither.
+    """
+    known, files, missing = _of_list(spark, list_path)
+    large, other = large_and_other(spark, files)
+    seqs = _of_files(spark, other, "seq string", lambda content: [({"seq": joined_lines(content)}, len(content))])
+    whole = known.join(seqs, "path").select(F.col("id").alias("genome_id"), "name", "seq").where(F.length("seq") >= k)
+    if not large:
+        kind = "genome_id long, name string, seq string, start long, carry string, prefix string, total long, seg_carry string"
+        return whole, spark.createDataFrame([], kind), missing
+    pieces = pieces_of_files(spark, large, k).where(F.col("total") >= k)
+    # Spark's reader tells paths with escaped characters.
+    named = known.join(spark.createDataFrame([(p,) for p in large], "path string"), "path").select(F.col("id").alias("genome_id"), "name", F.col("path").alias("file"))
+    same = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "file:/")
+    joined = pieces.withColumn("file", same(F.col("path"))).join(named.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")), "file")
+    return whole, joined.select("genome_id", "name", "seq", "start", "carry", "prefix", "total", "seg_carry"), missing
