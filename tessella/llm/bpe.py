@@ -18,6 +18,7 @@ its path is a parameter, and every executor has the tokenizers' package.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -31,6 +32,9 @@ from tokenizers import Tokenizer
 
 from tessella.llm.common import slices, table
 
+#: Bytes of a word from which its rounds go by lists of places.
+LONG = 256
+
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
 SPACES = "\t-\r \u0085 "
@@ -61,6 +65,7 @@ class MergeTable:
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.of_rank = list(zip(left.tolist(), right.tolist(), made.tolist()))
         symbols = byte_symbols()
         self.inner = np.array([vocab[c] for c in symbols], np.int64)
         self.final = np.array([vocab[c + suffix] for c in symbols], np.int64)
@@ -78,6 +83,74 @@ class MergeTable:
         return np.where(hit, self.rank[at], self.NONE), self.made[at]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers. Long words have rounds of their own kind."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG] if self.ascending else []
+        if not long:
+            return self.encode_short(words)
+        out = self.encode_short([b"" if len(w) > LONG else w for w in words])
+        for i, ids in zip(long, self.encode_long([words[i] for i in long])):
+            out[i] = ids
+        return out
+
+    def encode_long(self, words: list[bytes]) -> list[bytes]:
+        """As encode_short(), for long words: a round takes the places of one pair from a list instead of scanning all symbols.
+
+        Rounds go by rising rank, as no merge makes a pair of lower rank than its own; so each round merges all places of its
+        pair in all words, finds the ranks of the pairs that these merges make, and puts their places on the
+        lists of those ranks. Work is in proportion to the merges, and rounds to the distinct pairs.
+        """
+        lengths = np.array([len(w) for w in words], np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(lengths) - 1
+        sym = self.inner[flat]
+        sym[ends] = self.final[flat[ends]]
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        after[ends], before[np.r_[0, ends[:-1] + 1]] = -1, -1
+        alive = np.ones(len(sym), bool)
+        lists: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Put the pairs that begin at these places on the lists of their ranks."""
+            keys = sym[at] << 32 | sym[after[at]]
+            found = np.searchsorted(self.keys, keys)
+            found[found == len(self.keys)] = 0
+            hit = self.keys[found] == keys
+            at, rank = at[hit], self.rank[found[hit]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edges = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]).tolist() if len(rank) else []
+            for a, b, r in zip(edges, [*edges[1:], len(rank)], rank[edges].tolist()):
+                if r not in lists:
+                    lists[r] = []
+                    heapq.heappush(ranks, r)
+                lists[r].append(at[a:b])
+
+        note(np.flatnonzero(after >= 0))
+        while ranks:
+            r = heapq.heappop(ranks)
+            held = lists.pop(r)
+            at = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+            at = at[alive[at] & (after[at] >= 0)]
+            left, right, made = self.of_rank[r]
+            at = at[(sym[at] == left) & (sym[after[at]] == right)]
+            if left == right and len(at) > 1:  # overlapping places: every second one of a run
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            sym[at], alive[gone], after[at] = made, False, after[gone]
+            follow = after[at] >= 0
+            before[after[at[follow]]] = at[follow]
+            lead = before[at]
+            note(np.unique(np.r_[lead[lead >= 0], at[follow]]))
+        kept = np.r_[0, np.cumsum(np.add.reduceat(alive.astype(np.int64), np.r_[0, ends[:-1] + 1]))].tolist()
+        data = sym[alive].astype("<u4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(kept, kept[1:])]
+
+    def encode_short(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -341,6 +342,14 @@ def _scanner() -> Scanner:
     return Scanner()
 
 
+def word_places(norm: bytes, *places: list[int]) -> list[list[int]]:
+    """The numbers of the words at places of a text of words with one blank between; blanks are found once."""
+    if not any(places):
+        return [[] for _ in places]
+    blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    return [np.searchsorted(blanks, at).tolist() for at in places]
+
+
 SCAN_SCHEMA = (
     "n_words long, base array<struct<phrase:int,word:long>>,"
     " found array<struct<rule:string,label:string,confidence:double,word:long,end_word:long>>"
@@ -366,19 +375,20 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 words = t.translate(WORD_BYTES).split()
                 counts.append(len(words))
                 norm = b" ".join(words)
-                base = []
+                base: list[tuple[int, int]] = []
                 for i, phrase in enumerate(plain):
                     at = norm.find(phrase)
                     while at >= 0:
                         end = at + len(phrase)
                         if (not at or norm[at - 1] == 32) and (end == len(norm) or norm[end] == 32):
-                            base.append({"phrase": i, "word": norm.count(b" ", 0, at)})
+                            base.append((i, at))
                         at = norm.find(phrase, at + 1)
-                bases.append(base)
+                found = scanner.detections(norm.decode("latin-1"))
+                at_base, at_start, at_end = word_places(norm, [at for _, at in base], [a for a, _, _ in found], [b for _, b, _ in found])
+                bases.append([{"phrase": i, "word": w} for (i, _), w in zip(base, at_base)])
                 founds.append([
-                    {"rule": scanner.rules[i].name, "label": scanner.rules[i].label, "confidence": scanner.rules[i].confidence,
-                     "word": norm.count(b" ", 0, a), "end_word": norm.count(b" ", 0, b) + 1}
-                    for a, b, i in scanner.detections(norm.decode("latin-1"))
+                    {"rule": scanner.rules[i].name, "label": scanner.rules[i].label, "confidence": scanner.rules[i].confidence, "word": a, "end_word": b + 1}
+                    for (_, _, i), a, b in zip(found, at_start, at_end)
                 ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(counts, pa.int64()), pa.array(bases, base_type), pa.array(founds, found_type)],
