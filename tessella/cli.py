@@ -7,7 +7,7 @@ import logging
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from tessella.operators import exact as exacts
 from tessella.operators import index as indexes
@@ -55,7 +55,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         whole, pieces, missing = fasta.genome_pieces_of_list(spark, args.files, params.k)
         for r in missing.toLocalIterator():
             log.warning("missing file: %s", r["path"])
-        index = indexes.build(whole, params)
+        seen = Observation()
+        index = indexes.build(whole, params, seen)
+        counts = seen.get
+        log.info("%s genomes read whole, %s of them shorter than k, %s letters, %s k-mers", *(f"{counts[c] or 0:,}" for c in ("genomes", "short", "letters", "kmers")))
         if not pieces.isEmpty():
             index = indexes.together(index, indexes.build_of_pieces(pieces, params))
     if args.dump:

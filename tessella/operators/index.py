@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tessella.operators import bloom as blooms
 from tessella.operators import columns as packing
@@ -57,14 +57,19 @@ def genome_sizes(genomes: DataFrame, sketch: DataFrame, params: SketchParams) ->
     )
 
 
-def build(genomes: DataFrame, params: SketchParams) -> Index:
+def build(genomes: DataFrame, params: SketchParams, seen: Observation | None = None) -> Index:
     """Index of genomes(genome_id, name, seq); sequences shorter than k are left out.
 
     Sequences are read and sketched once: columns, metadata and filter come from one checkpointed table. The row form of the
-    sketch is made only where it is read.
+    sketch is made only where it is read. `seen` is given genomes, short (left out), letters and kmers as that table is written.
     """
-    kept = genomes.where(F.length("seq") >= params.k)
-    made = checkpoint(packing.parts(kept, params))
+    length = F.length("seq")
+    kept = genomes.where(length >= params.k)
+    read = genomes
+    if seen is not None:
+        positions = F.sum(F.greatest(length - params.k, F.lit(0)))
+        read = genomes.observe(seen, F.count("*").alias("genomes"), F.count_if(F.coalesce(length < params.k, F.lit(True))).alias("short"), F.sum(length).alias("letters"), positions.alias("kmers"))
+    made = checkpoint(packing.parts(read.where(length >= params.k), params))
     weight = F.when(F.col("size") > 0, F.col("weight"))
     meta = made.where(F.col("kind") == packing.GENOME).select(
         F.col("a").alias("genome_id"), F.col("data").cast("string").alias("name"), F.col("b").alias("n_chars"),

@@ -72,8 +72,16 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
     return out
 
 
-def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Callable[[str], Iterable[tuple[dict, int]]]) -> DataFrame:
-    """path (qualified) and the rows that `make` yields, each with its size, from the content of each file; a file is read once."""
+def told(header: str) -> str:
+    """A header from bytes that were read as Latin-1."""
+    return header.encode("latin-1").decode("utf-8", "replace")
+
+
+def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Callable[[str], Iterable[tuple[dict, int]]], encoding: str = "latin-1") -> DataFrame:
+    """path (qualified) and the rows that `make` yields, each with its size, from the content of each file; a file is read once.
+
+    Content is read as Latin-1, so that each byte of a sequence is one character.
+    """
     kind = f"path string, {schema}"
     names = sorted(set(names))
     if not names:
@@ -84,7 +92,7 @@ def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Call
         for batch in batches:
             for i in range(batch.num_rows):
                 path, held, size = batch.column("path")[i].as_py(), [], 0
-                for row, n in make(inflate(batch.column("content")[i].as_py()).decode("utf-8", "replace")):
+                for row, n in make(inflate(batch.column("content")[i].as_py()).decode(encoding, "replace")):
                     held.append(row | {"path": path})
                     size += n + 64
                     if size >= CHARACTERS:
@@ -101,7 +109,7 @@ def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, content of whole files; missing files are skipped. Paths are as they were given, each once for each time it was."""
     asked = [paths] if isinstance(paths, str) else list(paths)
     there = existing(spark, asked)
-    files = _of_files(spark, there.values(), "content string", lambda content: [({"content": content}, len(content))])
+    files = _of_files(spark, there.values(), "content string", lambda content: [({"content": content}, len(content))], "utf-8")
     given = spark.createDataFrame([(p, there[p]) for p in asked if p in there], "given string, path string")
     return given.join(files, "path").select(F.col("given").alias("path"), "content")
 
@@ -172,7 +180,7 @@ def _pairs(content: str) -> Iterator[tuple[dict, int]]:
     lines = content.split("\n")
     for i in range(0, len(lines), 2):
         seq = lines[i + 1] if i + 1 < len(lines) else ""
-        yield {"query_id": i // 2, "header": lines[i], "seq": seq}, len(lines[i]) + len(seq)
+        yield {"query_id": i // 2, "header": told(lines[i]), "seq": seq}, len(lines[i]) + len(seq)
 
 
 def records(spark: SparkSession, path: str, k: int, exact: bool = False) -> DataFrame:
@@ -185,7 +193,8 @@ def records(spark: SparkSession, path: str, k: int, exact: bool = False) -> Data
     if files and _is_plain(spark, path):
         of = numbered_lines(spark, path).groupBy(F.floor(F.col("number") / 2).alias("query_id"))
         at = lambda i: F.max(F.when(F.col("number") % 2 == i, F.col("line")))
-        rows = of.agg(at(0).alias("header"), F.coalesce(at(1), F.lit("")).alias("seq"))
+        bytewise = F.decode(F.coalesce(at(1), F.lit("")).cast("binary"), "ISO-8859-1")
+        rows = of.agg(F.make_valid_utf8(at(0)).alias("header"), bytewise.alias("seq"))
     else:
         rows = _of_files(spark, files.values(), "query_id long, header string, seq string", _pairs).select("query_id", "header", "seq")
     rows = rows.where(F.length("seq") >= k)
@@ -202,7 +211,7 @@ def file_queries(spark: SparkSession, list_path: str, k: int, exact: bool = Fals
 
     def exact_query(content: str) -> Iterable[tuple[dict, int]]:
         first, *rest = content.split("\n")
-        return [({"header": first, "seq": "".join(x for x in rest if len(x) >= k and x.startswith(EXACT_FIRST))}, len(content))]
+        return [({"header": told(first), "seq": "".join(x for x in rest if len(x) >= k and x.startswith(EXACT_FIRST))}, len(content))]
 
     make = exact_query if exact else lambda content: [({"header": None, "seq": joined_lines(content)}, len(content))]
     rows = known.join(_of_files(spark, files, "header string, seq string", make), "path")
@@ -259,7 +268,7 @@ def split_lines(spark: SparkSession, paths: Iterable[str], k: int) -> DataFrame:
     has a header.
     """
     text = spark.read.option("lineSep", "\n").text(list(paths))
-    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    lines = text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
     schema = "path string, at long, no int, fresh boolean, n long, head string, tail string, seq string"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -278,6 +287,7 @@ def split_lines(spark: SparkSession, paths: Iterable[str], k: int) -> DataFrame:
                     if held or fresh:
                         yield done()
                     split, no, fresh, held, size = (path, at), 0, False, [], 0
+                value = value.decode("latin-1")
                 if value.startswith(">"):
                     if held:
                         yield done()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.functions import hashing
 from tessella.operators import bloom, index, kmers
 from tessella.params import SketchParams
 
@@ -35,7 +36,15 @@ def sketch_stream(stream: DataFrame, params: SketchParams) -> DataFrame:
     return kmers.sketch(stream.where(F.length("seq") >= params.k), params, "genome_id")
 
 
-def filter_stream(stream: DataFrame, cells: DataFrame, params: SketchParams) -> DataFrame:
-    """Streaming sketch rows with a hash any of whose filter cells is set, with the number of cells set."""
-    marked = bloom.with_cells(stream, params)
-    return marked.select("*", F.explode("cells").alias("cell")).join(cells, "cell", "left_semi")
+def filter_stream(stream: DataFrame, bloom_: DataFrame, params: SketchParams) -> DataFrame:
+    """Streaming sketch rows with a hash all of whose filter cells are set in bloom_(word, mask) or bloom_(cell), as pass_bloom() keeps.
+
+    Stateless: each probe's word is joined with the static filter.
+    """
+    words = bloom_ if "mask" in bloom_.columns else bloom.filter_words(bloom_)
+    kept = hashing.with_probes(stream, "khash", "_probes")
+    for i in range(hashing.BLOOM_HASHES):
+        cell = F.shiftrightunsigned(F.get("_probes", i), params.log2_bloom + 3)
+        kept = kept.withColumn("_cell", cell).withColumn("_word", F.shiftrightunsigned("_cell", 6)).join(words.withColumnRenamed("word", "_word"), "_word")
+        kept = kept.where(F.expr("shiftrightunsigned(mask, cast(_cell & 63 as int)) & 1 = 1")).drop("_word", "_cell", "mask")
+    return kept.drop("_probes")
