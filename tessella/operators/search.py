@@ -7,7 +7,7 @@ from pyspark.sql.types import IntegralType
 
 from tessella.operators import bloom, columns, kmers
 from tessella.operators.index import RANGE, Index, in_range
-from tessella.shared import checkpoint
+from tessella.shared import broadcast_if_small, checkpoint
 
 #: Hits of a query, least matches, and the share of the threshold that an
 #: intersection must reach, for each kind of search.
@@ -16,6 +16,10 @@ FILES = {"top": 10, "min_score": 10, "share": 0.5}
 RECORDS_EXACT = {"top": 5, "min_score": 10, "share": 1.0}
 FILES_EXACT = {"top": 5, "min_score": 5, "share": 1.0}
 
+#: Rows of one bucket and fingerprint that a task joins, about, and the share of a sketch that is counted to find more frequent ones.
+HEAVY = 1_000_000
+SAMPLE = 0.01
+
 
 def query_sketch(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, bucket, fp, khash of queries(query_id, seq), after the Bloom filter."""
@@ -31,6 +35,22 @@ def stored_for(index: Index, q: DataFrame) -> DataFrame:
     return index.sketch.where(F.col(RANGE).isin(asked))
 
 
+def dealt(stored: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a match on (bucket, fp), with a `share` to join on as well, so that no key has many more than HEAVY rows.
+
+    A fingerprint that many genomes have in a bucket is found by a counted sample; its genomes are dealt into as many shares as it
+    has times HEAVY rows, and each of its queries goes to all of them. All other keys have one share. At most one key in
+    HEAVY rows is heavy, so the list of them is broadcast behind a count.
+    """
+    sample = stored.select("bucket", "fp").sample(SAMPLE, seed=1)
+    shares = F.ceil(F.count("*") / F.lit(SAMPLE * HEAVY)).cast("int")
+    heavy = broadcast_if_small(sample.groupBy("bucket", "fp").agg(shares.alias("shares")).where("shares > 1"))
+    of = lambda df: df.join(heavy, ["bucket", "fp"], "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    one = F.pmod(F.xxhash64("genome_id"), F.col("shares")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    return of(stored).withColumn("share", one).drop("shares"), of(q).withColumn("share", every).drop("shares")
+
+
 def match_counts(index: Index, sketched: DataFrame, least: int = 1) -> DataFrame:
     """query_id, genome_id, matches (at least `least`): buckets in which both have the same fingerprint.
 
@@ -45,7 +65,8 @@ def match_counts(index: Index, sketched: DataFrame, least: int = 1) -> DataFrame
         place = (RANGE, in_range(index.params, index.ranges)) if index.ranges and RANGE in index.columns.columns else None
         counts = columns.match_counts(index.columns, q, least, place)
         return counts.withColumn("query_id", F.col("query_id").cast(kind))
-    joined = stored_for(index, q).select("genome_id", "bucket", "fp").join(q, ["bucket", "fp"])
+    stored, q = dealt(stored_for(index, q).select("genome_id", "bucket", "fp"), q)
+    joined = stored.join(q, ["bucket", "fp", "share"])
     return joined.groupBy("query_id", "genome_id").agg(F.count("*").alias("matches")).where(F.col("matches") >= least)
 
 

@@ -124,3 +124,22 @@ def test_sequences_taken_together(spark, monkeypatch):
                     assert (i, b) not in got
                     got[i, b] = (f, x)
             assert got == want
+
+
+def test_a_fingerprint_of_half_the_sketches_is_dealt_out(spark, monkeypatch):
+    """Row form: one key has half of all rows; no share of it is large, and the counts are the same."""
+    rng = random.Random(4)
+    sketch = [(g, 3, 200, 0) for g in range(4000)] + [(g, rng.randrange(16), rng.randrange(190, 200), 0) for g in range(4000)]
+    stored = spark.createDataFrame(sketch, "genome_id long, bucket long, fp int, khash long").dropDuplicates(["genome_id", "bucket"]).cache()
+    q = spark.createDataFrame([(f"q{i}", b, f) for i in range(9) for b, f in ((3, 200), (i, 195), (i + 1, 191))], "query_id string, bucket long, fp int")
+    made = index.Index(P, stored, stored.select("genome_id").distinct(), stored.select(F.lit(0).alias("cell")))
+    want = rows(search.match_counts(made, q))
+    assert len(want) >= 9 * 3000
+    monkeypatch.setattr(search, "HEAVY", 100)
+    monkeypatch.setattr(search, "SAMPLE", 0.5)
+    left, right = search.dealt(stored.select("genome_id", "bucket", "fp"), q)
+    sizes = left.groupBy("bucket", "fp", "share").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 250 and right.where("fp = 200").count() >= 9 * 30
+    assert left.count() == stored.count()
+    assert rows(search.match_counts(made, q)) == want
+    stored.unpersist()
