@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessella import cli
 from tessella.functions import bases, hashing
 from tessella.operators import exact, index, kmers, search, store
 from tessella.params import SketchParams
@@ -129,6 +130,54 @@ def saved_index_search(spark, d):
     return hits
 
 
+#: Documents of a FASTA file.
+FILE_DOCUMENTS = 20
+
+
+def _one_file(spark: SparkSession, folder: str) -> str:
+    """The file of a folder that one task wrote."""
+    return spark.read.text(folder).inputFiles()[0]
+
+
+def _written(spark: SparkSession, d: str, folder: str) -> tuple[str, str]:
+    """Paths of a list of FASTA files, FILE_DOCUMENTS documents in each, every other one compressed, and of a file of two-line records."""
+    docs = documents(spark, d).withColumn("part", F.floor(F.col("genome_id") / FILE_DOCUMENTS))
+    text = F.concat(F.lit(">"), "name", F.lit("\n"), F.array_join(bases.in_pieces(F.col("seq"), 60), "\n"))
+    lines = docs.select("part", "genome_id", text.alias("value")).repartition("part").sortWithinPartitions("part", "genome_id").select("part", "value")
+    for odd, codec in ((0, "none"), (1, "gzip")):
+        lines.where(F.col("part") % 2 == odd).write.partitionBy("part").option("compression", codec).text(f"{folder}/genomes/kind={odd}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/genomes").select("path")
+    number = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
+    files.withColumn("n", number).repartition(1).sortWithinPartitions("n").select("path").write.text(f"{folder}/list")
+    asked = items(spark, d).repartition(1).sortWithinPartitions("query_id").select(F.concat("header", F.lit("\n"), "seq"))
+    asked.write.text(f"{folder}/records")
+    return _one_file(spark, f"{folder}/list"), _one_file(spark, f"{folder}/records")
+
+
+def _command_line(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Lines that the command line writes for files of the documents and records of the benchmark; the index is saved and loaded between."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    listing, records = _written(spark, d, folder)
+    p = PARAMS
+    first = ["-l", listing, "-k", str(p.k), "-h", str(p.log2_buckets), "-s", str(p.threshold), "-d", f"{folder}/index"]
+    cli.run(spark, cli.parser().parse_args(first))
+    cli.run(spark, cli.parser().parse_args(["-i", f"{folder}/index", "-a", records, "-o", f"{folder}/out", *more]))
+    lines = checkpoint(spark.read.text(f"{folder}/out").select(F.col("value").alias("line")))
+    store.remove(spark, folder)
+    return lines
+
+
+def command_line_search(spark, d):
+    return _command_line(spark, d)
+
+
+def command_line_exact(spark, d):
+    """Genomes of several sequences, verified exactly; only the numbers and the header, as file names are not given."""
+    parts = F.split("line", "\t")
+    names = ("real_jaccard", "jaccard", "inter", "intersection", "header")
+    return _command_line(spark, d, "-e").select(*(F.get(parts, i).alias(c) for i, c in enumerate(names)))
+
+
 def noisy(spark: SparkSession, d: str) -> DataFrame:
     """genomes(genome_id, name, seq) as sequencers write them: small letters, N and other characters kept, several contigs joined.
 
@@ -251,7 +300,7 @@ def render_exact(spark, d):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     canonical_kmers, exact_kmer_counts, kmer_hash, bloom_probes, hash32, fingerprint, sketch, genomes, genome_size_estimate, bloom_cells,
-    bloom_filtered_sketch, match_counts, search_topn, saved_index_search, noisy_sketch, noisy_kmer_counts, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
+    bloom_filtered_sketch, match_counts, search_topn, saved_index_search, noisy_sketch, noisy_kmer_counts, command_line_search, command_line_exact, search_exact, accuracy_regression, index_merge, multiset_collisions, set_intersection,
     sequence_functions, string_functions, hamming, string_product, line_numbers, render_hits, render_file_hits, render_exact,
 ]
 
@@ -261,4 +310,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.queries(PARAMS, BLOOM_PARAMS, NOISY_PARAMS)
+    return sql.queries(PARAMS, BLOOM_PARAMS, NOISY_PARAMS, FILE_DOCUMENTS)

@@ -143,11 +143,12 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY intersectio
     ])
 
 
-def exact_hits(p: SketchParams) -> str:
+def exact_hits(p: SketchParams, segments: str = "docs") -> str:
+    """CTEs hits and exact; `segments` has the sequences of genomes for exact k-mers."""
     return ",".join([
         hits(p, **search.RECORDS_EXACT),
         kmers("(SELECT * FROM items WHERE id IN (SELECT query_id FROM hits))", "xa_k", p.k, last=True), "\nxa AS (SELECT DISTINCT id, canon FROM xa_k)",
-        kmers("(SELECT * FROM docs WHERE id IN (SELECT genome_id FROM hits))", "xb_k", p.k, last=True), "\nxb AS (SELECT DISTINCT id, canon FROM xb_k)",
+        kmers(f"(SELECT * FROM {segments} WHERE id IN (SELECT genome_id FROM hits))", "xb_k", p.k, last=True), "\nxb AS (SELECT DISTINCT id, canon FROM xb_k)",
         """
 inters AS (SELECT query_id, genome_id, count(*) AS inter FROM hits JOIN xa ON xa.id = query_id JOIN xb ON xb.id = genome_id AND xb.canon = xa.canon GROUP BY 1, 2),
 na AS (SELECT id AS query_id, count(*) AS n_query FROM xa GROUP BY 1), nb AS (SELECT id AS genome_id, count(*) AS n_genome FROM xb GROUP BY 1),
@@ -159,9 +160,19 @@ exact AS (SELECT *, n_query + n_genome - inter AS union_size, inter::DOUBLE / (n
 LINE = "coalesce(string_agg(genome_id || chr(9) || matches || chr(9) || floor(intersection)::BIGINT || chr(9) || printf('%.6f', jaccard) || ';', '' ORDER BY rank), '')"
 
 
-def queries(p: SketchParams, b: SketchParams, z: SketchParams) -> dict[str, str]:
+def queries(p: SketchParams, b: SketchParams, z: SketchParams, file_documents: int) -> dict[str, str]:
     seqs = ", ".join(f"{name} AS ({q})" for name, q in SEQS.items())
     with_ = lambda *parts: "WITH " + ", ".join([seqs, *parts])
+    # Genomes of several documents each, numbered by their files.
+    of_file = f"SELECT dense_rank() OVER (ORDER BY doc_id // {file_documents}) - 1 AS id, doc_id, {bases('text')} AS seq FROM documents"
+    files = SEQS | {"each_doc": of_file, "docs": "SELECT id, 'file' || id AS name, string_agg(seq, '' ORDER BY doc_id) AS seq FROM each_doc GROUP BY id"}
+    with_files = lambda *parts: "WITH RECURSIVE " + ", ".join([*(f"{n} AS ({files[n]})" for n in ("each_doc", "docs", "items")), *parts])
+    # A sequence that is shorter than k at the next header runs on.
+    runs = f"""
+numbered AS (SELECT id, seq, length(seq) AS n, row_number() OVER (PARTITION BY id ORDER BY doc_id) AS i FROM each_doc),
+run(id, i, size, s) AS (SELECT id, i, n, 0 FROM numbered WHERE i = 1 UNION ALL
+    SELECT x.id, x.i, CASE WHEN r.size >= {p.k} THEN x.n ELSE r.size + x.n END, CASE WHEN r.size >= {p.k} THEN r.s + 1 ELSE r.s END FROM run r JOIN numbered x ON x.id = r.id AND x.i = r.i + 1),
+segments AS (SELECT id, string_agg(seq, '' ORDER BY i) AS seq FROM numbered JOIN run USING (id, i) GROUP BY id, s)"""
     item_hash = [kmers("items", "k", p.k), mixed("k", "canon", "hashed", "h", MIX64)]
     cut = "(x::UBIGINT & 4294967295)"
 
@@ -198,6 +209,11 @@ def queries(p: SketchParams, b: SketchParams, z: SketchParams) -> dict[str, str]
             "\nd AS (SELECT id, bucket, min(fp) AS fp, arg_min(h, fp::BIGINT * 4294967296 + pos) AS h FROM fps GROUP BY id, bucket HAVING min(fp) < 255)",
         ) + f" SELECT id AS genome_id, bucket, fp, {signed('h')} AS khash FROM d",
         "noisy_kmer_counts": with_(noisy_exact("noisy", "k", z.k)) + " SELECT id AS genome_id, count(*) AS n_kmers, min(canon) AS least, max(canon) AS largest FROM k GROUP BY id",
+        "command_line_search": with_files(hits(p, **search.RECORDS))
+        + f" SELECT i.name || ':' || {LINE} AS line FROM (SELECT * FROM items WHERE length(seq) >= {p.k}) i LEFT JOIN hits ON query_id = i.id GROUP BY i.id, i.name",
+        "command_line_exact": with_files(runs, exact_hits(p, "segments"))
+        + " SELECT format('{:g}', real_jaccard) AS real_jaccard, format('{:g}', jaccard) AS jaccard, format('{:g}', inter::DOUBLE) AS inter,"
+        " format('{:g}', intersection) AS intersection, i.name AS header FROM exact JOIN items i ON i.id = query_id",
         "search_exact": with_(exact_hits(p))
         + " SELECT query_id, genome_id, matches, inter, union_size, n_query, n_genome, real_jaccard, jaccard, intersection FROM exact",
         "accuracy_regression": with_(exact_hits(p), "\nxy AS (SELECT 'jaccard' AS metric, real_jaccard AS x, jaccard AS y FROM exact UNION ALL SELECT 'intersection', inter::DOUBLE, intersection FROM exact)")
