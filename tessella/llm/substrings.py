@@ -514,4 +514,5 @@ def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     got = rows.mapInArrow(cut, docs.schema)
     if "n_chars" not in docs.columns:
         return got
-    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    counted = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return got.withColumn("n_chars", counted).select(docs.columns)

@@ -149,6 +149,11 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_RULES else df
 
 
+def at_end(pattern: str) -> str:
+    """A pattern whose $ stands for the very end, not also for the place before a last line feed as in Java."""
+    return re.sub(r"(?<!\\)\$", r"\\z", pattern)
+
+
 def judge_urls(pages: DataFrame, prefixes: list[PrefixRule], patterns: list[PatternRule], key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule (longest fitting prefix rule or null), pattern (first fitting pattern or null), verdict."""
     base = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
@@ -162,7 +167,7 @@ def judge_urls(pages: DataFrame, prefixes: list[PrefixRule], patterns: list[Patt
     every = [*(tuple(sorted(tokens_of(p))) for p in prefixes), *(p.tokens for p in patterns)]
     rows = []
     for i, (rule, token) in enumerate(zip([*prefixes, *patterns], rarest_tokens(tokens, every))):
-        fields = (0, rule.verdict, rule.name, rule.host, rule.path, "", i) if isinstance(rule, PrefixRule) else (1, rule.verdict, rule.name, "", "", rule.pattern, i)
+        fields = (0, rule.verdict, rule.name, rule.host, rule.path, "", i) if isinstance(rule, PrefixRule) else (1, rule.verdict, rule.name, "", "", at_end(rule.pattern), i)
         rows.append((token, *fields))
     kind = "token string, kind int, verdict string, name string, rule_host string, rule_path string, pattern string, rank int"
     index = rule_table(pages, [r for r in rows if r[0] is not None], kind)

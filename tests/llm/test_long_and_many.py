@@ -93,3 +93,30 @@ def test_many_detections_take_time_in_proportion():
     (starts, ends), blanks = licenses.word_places(norm, [a for a, _, _ in found], [b for _, b, _ in found]), norm.count(b" ")
     assert time.perf_counter() - began < 2 and len(found) >= 100_000
     assert starts[0] == 0 and starts[1] == 4 and ends[0] == 1 and max(ends) <= blanks
+
+
+def test_urls_that_end_in_a_line_feed(spark, tmp_path):
+    """A pattern's end is the very end of a URL, in the query as in its SQL."""
+    import duckdb
+
+    from tessella.llm import url_filters
+
+    paths = ["/login", "/login\n", "/robots.txt", "/robots.txt\n", "/a/poker", "/a/poker\n", "/cart?x=$", "\n", ""]
+    rows = [(i, f"http://site.org{p}", "x", "clash", "clash") for i, p in enumerate(paths)] + [(90, None, None, "", ""), (None, "HTTP://EXAMPLE.com/EN/", None, "", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, pattern string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in url_filters.op9_url_filters(spark, str(tmp_path)).collect()}
+    assert [got[i]["verdict"] for i in range(6)] == ["block", "allow", "block", "allow", "block", "block"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    names = [c[0] for c in con.execute(url_filters.oracle()).description]
+    want = {r[names.index("page_id")]: dict(zip(names, r)) for r in con.execute(url_filters.oracle()).fetchall()}
+    assert {k: r.asDict() for k, r in got.items()} == want
+
+
+def test_null_texts_keep_their_length(spark):
+    from tessella.llm import substrings
+
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, 5), (2, f"x {words}", 9), (3, None, 7), (4, "", 8)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substrings.stage_substrings(spark, docs, "").collect()}
+    assert got == {1: (words, len(words)), 2: ("x ", 2), 3: (None, 7), 4: ("", 0)}
