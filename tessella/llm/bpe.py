@@ -3,7 +3,7 @@
 Merging runs in batched numpy rounds: the symbols of many words lie in one flat array; each round
 looks up all neighbouring pairs by binary search over the sorted pair keys, takes each word's
 lowest-ranked pair, and merges all its places at once. Distinct words are merged once per batch and
-kept in a bounded dictionary.
+kept in two bounded dictionaries, the words asked for since the last change and those before it.
 
 Splitting into words uses plain regular expressions with spelled-out classes, which agree with the
 library's Unicode classes on all but UNSAFE characters (so on Latin letters, common punctuation). A text with any
@@ -201,7 +201,7 @@ class MergeTable:
 class Encoder:
     """Texts to id bytes, as the tokenizers library encodes them with add_special_tokens=False."""
 
-    limit = 300_000
+    limit = 200_000
 
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
@@ -221,6 +221,7 @@ class Encoder:
         for name, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
             self.names[i] = name.encode()
         self.known: dict[str, bytes] = dict(self.special_ids)
+        self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
         """Whether this class encodes the text itself."""
@@ -242,11 +243,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
-        fresh = {w for ws in words for w in ws}.difference(self.known)
+        asked = {w for ws in words for w in ws}
+        fresh = asked.difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
-            self.known = dict(self.special_ids)
-            fresh = {w for ws in words for w in ws}.difference(self.known)
-        new = list(fresh)
+            self.older, self.known = self.known, dict(self.special_ids)
+            fresh = asked.difference(self.known)
+        # Words that are asked for again pass from the older dictionary to the new one, so frequent ones are merged once.
+        again = fresh & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(fresh - again)
         self.known.update(zip(new, self.merges.encode([w.encode() for w in new])))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
