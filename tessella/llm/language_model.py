@@ -13,9 +13,13 @@ most 1.
 * Trie. The shard's training n-grams form levels: words u; their successors w and predecessors t, each as
   one ascending sequence led by the parent's place, with monotone pointers to each word's first successor; and
   trigrams, in which w is replaced by its rank among the successors of u (context-relative), which is its place less
-  the pointer. Levels and pointers are Elias-Fano sequences; beside the levels stand 8-bit quantised
-  log-probabilities and weights, written to the task's folder, memory-mapped, and searched for all
-  positions at once; the folder goes when the task ends.
+  the pointer. Levels and pointers are Elias-Fano sequences, written to the task's folder, memory-mapped, and
+  searched for all positions at once; the folder goes when the task ends.
+* Quantised probabilities. Beside the levels stand 8-bit codes: of discounted counts at bigrams and trigrams, of
+  counts and numbers of distinct successors at contexts, of the latter at words, whose own counts stay whole. All
+  shards use one codebook of counts, made by a rule: a log-probability is the difference of two entries, off by 0.024
+  for each at most and not at all for counts up to 32. It depends on its counts alone, so neither the number of
+  shards nor dealing changes a score.
 * Hot words. Words with a share of 1/HEAVY of the tokens (so at most HEAVY words) that outgrow a shard are
   dealt over several shards, each position twice: by w, where c(u w) and c(t u w) are whole, and by t under
   the name ~u, where c(t u) and c(t u w) are whole. The logarithm of each probability is a sum, so either
@@ -23,7 +27,9 @@ most 1.
   weight of (t, u) by t and all else by w. c(u) is taken from the word counts; a block's sums collect the
   number of distinct successors from all slices, and the back-off weight of u is added there. So dealing
   changes where terms are added, not the model.
-* Words are 64-bit hashes as contexts and 32-bit hashes as successors and predecessors within a context.
+* Words are 64-bit hashes as contexts. As successors and predecessors within a context they have 32-bit names: words with 1/HEAVY
+  of the tokens have names of their own, by their rank, and others the upper half of their hash; so two rare words
+  of one context are taken for one another with a probability of 2**-32.
 
 Defined cases: null and empty texts are the single end token. Repeated rows are counted and scored each on
 its own; a row with a null doc_id is a training row. Without training rows nothing is known: base scores
@@ -35,6 +41,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.llm.common import LOWER, U64, WordHashes, mix, raw, slices, table
-from tessella.llm.elias_fano import EliasFano, quantised
+from tessella.llm.elias_fano import COUNTS, EliasFano, quantised
 from tessella.shared import checkpoint
 
 #: Discounts of n-grams and of words.
@@ -59,9 +66,14 @@ GATHER = 400_000
 #: Positions of a shard that are scored at once, about.
 AT_ONCE = 500_000
 
-#: Names of the end token and of "no word" among 32-bit hashes.
+#: Names of the end token, of "no word" and of the first word without a name of its own (more than HEAVY).
 END = np.uint32(0xFFFFFFFF)
 NONE = np.uint32(0)
+OTHERS = np.uint32(1 << 16)
+
+#: log10 of the codebook: of counts as they are, and discounted.
+LOG = np.log10(COUNTS)
+LOG_D = np.log10(COUNTS - D)
 
 
 def held_out(key):
@@ -71,23 +83,41 @@ def held_out(key):
 
 @dataclass(frozen=True)
 class Totals:
-    """Counts over the training rows: tokens with ends, distinct tokens, rows; and the hot words' counts."""
+    """Counts over the training rows: tokens with ends, distinct tokens, rows; and counts of words with 1/HEAVY of the tokens."""
 
     tokens: int
     types: int
     rows: int
-    hot: dict[int, int]
+    heavy: dict[int, int]
     shards: int
     shard_size: int
 
-    @property
+    @cached_property
+    def heavy_words(self) -> np.ndarray:
+        return np.array(sorted(self.heavy), U64)
+
+    @cached_property
+    def hot(self) -> dict[int, int]:
+        """Heavy words that outgrow a shard."""
+        return {h: n for h, n in self.heavy.items() if n > self.shard_size}
+
+    @cached_property
     def hot_words(self) -> np.ndarray:
         return np.array(sorted(self.hot), U64)
 
-    @property
+    @cached_property
     def hot_counts(self) -> np.ndarray:
         return np.array([self.hot[h] for h in sorted(self.hot)], np.float64)
 
+    def names(self, hashes: np.ndarray) -> np.ndarray:
+        """32-bit names of words, apart from END and NONE; heavy words have names of their own."""
+        out = np.clip((hashes >> U64(32)).astype(np.uint32), OTHERS, END - np.uint32(1))
+        heavy = self.heavy_words
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+            out = np.where(heavy[at] == hashes, at.astype(np.uint32) + np.uint32(1), out)
+        return out
+
     def slices_of(self, count: int) -> int:
         return max(1, -(-count // self.shard_size))
 
@@ -97,9 +127,9 @@ class Totals:
         return np.log10(np.where(counts > 0, counts - D1, D1 * max(self.types, 1)) / n)
 
 
-def short(hashes: np.ndarray) -> np.ndarray:
-    """32-bit names of words, apart from END and NONE."""
-    return np.clip((hashes >> U64(32)).astype(np.uint32), 1, 0xFFFFFFFE)
+def backed_off(distinct_codes: np.ndarray, log_counts: np.ndarray) -> np.ndarray:
+    """log10 of back-off weights, by codes of the numbers of distinct successors and log10 of the counts."""
+    return np.minimum(np.log10(D) + LOG[distinct_codes] - log_counts, 0.0)
 
 
 def word_counts(source: DataFrame) -> DataFrame:
@@ -132,9 +162,10 @@ def totals(source: DataFrame, shard_size: int = SHARD) -> Totals:
     got = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     words = int(got["n"] or 0)
     tokens = words + rows["train"]
-    hot = {r["word"] & (1 << 64) - 1: r["n"] for r in counts.where(F.col("n") >= max(1, tokens) / HEAVY).where(F.col("n") > shard_size).collect()}
-    every = (tokens + sum(hot.values())) * rows["all"] / max(rows["train"], 1)
-    return Totals(tokens, int(got["v"]) + (rows["train"] > 0), rows["train"], hot, max(1, -(-int(every) // shard_size)), shard_size)
+    heavy = {r["word"] & (1 << 64) - 1: r["n"] for r in counts.where(F.col("n") >= max(1, tokens) / HEAVY).collect()}
+    hot = sum(n for n in heavy.values() if n > shard_size)
+    every = (tokens + hot) * rows["all"] / max(rows["train"], 1)
+    return Totals(tokens, int(got["v"]) + (rows["train"] > 0), rows["train"], heavy, max(1, -(-int(every) // shard_size)), shard_size)
 
 
 #: Types of the arrays of a row of positions, of a row of sums, and of the documents that one of a block's rows holds.
@@ -178,7 +209,7 @@ def positions(source: DataFrame, told: Totals) -> DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
             u = hashes.of([w for t in texts for w in t])
             doc = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
-            near = short(u)
+            near = told.names(u)
             t, w = np.r_[NONE, near[:-1]][: len(u)], np.r_[near[1:], END][: len(u)]
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
             doc = doc << 1 | train[doc]  # the lowest bit tells training rows
@@ -231,9 +262,8 @@ class Trie:
 
     def __init__(self, folder: str, u: np.ndarray, t: np.ndarray, w: np.ndarray, told: Totals) -> None:
         words, uid, c1 = distinct(u)
-        by_w, by_t = np.isin(words, told.hot_words), np.isin(words, ~told.hot_words)
-        whole = c1.astype(np.float64)
-        whole[by_w] = [told.hot[int(x)] for x in words[by_w]]
+        by_w = np.isin(words, told.hot_words)
+        c1[by_w] = [told.hot[int(x)] for x in words[by_w]]
         lead = uid.astype(U64) << U64(32)
         successors, at2, c2 = distinct(lead | w)
         parent = (successors >> U64(32)).astype(np.int64)
@@ -252,29 +282,22 @@ class Trie:
         del lead
         of3 = (trigrams >> U64(32)).astype(np.int64)
         n1_context = np.bincount(of3, minlength=len(contexts))
-        word_of3 = (contexts >> U64(32)).astype(np.int64)[of3]
-        self.count = whole
         self.hot_successors = np.searchsorted(told.hot_words, words[by_w]), n1[by_w]
         levels = {"words": words, "successors": successors, "contexts": contexts, "trigrams": trigrams}
         for name, values in (levels | {"first": first.astype(U64)}).items():
             EliasFano.of(values).save(folder, name)
-        weights = {
-            "successors": np.log10((c2 - D) / whole[parent]),
-            "words": np.log10(np.minimum(D * n1 / np.maximum(whole, 1), 1.0)),
-            "contexts": np.log10(np.minimum(D * n1_context / np.maximum(c_context, 1), 1.0)),
-            "trigrams": np.log10(np.where(by_t[word_of3], 1.0, c3 - D) / np.where(by_w[word_of3], 1.0, c_context[of3])),
+        kept = {
+            "counts": c1,
+            "words": quantised(n1),
+            "successors": quantised(c2),
+            "contexts": quantised(c_context),
+            "spread": quantised(n1_context),
+            "trigrams": quantised(c3),
         }
-        self.books = {}
-        for name, values in weights.items():
-            # Parts of probabilities have no common range, so trigrams of dealt words are not quantised.
-            codes, self.books[name] = (values, None) if name == "trigrams" and (by_w | by_t).any() else quantised(values)
-            np.save(f"{folder}/{name}.codes.npy", codes)
+        for name, values in kept.items():
+            np.save(f"{folder}/{name}.codes.npy", values)
         self.levels = {name: EliasFano.mapped(folder, name) for name in [*levels, "first"]}
-        self.codes = {name: np.load(f"{folder}/{name}.codes.npy", mmap_mode="r") for name in weights}
-
-    def weight(self, name: str, at: np.ndarray) -> np.ndarray:
-        codes, book = self.codes[name][at], self.books[name]
-        return codes if book is None else book[codes]
+        self.codes = {name: np.load(f"{folder}/{name}.codes.npy", mmap_mode="r") for name in kept}
 
     def score(self, u: np.ndarray, back: np.ndarray, t: np.ndarray, w: np.ndarray, told: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each position: log10 of what this shard adds, the count of its u, whether it is dealt by t (and so
@@ -285,7 +308,8 @@ class Trie:
         """
         hot, hot_counts = told.hot_words, told.hot_counts
         uid = self.levels["words"].search(u)
-        total = np.where(uid >= 0, self.count[np.maximum(uid, 0)], 0.0) if len(self.count) else np.zeros(len(u))
+        total = np.zeros(len(u))
+        total[uid >= 0] = self.codes["counts"][uid[uid >= 0]]
         place = np.where(np.isin(u, hot), np.searchsorted(hot, u), -1)
         total[place >= 0] = hot_counts[place[place >= 0]]
         uid, count, place, by_t = uid[back], total[back], place[back], np.isin(u, ~hot)[back]
@@ -303,23 +327,23 @@ class Trie:
         relative = successor[both].astype(U64) - self.levels["first"].get(uid[both])
         trigram[both] = self.levels["trigrams"].search(context[both].astype(U64) << U64(32) | relative)
         seen3 = trigram >= 0
-        out[seen3] = self.weight("trigrams", trigram[seen3])
-        fall = ~seen3 & (context >= 0) & ~by_w
-        out[fall] += self.weight("contexts", context[fall])
-        seen2 = ~seen3 & (successor >= 0) & ~by_t
-        out[seen2] += self.weight("successors", successor[seen2])
+        above, below = np.flatnonzero(seen3 & ~by_t), np.flatnonzero(seen3 & ~by_w)
+        out[above] = LOG_D[self.codes["trigrams"][trigram[above]]]
+        out[below] -= LOG[self.codes["contexts"][context[below]]]
+        fall = np.flatnonzero(~seen3 & (context >= 0) & ~by_w)
+        out[fall] += backed_off(self.codes["spread"][context[fall]], LOG[self.codes["contexts"][context[fall]]])
+        seen2 = np.flatnonzero(~seen3 & (successor >= 0) & ~by_t)
+        out[seen2] += LOG_D[self.codes["successors"][successor[seen2]]] - np.log10(count[seen2])
         down = (successor < 0) & ~by_t
-        fall = down & (uid >= 0) & ~by_w
-        out[fall] += self.weight("words", uid[fall])
+        fall = np.flatnonzero(down & (uid >= 0) & ~by_w)
+        out[fall] += backed_off(self.codes["words"][uid[fall]], np.log10(count[fall]))
         # The unigram of w where it is known here.
         out[down & (w == END)] += told.word(np.array([float(told.rows)]))[0]
         if told.hot:
-            names = short(hot)
-            order = np.argsort(names)
-            counts = hot_counts[order]
-            at = np.minimum(np.searchsorted(names[order], w), len(names) - 1)
-            hit = down & (names[order][at] == w) & (w != END)
-            out[hit] += told.word(counts[at[hit]])
+            names = told.names(hot)
+            at = np.minimum(np.searchsorted(names, w), len(names) - 1)
+            hit = down & (names[at] == w)
+            out[hit] += told.word(hot_counts[at[hit]])
         # The unigram of u, for tokens that backed off to it: (t, u) never seen, or no t.
         own = np.where(by_w, t == NONE, context < 0) & ~by_t
         out[own] += told.word(count[own])
@@ -372,7 +396,7 @@ def score_shards(source: DataFrame, told: Totals) -> DataFrame:
             known[touched] += k
         if told.hot:
             n1 = sum(np.bincount(d[10], weights=d[11], minlength=len(told.hot)) for d in data)
-            weight = np.log10(np.minimum(D * np.maximum(n1, 1) / told.hot_counts, 1.0))
+            weight = backed_off(quantised(np.maximum(n1, 1)), np.log10(told.hot_counts))
             for d in data:
                 score += np.bincount(d[8], weights=weight[d[9]], minlength=len(score))
         size = info["size"] + 1
