@@ -12,8 +12,8 @@ repeating windows cover are removed.
 * Hot minimizers. Where one occurs in very many rows, its passages are cut into single windows, which are
   sharded by their own hash; equal windows have been merged before they are shuffled.
 * Shards. Distinct passages, each with the least doc_id it occurs in, are dealt to shards by minimizer. A shard's task
-  builds an FM-index: the Burrows-Wheeler transform as a wavelet matrix of packed bits with a two-level directory of
-  counts. Then the passages of the documents are streamed against it. Backward search from each place gives its matching
+  builds an FM-index: the Burrows-Wheeler transform as a wavelet matrix shaped by codes of about the words' entropy, with a
+  two-level directory of counts; the text is dropped. Then the passages of the documents are streamed against it. Backward search from each place gives its matching
   statistic: how many words that end there stand in an earlier document, as the least document of the suffix interval
   tells; it is followed up to LONGEST words. Intervals of THRESHOLD words or more are reported, and their unions are the
   spans that the passage's first document loses. All later documents have the whole passage from that first one.
@@ -92,22 +92,50 @@ def hashed(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     return hashes.of([w for t in split for w in t]), np.array([len(t) for t in split], np.int64)
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol's code: Shannon lengths, shortened where most is saved while Kraft's sum stays within 1."""
+    share = counts / counts.sum()
+    out = np.maximum(np.ceil(-np.log2(share)), 1)
+    for _ in range(8):
+        order = np.argsort(np.where(out > 1, -share * 2.0**out, 0), kind="stable")
+        fits = order[np.cumsum(2.0 ** -out[order]) <= 1 - (2.0**-out).sum()]
+        fits = fits[out[fits] > 1]
+        if not len(fits):
+            break
+        out[fits] -= 1
+    return out.astype(np.uint8)
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """Prefix-free codes of these lengths, such that a wavelet matrix has the symbols that end at a level behind all others."""
+    out = np.zeros(len(lengths), np.uint32)
+    order = np.argsort(lengths, kind="stable")
+    edges = np.searchsorted(lengths[order], np.arange(int(lengths.max()) + 2))
+    nodes = np.zeros(1, np.uint32)
+    for level in range(1, len(edges) - 1):
+        nodes = np.r_[nodes << np.uint32(1), nodes << np.uint32(1) | np.uint32(1)]
+        ending = order[edges[level] : edges[level + 1]]
+        inner = len(nodes) - len(ending)
+        out[ending] = nodes[inner:]
+        # What is left of the code's room may exceed the symbols left: further nodes stay empty.
+        nodes = nodes[: min(inner, len(order) - edges[level + 1])]
+    return out
+
+
 class FmIndex:
-    """FM-index of word sequences: a wavelet matrix over the Burrows-Wheeler transform.
+    """Compressed FM-index of word sequences: a wavelet matrix over the Burrows-Wheeler transform, shaped by codes.
 
-    Suffixes are sorted by their first LONGEST words, which is exact for patterns of up to that many. Kept are, for each bit of a
-    word's number, one bit a place with a two-level directory of counts (a quarter on top), the places where words
-    begin, and the document of each suffix in the narrowest type; the suffixes themselves are dropped.
+    Suffixes are sorted by their first LONGEST words, which is exact for patterns of up to that many. Frequent words have short
+    codes, so the matrix takes about the transform's entropy, and a search walks fewer levels. Kept are the bits of the codes
+    with a two-level directory of counts (a quarter on top), the places where words begin, and the document of
+    each suffix in the narrowest type; text and suffixes are dropped, and what is streamed is coded as it comes.
     """
 
     def __init__(self, words: np.ndarray, lengths: np.ndarray, documents: np.ndarray | None = None) -> None:
         """words: all sequences one after another; lengths and documents: of each."""
-        self.alphabet, ids = np.unique(words, return_inverse=True)
-        # A separator (0) after each sequence.
-        self.place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)  # of each word in the text
-        text = np.zeros(len(words) + len(lengths), np.int32)
-        text[self.place] = ids + 1
-        self.text, n = text, len(text)
+        self.alphabet = np.unique(words)
+        text, place = self.coded(words, lengths)
+        n = len(text)
         rank = text.astype(np.int64)
         for k in range(LONGEST.bit_length() - 1):
             step = 1 << k
@@ -120,23 +148,39 @@ class FmIndex:
             rank[order] = fresh
         del rank, key, fresh
         bwt = text[order - 1]  # the first suffix wraps to the last separator
-        self.first = np.searchsorted(np.sort(text), np.arange(len(self.alphabet) + 2))
+        counts = np.bincount(text, minlength=len(self.alphabet) + 1)
+        self.first = np.r_[0, np.cumsum(counts)].astype(np.int32)
         self.values, code = np.unique(np.zeros(len(lengths), np.int64) if documents is None else documents, return_inverse=True)
         kind = np.min_scalar_type(len(self.values))
         of_text = np.full(n, len(self.values), kind)
-        of_text[self.place] = np.repeat(code, lengths)
+        of_text[place] = np.repeat(code, lengths)
         self.documents = np.r_[of_text[order], np.array([len(self.values)], kind)]
         self.values = np.r_[self.values, LAST]
-        del order, of_text
+        del order, of_text, text, place
+        self.sizes = code_lengths(counts)
+        self.codes = codes_of(self.sizes)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
-        for level in reversed(range(int(len(self.alphabet)).bit_length())):
-            bit = (bwt >> level & 1).astype(bool)
+        for level in range(int(self.sizes.max())):
+            bit = (self.codes[bwt] >> (self.sizes[bwt] - np.uint8(level + 1)).astype(np.uint32) & np.uint32(1)).astype(bool)
             packed = np.packbits(np.r_[bit, np.zeros(-len(bit) % 64 + 64, bool)], bitorder="little").view(U64)
             before = np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)][:-1]
             wide = before[::BLOCK]
             near = (before - np.repeat(wide, BLOCK)[: len(before)]).astype(np.uint16)
-            self.levels.append((packed, near, wide, n - int(bit.sum())))
+            self.levels.append((packed, near, wide, len(bit) - int(bit.sum())))
             bwt = np.r_[bwt[~bit], bwt[bit]]
+            bwt = bwt[: np.count_nonzero(self.sizes[bwt] > level + 1)]  # words that end here stand last
+
+    def coded(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequences of indexed words as a text of symbols, a separator (0) after each, and the place of each word in it."""
+        place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
+        text = np.zeros(len(words) + len(lengths), np.int32)
+        text[place] = np.searchsorted(self.alphabet, words) + 1
+        return text, place
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the matrix with its directory, the codes, and the places where words begin."""
+        return sum(x.nbytes for level in self.levels for x in level[:3]) + self.codes.nbytes + self.sizes.nbytes + self.first.nbytes
 
     def ones(self, level: int, at: np.ndarray) -> np.ndarray:
         packed, near, wide, _ = self.levels[level]
@@ -146,18 +190,24 @@ class FmIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
-        count = len(self.levels)
-        base = np.zeros(len(symbol), np.int64)
-        lo, hi = low, high
-        for i in range(count):
-            zeros = self.levels[i][3]
-            up = (symbol >> (count - 1 - i) & 1).astype(bool)
+        start, size, code = self.first[symbol].astype(np.int64), self.sizes[symbol], self.codes[symbol]
+        out_low, out_high = np.empty(len(symbol), np.int64), np.empty(len(symbol), np.int64)
+        at = np.arange(len(symbol))
+        lo, hi, base = low.astype(np.int64), high.astype(np.int64), np.zeros(len(symbol), np.int64)
+        for i, (_, _, _, zeros) in enumerate(self.levels):
+            up = (code >> (size - np.uint8(i + 1)).astype(np.uint32) & np.uint32(1)).astype(bool)
             l1, h1, b1 = self.ones(i, lo), self.ones(i, hi), self.ones(i, base)
             lo = np.where(up, zeros + l1, lo - l1)
             hi = np.where(up, zeros + h1, hi - h1)
             base = np.where(up, zeros + b1, base - b1)
-        start = self.first[symbol]
-        return start + lo - base, start + hi - base
+            more = size > i + 1
+            if not more.all():
+                done = at[~more]
+                out_low[done], out_high[done] = (lo - base)[~more], (hi - base)[~more]
+                at, lo, hi, base, size, code = (x[more] for x in (at, lo, hi, base, size, code))
+                if not len(at):
+                    break
+        return start + out_low, start + out_high
 
     def intervals(self, text: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the patterns of `length` words that end at the places `last` of a text of indexed words.
@@ -165,7 +215,7 @@ class FmIndex:
         All patterns occur, as the text's sequences are in the index; one that occurs once leaves early.
         """
         symbol = text[last]
-        low, high = self.first[symbol].copy(), self.first[symbol + 1].copy()
+        low, high = self.first[symbol].astype(np.int64), self.first[symbol + 1].astype(np.int64)
         live = np.flatnonzero(high - low > 1)
         for k in range(1, length):
             if not len(live):
@@ -205,7 +255,8 @@ def first_documents(words: np.ndarray, lengths: np.ndarray, documents: np.ndarra
     index = FmIndex(words, lengths, documents)
     ends = within(lengths) >= THRESHOLD - 1
     out = np.repeat(documents, lengths)[ends]
-    low, high = index.intervals(index.text, index.place[ends], THRESHOLD)
+    text, place = index.coded(words, lengths)
+    low, high = index.intervals(text, place[ends], THRESHOLD)
     several = high - low > 1
     out[several] = index.least(low[several], high[several])
     return out
@@ -223,15 +274,15 @@ def earlier_spans(words: np.ndarray, lengths: np.ndarray, documents: np.ndarray)
     intervals that the matching statistics report.
     """
     index = FmIndex(words, lengths, documents)
-    edges = np.cumsum(lengths + 1) - lengths - 1
+    edges = np.r_[0, np.cumsum(lengths)]
     out: list[np.ndarray] = []
     for a in range(0, len(lengths), STREAM):
         few = lengths[a : a + STREAM]
-        begin = np.repeat(edges[a : a + STREAM], few)
+        text, place = index.coded(words[edges[a] : edges[a + len(few)]], few)
         at = within(few)
         owner = np.repeat(np.arange(len(few)), few)
         ends = at >= THRESHOLD - 1
-        length = index.statistics(index.text, (begin + at)[ends], documents[a : a + STREAM][owner[ends]])
+        length = index.statistics(text, place[ends], documents[a : a + STREAM][owner[ends]])
         hit = length > 0
         owner, stop = owner[ends][hit], at[ends][hit] + 1
         start = stop - length[hit]

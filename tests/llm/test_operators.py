@@ -327,11 +327,13 @@ def test_a_statistic_is_the_longest_match_of_an_earlier_document():
     rng = random.Random(10)
     seqs = [[rng.randint(1, 2) for _ in range(rng.randint(13, 30))] for _ in range(30)]
     docs = np.array([rng.randint(0, 5) for _ in seqs])
-    index = substrings.FmIndex(np.array([x for s in seqs for x in s], np.uint64), np.array([len(s) for s in seqs]), docs)
+    words, lengths = np.array([x for s in seqs for x in s], np.uint64), np.array([len(s) for s in seqs])
+    index = substrings.FmIndex(words, lengths, docs)
+    text, _ = index.coded(words, lengths)
     at = 0
     for s, d in zip(seqs, docs):
         places = np.arange(12, len(s))
-        got = index.statistics(index.text, at + places, np.full(len(places), d))
+        got = index.statistics(text, at + places, np.full(len(places), d))
         at += len(s) + 1
         for j, n in zip(places.tolist(), got.tolist()):
             earlier = [" ".join(map(str, o)) + " " for o, e in zip(seqs, docs) if e < d]
@@ -339,6 +341,28 @@ def test_a_statistic_is_the_longest_match_of_an_earlier_document():
             assert n == best
 
 
+def test_the_matrix_takes_about_the_entropy_of_its_words():
+    """Words by Zipf's law: codes within half a bit of the entropy, bits of the matrix those of the codes, and all intervals right."""
+    rng = np.random.default_rng(3)
+    words = (rng.zipf(1.3, 60_000) % 5_000).astype(np.uint64)
+    lengths = np.full(3000, 20)
+    index = substrings.FmIndex(words, lengths)
+    text, place = index.coded(words, lengths)
+    counts = np.bincount(text)
+    share = counts / counts.sum()
+    entropy = -(share * np.log2(share)).sum()
+    mean = (share * index.sizes).sum()
+    assert entropy <= mean < entropy + 0.5 and (2.0 ** -index.sizes.astype(float)).sum() <= 1
+    assert len({(int(c), int(n)) for c, n in zip(index.codes, index.sizes)}) == len(counts)
+    assert index.nbytes < len(text) * (mean * 1.25 / 8) + 9 * len(counts) + 64 * 40 < 4 * len(text)
+    last = place[substrings.within(lengths) >= 2][::7]
+    low, high = index.intervals(text, last, 3)
+    grams = collections.Counter(tuple(text[j - 2 : j + 1].tolist()) for j in range(2, len(text)))
+    many = high - low > 1
+    assert [grams[tuple(text[j - 2 : j + 1].tolist())] for j in last[many]] == (high - low)[many].tolist()
+    assert many.any() and all(grams[tuple(text[j - 2 : j + 1].tolist())] == 1 for j in last[~many])
+
+
 def test_cutting_keeps_what_stands_between():
     text = b"a b\n" + b" ".join(b"x%d" % i for i in range(13)) + b"\n\nc"
     assert substrings.without(text, np.array([2])) == b"a b\n\n\nc"
