@@ -12,6 +12,9 @@ U64 = np.uint64
 _ZEROS = ~np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
 SELECT0 = np.argsort(~_ZEROS, axis=1, kind="stable").astype(np.uint8)
 
+#: One in each octet of a 64-bit word.
+_EACH = U64(0x0101010101010101)
+
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """The low `width` bits of each value, end to end in 64-bit words: 64 values fill `width` words. One word pads the end."""
@@ -84,12 +87,16 @@ class EliasFano:
     def _within(self, block: np.ndarray, rest: np.ndarray, one: bool) -> np.ndarray:
         """Bit place in its block of the rest-th zero, or one, from 0."""
         words = self.high[block] if not one else ~self.high[block]
-        octets = words.astype("<u8").view(np.uint8).reshape(len(block), 8)
-        counts = 8 - np.bitwise_count(octets).astype(np.int64)
-        ahead = np.cumsum(counts, axis=1)
-        which = (ahead <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(block))
-        return which * 8 + SELECT0[octets[row, which], rest - ahead[row, which] + counts[row, which]]
+        # Zeros of each octet and of those before it, in the octets of one word.
+        ahead = ~words
+        ahead -= ahead >> U64(1) & _EACH * U64(0x55)
+        ahead = (ahead & _EACH * U64(0x33)) + (ahead >> U64(2) & _EACH * U64(0x33))
+        ahead = (ahead + (ahead >> U64(4)) & _EACH * U64(0x0F)) * _EACH
+        rest = rest.astype(U64)
+        reached = (ahead | _EACH * U64(0x80)) - (rest + U64(1)) * _EACH & _EACH * U64(0x80)
+        start = U64(64) - np.bitwise_count(reached).astype(U64) * U64(8)
+        before = ahead << U64(8) >> start & U64(0xFF)
+        return start.astype(np.int64) + SELECT0[words >> start & U64(0xFF), rest - before]
 
     def place_of_zero(self, k: np.ndarray) -> np.ndarray:
         """Bit place of the k-th zero (from 0); k must be within the zeros there are."""
