@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessella.shared import broadcast_if_small, checkpoint
@@ -20,6 +21,8 @@ LEAST_PATH = 4
 EXACT_FIRST = tuple("ACGTN")
 #: Listed paths of one folder from which the folder is listed instead of asking for each path.
 MANY = 16
+#: Paths that are their own qualified names: a scheme, an authority (but for local files), and no empty, "." or ".." part.
+QUALIFIED = re.compile(r"(?:file:|[a-z][a-z0-9+.-]*://[^/]+)(?:/(?!\.{1,2}(?:/|$))[^/]+)+")
 #: Characters of sequences that a task hands back at once, about.
 CHARACTERS = 1 << 24
 
@@ -72,19 +75,38 @@ def existing(spark: SparkSession, paths: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def scan_of(spark: SparkSession, names: Iterable[str]) -> DataFrame | None:
+    """path, length, content of files that exist, by qualified name; None without any."""
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in sorted(set(names))]  # paths, not patterns
+    return spark.read.format("binaryFile").load(plain).select("path", "length", "content") if plain else None
+
+
+def scanned(spark: SparkSession, paths: Iterable[str]) -> tuple[dict[str, str], DataFrame | None]:
+    """The paths that exist, as existing() has them, and scan_of() their files.
+
+    Spark looks the paths up while it plans the scan, many at once; only if one is missing is each asked for by the driver.
+    """
+    short = ((p, re.sub("^file:/+", "file:/", p)) for p in dict.fromkeys(paths))
+    asked = {p: q if QUALIFIED.fullmatch(q) else qualified(spark, p) for p, q in short}
+    try:
+        return asked, scan_of(spark, asked.values())
+    except AnalysisException:
+        there = existing(spark, asked)
+        return there, scan_of(spark, there.values())
+
+
 def told(header: str) -> str:
     """A header from bytes that were read as Latin-1."""
     return header.encode("latin-1").decode("utf-8", "replace")
 
 
-def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Callable[[str], Iterable[tuple[dict, int]]], encoding: str = "latin-1") -> DataFrame:
-    """path (qualified) and the rows that `make` yields, each with its size, from the content of each file; a file is read once.
+def _of_files(spark: SparkSession, files: DataFrame | None, schema: str, make: Callable[[str], Iterable[tuple[dict, int]]], encoding: str = "latin-1") -> DataFrame:
+    """path (qualified) and the rows that `make` yields, each with its size, from the content of each file of a scan; a file is read once.
 
     Content is read as Latin-1, so that each byte of a sequence is one character.
     """
     kind = f"path string, {schema}"
-    names = sorted(set(names))
-    if not names:
+    if files is None:
         return spark.createDataFrame([], kind)
     arrow = pa.schema([pa.field(c.split()[0], {"string": pa.string(), "long": pa.int64()}[c.split()[1]]) for c in kind.split(", ")])
 
@@ -101,24 +123,27 @@ def _of_files(spark: SparkSession, names: Iterable[str], schema: str, make: Call
                 if held:
                     yield pa.RecordBatch.from_pylist(held, arrow)
 
-    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names]  # paths, not patterns
-    return spark.read.format("binaryFile").load(plain).select("path", "content").mapInArrow(run, kind)
+    return files.select("path", "content").mapInArrow(run, kind)
 
 
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, content of whole files; missing files are skipped. Paths are as they were given, each once for each time it was."""
     asked = [paths] if isinstance(paths, str) else list(paths)
-    there = existing(spark, asked)
-    files = _of_files(spark, there.values(), "content string", lambda content: [({"content": content}, len(content))], "utf-8")
+    there, scan = scanned(spark, asked)
+    files = _of_files(spark, scan, "content string", lambda content: [({"content": content}, len(content))], "utf-8")
     given = spark.createDataFrame([(p, there[p]) for p in asked if p in there], "given string, path string")
     return given.join(files, "path").select(F.col("given").alias("path"), "content")
 
 
-def listed(spark: SparkSession, list_path: str) -> DataFrame:
-    """id (0-based among the accepted lines), path of the lines of a list with more than 3 characters."""
+def _lines_of_list(spark: SparkSession, list_path: str) -> list[tuple[int, str]]:
     # A list of files is what a driver plans a scan from, so it is read there.
     lines = [line for r in read_whole(spark, list_path).select("content").collect() for line in r[0].split("\n")]
-    return spark.createDataFrame(list(enumerate(x for x in lines if len(x) >= LEAST_PATH)), "id int, path string")
+    return list(enumerate(x for x in lines if len(x) >= LEAST_PATH))
+
+
+def listed(spark: SparkSession, list_path: str) -> DataFrame:
+    """id (0-based among the accepted lines), path of the lines of a list with more than 3 characters."""
+    return spark.createDataFrame(_lines_of_list(spark, list_path), "id int, path string")
 
 
 def joined_lines(content: str) -> str:
@@ -126,13 +151,13 @@ def joined_lines(content: str) -> str:
     return "".join(line for line in content.split("\n") if not line.startswith(">"))
 
 
-def _of_list(spark: SparkSession, list_path: str) -> tuple[DataFrame, list[str], DataFrame]:
-    """known(id, path, file) of the listed files that exist, their qualified names, and missing(id, path)."""
-    rows = [(r["id"], r["path"]) for r in listed(spark, list_path).collect()]
-    there = existing(spark, (p for _, p in rows))
+def _of_list(spark: SparkSession, list_path: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """known(id, path, file) of the listed files that exist, the scan of these, and missing(id, path)."""
+    rows = _lines_of_list(spark, list_path)
+    there, scan = scanned(spark, (p for _, p in rows))
     known = spark.createDataFrame([(i, p, there[p]) for i, p in rows if p in there], "id long, name string, path string")
     missing = spark.createDataFrame([(i, p) for i, p in rows if p not in there], "id int, path string")
-    return known, list(there.values()), missing
+    return known, scan, missing
 
 
 def genomes_of_list(spark: SparkSession, list_path: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +173,7 @@ def genomes_of_list(spark: SparkSession, list_path: str, k: int) -> tuple[DataFr
 
 def genome_of_file(spark: SparkSession, path: str, k: int) -> DataFrame:
     """genomes with the one sequence of a file; none if the file is missing."""
-    files = existing(spark, [path]).values()
+    _, files = scanned(spark, [path])
     seqs = _of_files(spark, files, "seq string", lambda content: [({"seq": joined_lines(content)}, len(content))])
     return seqs.select(F.lit(0).cast("long").alias("genome_id"), F.lit(path).alias("name"), "seq").where(F.length("seq") >= k)
 
@@ -196,7 +221,7 @@ def records(spark: SparkSession, path: str, k: int, exact: bool = False) -> Data
         bytewise = F.decode(F.coalesce(at(1), F.lit("")).cast("binary"), "ISO-8859-1")
         rows = of.agg(F.make_valid_utf8(at(0)).alias("header"), bytewise.alias("seq"))
     else:
-        rows = _of_files(spark, files.values(), "query_id long, header string, seq string", _pairs).select("query_id", "header", "seq")
+        rows = _of_files(spark, scan_of(spark, files.values()), "query_id long, header string, seq string", _pairs).select("query_id", "header", "seq")
     rows = rows.where(F.length("seq") >= k)
     return rows.where(F.substring("seq", 1, 1).isin(*EXACT_FIRST)) if exact else rows
 
@@ -240,9 +265,9 @@ def segments(content: str, k: int) -> Iterator[str]:
 def segments_of_files(spark: SparkSession, names: DataFrame, k: int) -> DataFrame:
     """genome_id, seq of the files that names(genome_id, name) lists; missing files are skipped."""
     rows = [(r["genome_id"], r["name"]) for r in names.distinct().collect()]
-    there = existing(spark, (n for _, n in rows))
+    there, files = scanned(spark, (n for _, n in rows))
     known = spark.createDataFrame([(i, there[n]) for i, n in rows if n in there], "genome_id long, path string")
-    parts = _of_files(spark, there.values(), "seq string", lambda content: (({"seq": s}, len(s)) for s in segments(content, k)))
+    parts = _of_files(spark, files, "seq string", lambda content: (({"seq": s}, len(s)) for s in segments(content, k)))
     return known.join(parts, "path").select("genome_id", "seq")
 
 
@@ -343,14 +368,20 @@ def pieces_of_files(spark: SparkSession, paths: Iterable[str], k: int) -> DataFr
     return made.select("path", "at", "no", "seq").join(known, ["path", "at", "no"]).select("path", "seq", "start", "carry", "prefix", "total", "seg_carry")
 
 
-def large_and_other(spark: SparkSession, names: Iterable[str]) -> tuple[list[str], list[str]]:
-    """Of existing files (by qualified name) the plain ones of LARGE bytes or more, and the others."""
-    large, other = [], []
-    for name in dict.fromkeys(names):
-        system, q = _file(spark, name)
-        size = system.getFileStatus(q).getLen()
-        (large if size >= LARGE and _is_plain(spark, name) else other).append(name)
-    return large, other
+def large_and_other(spark: SparkSession, files: DataFrame | None) -> tuple[list[str], DataFrame | None]:
+    """Of a scan the names of the plain files of LARGE bytes or more, and the scan of the others.
+
+    Lengths are told by the scan; only large files are opened by the driver, for their first bytes.
+    """
+    if files is None:
+        return [], None
+    long = sorted(r["path"] for r in files.where(F.col("length") >= LARGE).select("path").collect())
+    if not long:
+        return [], files
+    large = [name for name in long if _is_plain(spark, name)]
+    packed = scan_of(spark, set(long) - set(large))
+    other = files.where(F.col("length") < LARGE)
+    return large, other if packed is None else other.unionByName(packed)
 
 
 def genome_pieces_of_list(spark: SparkSession, list_path: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
