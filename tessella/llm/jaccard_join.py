@@ -41,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessella.llm.common import LOWER, U64, WordHashes, of_planes, planes, raw, shingle_set, slices, table, unused, with_keys
+from tessella.llm.common import LOWER, U64, WordHashes, bit_table, in_bits, of_planes, planes, raw, shingle_set, slices, table, unused, with_keys
 from tessella.llm.graph import components
 from tessella.shared import checkpoint
 
@@ -59,6 +59,8 @@ HOT_BITS = 20
 FREQUENT = 16
 #: Classes that a task remembers, so as to send the shingles of copies once.
 REMEMBER = 200_000
+#: log2 of the bits of the bitmap of sets that several rows have (1 MB).
+COPY_BITS = 23
 #: Hash ranges of the suffix filter.
 RANGES = 4
 #: Rank of hot shingles in the order.
@@ -118,14 +120,14 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return small(owner), np.cumsum(of_planes(steps, 8, k), dtype=U64), small(more) if more else np.empty(0, np.int32)
 
 
-def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> DataFrame:
+def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray, copied: np.ndarray) -> DataFrame:
     """Rows for each slice of texts, named by `slice`.
 
-    With `data` and `tags`: the packed shingles (their first bits) of a range `part`, and the first 8 bytes of the names of the
-    sets that have them, by number of the set. With `names`, `sizes`, `hots`: the slice's sets, how many shingles and how many
+    With `data` and `tags`: the packed shingles (their first bits) of a range `part`, and numbers and first 8 bytes of the names of
+    those sets that other tasks may send as well (by the bitmap `copied` of such names). With `names`, `sizes`, `hots`: the slice's sets, how many shingles and how many
     hot ones they have; there `data` holds the hot shingles of the sets whose prefix has some.
     """
-    shared = source.sparkSession.sparkContext.broadcast(hot)
+    shared, several = (source.sparkSession.sparkContext.broadcast(x) for x in (hot, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -155,12 +157,13 @@ def sent_grams(source: DataFrame, parts: int, bits: int, hot: np.ndarray) -> Dat
             out: list[tuple] = [(slice_ % parts, slice_, packed(owner[needed], grams[needed]), None, names, sizes.tolist(), hots.tolist())]
             grams, owner = grams[~is_hot], owner[~is_hot]
             tags = np.frombuffer(names, "<u8")[::2]
+            tagged = in_bits(several.value, tags.byteswap(), COPY_BITS)
             edges = np.searchsorted((grams >> U64(bits - 32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(U64))
             for part in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[part], edges[part + 1]
-                present, local = np.unique(owner[a:b], return_inverse=True)
-                head = np.array([len(present)], "<u4").tobytes() + present.astype("<u4").tobytes()
-                out.append((part, slice_, packed(local, grams[a:b]), head + tags[present].tobytes(), None, None, None))
+                of = owner[a:b]
+                told = np.unique(of[tagged[of]])
+                out.append((part, slice_, packed(of, grams[a:b]), np.array([len(told)], "<u4").tobytes() + told.astype("<u4").tobytes() + tags[told].tobytes(), None, None, None))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             for a in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[a : a + 16]), kinds)], names=["part", "slice", "data", "tags", "names", "sizes", "hots"])
@@ -180,15 +183,16 @@ def counted_grams(sent: DataFrame) -> DataFrame:
         rows = [unpacked(d.as_py()) for d in part.column("data")]
         heads = [d.as_py() for d in part.column("tags")]
         sizes = [int(np.frombuffer(h, "<u4", 1)[0]) for h in heads]
+        starts = np.cumsum([0, *(int(r[0].max()) + 1 for r in rows)])
         tags = np.concatenate([np.frombuffer(h, "<u8", m, 4 + 4 * m) for h, m in zip(heads, sizes)])
-        starts = np.cumsum([0, *sizes])
+        tagged = np.concatenate([np.frombuffer(h, "<u4", m, 4) + a for a, h, m in zip(starts, heads, sizes)]).astype(np.int64)
         owner = np.concatenate([r[0] + np.int32(a) for a, r in zip(starts, rows)])
         grams = np.concatenate([r[1] for r in rows])
         del rows
         # A class that several tasks sent counts once: its row in the first slice stands for it, in every range.
         _, first = np.unique(tags, return_index=True)
-        stays = np.zeros(len(tags), bool)
-        stays[first] = True
+        stays = np.ones(starts[-1], bool)
+        stays[np.delete(tagged, first)] = False
         if not stays.all():
             keep = stays[owner]
             grams, owner = grams[keep], owner[keep]
@@ -206,12 +210,11 @@ def counted_grams(sent: DataFrame) -> DataFrame:
         order = np.argsort(of_slice, kind="stable")
         edges = np.searchsorted(of_slice[order], np.arange(len(heads) + 1))
         names = part.column("slice").to_pylist()
-        for i, (head, m) in enumerate(zip(heads, sizes)):
+        for i in range(len(heads)):
             at = order[edges[i] : edges[i + 1]]
             if len(at):
-                numbers = np.frombuffer(head, "<u4", m, 4)
                 out[0].append(names[i])
-                out[1].append(packed(numbers[owner[at] - starts[i]], grams[at], df[at]))
+                out[1].append(packed(owner[at] - np.int32(starts[i]), grams[at], df[at]))
         n = len(out[0])
         lists = pa.nulls(n, pa.list_(pa.int32()))
         return pa.concat_tables([tables, pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.nulls(n, pa.binary()), lists, lists], names=columns).cast(tables.schema)])
@@ -328,7 +331,7 @@ def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFr
         return None
     live = checkpoint(shared.join(named, "class").select("gram", "node", "shared", "n", "pos", *SUFFIX)).withColumn("label", F.col("node"))
     found = sets_of(source, named.select(F.col("rep").alias("key")))
-    sets = checkpoint(found.join(named.select("class", "node"), "class").select("node", "set").dropDuplicates(["node"]))
+    sets = checkpoint(found.join(named.select("class", "node"), "class").dropDuplicates(["class"]).select("node", "set"))
     links = labels = None
     for turn in range(ROUNDS + 1):
         if turn:
@@ -338,7 +341,12 @@ def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFr
             pairs = between_components(live)
         else:
             pairs = to_leaders(live.where("label <> main") if turn else live)
-        new = checkpoint(verified(pairs, sets))
+        asked = sets
+        if turn:
+            # After the first round few sets have pairs left; the others are not moved again.
+            pairs = checkpoint(pairs)
+            asked = checkpoint(with_keys(sets, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), "node"))
+        new = checkpoint(verified(pairs, asked))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
@@ -356,7 +364,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     frequent = told.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT, total >> HOT_BITS))
     hot = np.sort(frequent.select("gram").toArrow().column("gram").to_numpy()).astype(U64)
     bits = min(62, max(32, total.bit_length() + SPARE_BITS))
-    labels = links_of(source, classes, prefixes(counted_grams(sent_grams(source, max(1, -(-total // PART)), bits, hot)), bits))
+    # Only sets of several rows may come from several tasks; they are told by the first 8 bytes of their names.
+    rows_of = rows.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1")
+    copied = bit_table(rows_of.select(F.conv(F.hex(F.substring("class", 1, 8)), 16, -10).cast("long").alias("tag")), "tag", COPY_BITS)
+    labels = links_of(source, classes, prefixes(counted_grams(sent_grams(source, max(1, -(-total // PART)), bits, hot, copied)), bits))
     of_class = classes.select("class", F.col("rep").alias("component"))
     if labels is not None:
         least = labels.groupBy("label").agg(F.min("rep").alias("joint"))

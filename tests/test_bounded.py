@@ -43,3 +43,21 @@ def test_kmer_summary_counts_in_place(spark, monkeypatch):
     key = lambda r: (r[0] is None, r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
     assert sorted(r["seq"] for r in moved[0].collect()) == sorted(s for i, s in seqs if i in (5, None))
+
+
+def test_only_sets_of_several_rows_carry_their_names(spark):
+    from tessella.llm import jaccard_join as jj
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:3])], "key long, text string").repartition(4, "key")
+    names = [jj.class_of(jj.set_of(t.encode(), jj.WordHashes())) for t in texts[:3]]
+    first = np.array([int.from_bytes(n[:8], "big") for n in names], np.uint64)
+    copied = np.zeros(1 << (jj.COPY_BITS - 6), np.uint64)
+    slot = first >> np.uint64(64 - jj.COPY_BITS)
+    np.bitwise_or.at(copied, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    sent = jj.sent_grams(docs, 2, 40, np.empty(0, np.uint64), copied)
+    told = [t["tags"] for t in sent.where("tags IS NOT NULL").collect()]
+    found = {t[4 + 4 * m + 8 * i :][:8] for t in told for m in [int.from_bytes(t[:4], "little")] for i in range(m)}
+    assert found == {n[:8] for n in names}
+    # Shingles of copies are counted once, so that no shingle is shared.
+    assert jj.prefixes(jj.counted_grams(sent), 40).count() == 0
