@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.shared import checkpoint
+from tessella.shared import checkpoint_counted
 
 #: Text bytes that a task handles at once; longer single texts are handled alone.
 SLICE_BYTES = 8 << 20
@@ -121,8 +121,8 @@ def with_keys(source: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     (2 MB), so that few others are shuffled; the exact join follows. Where there are too many keys for that
     bitmap to sort rows out, the join works alone.
     """
-    keys = checkpoint(keys.distinct())
-    bits = max(12, (64 * keys.count()).bit_length())
+    keys, count = checkpoint_counted(keys.distinct())
+    bits = max(12, (64 * count).bit_length())
     if bits <= KEY_BITS + 4:
         bits = min(bits, KEY_BITS)
         slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)

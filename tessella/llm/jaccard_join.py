@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.llm.common import LOWER, U64, WordHashes, bit_table, in_bits, of_planes, planes, raw, shingle_set, slices, table, unused, with_keys
 from tessella.llm.graph import components
-from tessella.shared import checkpoint
+from tessella.shared import checkpoint, checkpoint_counted
 
 WORDS = 5
 #: Rounds of links to leaders before the remaining pairs are taken.
@@ -326,30 +326,32 @@ def links_of(source: DataFrame, classes: DataFrame, prefix: DataFrame) -> DataFr
     first = checkpoint(prefix)
     shared = first.join(first.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1"), "gram")
     named = shared.groupBy("class").agg(F.sum("sets").alias("shared")).join(classes.select("class", "rep"), "class")
-    named = checkpoint(named.withColumn("node", F.monotonically_increasing_id()))
-    if named.isEmpty():
+    named, count = checkpoint_counted(named.withColumn("node", F.monotonically_increasing_id()))
+    if not count:
         return None
     live = checkpoint(shared.join(named, "class").select("gram", "node", "shared", "n", "pos", *SUFFIX)).withColumn("label", F.col("node"))
     found = sets_of(source, named.select(F.col("rep").alias("key")))
     sets = checkpoint(found.join(named.select("class", "node"), "class").dropDuplicates(["class"]).select("node", "set"))
-    links = labels = None
+    labels, asked, count = None, sets, 0
     for turn in range(ROUNDS + 1):
-        if turn:
+        if turn == 1 or count:
             # Shingles whose sets are all in one component have nothing left to link, in this round and in later ones.
-            live = checkpoint(beside_main(relabelled(live, labels)))
+            live, count = checkpoint_counted(beside_main(relabelled(live, labels)))
+            if not count:
+                break
         if turn == ROUNDS:
             pairs = between_components(live)
         else:
             pairs = to_leaders(live.where("label <> main") if turn else live)
-        asked = sets
         if turn:
             # After the first round few sets have pairs left; the others are not moved again.
-            pairs = checkpoint(pairs)
-            asked = checkpoint(with_keys(sets, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), "node"))
-        new = checkpoint(verified(pairs, asked))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            pairs, count = checkpoint_counted(pairs)
+            if not count:
+                continue
+            asked = with_keys(sets, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), "node")
+        new, count = checkpoint_counted(verified(pairs, asked))
+        if count:
+            labels = components(new, labels)
     return None if labels is None else labels.join(named, "node").select("class", "rep", "label")
 
 
