@@ -41,8 +41,9 @@ SPACES = "\t-\r \u0085 "
 #: A character on which the spelled-out classes or Python's lower-casing might differ from the library's.
 UNSAFE = re.compile("[^\u0000-įı-ɏ‐-‧€]")
 
-BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-LOWER_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+# Letters stand first, as most words are of them and none of the branches that the library has before them matches there.
+BYTE_LEVEL = re.compile(f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+LOWER_WORDS = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -55,7 +56,7 @@ def byte_symbols() -> list[str]:
 class MergeTable:
     """Sorted pair keys of a BPE vocabulary, and merging of many words at once."""
 
-    NONE = np.iinfo(np.int64).max
+    NONE = np.iinfo(np.int32).max
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str) -> None:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -64,23 +65,24 @@ class MergeTable:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
         self.of_rank = list(zip(left.tolist(), right.tolist(), made.tolist()))
         symbols = byte_symbols()
         self.inner = np.array([vocab[c] for c in symbols], np.int64)
         self.final = np.array([vocab[c + suffix] for c in symbols], np.int64)
+        # Ranks of the pairs that words begin with: a byte within a word, and one within or at its end.
+        self.of_bytes = self.ranks(np.repeat(self.inner, 512), np.tile(np.r_[self.inner, self.final], 256))
         # If no merge can make a pair of lower rank than its own, all places of a pair may merge at once.
         first = np.full(max(vocab.values()) + 1, -1, np.int64)
         first[made[::-1]] = np.arange(len(made))[::-1]
         self.ascending = bool((np.maximum(first[left], first[right]) < np.arange(len(made))).all())
 
-    def look_up(self, sym: np.ndarray, same_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and product of each pair (i, i + 1); NONE where there is no merge."""
-        keys = sym[:-1] << 32 | sym[1:]
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NONE where there is no merge."""
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        hit = (self.keys[at] == keys) & same_word
-        return np.where(hit, self.rank[at], self.NONE), self.made[at]
+        return np.where(self.keys[at] == keys, self.rank[at], np.int32(self.NONE))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers. Long words have rounds of their own kind."""
@@ -151,50 +153,55 @@ class MergeTable:
         return [data[4 * a : 4 * b] for a, b in zip(kept, kept[1:])]
 
     def encode_short(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids as little-endian unsigned 32-bit integers."""
+        """Each word's ids as little-endian unsigned 32-bit integers. A round looks up only the pairs that the last one changed."""
         out: list[bytes] = [b""] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        sym = self.inner[flat]
-        ends = np.cumsum(lengths) - 1
-        some = lengths > 0
-        sym[ends[some]] = self.final[flat[ends[some]]]
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        sym = self.inner[flat].astype(np.int32)
+        ends = (np.cumsum(lengths) - 1)[lengths > 0]
+        sym[ends] = self.final[flat[ends]]
+        rank = np.full(len(sym), self.NONE, np.int32)  # of the pair that begins here
+        if len(sym) > 1:
+            right = flat[1:].astype(np.int64)
+            right[ends[1:] - 1] += 256
+            if ends[0]:
+                right[ends[0] - 1] += 256
+            rank[:-1] = self.of_bytes[flat[:-1].astype(np.int64) << 9 | right]
+            rank[ends] = self.NONE
         while len(sym):
-            if len(sym) > 1:
-                rank, made = self.look_up(sym, owner[:-1] == owner[1:])
-            else:
-                rank, made = np.empty(0, np.int64), np.empty(0, np.int64)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            padded = np.r_[rank, self.NONE]
-            least = np.minimum.reduceat(padded, starts)
+            least = np.minimum.reduceat(rank, starts)
             live = least < self.NONE
             sizes = np.diff(np.r_[starts, len(sym)])
             done = np.repeat(~live, sizes)
             if done.any():  # words without a merge leave
                 data = sym[done].astype("<u4").tobytes()
-                edge = np.r_[0, np.cumsum(sizes[~live])].tolist()
-                for k, w in enumerate(owner[starts[~live]].tolist()):
-                    out[w] = data[4 * edge[k] : 4 * edge[k + 1]]
+                edge = np.r_[0, np.cumsum(4 * sizes[~live])].tolist()
+                for w, a, b in zip(owner[starts[~live]].tolist(), edge, edge[1:]):
+                    out[w] = data[a:b]
             if not live.any():
                 break
-            take = (padded == np.repeat(least, sizes)) & (padded < self.NONE)
+            take = (rank == np.repeat(least, sizes)) & ~done
+            at = np.flatnonzero(take)
             if self.ascending:
-                run = take[1:] & take[:-1]  # overlapping places of a pair of equal symbols: every second one
-                if run.any():
-                    at = np.flatnonzero(take)
-                    fresh = np.r_[True, np.diff(at) > 1]
+                fresh = np.r_[True, np.diff(at) > 1]
+                if not fresh.all():  # overlapping places of a pair of equal symbols: every second one
                     begin = np.maximum.accumulate(np.where(fresh, at, 0))
-                    take[at[(at - begin) % 2 == 1]] = False
+                    at = at[(at - begin) % 2 == 0]
             else:
-                at = np.flatnonzero(take)
-                first = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
-                take[at[~first]] = False
-            at = np.flatnonzero(take)
-            sym[at] = made[at]
+                at = at[np.r_[True, owner[at[1:]] != owner[at[:-1]]]]
+            sym[at] = self.made[rank[at]]
             keep = ~done
             keep[at + 1] = False
-            sym, owner = sym[keep], owner[keep]
+            changed = np.zeros(len(sym), bool)
+            changed[at] = True
+            changed[at[at > 0] - 1] = True
+            sym, owner, rank, changed = sym[keep], owner[keep], rank[keep], np.flatnonzero(changed[keep])
+            rank[changed] = self.NONE
+            changed = changed[changed < len(sym) - 1]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            rank[changed] = self.ranks(sym[changed], sym[changed + 1])
         return out
 
 
@@ -243,7 +250,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
-        asked = {w for ws in words for w in ws}
+        asked = set().union(*words)
         fresh = asked.difference(self.known)
         if len(self.known) + len(fresh) > self.limit:
             self.older, self.known = self.known, dict(self.special_ids)
