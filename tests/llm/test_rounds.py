@@ -40,3 +40,13 @@ def test_new_edges_take_few_jobs(spark):
     found, more = jobs_of(spark, lambda: graph.components(spark.createDataFrame([(140, 64)], "a long, b long"), known))
     assert set(labels(found).values()) == {0}
     assert more < whole / 2
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """Spark's estimate of a table's size is a number of a few digits, however many rounds made the table."""
+    known = None
+    for a, b in ((0, 64), (100, 140), (64, 100)):
+        edges = [(i, i + 1) for i in range(a, b)]
+        known = graph.components(spark.createDataFrame(edges, "a long, b long"), known)
+        assert int(known._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 10**9
+    assert set(labels(known).values()) == {0}
